@@ -73,6 +73,15 @@ def history_arrays(panel: DataFrame, key: str, period: str, cols: Sequence[str],
         F.struct(F.col("_period"), *[F.col(c) for c in cols if c != period]))).alias("_hist"))
 
 
+def _as_double(c: Column, dtype) -> Column:
+    """Numeric columns cast directly; text parsed strictly (bad -> null)."""
+    from pyspark.sql.types import NumericType
+    if isinstance(dtype, NumericType):
+        return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    from vigil.functions.clean import to_number
+    return to_number(c)
+
+
 def asof_prior(requests: DataFrame, panel: DataFrame, key: str, req_period: str, panel_period: str,
                cols: Sequence[str], prefix: str = "prior_", fill: float = 0.0,
                new_col: str = "is_new", max_periods: int | None = 10000) -> DataFrame:
@@ -92,7 +101,7 @@ def asof_prior(requests: DataFrame, panel: DataFrame, key: str, req_period: str,
     j = j.withColumn("_m", F.when(F.size(before) > 0, F.element_at(before, -1)))
     out = j.withColumns({
         f"{prefix}period": F.col("_m._period"),
-        **{f"{prefix}{c}": F.coalesce(F.col(f"_m.{c}").cast("string").try_cast("double"), F.lit(float(fill)))
+        **{f"{prefix}{c}": F.coalesce(_as_double(F.col(f"_m.{c}"), panel.schema[c].dataType), F.lit(float(fill)))
            for c in cols if c != panel_period},
         new_col: F.col("_m").isNull().cast("int"),
     })
