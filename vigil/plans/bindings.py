@@ -130,7 +130,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     user id; prediction = error event; ``is_ref`` splits reference/current."""
     e = _t(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("double")
-    return e.select("event_id", "ts", "event_type", "user_id", "value",
+    return e.select("event_id", "ts", "event_type", "user_id", "value", "props",
                     k.alias("k"), F.col("user_id").cast("double").alias("uid"),
                     (F.col("event_type") == "error").cast("int").alias("prediction"),
                     (F.col("ts") < F.lit(LOG_SPLIT_TS).cast("timestamp_ntz")).alias("is_ref"))
@@ -140,7 +140,7 @@ LOG_FEATURES = ["value", "k", "uid"]
 
 LOG_SQL = f"""
 log AS (
-  SELECT event_id, ts, event_type, user_id, value,
+  SELECT event_id, ts, event_type, user_id, value, props,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
          CAST(user_id AS DOUBLE) AS uid,
          CAST(event_type = 'error' AS INTEGER) AS prediction,
