@@ -38,8 +38,8 @@ def to_number(c) -> Column:
     """Coerce to double; text that is not a plain decimal/scientific number,
     NaN and ±inf become null."""
     s = _c(c).cast("string")
-    v = F.when(s.rlike(NUMERIC_PATTERN), F.trim(s).try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    # the pattern admits no NaN/inf spelling, so no NaN check is needed
+    return F.when(s.rlike(NUMERIC_PATTERN), F.trim(s).try_cast("double"))
 
 
 def clip(c, lo=None, hi=None) -> Column:
@@ -120,13 +120,14 @@ def _truthy_text(s: Column) -> Column:
     return s.isNotNull() & (s != "")
 
 
-def age_from_mixed(c, ref_year=None, base_year: int = BASE_YEAR) -> Column:
+def age_from_mixed(c, ref_year=None, base_year: int = BASE_YEAR, number=None) -> Column:
     """Age from an age, a birth year or a birth date: a value in [4, 25] is an
     age (truncated); a value above 1900 is a year -> base − value; otherwise
     an ISO date -> base − its year; the base is the reference year or 2024.
-    Results outside [4, 25] are null."""
+    Results outside [4, 25] are null.  ``number`` may pass ``to_number(c)``
+    already computed as a column (keeps generated code small)."""
     s = _c(c).cast("string")
-    v = to_number(s)
+    v = _c(number) if number is not None else to_number(s)
     base = F.coalesce(_c(ref_year).cast("int"), F.lit(base_year)) if ref_year is not None else F.lit(base_year)
     from_year = base - v
     d = F.try_to_timestamp(F.trim(s), F.lit("yyyy-MM-dd"))
