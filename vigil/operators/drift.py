@@ -1,15 +1,18 @@
 """Population drift between a reference and a current DataFrame.
 
-PSI for k features runs as one job: both sides are unpivoted to
-``(feature, value)``, reference deciles come from the distributed exact
-quantile kernel, the per-feature edge arrays (≤ bins+1 values × k features,
-a bound fixed by the parameters) are broadcast, every value is binned with a
-JVM-side expression, and counts are aggregated per (group, feature, bin) with
-map-side combine.  The bin domain is generated, so empty bins count as 0.
+PSI is fitted on the reference once (like an MLlib estimator): exact decile
+edges from the distributed quantile kernel and the reference share of every
+bin — a result bounded by features × (bins + 1), whatever the data size.
+Applying it to a current DataFrame (a batch, a group of snapshots or a
+streaming micro-batch) is one scan: values are unpivoted to
+``(feature, value)``, binned by a JVM-side expression against the literal
+edges, and counted per (group, feature, bin) with map-side combine.  The bin
+domain comes from the edges, so empty bins count as 0.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,81 +53,125 @@ def bin_index(v: Column, edges: Column) -> Column:
     return F.when((v >= first) & (v <= last), idx)
 
 
-def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
-        group_cols: Sequence[str] | str | None = None, tails: bool = False) -> DataFrame:
-    """PSI per feature (and per current-side group, e.g. a snapshot id).
-
-    Output: ``group…, feature, psi_raw, n_edges, in_range_cur, n_cur, n_ref``
-    where ``psi_raw`` is Σ ((c+ε)−(r+ε))·ln((c+ε)/(r+ε)) rounded to 6 dp, with
-    proportions over in-range values; 0 when fewer than 3 distinct edges or a
-    side has no values; null when every current value is out of range.
-    With ``tails=True`` out-of-range current values are kept as two extra
-    bins (below / above) instead of vanishing from the denominator.
-    """
+@dataclass
+class PsiReference:
+    """The reference side of PSI, fitted once: per feature the distinct
+    decile edges, the in-range share of every bin, the mean and counts.
+    Its size is bounded by features × (bins + 1) whatever the data size."""
+    features: list
+    bins: int
+    edges: dict = field(default_factory=dict)
+    shares: dict = field(default_factory=dict)
+    mean: dict = field(default_factory=dict)
+    n: dict = field(default_factory=dict)
+    n_in: dict = field(default_factory=dict)
+
+    def _map(self, values: dict, elem) -> Column:
+        items = [x for f in self.features for x in (F.lit(f), elem(values.get(f)))]
+        return F.create_map(*items) if items else F.create_map()
+
+    def edges_col(self) -> Column:
+        return self._map(self.edges, lambda e: F.array(*[F.lit(float(x)) for x in (e or [])]).cast("array<double>"))
+
+    def shares_col(self) -> Column:
+        return self._map(self.shares, lambda e: F.array(*[F.lit(float(x)) for x in (e or [])]).cast("array<double>"))
+
+
+def psi_fit(ref: DataFrame, features: Sequence[str], bins: int = 10) -> PsiReference:
+    """Fit the reference: exact deciles (distributed quantile kernel), then
+    one aggregate of bin counts.  Two small results reach the driver."""
+    rl = to_long(ref, features).persist()
+    try:
+        model = PsiReference(list(features), bins)
+        for r in psi_edges(rl, bins).collect():
+            model.edges[r["feature"]] = [float(x) for x in r["edges"]]
+        edges = model.edges_col()
+        binned = rl.withColumn("bin", bin_index(F.col("v"), F.element_at(edges, F.col("feature"))))
+        rows = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()
+    finally:
+        rl.unpersist()
+    tot, tot_in, sums, per_bin = {}, {}, {}, {}
+    for r in rows:
+        f = r["feature"]
+        tot[f] = tot.get(f, 0) + r["n"]
+        sums[f] = sums.get(f, 0.0) + r["s"]
+        if r["bin"] is not None:
+            tot_in[f] = tot_in.get(f, 0) + r["n"]
+            per_bin[(f, r["bin"])] = r["n"]
+    for f in features:
+        e = model.edges.get(f, [])
+        model.n[f] = tot.get(f, 0)
+        model.n_in[f] = tot_in.get(f, 0)
+        model.mean[f] = sums[f] / tot[f] if tot.get(f) else None
+        model.shares[f] = [per_bin.get((f, b), 0) / model.n_in[f] if model.n_in[f] else 0.0
+                           for b in range(1, max(len(e), 1))]
+    return model
+
+
+def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | str | None = None,
+              with_means: bool = True) -> DataFrame:
+    """PSI of a current DataFrame (per optional group) against a fitted
+    reference — one scan of ``cur`` and one aggregate; empty current bins
+    still contribute (the bin domain comes from the reference edges).
+
+    Output: ``group…, feature, psi_raw, n_edges, in_range_cur, n_cur,
+    current_mean`` (psi_raw rounded to 6 dp; 0 with < 3 edges or an empty
+    side; null when every current value is out of range)."""
     g = _cols(group_cols)
-    rl = to_long(ref, features)
-    cl = to_long(cur, features, g)
-    edges = psi_edges(rl, bins)
-    be = F.broadcast(edges)  # ≤ features × (bins + 1) doubles
-
-    def binned(long_df: DataFrame, keys: list[str]) -> DataFrame:
-        b = long_df.join(be, "feature")
-        idx = bin_index(F.col("v"), F.col("edges"))
-        if tails:
-            idx = (F.when(F.col("v") < F.element_at("edges", 1), F.lit(0))
-                   .when(F.col("v") > F.element_at("edges", -1), F.size("edges")).otherwise(idx))
-        return (b.withColumn("bin", idx).groupBy(*keys, "feature", "bin")
-                .agg(F.count(F.lit(1)).alias("n")))
-
-    rc = binned(rl, [])
-    cc = binned(cl, g)
-    r_tot = rc.groupBy("feature").agg(F.sum("n").alias("n_ref"),
-                                      F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("r_in"))
-    c_tot = cc.groupBy(*g, "feature").agg(F.sum("n").alias("n_cur"),
-                                          F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("c_in"))
-    lo = 0 if tails else 1
-    hi = F.size("edges") if tails else F.size("edges") - 1
-    domain = (c_tot.join(be, "feature").join(F.broadcast(r_tot), "feature")
-              .select(*g, "feature", "n_cur", "c_in", "n_ref", "r_in", F.size("edges").alias("n_edges"),
-                      F.explode(F.sequence(F.lit(lo), hi)).alias("bin")))
-    rcn = rc.where(F.col("bin").isNotNull()).withColumnRenamed("n", "r_n")
-    ccn = cc.where(F.col("bin").isNotNull()).withColumnRenamed("n", "c_n")
-    j = (domain.join(F.broadcast(rcn), ["feature", "bin"], "left")
-         .join(ccn, [*g, "feature", "bin"], "left"))
-    c_den = F.col("n_cur") if tails else F.col("c_in")
-    r_den = F.col("n_ref") if tails else F.col("r_in")
-    r = F.coalesce(F.col("r_n"), F.lit(0)) / r_den
-    c = F.coalesce(F.col("c_n"), F.lit(0)) / c_den
-    term = ((c + F.lit(PSI_EPS)) - (r + F.lit(PSI_EPS))) * F.log((c + F.lit(PSI_EPS)) / (r + F.lit(PSI_EPS)))
-    s = (j.where(c_den > 0).groupBy(*g, "feature")
-         .agg(F.sum(term).alias("_s")))
-    base = c_tot.join(F.broadcast(r_tot), "feature").join(be, "feature", "left")
-    out = base.join(s, [*g, "feature"], "left")
-    n_edges = F.coalesce(F.size("edges"), F.lit(0))
-    val = (F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0) | (n_edges < 3), F.lit(0.0))
-           .when(F.coalesce(c_den, F.lit(0)) == 0, F.lit(None).cast("double"))
+    feats = model.features
+    cl = to_long(cur, feats, g)
+    edges = F.element_at(model.edges_col(), F.col("feature"))
+    agg = (cl.withColumn("bin", bin_index(F.col("v"), edges))
+           .groupBy(*g, "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")))
+    tot = agg.groupBy(*g, "feature").agg(
+        F.sum("n").alias("n_cur"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("c_in"),
+        F.sum("s").alias("s_cur"))
+    n_edges = F.size(F.element_at(model.edges_col(), F.col("feature")))
+    dom = tot.select(*g, "feature", "c_in",
+                     F.explode(F.sequence(F.lit(1), F.greatest(n_edges - 1, F.lit(1)))).alias("bin"))
+    dom = dom.where(F.col("bin") < n_edges)
+    j = dom.join(agg.where(F.col("bin").isNotNull()).select(*g, "feature", "bin", "n"),
+                 [*g, "feature", "bin"], "left")
+    r = F.element_at(F.element_at(model.shares_col(), F.col("feature")), F.col("bin"))
+    c = F.coalesce(F.col("n"), F.lit(0)) / F.col("c_in")
+    eps = F.lit(PSI_EPS)
+    term = ((c + eps) - (r + eps)) * F.log((c + eps) / (r + eps))
+    s = j.where(F.col("c_in") > 0).groupBy(*g, "feature").agg(F.sum(term).alias("_s"))
+    out = tot.join(s, [*g, "feature"], "left")
+    n_ref = model._map(model.n, lambda x: F.lit(int(x or 0)).cast("long"))
+    val = (F.when((F.element_at(n_ref, F.col("feature")) == 0) | (F.col("n_cur") == 0) | (n_edges < 3),
+                  F.lit(0.0))
+           .when(F.coalesce(F.col("c_in"), F.lit(0)) == 0, F.lit(None).cast("double"))
            .otherwise(F.round(F.col("_s"), 6)))
     return out.select(*g, "feature", val.alias("psi_raw"), n_edges.alias("n_edges"),
-                      F.coalesce("c_in", F.lit(0)).alias("in_range_cur"), "n_cur", "n_ref")
+                      F.coalesce("c_in", F.lit(0)).alias("in_range_cur"), "n_cur",
+                      (F.col("s_cur") / F.col("n_cur")).alias("current_mean"))
+
+
+def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
+        group_cols: Sequence[str] | str | None = None) -> DataFrame:
+    """PSI per feature (and per current-side group): fit on ``ref``, apply to ``cur``."""
+    return psi_apply(psi_fit(ref, features, bins), cur, group_cols)
 
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
-              group_cols: Sequence[str] | str | None = None, flag: float = PSI_FLAG) -> DataFrame:
+              group_cols: Sequence[str] | str | None = None, flag: float = PSI_FLAG,
+              model: PsiReference | None = None) -> DataFrame:
     """PSI table: ``group…, feature, psi (4 dp), reference_mean, current_mean,
-    delta_mean, direction, drift_flag`` for the features present on both sides."""
+    delta_mean, direction, drift_flag, all_out_of_range`` for the first five
+    features present on both sides."""
     g = _cols(group_cols)
     feats = [f for f in features if f in ref.columns and f in cur.columns][:PSI_TOP_FEATURES]
-    p = psi(ref, cur, feats, bins, g)
-    rm = to_long(ref, feats).groupBy("feature").agg(F.avg("v").alias("_rm"))
-    cm = to_long(cur, feats, g).groupBy(*g, "feature").agg(F.avg("v").alias("_cm"))
-    j = p.join(F.broadcast(rm), "feature", "left").join(cm, [*g, "feature"], "left")
-    return j.select(
+    model = model or psi_fit(ref, feats, bins)
+    p = psi_apply(model, cur, g)
+    rm = F.element_at(model._map(model.mean, lambda x: F.lit(x).cast("double")), F.col("feature"))
+    return p.select(
         *g, "feature",
         F.round("psi_raw", 4).alias("psi"),
-        F.round("_rm", 4).alias("reference_mean"),
-        F.round("_cm", 4).alias("current_mean"),
-        F.round(F.col("_cm") - F.col("_rm"), 4).alias("delta_mean"),
-        F.when(F.col("_cm") > F.col("_rm"), "increase").otherwise("decrease_or_stable").alias("direction"),
+        F.round(rm, 4).alias("reference_mean"),
+        F.round("current_mean", 4).alias("current_mean"),
+        F.round(F.col("current_mean") - rm, 4).alias("delta_mean"),
+        F.when(F.col("current_mean") > rm, "increase").otherwise("decrease_or_stable").alias("direction"),
         F.coalesce(F.col("psi_raw") >= F.lit(flag), F.lit(False)).alias("drift_flag"),
         F.col("psi_raw").isNull().alias("all_out_of_range"))
 

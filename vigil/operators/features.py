@@ -65,16 +65,15 @@ def reference_period(df: DataFrame, period: str | None, snapshot_year: int | Non
 
 def train_statistics(train: DataFrame, start: str, age: str, ref_period: str | None = None) -> DataFrame:
     """One row ``median_start, median_age`` (ints, floor of the exact median).
-    Start falls back to the median reference period; age falls back to 12."""
-    base = train.select(to_number(F.col(start)).alias("_s"), to_number(F.col(age)).alias("_a"),
-                        (to_number(F.col(ref_period)) if ref_period else F.lit(None).cast("double")).alias("_r"))
-    ms = exact_median(base, "_s").withColumnRenamed("value", "_ms")
-    ma = exact_median(base, "_a").withColumnRenamed("value", "_ma")
-    mr = exact_median(base, "_r").withColumnRenamed("value", "_mr")
+    Start falls back to the median reference period; age falls back to 12.
+    The three medians come from one run of the distributed quantile kernel."""
+    cols = {"s": to_number(F.col(start)), "a": to_number(F.col(age)),
+            "r": to_number(F.col(ref_period)) if ref_period else F.lit(None).cast("double")}
+    long = train.select(*[c.alias(k) for k, c in cols.items()]).unpivot([], list(cols), "_k", "_v")
+    med = exact_median(long, "_v", "_k")
+    m = med.agg(*[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(f"_m{k}") for k in cols])
     one = train.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    j = one.join(ms.withColumn("_one", F.lit(1)), "_one", "left") \
-        .join(ma.withColumn("_one", F.lit(1)), "_one", "left") \
-        .join(mr.withColumn("_one", F.lit(1)), "_one", "left")
+    j = one.join(m.withColumn("_one", F.lit(1)), "_one", "left")
     return j.select(F.floor(F.coalesce("_ms", "_mr")).cast("int").alias("median_start"),
                     F.coalesce(F.floor("_ma").cast("int"), F.lit(DEFAULT_AGE)).alias("median_age"))
 

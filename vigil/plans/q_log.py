@@ -129,9 +129,9 @@ status AS (SELECT summ.*,
            FROM summ, shift2)"""
 
 
-def _status(spark, d):
+def _status(spark, d, psi_tbl=None):
     ref, cur = _split(spark, d)
-    s = drift.drift_summary(_psi(spark, d))
+    s = drift.drift_summary(psi_tbl if psi_tbl is not None else _psi(spark, d))
     r = drift.rate_shift(ref, cur)
     j = s.crossJoin(r)
     return j.withColumn("drift_status", drift.drift_status_col(F.col("avg_psi"), F.col("shift_alert")))
@@ -209,8 +209,9 @@ ncur AS (SELECT count(*) AS samples, max(ts) AS window_ts FROM log WHERE NOT is_
 
 def _snapshot(spark, d):
     ref, cur = _split(spark, d)
-    st = _status(spark, d)
-    top = drift.top_features(_psi(spark, d))
+    p = _psi(spark, d)
+    st = _status(spark, d, p)
+    top = drift.top_features(p)
     tops = top.agg(*[F.max(F.when(F.col("rank") == i, F.col("feature"))).alias(f"t{i}") for i in (1, 2, 3)])
     miss = drift.missing_ratio(_flat(spark, d).where(~F.col("is_ref")), MISSING_COLS)
     n = cur.where(F.col("prediction").isNotNull()).agg(F.count(F.lit(1)).alias("samples"),

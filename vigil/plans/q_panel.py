@@ -114,9 +114,11 @@ stats AS (SELECT CAST(floor(coalesce(median(start_period), median(period))) AS I
                  coalesce(CAST(floor(median(age)) AS INTEGER), 12) AS median_age FROM train)"""
 
 
-def _stats(spark, d):
+def _stats(spark, d, materialise: bool = False):
     s = temporal.temporal_split(panel(spark, d), "period")
-    return feat.train_statistics(s.where(F.col("role") == "train"), "start_period", "age", "period")
+    st = feat.train_statistics(s.where(F.col("role") == "train"), "start_period", "age", "period")
+    # the statistics are a one-row artifact: computed once, then used as a literal table
+    return spark.createDataFrame([st.first()], st.schema) if materialise else st
 
 
 @query("train_statistics", with_ctes(PANEL_SQL, STATS_CTES) + "SELECT median_start, median_age FROM stats")
@@ -131,7 +133,7 @@ SELECT entity_id, period, start_period,
 FROM panel, stats s""")
 def tenure_impute(spark, d):
     p = panel(spark, d)
-    out = feat.with_tenure(p, "start_period", F.col("period").cast("double"), _stats(spark, d))
+    out = feat.with_tenure(p, "start_period", F.col("period").cast("double"), _stats(spark, d, True))
     return out.select("entity_id", "period", "start_period", "tenure")
 
 
@@ -202,7 +204,7 @@ FROM t""")
 def clip_and_impute(spark, d):
     lagged = temporal.lag_features(panel(spark, d), "entity_id", "period", ["idx"])
     src = lagged.withColumn("grp_class", F.col("grp")).withColumn("code", F.col("grp"))
-    out = feat.process_features(src, CLIP_SPEC, stats=_stats(spark, d))
+    out = feat.process_features(src, CLIP_SPEC, stats=_stats(spark, d, True))
     return out.select("entity_id", "period", "age", "tenure", "idx_prev", "is_new", "grp_class", "code")
 
 
