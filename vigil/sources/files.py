@@ -60,28 +60,29 @@ def _expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 def scan_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
               period_col: str | None = "period", period_pattern: str = PERIOD_PATTERN,
               options: Mapping[str, str] | None = None) -> DataFrame:
-    """All files matching ``paths`` (globs allowed) as one DataFrame.
-
-    No match -> SourceError.  The period is the first ``20YY`` in the file
-    path (``_metadata.file_path``); files without one are skipped, and when
-    nothing remains a SourceError is raised lazily at the first action is
-    avoided by checking the listing up front.  Files with different columns
-    union by name (Spark's schema merge for parquet)."""
-    files = _expand(spark, paths)
-    if not files:
+    """All inputs matching ``paths`` (globs allowed) as one DataFrame.
+
+    No match -> SourceError.  The period is the first ``20YY`` in each
+    input's own name; inputs without one are skipped and if none remains a
+    SourceError is raised.  Inputs of the same period are read together and
+    tagged with it, then periods are unioned by column name (missing columns
+    become null) — one read per distinct period, not per file.  Data laid out
+    in ``period=YYYY`` folders needs none of this: Spark discovers it."""
+    found = _expand(spark, paths)
+    if not found:
         raise SourceError(f"no input files match {list(paths)}")
-    if period_col:
-        files = [f for f in files if re.search(period_pattern, f.rsplit("/", 1)[-1])]
-        if not files:
-            raise SourceError("no input file carries a period in its name")
     reader = spark.read.format(fmt).options(**(options or {}))
-    if fmt == "parquet":
-        reader = reader.option("mergeSchema", "true")
-    df = reader.load(files)
-    if period_col:
-        df = df.withColumn(period_col, F.regexp_extract(
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), period_pattern, 1).cast("int"))
-    return df
+    if not period_col:
+        return reader.load(found)
+    by_period: dict[int, list[str]] = {}
+    for f in found:
+        m = re.search(period_pattern, f.rstrip("/").rsplit("/", 1)[-1])
+        if m:
+            by_period.setdefault(int(m.group(1)), []).append(f)
+    if not by_period:
+        raise SourceError("no input file carries a period in its name")
+    return union_all(reader.load(fs).withColumn(period_col, F.lit(p).cast("int"))
+                     for p, fs in sorted(by_period.items()))
 
 
 def sniff_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] = (";", ",")) -> str:
