@@ -287,14 +287,14 @@ def min_cost_threshold(df: DataFrame, label: str, score: str, cost_fn: float = C
             .orderBy(F.col("cost").asc(), F.col("threshold").asc()).limit(1))
 
 
-def group_threshold_counts(df: DataFrame, label: str, score: str, group: str,
-                           max_groups: int = 1000) -> tuple[DataFrame, list]:
+def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | None,
+                           max_groups: int = 1000, extra_thresholds: Sequence[float] = ()) -> tuple[DataFrame, list]:
     """Running counts overall and per group on the shared list of distinct
     scores, one row per score.  Group values become columns (their number is
     bounded by ``max_groups`` and checked), so no score × group product is
     materialised.  Returns (curve, group values)."""
-    values = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct()
-              .limit(max_groups + 1).collect()]
+    values = [] if group is None else [
+        r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().limit(max_groups + 1).collect()]
     if len(values) > max_groups:
         raise ValueError(f"more than {max_groups} groups in {group!r}")
     values = sorted(values)
@@ -307,6 +307,11 @@ def group_threshold_counts(df: DataFrame, label: str, score: str, group: str,
     counts = (df.where(F.col(score).isNotNull())
               .groupBy(F.col(score).cast("double").alias("threshold")).agg(*aggs))
     sums = ["pos", "neg"] + [f"_g{i}_{k}" for i in range(len(values)) for k in ("pos", "neg")]
+    if extra_thresholds:
+        extra = df.sparkSession.createDataFrame([(float(t),) for t in extra_thresholds], "threshold double")
+        extra = extra.select("threshold", *[F.lit(0).cast("long").alias(c) for c in sums])
+        counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
+    counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
     cum = running_sums(counts, "threshold", sums, descending=True)
     tot = counts.agg(*[F.sum(c).alias(f"{c}_tot") for c in sums])
     cum = cum.crossJoin(F.broadcast(tot))
@@ -334,6 +339,58 @@ def _fairness_cols(cum: DataFrame, n_groups: int) -> DataFrame:
             .withColumn("gap_fpr", mx(fprs) - mn(fprs)).withColumn("gap_fnr", mx(fnrs) - mn(fnrs)))
 
 
+def fairness_curve(df: DataFrame, label: str, score: str, group: str | None,
+                   extra_thresholds: Sequence[float] = ()) -> DataFrame:
+    """One row per distinct score (plus extra candidates): running counts,
+    curve metrics and, with a group column, FPR/FNR gaps and maxima across
+    groups.  Every threshold choice below is a top-1 over this table."""
+    cum, values = group_threshold_counts(df, label, score, group, extra_thresholds=extra_thresholds)
+    c = with_curve_metrics(cum)
+    if values:
+        return _fairness_cols(c, len(values))
+    nul = F.lit(None).cast("double")
+    return c.select("*", nul.alias("max_fpr"), nul.alias("max_fnr"), nul.alias("gap_fpr"), nul.alias("gap_fnr"))
+
+
+_PICK_COLS = ["threshold", "tp", "fp", "fn", "n_pos", "precision", "recall", "f1",
+              "gap_fpr", "gap_fnr", "max_fpr", "max_fnr"]
+
+
+def pick_best_f1(c: DataFrame) -> DataFrame:
+    return (c.where("is_score").orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
+            .select(*_PICK_COLS))
+
+
+def pick_max_recall(c: DataFrame, min_precision: float = MIN_PRECISION) -> DataFrame:
+    ok = F.col("precision") >= F.lit(min_precision)
+    return (c.where("is_score").withColumn("_miss", F.when(ok, 0).otherwise(1))
+            .orderBy(F.col("_miss").asc(), F.when(F.col("_miss") == 0, F.col("recall")).desc(),
+                     F.when(F.col("_miss") == 0, F.col("f1")).desc(), F.col("threshold").asc())
+            .limit(1).select(*_PICK_COLS, (F.col("_miss") == 0).alias("constraint_met")))
+
+
+def pick_min_cost(c: DataFrame, cost_fn: float = COST_FN, cost_fp: float = COST_FP) -> DataFrame:
+    cost = F.lit(cost_fn) * F.col("fn") + F.lit(cost_fp) * F.col("fp")
+    return (c.withColumn("cost", cost).orderBy(F.col("cost").asc(), F.col("threshold").asc()).limit(1)
+            .select(*_PICK_COLS, "cost"))
+
+
+def pick_fair(c: DataFrame, min_recall: float = MIN_RECALL, min_precision: float = MIN_PRECISION,
+              max_fpr_gap: float = MAX_FPR_GAP, max_fnr_gap: float = MAX_FNR_GAP,
+              max_fpr: float = MAX_FPR, max_fnr: float = MAX_FNR) -> DataFrame:
+    """Feasible thresholds, then highest recall, smallest FPR gap, highest
+    precision, lowest threshold; falls back to best F1 (``strategy = f1``)."""
+    feasible = c.where(F.col("is_score") & (F.col("recall") >= min_recall) & (F.col("precision") >= min_precision)
+                       & (F.col("gap_fpr") <= max_fpr_gap) & (F.col("gap_fnr") <= max_fnr_gap)
+                       & (F.col("max_fpr") <= max_fpr) & (F.col("max_fnr") <= max_fnr))
+    best = (feasible.orderBy(F.col("recall").desc(), F.col("gap_fpr").asc(), F.col("precision").desc(),
+                             F.col("threshold").asc()).limit(1)
+            .select(*_PICK_COLS, F.lit("fairness_f1").alias("strategy"), F.lit(0).alias("_prio")))
+    fb = pick_best_f1(c).select(*_PICK_COLS[:8], *[F.lit(None).cast("double").alias(x) for x in _PICK_COLS[8:]],
+                                F.lit("f1").alias("strategy"), F.lit(1).alias("_prio"))
+    return best.unionByName(fb).orderBy("_prio").limit(1).drop("_prio")
+
+
 def fair_threshold(df: DataFrame, label: str, score: str, group: str,
                    min_recall: float = MIN_RECALL, min_precision: float = MIN_PRECISION,
                    max_fpr_gap: float = MAX_FPR_GAP, max_fnr_gap: float = MAX_FNR_GAP,
@@ -345,55 +402,37 @@ def fair_threshold(df: DataFrame, label: str, score: str, group: str,
     gaps across groups <= limits, worst-group FPR/FNR <= limits (percent
     points).  Among feasible thresholds: highest recall, then smallest FPR
     gap, then highest precision, then the lowest threshold.  When none is
-    feasible the strategy falls back to best F1 and reports ``strategy = f1``.
+    feasible the strategy falls back to best F1 and reports ``strategy = f1``;
+    with no score at all the default threshold is returned.
     """
-    cum, values = group_threshold_counts(df, label, score, group)
-    c = _fairness_cols(with_curve_metrics(cum), len(values)) if values else None
-    cols = ["threshold", "precision", "recall", "f1", "gap_fpr", "gap_fnr", "max_fpr", "max_fnr"]
-    fb = best_f1_threshold(df, label, score, default).select(
-        "threshold", "precision", "recall", "f1",
-        *[F.lit(None).cast("double").alias(x) for x in cols[4:]],
-        F.lit("f1").alias("strategy"), F.lit(1).alias("_prio"))
-    if c is None:
-        return fb.drop("_prio")
-    feasible = c.where((F.col("recall") >= min_recall) & (F.col("precision") >= min_precision)
-                       & (F.col("gap_fpr") <= max_fpr_gap) & (F.col("gap_fnr") <= max_fnr_gap)
-                       & (F.col("max_fpr") <= max_fpr) & (F.col("max_fnr") <= max_fnr))
-    best = (feasible.orderBy(F.col("recall").desc(), F.col("gap_fpr").asc(),
-                             F.col("precision").desc(), F.col("threshold").asc())
-            .limit(1).select(*cols, F.lit("fairness_f1").alias("strategy"), F.lit(0).alias("_prio")))
-    return best.unionByName(fb).orderBy("_prio").limit(1).drop("_prio")
+    c = fairness_curve(df, label, score, group)
+    out = pick_fair(c, min_recall, min_precision, max_fpr_gap, max_fnr_gap, max_fpr, max_fnr).select(
+        "threshold", "precision", "recall", "f1", "gap_fpr", "gap_fnr", "max_fpr", "max_fnr", "strategy")
+    return _with_default(out, {"threshold": default, "strategy": "f1"})
 
 
 def threshold_strategies(df: DataFrame, label: str, score: str, group: str,
                          active: str = "fairness_f1", default: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """All four strategies side by side with the metrics of their threshold:
-    ``strategy, threshold, precision, recall, f1, is_active``.  The active row
-    is the configured strategy, or ``f1`` when fairness falls back."""
-    fair = fair_threshold(df, label, score, group, default=default)
-    rows = [
-        best_f1_threshold(df, label, score, default).select(F.lit("f1").alias("strategy"), "threshold"),
-        max_recall_threshold(df, label, score, default=default).select(
-            F.lit("recall").alias("strategy"), "threshold"),
-        min_cost_threshold(df, label, score, default=default).select(
-            F.lit("cost").alias("strategy"), "threshold"),
-        fair.select(F.lit("fairness_f1").alias("strategy"), "threshold",
-                    F.col("strategy").alias("_resolved")),
-    ]
-    resolved = fair.select(F.col("strategy").alias("_resolved"))
-    base = rows[0]
-    for r in rows[1:3]:
-        base = base.unionByName(r)
-    allrows = base.withColumn("_resolved", F.lit(None).cast("string")).unionByName(rows[3])
-    chosen = active if active in ("recall", "cost", "f1") else None
-    m = metrics_at_thresholds(df, label, score, allrows)
-    m = m.crossJoin(F.broadcast(resolved.withColumnRenamed("_resolved", "_fair_resolved")))
-    if chosen:
-        is_active = F.col("strategy") == F.lit(chosen)
+    """All four strategies side by side, each with the exact metrics of its
+    threshold (rule ``score >= t``): ``strategy, threshold, precision,
+    recall, f1, is_active``.  The active row is the configured strategy, or
+    ``f1`` when the fairness search falls back.  One shared curve: the
+    default threshold enters as an extra candidate for the cost strategy."""
+    c = fairness_curve(df, label, score, group, extra_thresholds=[default])
+    fair = pick_fair(c)
+    picks = (pick_best_f1(c).withColumn("strategy", F.lit("f1"))
+             .unionByName(pick_max_recall(c).drop("constraint_met").withColumn("strategy", F.lit("recall")))
+             .unionByName(pick_min_cost(c).drop("cost").withColumn("strategy", F.lit("cost")))
+             .unionByName(fair.withColumn("strategy", F.lit("fairness_f1"))))
+    resolved = fair.select(F.col("strategy").alias("_fair_resolved"))
+    if active in ("recall", "cost", "f1"):
+        is_active = F.col("strategy") == F.lit(active)
     else:
         is_active = F.col("strategy") == F.when(F.col("_fair_resolved") == "fairness_f1",
                                                 F.lit("fairness_f1")).otherwise(F.lit("f1"))
-    return m.select("strategy", "threshold", "precision", "recall", "f1", is_active.alias("is_active"))
+    j = picks.crossJoin(F.broadcast(resolved))
+    return j.select("strategy", "threshold", precision_col().alias("precision"), recall_col().alias("recall"),
+                    f1_from_counts().alias("f1"), is_active.alias("is_active"))
 
 
 def metrics_at_thresholds(df: DataFrame, label: str, score: str, thresholds: DataFrame,
