@@ -65,3 +65,11 @@ def test_alerts_and_status(spark):
     st = one.select(drift.drift_status_col(F.lit(0.3), F.lit(False)).alias("s")).first()["s"]
     assert st == "moderate"
     assert one.select(drift.drift_status_col(F.lit(0.1), F.lit(True)).alias("s")).first()["s"] == "critical"
+
+
+def test_psi_tails_counts_out_of_range(spark):
+    ref, cur = _one(spark, range(1, 11)), _one(spark, range(2, 12))
+    plain = drift.psi(ref, cur, ["x"], bins=5).first()["psi_raw"]
+    tails = drift.psi(ref, cur, ["x"], bins=5, tails=True).first()["psi_raw"]
+    assert tails > plain > 0
+    assert drift.psi(ref, ref, ["x"], tails=True).first()["psi_raw"] == 0.0

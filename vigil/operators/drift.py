@@ -109,30 +109,42 @@ def psi_fit(ref: DataFrame, features: Sequence[str], bins: int = 10) -> PsiRefer
 
 
 def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | str | None = None,
-              with_means: bool = True) -> DataFrame:
+              tails: bool = False) -> DataFrame:
     """PSI of a current DataFrame (per optional group) against a fitted
     reference — one scan of ``cur`` and one aggregate; empty current bins
     still contribute (the bin domain comes from the reference edges).
 
     Output: ``group…, feature, psi_raw, n_edges, in_range_cur, n_cur,
     current_mean`` (psi_raw rounded to 6 dp; 0 with < 3 edges or an empty
-    side; null when every current value is out of range)."""
+    side; null when every current value is out of range).  With ``tails``
+    out-of-range current values are kept in two extra bins (below / above,
+    reference share 0) and proportions are over all values."""
     g = _cols(group_cols)
     feats = model.features
     cl = to_long(cur, feats, g)
     edges = F.element_at(model.edges_col(), F.col("feature"))
-    agg = (cl.withColumn("bin", bin_index(F.col("v"), edges))
+    b = bin_index(F.col("v"), edges)
+    if tails:
+        b = (F.when(F.col("v") < F.element_at(edges, 1), F.lit(0))
+             .when(F.col("v") > F.element_at(edges, -1), F.size(edges)).otherwise(b))
+    agg = (cl.withColumn("bin", b)
            .groupBy(*g, "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")))
     tot = agg.groupBy(*g, "feature").agg(
         F.sum("n").alias("n_cur"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("c_in"),
         F.sum("s").alias("s_cur"))
     n_edges = F.size(F.element_at(model.edges_col(), F.col("feature")))
-    dom = tot.select(*g, "feature", "c_in",
-                     F.explode(F.sequence(F.lit(1), F.greatest(n_edges - 1, F.lit(1)))).alias("bin"))
-    dom = dom.where(F.col("bin") < n_edges)
+    if tails:
+        tot = tot.withColumn("c_in", F.col("n_cur"))
+        dom = tot.select(*g, "feature", "c_in", F.explode(F.sequence(F.lit(0), n_edges)).alias("bin"))
+    else:
+        dom = tot.select(*g, "feature", "c_in",
+                         F.explode(F.sequence(F.lit(1), F.greatest(n_edges - 1, F.lit(1)))).alias("bin"))
+        dom = dom.where(F.col("bin") < n_edges)
     j = dom.join(agg.where(F.col("bin").isNotNull()).select(*g, "feature", "bin", "n"),
                  [*g, "feature", "bin"], "left")
     r = F.element_at(F.element_at(model.shares_col(), F.col("feature")), F.col("bin"))
+    if tails:
+        r = F.when((F.col("bin") == 0) | (F.col("bin") == n_edges), F.lit(0.0)).otherwise(r)
     c = F.coalesce(F.col("n"), F.lit(0)) / F.col("c_in")
     eps = F.lit(PSI_EPS)
     term = ((c + eps) - (r + eps)) * F.log((c + eps) / (r + eps))
@@ -149,9 +161,9 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
 
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
-        group_cols: Sequence[str] | str | None = None) -> DataFrame:
+        group_cols: Sequence[str] | str | None = None, tails: bool = False) -> DataFrame:
     """PSI per feature (and per current-side group): fit on ``ref``, apply to ``cur``."""
-    return psi_apply(psi_fit(ref, features, bins), cur, group_cols)
+    return psi_apply(psi_fit(ref, features, bins), cur, group_cols, tails=tails)
 
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,

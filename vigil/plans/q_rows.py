@@ -101,19 +101,10 @@ def stream_drift(spark, d):
     table; each batch appends one history row (the append-only history)."""
     out = monitors._run_dir(spark, "drift_history")
     ref = log(spark, d).where(F.col("is_ref"))
-
-    def sink(batch, bid):
-        cur = batch.withColumn("uid", F.col("user_id").cast("double")) \
-            .withColumn("k", F.get_json_object("props", "$.k").cast("double")) \
-            .withColumn("prediction", (F.col("event_type") == "error").cast("int"))
-        p = drift.psi_table(ref, cur, LOG_FEATURES)
-        s = drift.drift_summary(p)
-        r = drift.positive_rate(cur, "prediction").withColumnRenamed("rate", "current_rate")
-        n = cur.agg(F.count(F.lit(1)).alias("samples"))
-        row = s.crossJoin(r).crossJoin(n).withColumn("batch_id", F.lit(bid))
-        row.write.mode("append").parquet(out)
-
     ev = monitors.event_stream(spark, d).where(F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp"))
-    q = monitors.run_foreach_batch(ev, "drift", sink, mode="append")
+    features = ev.withColumn("uid", F.col("user_id").cast("double")) \
+        .withColumn("k", F.get_json_object("props", "$.k").cast("double")) \
+        .withColumn("prediction", (F.col("event_type") == "error").cast("int"))
+    q = monitors.drift_monitor(features, ref, LOG_FEATURES, out, "prediction")
     monitors.await_all(q)
     return spark.read.parquet(out)

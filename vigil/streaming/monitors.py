@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vigil.operators import drift
 from vigil.session import checkpoint_dir
 from vigil.sources.tables import as_instant
 
@@ -91,3 +92,41 @@ def await_all(q: StreamingQuery, timeout_s: int = 600) -> None:
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def drift_monitor(current: DataFrame, reference: DataFrame, features, history_path: str,
+                  prediction: str = "prediction", available_now: bool = True,
+                  interval_seconds: int = SNAPSHOT_SECONDS) -> StreamingQuery:
+    """Drift snapshot per micro-batch against a reference fitted once.
+
+    Every batch appends one row (batch id, samples, average PSI, drifted
+    feature count, positive rate, status) to the append-only history table;
+    a batch with fewer than 5 rows appends nothing (insufficient samples).
+    With ``available_now=False`` the processing-time trigger is the
+    snapshot throttle (at most one snapshot per interval)."""
+    feats = [f for f in features if f in reference.columns and f in current.columns][:drift.PSI_TOP_FEATURES]
+    model = drift.psi_fit(reference, feats)
+    ref_rate = drift.positive_rate(reference, prediction).first()["rate"]
+
+    def sink(batch: DataFrame, bid: int) -> None:
+        batch = batch.persist()  # read by several aggregates below
+        try:
+            _snapshot(batch, bid)
+        finally:
+            batch.unpersist()
+
+    def _snapshot(batch: DataFrame, bid: int) -> None:
+        if batch.limit(5).count() < 5:
+            return
+        p = drift.psi_table(reference, batch, feats, model=model)
+        s = drift.drift_summary(p)
+        r = drift.positive_rate(batch, prediction).withColumnRenamed("rate", "current_rate")
+        n = batch.agg(F.count(F.lit(1)).alias("samples"))
+        row = (s.crossJoin(r).crossJoin(n).withColumn("batch_id", F.lit(bid))
+               .withColumn("reference_rate", F.lit(float(ref_rate))))
+        row = row.select("*", *drift.rate_shift_cols(F.col("reference_rate"), F.col("current_rate")))
+        row = row.withColumn("drift_status", drift.drift_status_col(F.col("avg_psi"), F.col("shift_alert")))
+        row.write.mode("append").parquet(history_path)
+
+    return run_foreach_batch(current, "drift", sink, mode="append", available_now=available_now,
+                             processing_seconds=interval_seconds)
