@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, global_index, running_sums, safe_div
+from vigil.operators.ordered import _cols, global_index, running_sums, safe_div, scalar
 
 # fixed values of the reference configuration
 DEFAULT_THRESHOLD = 0.5072
@@ -47,9 +47,9 @@ def score_counts(df: DataFrame, label: str, score: str,
 
 
 def _with_totals(curve: DataFrame, counts: DataFrame, g: list[str]) -> DataFrame:
-    tot = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if not g:
-        return curve.crossJoin(F.broadcast(tot))
+        return curve.withColumns({"n_pos": scalar(counts, F.sum("pos")), "n_neg": scalar(counts, F.sum("neg"))})
+    tot = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return curve.join(tot, g)
 
 
@@ -138,10 +138,9 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = T
     """
     c = threshold_counts(df, label, score)
     c = global_index(c, "threshold", descending=True, name="i")
-    n_pts = c.agg(F.count(F.lit(1)).alias("n_pts"))
     nxt = c.select((F.col("i") - 1).alias("i"), F.col("pos").alias("pos_next"),
                    F.col("neg").alias("neg_next"))
-    pts = c.join(nxt, "i", "left").crossJoin(F.broadcast(n_pts))
+    pts = c.join(nxt, "i", "left").withColumn("n_pts", scalar(c, F.count(F.lit(1))))
     if drop_intermediate:
         keep = ((F.col("i") == 0) | (F.col("i") == F.col("n_pts") - 1) | (F.col("n_pts") <= 2)
                 | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
@@ -182,11 +181,13 @@ def calibration_curve(df: DataFrame, label: str, score: str, n_bins: int = 10) -
     b = F.size(F.filter(inner, lambda e: e < p))
     binned = df.where(F.col(score).isNotNull()).select(b.alias("bin"), p.alias("_p"),
                                                       _label(label).alias("_y"))
-    classes = binned.agg(F.countDistinct("_y").alias("_k"))
     agg = binned.groupBy("bin").agg(F.avg("_p").alias("mean_predicted"),
                                     F.avg("_y").alias("fraction_positive"),
-                                    F.count(F.lit(1)).alias("n"))
-    return (agg.crossJoin(F.broadcast(classes)).where(F.col("_k") >= 2).drop("_k"))
+                                    F.count(F.lit(1)).alias("n"),
+                                    F.sum("_y").alias("_pos"))
+    # both classes present overall (sum of per-bin positives strictly between 0 and n)
+    both = (scalar(agg, F.sum("_pos")) > 0) & (scalar(agg, F.sum("_pos")) < scalar(agg, F.sum("n")))
+    return agg.where(both).drop("_pos")
 
 
 def score_histogram(df: DataFrame, label: str, score: str, n_bins: int = 20) -> DataFrame:
@@ -223,14 +224,14 @@ def threshold_grid(df: DataFrame, label: str, score: str, n: int = 50) -> DataFr
     b = (df.where(p.isNotNull())
          .select((F.size(F.filter(garr, lambda t: t <= p)) - 1).alias("_k"), y.alias("_y"))
          .groupBy("_k").agg(F.sum("_y").alias("_pos"), F.sum(F.lit(1) - F.col("_y")).alias("_neg")))
-    tot = b.agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     spread = (b.where(F.col("_k") >= 0)
               .select(F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("k"), "_pos", "_neg")
               .groupBy("k").agg(F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp")))
     domain = df.sparkSession.createDataFrame([(k, grid[k]) for k in range(n)], "k int, threshold double")
-    c = (domain.join(F.broadcast(spread), "k", "left").crossJoin(F.broadcast(tot))
+    c = (domain.join(F.broadcast(spread), "k", "left")
          .select("k", "threshold", F.coalesce("tp", F.lit(0)).alias("tp"),
-                 F.coalesce("fp", F.lit(0)).alias("fp"), "n_pos", "n_neg"))
+                 F.coalesce("fp", F.lit(0)).alias("fp"),
+                 scalar(b, F.sum("_pos")).alias("n_pos"), scalar(b, F.sum("_neg")).alias("n_neg")))
     c = c.withColumn("fn", F.col("n_pos") - F.col("tp"))
     return c.select("threshold", recall_col().alias("recall"), precision_col().alias("precision"),
                     f1_from_counts().alias("f1"))
@@ -313,8 +314,7 @@ def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | N
         counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
     counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
     cum = running_sums(counts, "threshold", sums, descending=True)
-    tot = counts.agg(*[F.sum(c).alias(f"{c}_tot") for c in sums])
-    cum = cum.crossJoin(F.broadcast(tot))
+    cum = cum.withColumns({f"{c}_tot": scalar(counts, F.sum(c)) for c in sums})
     cum = (cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
            .withColumnRenamed("pos_tot", "n_pos").withColumnRenamed("neg_tot", "n_neg")
            .withColumn("fn", F.col("n_pos") - F.col("tp")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.clean import clean_code, clip, keyword_classify, null_words, to_number
-from vigil.operators.ordered import exact_median
+from vigil.operators.ordered import exact_median, scalar
 
 # fixed values of the reference configuration
 DEFAULT_AGE = 12
@@ -93,13 +93,11 @@ def with_tenure(df: DataFrame, start: str | None, ref: Column, stats: DataFrame
     if compat_zero_fill:
         filled = F.coalesce(F.col("_start"), F.lit(0.0))
     elif stats is not None:
-        d = d.crossJoin(F.broadcast(stats.select(F.col("median_start").cast("double").alias("_tm"))))
-        filled = F.coalesce(F.col("_start"), F.col("_tm"))
+        filled = F.coalesce(F.col("_start"), scalar(stats, F.col("median_start").cast("double")))
     else:
-        bm = exact_median(d, "_start").withColumnRenamed("value", "_bm")
-        rm = exact_median(d, "_ref").withColumnRenamed("value", "_rm")
-        d = d.crossJoin(F.broadcast(bm.crossJoin(rm)))
-        filled = F.coalesce(F.col("_start"), F.col("_bm"), F.floor(F.col("_rm")))
+        bm = scalar(exact_median(d, "_start"), F.max("value"))
+        rm = scalar(exact_median(d, "_ref"), F.max("value"))
+        filled = F.coalesce(F.col("_start"), bm, F.floor(rm))
     d = d.withColumn(out, F.greatest(F.col("_ref") - filled, F.lit(0.0)))
     return d.drop("_ref", "_start", "_bm", "_rm", "_tm")
 
@@ -115,12 +113,10 @@ def normalise_numeric(df: DataFrame, age: str | None = None, tenure: str | None
         a = to_number(F.col(age))
         a = F.when(a.between(*AGE_RANGE), a)
         if stats is not None:
-            d = d.crossJoin(F.broadcast(stats.select(F.col("median_age").alias("_age_default"))))
-            default = F.coalesce(F.col("_age_default").cast("double"), F.lit(float(DEFAULT_AGE)))
+            default = F.coalesce(scalar(stats, F.max("median_age")).cast("double"), F.lit(float(DEFAULT_AGE)))
         else:
             default = F.lit(float(DEFAULT_AGE))
         d = d.withColumn(age, clip(F.coalesce(a, default), float(AGE_RANGE[0]), float(AGE_RANGE[1])))
-        d = d.drop("_age_default")
     cols: dict[str, Column] = {}
     if tenure and tenure in d.columns:
         cols[tenure] = clip(F.coalesce(to_number(F.col(tenure)), F.lit(0.0)), *map(float, TENURE_RANGE))

@@ -2,8 +2,8 @@
 latest value per facet, facet top-N, unique counts, rates, exact
 percentiles, Apdex, tumbling time series with gap filling.
 
-"Now" for a relative window is the table's latest timestamp (a one-row
-aggregate broadcast to the scan), which keeps batch results reproducible; a
+"Now" for a relative window is the table's latest timestamp (a scalar
+subquery evaluated once), which keeps batch results reproducible; a
 streaming job uses the watermark instead.  Percentiles use the distributed
 exact quantile kernel, never a per-group value buffer.
 """
@@ -15,14 +15,14 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, exact_quantiles
+from vigil.operators.ordered import _cols, exact_quantiles, scalar
 
 APDEX_T = 0.5
 
 
 def with_now(df: DataFrame, ts: str, name: str = "_now") -> DataFrame:
-    """Attach the latest timestamp as a column (one-row broadcast)."""
-    return df.crossJoin(F.broadcast(df.agg(F.max(ts).alias(name))))
+    """Attach the latest timestamp as a column (scalar subquery, evaluated once)."""
+    return df.withColumn(name, scalar(df, F.max(ts)))
 
 
 def since(ts: str, minutes: float, now: str = "_now") -> Column:
@@ -65,10 +65,10 @@ def apdex(duration: str, t: float = APDEX_T) -> Column:
     return (sat + tol / 2.0) / F.count(F.lit(1))
 
 
-def range_minutes(df: DataFrame, ts: str) -> DataFrame:
-    """One row: minutes between the first and last timestamp."""
+def range_minutes(df: DataFrame, ts: str) -> Column:
+    """Minutes between the first and last timestamp (scalar subquery)."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.agg(((F.max(us) - F.min(us)) / 60e6).alias("_minutes"))
+    return scalar(df, (F.max(us) - F.min(us)) / 60e6)
 
 
 def bucket(ts: str, interval: str) -> Column:

@@ -31,6 +31,12 @@ def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(default))
 
 
+def scalar(df: DataFrame, expr) -> Column:
+    """A one-row aggregate as a scalar-subquery column: evaluated once and
+    used as a literal by the consuming stage (no join with the big side)."""
+    return df.select(expr).scalar()
+
+
 def _attach(df: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
     """Join a per-group side table; broadcast only when its size is bounded
     by construction (no grouping keys -> one row per bucket)."""
@@ -55,13 +61,17 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     """
     g = _cols(group_cols)
     o = F.col(order_col).cast("double")
-    bounds = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
-    scaled = (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(buckets))
-    bucket = F.when(F.col("_hi") > F.col("_lo"),
-                    F.least(F.lit(buckets - 1), F.floor(scaled).cast("int"))).otherwise(F.lit(0))
+    if g:
+        bounds = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
+        b = _attach(df, bounds, g, small_groups)
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
+        b, lo, hi = df, scalar(df, F.min(o)), scalar(df, F.max(o))
+    scaled = (o - lo) / (hi - lo) * F.lit(float(buckets))
+    bucket = F.when(hi > lo, F.least(F.lit(buckets - 1), F.floor(scaled).cast("int"))).otherwise(F.lit(0))
     if descending:
         bucket = F.lit(buckets - 1) - bucket
-    b = _attach(df, bounds, g, small_groups).withColumn("_b", bucket).drop("_lo", "_hi")
+    b = b.withColumn("_b", bucket).drop("_lo", "_hi")
 
     ordering = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = (Window.partitionBy(*g, "_b").orderBy(ordering)
@@ -115,7 +125,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         F.floor(p["h"]).cast("long").alias("lo"),
         F.ceil(p["h"]).cast("long").alias("hi"))).alias("_pos"))
 
-    j = _attach(vc, pos, g, small_groups)
+    j = _attach(vc, pos, g, small_groups) if g else vc.withColumn("_pos", scalar(pos, F.col("_pos")))
     hits = j.select(*g, "_v", F.explode(F.filter(
         "_pos", lambda p: ((p["lo"] >= F.col("_start")) & (p["lo"] <= F.col("_end")))
         | ((p["hi"] >= F.col("_start")) & (p["hi"] <= F.col("_end"))))).alias("p"),

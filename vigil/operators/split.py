@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import global_index
+from vigil.operators.ordered import global_index, scalar
 
 SEED = 42
 
@@ -36,8 +36,7 @@ def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.
     chosen by seeded hash order; when a class has fewer than 2 rows the split
     is not stratified (one stratum), as in the reference's fallback."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    small = counts.agg(F.min("_n").alias("_min_n"))
-    d = df.withColumn("_u", _u(key, seed)).crossJoin(F.broadcast(small))
+    d = df.withColumn("_u", _u(key, seed)).withColumn("_min_n", scalar(counts, F.min("_n")))
     d = d.withColumn("_stratum", F.when(F.col("_min_n") >= 2, F.col(label).cast("string")).otherwise(F.lit("all")))
     # rank by (hash, key) inside the stratum; ties on the hash are broken by the key
     d = d.withColumn("_o", F.col("_u") + F.lit(0.0))

@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols
+from vigil.operators.ordered import _cols, scalar
 
 
 def lag_features(df: DataFrame, key: str, order: str, cols: Sequence[str], fill: float = 0.0,
@@ -115,10 +115,8 @@ def max_period(df: DataFrame, period: str) -> DataFrame:
 def temporal_split(df: DataFrame, period: str, role: str = "role") -> DataFrame:
     """Last period -> ``test``, earlier -> ``train`` (a filter on a broadcast
     scalar, no materialisation)."""
-    m = max_period(df, period)
-    return (df.crossJoin(F.broadcast(m))
-            .withColumn(role, F.when(F.col(period) == F.col("_max_period"), F.lit("test"))
-                        .otherwise(F.lit("train"))).drop("_max_period"))
+    m = scalar(df, F.max(period))
+    return df.withColumn(role, F.when(F.col(period) == m, F.lit("test")).otherwise(F.lit("train")))
 
 
 def period_index(df: DataFrame, period: str) -> DataFrame:
@@ -136,8 +134,7 @@ def expanding_folds(df: DataFrame, period: str, min_periods: int = 2) -> DataFra
     (broadcast) period index plus an explode, no theta join.
     """
     idx = period_index(df, period)
-    k = idx.agg(F.max("_pi").alias("_k"))
-    j = df.join(F.broadcast(idx), period).crossJoin(F.broadcast(k))
+    j = df.join(F.broadcast(idx), period).withColumn("_k", scalar(idx, F.max("_pi")))
     folds = F.sequence(F.lit(1), F.greatest(F.col("_k") - 1, F.lit(1)))
     roles = F.transform(folds, lambda f: F.struct(
         f.alias("fold"),
@@ -169,6 +166,5 @@ def latest_period_rows(df: DataFrame, period: str, lo: int = 2000, hi: int = 202
     when no period is valid nothing is filtered."""
     valid = F.when(F.col(period).cast("string").try_cast("int").between(lo, hi),
                    F.col(period).cast("string").try_cast("int"))
-    m = df.agg(F.max(valid).alias("_latest"))
-    return (df.crossJoin(F.broadcast(m))
-            .where(F.col("_latest").isNull() | (valid == F.col("_latest"))).drop("_latest"))
+    latest = scalar(df, F.max(valid))
+    return df.where(latest.isNull() | (valid == latest))

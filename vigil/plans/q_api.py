@@ -77,10 +77,9 @@ r AS (SELECT date_diff('microsecond', min(ts), max(ts)) / 60e6 AS minutes FROM a
 SELECT name, count(*) AS n, round(count(*) / max(r.minutes), 6) AS rate_per_min FROM api, r GROUP BY name""")
 def event_rate(spark, d):
     a = api(spark, d)
-    r = obs.range_minutes(a, "ts")
+    minutes = obs.range_minutes(a, "ts")
     return (a.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-            .crossJoin(F.broadcast(r))
-            .select("name", "n", F.round(F.col("n") / F.col("_minutes"), 6).alias("rate_per_min")))
+            .select("name", "n", F.round(F.col("n") / minutes, 6).alias("rate_per_min")))
 
 
 @query("latency_percentiles", with_ctes(API_SQL, """
