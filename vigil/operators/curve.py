@@ -47,9 +47,9 @@ def score_counts(df: DataFrame, label: str, score: str,
 
 
 def _with_totals(curve: DataFrame, counts: DataFrame, g: list[str]) -> DataFrame:
-    if not g:
-        return curve.withColumns({"n_pos": scalar(counts, F.sum("pos")), "n_neg": scalar(counts, F.sum("neg"))})
     tot = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    if not g:
+        return curve.crossJoin(F.broadcast(tot))  # one row
     return curve.join(tot, g)
 
 
@@ -140,7 +140,8 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = T
     c = global_index(c, "threshold", descending=True, name="i")
     nxt = c.select((F.col("i") - 1).alias("i"), F.col("pos").alias("pos_next"),
                    F.col("neg").alias("neg_next"))
-    pts = c.join(nxt, "i", "left").withColumn("n_pts", scalar(c, F.count(F.lit(1))))
+    n_pts = c.agg(F.count(F.lit(1)).alias("n_pts"))
+    pts = c.join(nxt, "i", "left").crossJoin(F.broadcast(n_pts))  # one row
     if drop_intermediate:
         keep = ((F.col("i") == 0) | (F.col("i") == F.col("n_pts") - 1) | (F.col("n_pts") <= 2)
                 | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
@@ -186,8 +187,9 @@ def calibration_curve(df: DataFrame, label: str, score: str, n_bins: int = 10) -
                                     F.count(F.lit(1)).alias("n"),
                                     F.sum("_y").alias("_pos"))
     # both classes present overall (sum of per-bin positives strictly between 0 and n)
-    both = (scalar(agg, F.sum("_pos")) > 0) & (scalar(agg, F.sum("_pos")) < scalar(agg, F.sum("n")))
-    return agg.where(both).drop("_pos")
+    tot = agg.agg(F.sum("_pos").alias("_tp"), F.sum("n").alias("_tn"))
+    return (agg.crossJoin(F.broadcast(tot)).where((F.col("_tp") > 0) & (F.col("_tp") < F.col("_tn")))
+            .drop("_pos", "_tp", "_tn"))
 
 
 def score_histogram(df: DataFrame, label: str, score: str, n_bins: int = 20) -> DataFrame:
@@ -228,10 +230,10 @@ def threshold_grid(df: DataFrame, label: str, score: str, n: int = 50) -> DataFr
               .select(F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("k"), "_pos", "_neg")
               .groupBy("k").agg(F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp")))
     domain = df.sparkSession.createDataFrame([(k, grid[k]) for k in range(n)], "k int, threshold double")
-    c = (domain.join(F.broadcast(spread), "k", "left")
+    tot = b.agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    c = (domain.join(F.broadcast(spread), "k", "left").crossJoin(F.broadcast(tot))  # one row
          .select("k", "threshold", F.coalesce("tp", F.lit(0)).alias("tp"),
-                 F.coalesce("fp", F.lit(0)).alias("fp"),
-                 scalar(b, F.sum("_pos")).alias("n_pos"), scalar(b, F.sum("_neg")).alias("n_neg")))
+                 F.coalesce("fp", F.lit(0)).alias("fp"), "n_pos", "n_neg"))
     c = c.withColumn("fn", F.col("n_pos") - F.col("tp"))
     return c.select("threshold", recall_col().alias("recall"), precision_col().alias("precision"),
                     f1_from_counts().alias("f1"))
@@ -249,14 +251,19 @@ def _with_default(best: DataFrame, default_row: dict) -> DataFrame:
             .orderBy("_prio").limit(1).drop("_prio"))
 
 
+def _plain_curve(df: DataFrame, label: str, score: str, extra: Sequence[float] = ()) -> DataFrame:
+    c = with_curve_metrics(threshold_counts(df, label, score, extra_thresholds=extra))
+    nul = F.lit(None).cast("double")
+    return c.select("*", ((F.col("pos") + F.col("neg")) > 0).alias("is_score"),
+                    *[nul.alias(x) for x in ("gap_fpr", "gap_fnr", "max_fpr", "max_fnr")])
+
+
 def best_f1_threshold(df: DataFrame, label: str, score: str,
                       default: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Threshold maximising 2PR/(P+R+1e-9) over the distinct scores, the lowest
     on ties; ``default`` when there is no score.  Columns: threshold,
     precision, recall, f1."""
-    c = with_curve_metrics(threshold_counts(df, label, score))
-    best = (c.orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
-            .select("threshold", "precision", "recall", "f1"))
+    best = pick_best_f1(_plain_curve(df, label, score)).select("threshold", "precision", "recall", "f1")
     return _with_default(best, {"threshold": default})
 
 
@@ -265,16 +272,8 @@ def max_recall_threshold(df: DataFrame, label: str, score: str,
                          default: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Highest recall with precision >= ``min_precision`` (then F1, then the
     lowest threshold); none qualifies -> the lowest score."""
-    c = with_curve_metrics(threshold_counts(df, label, score))
-    ok = F.col("precision") >= F.lit(min_precision)
-    ranked = c.select("threshold", "precision", "recall", "f1",
-                      F.when(ok, 0).otherwise(1).alias("_miss"))
-    best = (ranked.orderBy(F.col("_miss").asc(),
-                           F.when(F.col("_miss") == 0, F.col("recall")).desc(),
-                           F.when(F.col("_miss") == 0, F.col("f1")).desc(),
-                           F.col("threshold").asc())
-            .limit(1).select("threshold", "precision", "recall", "f1",
-                             (F.col("_miss") == 0).alias("constraint_met")))
+    best = pick_max_recall(_plain_curve(df, label, score), min_precision).select(
+        "threshold", "precision", "recall", "f1", "constraint_met")
     return _with_default(best, {"threshold": default, "constraint_met": False})
 
 
@@ -282,10 +281,8 @@ def min_cost_threshold(df: DataFrame, label: str, score: str, cost_fn: float = C
                        cost_fp: float = COST_FP, default: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Candidates = distinct scores ∪ {default}; minimise cost_fn·FN + cost_fp·FP,
     lowest threshold on ties.  Columns: threshold, cost, fn, fp."""
-    c = threshold_counts(df, label, score, extra_thresholds=[default])
-    cost = F.lit(cost_fn) * F.col("fn") + F.lit(cost_fp) * F.col("fp")
-    return (c.select("threshold", cost.alias("cost"), "fn", "fp")
-            .orderBy(F.col("cost").asc(), F.col("threshold").asc()).limit(1))
+    return pick_min_cost(_plain_curve(df, label, score, [default]), cost_fn, cost_fp).select(
+        "threshold", "cost", "fn", "fp")
 
 
 def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | None,
@@ -314,7 +311,8 @@ def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | N
         counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
     counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
     cum = running_sums(counts, "threshold", sums, descending=True)
-    cum = cum.withColumns({f"{c}_tot": scalar(counts, F.sum(c)) for c in sums})
+    tot = counts.agg(*[F.sum(c).alias(f"{c}_tot") for c in sums])
+    cum = cum.crossJoin(F.broadcast(tot))  # one row
     cum = (cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
            .withColumnRenamed("pos_tot", "n_pos").withColumnRenamed("neg_tot", "n_neg")
            .withColumn("fn", F.col("n_pos") - F.col("tp")))
@@ -356,39 +354,71 @@ _PICK_COLS = ["threshold", "tp", "fp", "fn", "n_pos", "precision", "recall", "f1
               "gap_fpr", "gap_fnr", "max_fpr", "max_fnr"]
 
 
+def _row() -> Column:
+    return F.struct(*[F.col(c) for c in _PICK_COLS])
+
+
+# Each pick is an arg-max over a lexicographic struct key (partial aggregation,
+# no sort of the curve); the last key component −threshold makes it unique.
+
+def _key_best_f1() -> Column:
+    return F.when(F.col("is_score"), F.struct(F.col("f1").alias("f1"), (-F.col("threshold")).alias("t")))
+
+
+def _key_max_recall(min_precision: float) -> Column:
+    ok = F.col("precision") >= F.lit(min_precision)
+    return F.when(F.col("is_score"), F.struct(
+        ok.cast("int").alias("ok"), F.when(ok, F.col("recall")).alias("r"), F.when(ok, F.col("f1")).alias("f"),
+        (-F.col("threshold")).alias("t")))
+
+
+def _key_min_cost(cost_fn: float, cost_fp: float) -> Column:
+    return F.struct((F.lit(cost_fn) * F.col("fn") + F.lit(cost_fp) * F.col("fp")).alias("cost"),
+                    F.col("threshold").alias("t"))
+
+
+def _key_fair(min_recall, min_precision, max_fpr_gap, max_fnr_gap, max_fpr, max_fnr) -> Column:
+    feasible = (F.col("is_score") & (F.col("recall") >= min_recall) & (F.col("precision") >= min_precision)
+                & (F.col("gap_fpr") <= max_fpr_gap) & (F.col("gap_fnr") <= max_fnr_gap)
+                & (F.col("max_fpr") <= max_fpr) & (F.col("max_fnr") <= max_fnr))
+    return F.when(feasible, F.struct(F.col("recall").alias("r"), (-F.col("gap_fpr")).alias("g"),
+                                     F.col("precision").alias("p"), (-F.col("threshold")).alias("t")))
+
+
+def _unpack(col: str, extra: dict | None = None) -> list[Column]:
+    return [F.col(f"{col}.{c}").alias(c) for c in _PICK_COLS] + [v.alias(k) for k, v in (extra or {}).items()]
+
+
 def pick_best_f1(c: DataFrame) -> DataFrame:
-    return (c.where("is_score").orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
-            .select(*_PICK_COLS))
+    return c.agg(F.max_by(_row(), _key_best_f1()).alias("_p")).where(F.col("_p").isNotNull()).select(*_unpack("_p"))
 
 
 def pick_max_recall(c: DataFrame, min_precision: float = MIN_PRECISION) -> DataFrame:
-    ok = F.col("precision") >= F.lit(min_precision)
-    return (c.where("is_score").withColumn("_miss", F.when(ok, 0).otherwise(1))
-            .orderBy(F.col("_miss").asc(), F.when(F.col("_miss") == 0, F.col("recall")).desc(),
-                     F.when(F.col("_miss") == 0, F.col("f1")).desc(), F.col("threshold").asc())
-            .limit(1).select(*_PICK_COLS, (F.col("_miss") == 0).alias("constraint_met")))
+    k = _key_max_recall(min_precision)
+    return (c.agg(F.max_by(_row(), k).alias("_p"), F.max(k).alias("_k")).where(F.col("_p").isNotNull())
+            .select(*_unpack("_p", {"constraint_met": F.col("_k").getField("ok") == 1})))
 
 
 def pick_min_cost(c: DataFrame, cost_fn: float = COST_FN, cost_fp: float = COST_FP) -> DataFrame:
-    cost = F.lit(cost_fn) * F.col("fn") + F.lit(cost_fp) * F.col("fp")
-    return (c.withColumn("cost", cost).orderBy(F.col("cost").asc(), F.col("threshold").asc()).limit(1)
-            .select(*_PICK_COLS, "cost"))
+    k = _key_min_cost(cost_fn, cost_fp)
+    return (c.agg(F.min_by(_row(), k).alias("_p"), F.min(k).alias("_k")).where(F.col("_p").isNotNull())
+            .select(*_unpack("_p", {"cost": F.col("_k").getField("cost")})))
 
 
 def pick_fair(c: DataFrame, min_recall: float = MIN_RECALL, min_precision: float = MIN_PRECISION,
               max_fpr_gap: float = MAX_FPR_GAP, max_fnr_gap: float = MAX_FNR_GAP,
               max_fpr: float = MAX_FPR, max_fnr: float = MAX_FNR) -> DataFrame:
     """Feasible thresholds, then highest recall, smallest FPR gap, highest
-    precision, lowest threshold; falls back to best F1 (``strategy = f1``)."""
-    feasible = c.where(F.col("is_score") & (F.col("recall") >= min_recall) & (F.col("precision") >= min_precision)
-                       & (F.col("gap_fpr") <= max_fpr_gap) & (F.col("gap_fnr") <= max_fnr_gap)
-                       & (F.col("max_fpr") <= max_fpr) & (F.col("max_fnr") <= max_fnr))
-    best = (feasible.orderBy(F.col("recall").desc(), F.col("gap_fpr").asc(), F.col("precision").desc(),
-                             F.col("threshold").asc()).limit(1)
-            .select(*_PICK_COLS, F.lit("fairness_f1").alias("strategy"), F.lit(0).alias("_prio")))
-    fb = pick_best_f1(c).select(*_PICK_COLS[:8], *[F.lit(None).cast("double").alias(x) for x in _PICK_COLS[8:]],
-                                F.lit("f1").alias("strategy"), F.lit(1).alias("_prio"))
-    return best.unionByName(fb).orderBy("_prio").limit(1).drop("_prio")
+    precision, lowest threshold; falls back to best F1 (``strategy = f1``).
+    One aggregate computes both candidates."""
+    a = c.agg(F.max_by(_row(), _key_fair(min_recall, min_precision, max_fpr_gap, max_fnr_gap, max_fpr,
+                                         max_fnr)).alias("_fair"),
+              F.max_by(_row(), _key_best_f1()).alias("_f1"))
+    nul = F.lit(None).cast("double")
+    fb = F.struct(*[F.col(f"_f1.{x}").alias(x) for x in _PICK_COLS[:8]], *[nul.alias(x) for x in _PICK_COLS[8:]])
+    return (a.select(F.coalesce(F.col("_fair"), fb).alias("_p"),
+                     F.when(F.col("_fair").isNotNull(), F.lit("fairness_f1")).otherwise(F.lit("f1")).alias("_s"))
+            .where(F.col("_p").isNotNull()).select(*_unpack("_p", {"strategy": F.col("_s")})))
 
 
 def fair_threshold(df: DataFrame, label: str, score: str, group: str,
@@ -416,23 +446,27 @@ def threshold_strategies(df: DataFrame, label: str, score: str, group: str,
     """All four strategies side by side, each with the exact metrics of its
     threshold (rule ``score >= t``): ``strategy, threshold, precision,
     recall, f1, is_active``.  The active row is the configured strategy, or
-    ``f1`` when the fairness search falls back.  One shared curve: the
-    default threshold enters as an extra candidate for the cost strategy."""
+    ``f1`` when the fairness search falls back.  One curve, one aggregate:
+    the default threshold enters as an extra candidate for the cost strategy,
+    and every pick is an arg-max over the same pass."""
     c = fairness_curve(df, label, score, group, extra_thresholds=[default])
-    fair = pick_fair(c)
-    picks = (pick_best_f1(c).withColumn("strategy", F.lit("f1"))
-             .unionByName(pick_max_recall(c).drop("constraint_met").withColumn("strategy", F.lit("recall")))
-             .unionByName(pick_min_cost(c).drop("cost").withColumn("strategy", F.lit("cost")))
-             .unionByName(fair.withColumn("strategy", F.lit("fairness_f1"))))
-    resolved = fair.select(F.col("strategy").alias("_fair_resolved"))
-    if active in ("recall", "cost", "f1"):
-        is_active = F.col("strategy") == F.lit(active)
-    else:
-        is_active = F.col("strategy") == F.when(F.col("_fair_resolved") == "fairness_f1",
-                                                F.lit("fairness_f1")).otherwise(F.lit("f1"))
-    j = picks.crossJoin(F.broadcast(resolved))
-    return j.select("strategy", "threshold", precision_col().alias("precision"), recall_col().alias("recall"),
-                    f1_from_counts().alias("f1"), is_active.alias("is_active"))
+    nul = F.lit(None).cast("double")
+    a = c.agg(F.max_by(_row(), _key_best_f1()).alias("f1"),
+              F.max_by(_row(), _key_max_recall(MIN_PRECISION)).alias("recall"),
+              F.min_by(_row(), _key_min_cost(COST_FN, COST_FP)).alias("cost"),
+              F.max_by(_row(), _key_fair(MIN_RECALL, MIN_PRECISION, MAX_FPR_GAP, MAX_FNR_GAP, MAX_FPR,
+                                         MAX_FNR)).alias("_fair"))
+    fair_ok = F.col("_fair").isNotNull()
+    rows = F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(src).alias("p"))
+                     for name, src in (("f1", "f1"), ("recall", "recall"), ("cost", "cost"))],
+                   F.struct(F.lit("fairness_f1").alias("strategy"),
+                            F.coalesce(F.col("_fair"), F.col("f1")).alias("p")))
+    resolved = F.when(fair_ok, F.lit("fairness_f1")).otherwise(F.lit("f1"))
+    chosen = F.lit(active) if active in ("recall", "cost", "f1") else resolved
+    x = a.select(F.explode(rows).alias("r"), chosen.alias("_chosen"))
+    x = x.select(F.col("r.strategy").alias("strategy"), "r.p.*", "_chosen")
+    return x.select("strategy", "threshold", precision_col().alias("precision"), recall_col().alias("recall"),
+                    f1_from_counts().alias("f1"), (F.col("strategy") == F.col("_chosen")).alias("is_active"))
 
 
 def metrics_at_thresholds(df: DataFrame, label: str, score: str, thresholds: DataFrame,

@@ -80,10 +80,11 @@ def fairness_gaps(df: DataFrame, label: str, pred: str | Column, group: str) ->
                       * 100.0).alias("fpr"),
                      (safe_div(F.col("fn").cast("double"), (F.col("fn") + F.col("tp")).cast("double"))
                       * 100.0).alias("fnr"))
-    mx_fpr, mn_fpr = scalar(rates, F.max("fpr")), scalar(rates, F.min("fpr"))
-    mx_fnr, mn_fnr = scalar(rates, F.max("fnr")), scalar(rates, F.min("fnr"))
-    return rates.select(group, "fpr", "fnr", (mx_fpr - mn_fpr).alias("gap_fpr"), (mx_fnr - mn_fnr).alias("gap_fnr"),
-                        mx_fpr.alias("max_fpr"), mx_fnr.alias("max_fnr"))
+    span = rates.agg(F.max("fpr").alias("max_fpr"), F.min("fpr").alias("_min_fpr"),
+                     F.max("fnr").alias("max_fnr"), F.min("fnr").alias("_min_fnr"))
+    return (rates.crossJoin(F.broadcast(span))  # one row
+            .select(group, "fpr", "fnr", (F.col("max_fpr") - F.col("_min_fpr")).alias("gap_fpr"),
+                    (F.col("max_fnr") - F.col("_min_fnr")).alias("gap_fnr"), "max_fpr", "max_fnr"))
 
 
 def group_metrics(df: DataFrame, label: str, pred: str | Column, dimensions: Sequence[str],
@@ -118,7 +119,8 @@ def group_weights(df: DataFrame, group: str, name: str = "weight") -> DataFrame:
     """Representation weight per row = mean group count / own group count.
     Group counts come from a partial aggregate; the small count table joins back."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    w = counts.select(group, (scalar(counts, F.avg("_gn")) / F.col("_gn")).alias(name))
+    mean = counts.agg(F.avg("_gn").alias("_gm"))
+    w = counts.crossJoin(F.broadcast(mean)).select(group, (F.col("_gm") / F.col("_gn")).alias(name))  # one row
     return df.join(w, group, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1.0)))
 
 

@@ -32,8 +32,11 @@ def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
 
 
 def scalar(df: DataFrame, expr) -> Column:
-    """A one-row aggregate as a scalar-subquery column: evaluated once and
-    used as a literal by the consuming stage (no join with the big side)."""
+    """A one-row aggregate over a *scan* as a scalar-subquery column:
+    evaluated once and used as a literal by the consuming stage (no join).
+    Inside kernels whose one-row input is itself a shuffled intermediate, a
+    broadcast one-row join is used instead so that the intermediate's
+    shuffle is shared (a subquery is planned separately and recomputes it)."""
     return df.select(expr).scalar()
 
 
@@ -61,12 +64,10 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     """
     g = _cols(group_cols)
     o = F.col(order_col).cast("double")
-    if g:
-        bounds = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
-        b = _attach(df, bounds, g, small_groups)
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        b, lo, hi = df, scalar(df, F.min(o)), scalar(df, F.max(o))
+    # bounds share the input's shuffle with the main branch (one plan, exchange reuse)
+    bounds = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
+    b = _attach(df, bounds, g, small_groups)
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = (o - lo) / (hi - lo) * F.lit(float(buckets))
     bucket = F.when(hi > lo, F.least(F.lit(buckets - 1), F.floor(scaled).cast("int"))).otherwise(F.lit(0))
     if descending:
@@ -125,7 +126,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         F.floor(p["h"]).cast("long").alias("lo"),
         F.ceil(p["h"]).cast("long").alias("hi"))).alias("_pos"))
 
-    j = _attach(vc, pos, g, small_groups) if g else vc.withColumn("_pos", scalar(pos, F.col("_pos")))
+    j = _attach(vc, pos, g, small_groups)
     hits = j.select(*g, "_v", F.explode(F.filter(
         "_pos", lambda p: ((p["lo"] >= F.col("_start")) & (p["lo"] <= F.col("_end")))
         | ((p["hi"] >= F.col("_start")) & (p["hi"] <= F.col("_end"))))).alias("p"),
