@@ -274,7 +274,7 @@ def drift_history_trend(spark, d):
     """One snapshot per day of the current period against the reference:
     the history table (day, rate, average PSI) computed in one grouped job."""
     ref, cur = _split(spark, d)
-    cur = cur.withColumn("day", F.date_trunc("day", "ts"))
+    cur = cur.withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     p = drift.psi_table(ref, cur, LOG_FEATURES, group_cols=["day"])
     s = drift.drift_summary(p, "day").select("day", "avg_psi")
     r = cur.groupBy("day").agg(F.count(F.lit(1)).alias("n"))

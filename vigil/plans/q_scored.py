@@ -182,7 +182,8 @@ def threshold_max_recall(spark, d):
 
 
 @query("threshold_min_cost", with_ctes(SCORED_SQL, curve_ctes("scored", extra=[T])) + """
-SELECT threshold, 3.0 * fn + 1.0 * fp AS cost, fn, fp FROM curve ORDER BY cost ASC, threshold ASC LIMIT 1""")
+SELECT threshold, CAST(3.0 * fn + 1.0 * fp AS DOUBLE) AS cost, fn, fp FROM curve ORDER BY cost ASC, threshold ASC
+LIMIT 1""")
 def threshold_min_cost(spark, d):
     c = curve.min_cost_threshold(scored(spark, d), "y", "p")
     return c.select("threshold", F.col("cost").cast("double").alias("cost"), "fn", "fp")
