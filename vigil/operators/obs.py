@@ -86,10 +86,16 @@ def time_series(df: DataFrame, ts: str, interval: str, aggs: Sequence[Column],
 def fill_gaps(series: DataFrame, bucket_col: str, step_seconds: int, value_cols: Sequence[str],
               fill=0) -> DataFrame:
     """Left-join a generated bucket domain (min..max by step) so empty buckets
-    appear with ``fill``; the domain size is the time span / step, not the
-    data size."""
-    b = series.agg(F.min(bucket_col).alias("_lo"), F.max(bucket_col).alias("_hi"))
-    dom = b.select(F.explode(F.sequence(F.col("_lo"), F.col("_hi"),
-                                        F.make_dt_interval(secs=F.lit(float(step_seconds))))).alias(bucket_col))
+    appear with ``fill``.  The span is one two-value result; the domain is a
+    distributed ``range`` (its size is span / step, not the data size)."""
+    us = F.unix_micros(F.col(bucket_col).cast("timestamp"))
+    lo, hi = series.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        return series.select(bucket_col, *value_cols)
+    step = int(step_seconds) * 1_000_000
+    n = (hi - lo) // step + 1
+    ts_type = series.schema[bucket_col].dataType.simpleString()
+    dom = series.sparkSession.range(n).select(
+        F.timestamp_micros(F.lit(lo) + F.col("id") * F.lit(step)).cast(ts_type).alias(bucket_col))
     j = dom.join(series, bucket_col, "left")
     return j.select(bucket_col, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) for c in value_cols])

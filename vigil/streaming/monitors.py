@@ -99,8 +99,9 @@ def drift_monitor(current: DataFrame, reference: DataFrame, features, history_pa
                   interval_seconds: int = SNAPSHOT_SECONDS) -> StreamingQuery:
     """Drift snapshot per micro-batch against a reference fitted once.
 
-    Every batch appends one row (batch id, samples, average PSI, drifted
-    feature count, positive rate, status) to the append-only history table;
+    Every batch adds one row (samples, average PSI, drifted feature count,
+    positive rate, shift, status) to the history table under its own
+    ``batch_id=`` folder, so a replayed batch rewrites the same row;
     a batch with fewer than 5 rows appends nothing (insufficient samples).
     With ``available_now=False`` the processing-time trigger is the
     snapshot throttle (at most one snapshot per interval)."""
@@ -122,11 +123,11 @@ def drift_monitor(current: DataFrame, reference: DataFrame, features, history_pa
         s = drift.drift_summary(p)
         r = drift.positive_rate(batch, prediction).withColumnRenamed("rate", "current_rate")
         n = batch.agg(F.count(F.lit(1)).alias("samples"))
-        row = (s.crossJoin(r).crossJoin(n).withColumn("batch_id", F.lit(bid))
-               .withColumn("reference_rate", F.lit(float(ref_rate))))
+        row = s.crossJoin(r).crossJoin(n).withColumn("reference_rate", F.lit(float(ref_rate)))
         row = row.select("*", *drift.rate_shift_cols(F.col("reference_rate"), F.col("current_rate")))
         row = row.withColumn("drift_status", drift.drift_status_col(F.col("avg_psi"), F.col("shift_alert")))
-        row.write.mode("append").parquet(history_path)
+        # idempotent per batch id: a replayed micro-batch overwrites its own row
+        row.coalesce(1).write.mode("overwrite").parquet(f"{history_path}/batch_id={bid}")
 
     return run_foreach_batch(current, "drift", sink, mode="append", available_now=available_now,
                              processing_seconds=interval_seconds)
