@@ -85,3 +85,10 @@ def test_train_statistics_medians(spark):
     empty_start = spark.createDataFrame([(None, None, 2020), (None, None, 2023)], "s int, a int, r int")
     r = feat.train_statistics(empty_start, "s", "a", "r").first()
     assert (r["median_start"], r["median_age"]) == (2021, 12)
+
+
+def test_rounding_matches_sql_on_binary_ties(spark):
+    from vigil.functions.numeric import rnd
+    df = spark.createDataFrame([(0.35105,), (2.23065,), (-1.40915,), (2.5,), (None,), (1e20,)], "x double")
+    got = [r["r"] for r in df.select(rnd("x", 4).alias("r")).collect()]
+    assert got == [0.351, 2.2306, -1.4091, 2.5, None, 1e20]

@@ -18,6 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.operators.ordered import _cols, exact_quantiles, safe_div
 
 # fixed values of the reference configuration
@@ -154,7 +155,7 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
     val = (F.when((F.element_at(n_ref, F.col("feature")) == 0) | (F.col("n_cur") == 0) | (n_edges < 3),
                   F.lit(0.0))
            .when(F.coalesce(F.col("c_in"), F.lit(0)) == 0, F.lit(None).cast("double"))
-           .otherwise(F.round(F.col("_s"), 6)))
+           .otherwise(rnd(F.col("_s"), 6)))
     return out.select(*g, "feature", val.alias("psi_raw"), n_edges.alias("n_edges"),
                       F.coalesce("c_in", F.lit(0)).alias("in_range_cur"), "n_cur",
                       (F.col("s_cur") / F.col("n_cur")).alias("current_mean"))
@@ -179,10 +180,10 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int
     rm = F.element_at(model._map(model.mean, lambda x: F.lit(x).cast("double")), F.col("feature"))
     return p.select(
         *g, "feature",
-        F.round("psi_raw", 4).alias("psi"),
-        F.round(rm, 4).alias("reference_mean"),
-        F.round("current_mean", 4).alias("current_mean"),
-        F.round(F.col("current_mean") - rm, 4).alias("delta_mean"),
+        rnd("psi_raw", 4).alias("psi"),
+        rnd(rm, 4).alias("reference_mean"),
+        rnd("current_mean", 4).alias("current_mean"),
+        rnd(F.col("current_mean") - rm, 4).alias("delta_mean"),
         F.when(F.col("current_mean") > rm, "increase").otherwise("decrease_or_stable").alias("direction"),
         F.coalesce(F.col("psi_raw") >= F.lit(flag), F.lit(False)).alias("drift_flag"),
         F.col("psi_raw").isNull().alias("all_out_of_range"))
@@ -209,14 +210,14 @@ def positive_rate(df: DataFrame, prediction: str | None = "prediction",
         hit = (F.col(segment).cast("string") == high_value).cast("double")
     else:
         hit = F.lit(0.0)
-    return df.groupBy(*g).agg(F.round(F.coalesce(F.avg(hit), F.lit(0.0)) * 100.0, 2).alias("rate"))
+    return df.groupBy(*g).agg(rnd(F.coalesce(F.avg(hit), F.lit(0.0)) * 100.0, 2).alias("rate"))
 
 
 def rate_shift_cols(ref_rate: Column, cur_rate: Column, alert_pct: float = RATE_SHIFT_ALERT_PCT) -> list[Column]:
     """delta (pp), relative change (%) and the alert flag from two rates."""
-    change = (F.when(ref_rate > 0, F.round((cur_rate - ref_rate) / ref_rate * 100.0, 2))
+    change = (F.when(ref_rate > 0, rnd((cur_rate - ref_rate) / ref_rate * 100.0, 2))
               .when(cur_rate > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    return [F.round(cur_rate - ref_rate, 2).alias("delta_pp"), change.alias("change_pct"),
+    return [rnd(cur_rate - ref_rate, 2).alias("delta_pp"), change.alias("change_pct"),
             (F.abs(change) >= F.lit(alert_pct)).alias("shift_alert")]
 
 
@@ -236,7 +237,7 @@ def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in cols), F.lit(0))
     agg = df.agg(nulls.alias("_nulls"), F.count(F.lit(1)).alias("_rows"))
     cells = F.col("_rows") * F.lit(len(cols))
-    return agg.select(F.round(safe_div(F.col("_nulls").cast("double"), cells.cast("double")), 6)
+    return agg.select(rnd(safe_div(F.col("_nulls").cast("double"), cells.cast("double")), 6)
                       .alias("missing_ratio"))
 
 
@@ -250,7 +251,7 @@ def drift_summary(psi_tbl: DataFrame, group_cols: Sequence[str] | str | None = N
     """``group…, avg_psi (4 dp), n_drifted`` from a PSI table."""
     g = _cols(group_cols)
     return psi_tbl.groupBy(*g).agg(
-        F.round(F.coalesce(F.avg("psi"), F.lit(0.0)), 4).alias("avg_psi"),
+        rnd(F.coalesce(F.avg("psi"), F.lit(0.0)), 4).alias("avg_psi"),
         F.count_if(F.col("drift_flag")).alias("n_drifted"))
 
 

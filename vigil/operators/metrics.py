@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.operators.ordered import _cols, safe_div, scalar
 
 # fixed values of the reference configuration
@@ -49,7 +50,7 @@ def prf(tp: Column, fp: Column, fn: Column, digits: int | None = 4) -> list[Colu
     r = safe_div(tp.cast("double"), (tp + fn).cast("double"))
     f = safe_div(2.0 * tp.cast("double"), (2 * tp + fp + fn).cast("double"))
     if digits is not None:
-        p, r, f = F.round(p, digits), F.round(r, digits), F.round(f, digits)
+        p, r, f = rnd(p, digits), rnd(r, digits), rnd(f, digits)
     return [p.alias("precision"), r.alias("recall"), f.alias("f1")]
 
 
@@ -133,22 +134,22 @@ def fold_summary(folds: DataFrame, metrics: Sequence[str] = ("recall", "precisio
     long = folds.unpivot([], list(metrics), "metric", "v").where(F.col("v").isNotNull())
     agg = long.groupBy("metric").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"),
                                      F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return agg.select("metric", F.round("m", digits).alias("mean"), F.round("s", digits).alias("std"),
-                      F.round("lo", digits).alias("min"), F.round("hi", digits).alias("max"),
-                      F.round(F.col("hi") - F.col("lo"), digits).alias("gap"))
+    return agg.select("metric", rnd("m", digits).alias("mean"), rnd("s", digits).alias("std"),
+                      rnd("lo", digits).alias("min"), rnd("hi", digits).alias("max"),
+                      rnd(F.col("hi") - F.col("lo"), digits).alias("gap"))
 
 
 def fold_stability(folds: DataFrame, order: str = "fold") -> DataFrame:
     """Stability verdict over folds: coefficient of variation of F1,
     first − last F1, mean recall and the three flags."""
-    s = folds.agg(F.round(F.avg("f1"), 4).alias("mean_f1"), F.round(F.stddev_pop("f1"), 4).alias("std_f1"),
-                  F.round(F.avg("recall"), 4).alias("mean_recall"),
+    s = folds.agg(rnd(F.avg("f1"), 4).alias("mean_f1"), rnd(F.stddev_pop("f1"), 4).alias("std_f1"),
+                  rnd(F.avg("recall"), 4).alias("mean_recall"),
                   F.min_by("f1", order).alias("first_f1"), F.max_by("f1", order).alias("last_f1"),
                   F.count(F.lit(1)).alias("n_folds"))
-    cv = F.round(safe_div(F.col("std_f1"), F.col("mean_f1")), 4)
+    cv = rnd(safe_div(F.col("std_f1"), F.col("mean_f1")), 4)
     deg = F.col("first_f1") - F.col("last_f1")
     return s.select("n_folds", "mean_f1", "std_f1", cv.alias("cv_f1"), "first_f1", "last_f1",
-                    F.round(deg, 4).alias("degradation"), "mean_recall",
+                    rnd(deg, 4).alias("degradation"), "mean_recall",
                     (cv > CV_HIGH_VARIABILITY).alias("high_variability"),
                     ((F.col("n_folds") > 1) & (deg > CV_SEVERE_DEGRADATION)).alias("severe_degradation"),
                     (F.col("mean_recall") < CV_LOW_RECALL).alias("low_recall"))
@@ -163,7 +164,7 @@ def holdout_in_interval(summary: DataFrame, holdout: DataFrame,
     lo, hi = F.col("cv_mean") - F.col("cv_std"), F.col("cv_mean") + F.col("cv_std")
     inside = (F.col("holdout") >= lo) & (F.col("holdout") <= hi)
     per = j.where(F.col("holdout").isNotNull()).select(
-        "metric", "cv_mean", "cv_std", F.round(lo, 4).alias("lower"), F.round(hi, 4).alias("upper"),
+        "metric", "cv_mean", "cv_std", rnd(lo, 4).alias("lower"), rnd(hi, 4).alias("upper"),
         "holdout", inside.alias("inside"))
     allin = per.agg(F.coalesce(F.bool_and("inside"), F.lit(False)).alias("all_inside"))
     return per.crossJoin(F.broadcast(allin))

@@ -20,6 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.operators.metrics import group_weights
 from vigil.operators.split import hash_split
 
@@ -131,5 +132,5 @@ def choose_calibration(cands: DataFrame, n_rows: int, n_classes: int) -> DataFra
         F.when((F.lit(n_rows) >= CALIBRATION_MIN_ROWS) & (F.lit(n_classes) >= 2)
                & (F.col("_base") - F.col("_bb") >= CALIBRATION_MIN_GAIN), F.col("_best"))
          .otherwise(F.lit("none")).alias("_chosen"))
-    return cands.crossJoin(pick).select("candidate", F.round("brier", 6).alias("brier"),
+    return cands.crossJoin(pick).select("candidate", rnd("brier", 6).alias("brier"),
                                         (F.col("candidate") == F.col("_chosen")).alias("chosen"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.sources.tables import read_table
 
 LOG_SPLIT_TS = "2024-01-16 00:00:00"
@@ -32,7 +33,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer")
     cells = (o.groupBy(F.col("o_custkey").alias("entity_id"),
                        F.year("o_orderdate").alias("period"))
-             .agg(F.round(F.avg("o_totalprice") / 50000.0, 4).alias("idx"),
+             .agg(rnd(F.avg("o_totalprice") / 50000.0, 4).alias("idx"),
                   F.count(F.lit(1)).alias("act")))
     attrs = c.select(
         F.col("c_custkey").alias("entity_id"),

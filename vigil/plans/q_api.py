@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.operators import obs
 from vigil.plans.bindings import API_SQL, api, with_ctes
 from vigil.plans.registry import query
@@ -40,7 +41,7 @@ def latest_by_facet(spark, d):
 SELECT user_id, round(avg(duration), 6) AS avg_duration, count(*) AS n FROM api GROUP BY user_id
 ORDER BY avg_duration DESC, user_id ASC LIMIT 20""")
 def facet_topn(spark, d):
-    agg = api(spark, d).groupBy("user_id").agg(F.round(F.avg("duration"), 6).alias("avg_duration"),
+    agg = api(spark, d).groupBy("user_id").agg(rnd(F.avg("duration"), 6).alias("avg_duration"),
                                                F.count(F.lit(1)).alias("n"))
     return obs.top_n(agg, "avg_duration", 20, ["user_id"])
 
@@ -79,7 +80,7 @@ def event_rate(spark, d):
     a = api(spark, d)
     minutes = obs.range_minutes(a, "ts")
     return (a.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-            .select("name", "n", F.round(F.col("n") / minutes, 6).alias("rate_per_min")))
+            .select("name", "n", rnd(F.col("n") / minutes, 6).alias("rate_per_min")))
 
 
 @query("latency_percentiles", with_ctes(API_SQL, """
@@ -87,14 +88,14 @@ q AS (SELECT name, quantile_cont(duration, [0.5, 0.95, 0.99]) AS qs FROM api GRO
 SELECT name, round(qs[1], 6) AS p50, round(qs[2], 6) AS p95, round(qs[3], 6) AS p99 FROM q""")
 def latency_percentiles(spark, d):
     p = obs.percentiles(api(spark, d), "duration", [0.5, 0.95, 0.99], "name")
-    return p.select("name", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+    return p.select("name", *[rnd(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("error_percentage", with_ctes(API_SQL) + """
 SELECT host, count(*) AS n, round(100.0 * avg(CAST(error AS INTEGER)), 4) AS error_pct FROM api GROUP BY host""")
 def error_percentage(spark, d):
     return api(spark, d).groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.round(100.0 * F.avg(F.col("error").cast("int")), 4).alias("error_pct"))
+        F.count(F.lit(1)).alias("n"), rnd(100.0 * F.avg(F.col("error").cast("int")), 4).alias("error_pct"))
 
 
 @query("apdex", with_ctes(API_SQL) + """
@@ -102,7 +103,7 @@ SELECT name, round((count(*) FILTER (WHERE duration <= 0.5)
                     + count(*) FILTER (WHERE duration > 0.5 AND duration <= 2.0) / 2.0) / count(*), 4) AS apdex
 FROM api GROUP BY name""")
 def apdex(spark, d):
-    return api(spark, d).groupBy("name").agg(F.round(obs.apdex("duration", obs.APDEX_T), 4).alias("apdex"))
+    return api(spark, d).groupBy("name").agg(rnd(obs.apdex("duration", obs.APDEX_T), 4).alias("apdex"))
 
 
 @query("slowest_endpoints", with_ctes(API_SQL) + """
@@ -111,7 +112,7 @@ SELECT name, round(quantile_cont(duration, 0.95), 6) AS p95, count(*) AS n,
 FROM api GROUP BY name ORDER BY p95 DESC, name ASC LIMIT 15""")
 def slowest_endpoints(spark, d):
     a = api(spark, d)
-    p = obs.percentiles(a, "duration", [0.95], "name").select("name", F.round("p95", 6).alias("p95"))
+    p = obs.percentiles(a, "duration", [0.95], "name").select("name", rnd("p95", 6).alias("p95"))
     c = a.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if("error").alias("n_errors"))
     return obs.top_n(p.join(c, "name"), "p95", 15, ["name"])
 
@@ -121,7 +122,7 @@ SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket_start, round(avg(duration),
        count(*) AS n FROM api GROUP BY 1""")
 def timeseries_avg(spark, d):
     return obs.time_series(api(spark, d), "ts", "5 minutes",
-                           [F.round(F.avg("duration"), 6).alias("avg_duration"), F.count(F.lit(1)).alias("n")])
+                           [rnd(F.avg("duration"), 6).alias("avg_duration"), F.count(F.lit(1)).alias("n")])
 
 
 @query("timeseries_facet_topn", with_ctes(API_SQL, """
@@ -134,7 +135,7 @@ def timeseries_facet_topn(spark, d):
     top = obs.top_n(a.groupBy("host").agg(F.avg("duration").alias("_avg")), "_avg", 8, ["host"]).select("host")
     sel = a.join(F.broadcast(top), "host", "left_semi")  # at most 8 rows
     return obs.time_series(sel, "ts", "1 hour",
-                           [F.round(F.avg("duration"), 6).alias("avg_duration"), F.count(F.lit(1)).alias("n")],
+                           [rnd(F.avg("duration"), 6).alias("avg_duration"), F.count(F.lit(1)).alias("n")],
                            "host")
 
 

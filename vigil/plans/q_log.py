@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import rnd
 from vigil.operators import drift
 from vigil.plans.bindings import LOG_FEATURES, LOG_SQL, log, with_ctes
 from vigil.plans.registry import query
@@ -173,7 +174,7 @@ def _records(spark, d):
         F.struct(feats.getField("k").alias("k"), feats.getField("source").alias("source"),
                  F.col("value"), F.col("user_id")).alias("input_features"),
         F.struct(F.col("prediction").alias("class"),
-                 F.round(F.col("value") / 500.0, 6).alias("probability")).alias("prediction_result"))
+                 rnd(F.col("value") / 500.0, 6).alias("probability")).alias("prediction_result"))
     return rec
 
 

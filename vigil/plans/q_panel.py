@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
+from vigil.functions.numeric import rnd
 from vigil.operators import features as feat
 from vigil.operators import temporal
 from vigil.operators.metrics import group_weights as _group_weights
@@ -144,7 +145,7 @@ SELECT p.entity_id, p.period, p.grp, round(gm.m / gc.n, 6) AS weight
 FROM panel p JOIN gc ON gc.grp IS NOT DISTINCT FROM p.grp, gm""")
 def group_weights(spark, d):
     w = _group_weights(panel(spark, d), "grp")
-    return w.select("entity_id", "period", "grp", F.round("weight", 6).alias("weight"))
+    return w.select("entity_id", "period", "grp", rnd("weight", 6).alias("weight"))
 
 
 @query("scan_union_periods", """
@@ -167,7 +168,7 @@ def scan_union_periods(spark, d):
     u = files.union_all([early, late])
     return u.groupBy("period").agg(F.count(F.lit(1)).alias("n_rows"),
                                    F.count_if(F.col("priority").isNull()).alias("n_missing_priority"),
-                                   F.round(F.sum("amount"), 2).alias("amount"))
+                                   rnd(F.sum("amount"), 2).alias("amount"))
 
 
 @query("derive_label", with_ctes(PANEL_SQL) + """
@@ -221,7 +222,7 @@ def score_with_history(spark, d):
     a = _asof(spark, d)
     p = F.least(F.greatest(F.col("prior_idx") / 10.0, F.lit(0.0)), F.lit(1.0))
     s = a.withColumn("p", p)
-    return s.select("request_id", F.round("p", 6).alias("probability"),
+    return s.select("request_id", rnd("p", 6).alias("probability"),
                     dec.decision("p", T).alias("prediction"), dec.segment("p", T).alias("segment"),
                     (dec.review_band("p", T) | (F.col("is_new") == 1)).alias("review"))
 

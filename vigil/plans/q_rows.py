@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
+from vigil.functions.numeric import rnd
 from vigil.operators import drift, metrics, ml, split, training
 from vigil.plans.bindings import LOG_FEATURES, log, panel, scored
 from vigil.plans.registry import query
@@ -64,7 +65,7 @@ def prediction_log_rows(spark, d):
         F.current_timestamp().alias("timestamp"), F.lit(MODEL_VERSION).alias("model_version"),
         F.struct(F.col("id").alias("id"), F.col("period").alias("period"), F.col("grp").alias("group"))
          .alias("input_features"),
-        F.struct(pred.alias("class"), F.round("p", 4).alias("probability"),
+        F.struct(pred.alias("class"), rnd("p", 4).alias("probability"),
                  dec.risk_label(pred).alias("label")).alias("prediction_result"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
+from vigil.functions.numeric import rnd
 from vigil.operators import curve, metrics, temporal
 from vigil.plans.bindings import (SCORED_LABELS_SQL, SCORED_SQL, SCORED_TIES_SQL, scored, scored_labels,
                                   scored_ties, with_ctes)
@@ -48,7 +49,7 @@ def classification_metrics(spark, d):
 
 @query("brier_score", with_ctes(SCORED_SQL) + "SELECT round(avg((p - y) * (p - y)), 6) AS brier FROM scored")
 def brier_score(spark, d):
-    return metrics.brier_score(scored(spark, d), "y", "p").select(F.round("brier", 6).alias("brier"))
+    return metrics.brier_score(scored(spark, d), "y", "p").select(rnd("brier", 6).alias("brier"))
 
 
 # --------------------------------------------------------------------------- curves
@@ -70,7 +71,7 @@ def roc_auc(spark, d):
              ("scored_labels", scored_labels(spark, d))]
     out = None
     for name, df in parts:
-        a = curve.roc_auc(df, "y", "p").select(F.lit(name).alias("dataset"), F.round("auc", 6).alias("auc"))
+        a = curve.roc_auc(df, "y", "p").select(F.lit(name).alias("dataset"), rnd("auc", 6).alias("auc"))
         out = a if out is None else out.unionByName(a)
     return out
 
@@ -91,7 +92,7 @@ SELECT NULL, 0.0, 0.0 FROM pts WHERE i = 0 AND n_pos > 0 AND n_neg > 0"""
 @query("roc_curve", ROC_SQL)
 def roc_curve(spark, d):
     r = curve.roc_curve(scored(spark, d), "y", "p")
-    return r.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return r.select("threshold", rnd("fpr", 6).alias("fpr"), rnd("tpr", 6).alias("tpr"))
 
 
 @query("pr_curve", with_ctes(SCORED_SQL, curve_ctes("scored"), curve_metrics()) + """
@@ -99,7 +100,7 @@ SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall F
 UNION ALL SELECT NULL, 1.0, 0.0 FROM (SELECT 1 FROM curve_f LIMIT 1)""")
 def pr_curve(spark, d):
     r = curve.pr_curve(scored(spark, d), "y", "p")
-    return r.select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return r.select("threshold", rnd("precision", 6).alias("precision"), rnd("recall", 6).alias("recall"))
 
 
 def _edges_list(n: int, inner: bool = True) -> str:
@@ -115,8 +116,8 @@ SELECT bin, round(avg(p), 4) AS mean_predicted, round(avg(y), 4) AS fraction_pos
 FROM b WHERE (SELECT count(DISTINCT y) FROM b) >= 2 GROUP BY bin""")
 def calibration_curve(spark, d):
     c = curve.calibration_curve(scored(spark, d), "y", "p")
-    return c.select("bin", F.round("mean_predicted", 4).alias("mean_predicted"),
-                    F.round("fraction_positive", 4).alias("fraction_positive"), "n")
+    return c.select("bin", rnd("mean_predicted", 4).alias("mean_predicted"),
+                    rnd("fraction_positive", 4).alias("fraction_positive"), "n")
 
 
 @query("score_histogram", with_ctes(SCORED_SQL, f"""
@@ -129,7 +130,7 @@ SELECT dom.bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi,
 FROM dom LEFT JOIN b ON dom.bin = b.bin GROUP BY dom.bin, bin_lo, bin_hi""")
 def score_histogram(spark, d):
     h = curve.score_histogram(scored(spark, d), "y", "p")
-    return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"),
+    return h.select("bin", rnd("bin_lo", 6).alias("bin_lo"), rnd("bin_hi", 6).alias("bin_hi"),
                     "positive", "negative")
 
 
@@ -147,7 +148,7 @@ c AS (SELECT g.threshold, count(*) FILTER (WHERE s.p >= g.threshold AND s.y = 1)
 SELECT round(threshold, 6) AS threshold, {prf_sql(digits=6)} FROM c""")
 def threshold_grid(spark, d):
     g = curve.threshold_grid(scored(spark, d), "y", "p")
-    return g.select(*[F.round(c, 6).alias(c) for c in ("threshold", "recall", "precision", "f1")])
+    return g.select(*[rnd(c, 6).alias(c) for c in ("threshold", "recall", "precision", "f1")])
 
 
 @query("threshold_curve", with_ctes(SCORED_SQL, curve_ctes("scored"))
@@ -159,7 +160,7 @@ def threshold_curve(spark, d):
 # --------------------------------------------------------------------------- threshold choice
 
 def _r6(df, cols):
-    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[rnd(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 @query("threshold_best_f1", with_ctes(SCORED_SQL, curve_ctes("scored"), curve_metrics()) + """
@@ -258,7 +259,7 @@ SELECT strategy, threshold, {prf_sql()},
 FROM m""")
 def threshold_strategies(spark, d):
     s = curve.threshold_strategies(scored(spark, d), "y", "p", "grp")
-    return s.select("strategy", "threshold", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")],
+    return s.select("strategy", "threshold", *[rnd(c, 4).alias(c) for c in ("precision", "recall", "f1")],
                     "is_active")
 
 
@@ -274,7 +275,7 @@ SELECT grp, round(fpr, 4) AS fpr, round(fnr, 4) AS fnr,
        round(max(fpr) OVER (), 4) AS max_fpr, round(max(fnr) OVER (), 4) AS max_fnr FROM r""")
 def fairness_gaps(spark, d):
     f = metrics.fairness_gaps(scored(spark, d), "y", metrics.predicted("p", T), "grp")
-    return f.select("grp", *[F.round(c, 4).alias(c) for c in
+    return f.select("grp", *[rnd(c, 4).alias(c) for c in
                              ("fpr", "fnr", "gap_fpr", "gap_fnr", "max_fpr", "max_fnr")])
 
 
@@ -319,10 +320,10 @@ def overfit_gap(spark, d):
     j = m.join(a, "role")
     tr = j.where(F.col("role") == "train").select(
         F.col("f1").alias("f1_train"), F.col("precision").alias("precision_train"),
-        F.col("recall").alias("recall_train"), F.round("auc", 4).alias("auc_train"))
+        F.col("recall").alias("recall_train"), rnd("auc", 4).alias("auc_train"))
     te = j.where(F.col("role") == "test").select(F.col("f1").alias("f1_test"),
-                                                 F.round("auc", 4).alias("auc_test"))
-    return tr.crossJoin(te).withColumn("overfit_gap_f1", F.round(F.col("f1_train") - F.col("f1_test"), 4))
+                                                 rnd("auc", 4).alias("auc_test"))
+    return tr.crossJoin(te).withColumn("overfit_gap_f1", rnd(F.col("f1_train") - F.col("f1_test"), 4))
 
 
 # --------------------------------------------------------------------------- decisions
@@ -343,7 +344,7 @@ def score_decision(spark, d):
     s = scored(spark, d)
     pred = dec.decision("p", T)
     m = dec.margin_for("grp", MARGINS)
-    return s.select("id", F.round("p", 4).alias("probability"), pred.alias("prediction"),
+    return s.select("id", rnd("p", 4).alias("probability"), pred.alias("prediction"),
                     dec.risk_label(pred).alias("risk_label"), dec.segment("p", T).alias("segment"),
                     dec.review_band("p", T, m).alias("review"))
 
@@ -388,9 +389,9 @@ def cv_metrics(spark, d):
                                                      F.col("period").alias("val_period"),
                                                      F.col("_n").alias("val_size"))
     return (best.join(auc, "fold").join(train_size, "fold").join(val_size, "fold")
-            .select("fold", "val_period", F.round("threshold", 4).alias("threshold"),
+            .select("fold", "val_period", rnd("threshold", 4).alias("threshold"),
                     *metrics.prf(F.col("tp"), F.col("fp"), F.col("fn")),
-                    F.round("auc", 4).alias("auc"), "train_size", "val_size"))
+                    rnd("auc", 4).alias("auc"), "train_size", "val_size"))
 
 
 CV_CTES = """
@@ -477,6 +478,6 @@ def importance_ranking(spark, d):
     long = s.select(F.col("y").cast("double").alias("y"),
                     *[F.col(c).cast("double").alias(c) for c in IMPORTANCE_FEATURES]) \
         .unpivot(["y"], list(IMPORTANCE_FEATURES), "feature", "v")
-    imp = long.groupBy("feature").agg(F.round(F.abs(F.corr("v", "y")), 4).alias("importance"))
+    imp = long.groupBy("feature").agg(rnd(F.abs(F.corr("v", "y")), 4).alias("importance"))
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature
     return (imp.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= 20))
