@@ -89,12 +89,14 @@ def test_running_sums_match_naive_window(spark):
     assert a == b
 
 
-def test_exact_quantiles_match_percentile(spark):
+@pytest.mark.parametrize("max_distinct", [None, 100_000])   # bucketed kernel / checked percentile path
+def test_exact_quantiles_match_percentile(spark, max_distinct):
     rng = np.random.default_rng(3)
     data = [(str(g), float(v)) for g, v in zip(rng.integers(0, 2, 400), np.round(rng.normal(size=400), 1))]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
-    ours = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, "v", probs, "g").collect()}
+    ours = {(r["g"], r["q"]): r["value"] for r in
+            exact_quantiles(df, "v", probs, "g", max_distinct=max_distinct).collect()}
     ref = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in probs])).alias("qs")).collect()
     for r in ref:
         for q, v in zip(probs, r["qs"]):

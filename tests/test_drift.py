@@ -73,3 +73,15 @@ def test_psi_tails_counts_out_of_range(spark):
     tails = drift.psi(ref, cur, ["x"], bins=5, tails=True).first()["psi_raw"]
     assert tails > plain > 0
     assert drift.psi(ref, ref, ["x"], tails=True).first()["psi_raw"] == 0.0
+
+
+def test_psi_same_on_both_quantile_paths(spark, monkeypatch):
+    from vigil.operators import ordered
+    ref = _one(spark, [x * 0.37 % 11 for x in range(300)])
+    cur = _one(spark, [x * 0.53 % 12 for x in range(200)])
+    fast = drift.psi(ref, cur, ["x"]).first()["psi_raw"]
+    monkeypatch.setattr(ordered, "MAX_DISTINCT_IN_BUFFER", None)
+    monkeypatch.setattr(ordered.exact_quantiles, "__defaults__",
+                        ordered.exact_quantiles.__defaults__[:-1] + (None,))
+    slow = drift.psi(ref, cur, ["x"]).first()["psi_raw"]
+    assert fast == slow

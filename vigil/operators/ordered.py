@@ -101,16 +101,37 @@ def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str
     return out.withColumn(name, F.col("_one_cum") - 1).drop("_one", "_one_cum")
 
 
+MAX_DISTINCT_IN_BUFFER = 100_000
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] | str | None = None,
-                    buckets: int = DEFAULT_BUCKETS, small_groups: bool = True) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, small_groups: bool = True,
+                    max_distinct: int | None = MAX_DISTINCT_IN_BUFFER) -> DataFrame:
     """Exact linear-interpolation quantiles (same as SQL ``percentile`` /
-    ``quantile_cont``) without collecting the column: value counts ->
-    distributed running counts -> pick the order statistics around
-    ``(n-1)·q`` -> interpolate.  Nulls are ignored.  Output: ``group…, q, value``.
+    ``quantile_cont``).  Nulls are ignored.  Output: ``group…, q, value``.
+
+    Two exact plans, chosen by a checked bound:
+    * when every group holds at most ``max_distinct`` distinct values (HLL
+      estimate, one cheap pass), Spark's ``percentile`` — its buffer is a map
+      of distinct value -> count, so memory is bounded by the check;
+    * otherwise value counts -> distributed running counts (bucketed) -> pick
+      the order statistics around ``(n-1)·q`` -> interpolate; no buffer grows
+      with the data.
     """
     g = _cols(group_cols)
     v = F.col(value_col).cast("double")
+    if max_distinct:
+        nd = (df.where(v.isNotNull()).groupBy(*g).agg(F.approx_count_distinct(v, 0.05).alias("_nd"))
+              .agg(F.max("_nd")).first()[0])
+        if nd is None:
+            return df.sparkSession.createDataFrame(
+                [], df.select(*g).schema.add("q", "double").add("value", "double"))
+        if nd * 1.15 <= max_distinct:  # margin for the estimate's error
+            qs = F.array(*[F.lit(float(q)) for q in probs])
+            agg = df.where(v.isNotNull()).groupBy(*g).agg(F.percentile(v, qs).alias("_vals"))
+            z = F.arrays_zip(qs.alias("q"), F.col("_vals").alias("value"))
+            return agg.select(*g, F.explode(z).alias("_z")).select(*g, "_z.q", "_z.value")
     vc = (df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull())
           .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
     vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups)
