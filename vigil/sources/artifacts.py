@@ -107,3 +107,9 @@ def cv_report(folds: DataFrame, summary: DataFrame, version: str) -> DataFrame:
         F.lit(version).alias("version"), F.lit("summary").alias("kind"), F.col("stat").alias("scope"), "metric",
         F.col("value").cast("double").alias("value"))
     return per.unionByName(agg)
+
+
+def model_version(spark: SparkSession, registry: str, default: str = "unknown") -> str:
+    """Version of the promoted model from the registry table, else ``default``."""
+    _, info = current_model(spark, registry) if registry else (None, None)
+    return str(info["version"]) if info and info.get("version") else default
