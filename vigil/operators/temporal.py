@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, scalar
+from vigil.operators.ordered import scalar
 
 
 def lag_features(df: DataFrame, key: str, order: str, cols: Sequence[str], fill: float = 0.0,
