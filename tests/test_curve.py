@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import curve, metrics
-from vigil.operators.ordered import exact_quantiles, running_sums
+from vigil.operators.ordered import count_below, cut_points, exact_quantiles, running_sums
 
 
 def _df(spark, y, p, g=None):
@@ -76,19 +76,36 @@ def test_roc_curve_matches_brute_force(spark, seed):
     assert np.allclose(np.array(ours), np.array(exp))
 
 
-def test_running_sums_match_naive_window(spark):
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 20])   # one range per group / many ranges
+def test_running_sums_match_naive_window(spark, rows_per_bucket):
     rng = np.random.default_rng(7)
     data = [(str(g), float(v), int(c)) for g, v, c in zip(rng.integers(0, 3, 500), rng.normal(size=500),
                                                           rng.integers(0, 5, 500))]
     df = spark.createDataFrame(data, "g string, v double, c long")
-    fast = running_sums(df, "v", ["c"], "g", descending=True, buckets=16)
-    w = Window.partitionBy("g").orderBy(F.col("v").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    naive = df.withColumn("ref", F.sum("c").over(w))
-    a = sorted((r["g"], r["v"], r["c_cum"]) for r in fast.collect())
-    b = sorted((r["g"], r["v"], r["ref"]) for r in naive.collect())
+    fast = running_sums(df, "v", ["c"], "g", descending=True, buckets=16, rows_per_bucket=rows_per_bucket,
+                        totals=True, index="i", count="n", lead_cols=["c"])
+    w = Window.partitionBy("g").orderBy(F.col("v").desc())
+    naive = df.select("g", "v", F.sum("c").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("ref"),
+                      F.sum("c").over(Window.partitionBy("g")).alias("tot"),
+                      (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("g")).alias("n"),
+                      F.lead("c").over(w).alias("nxt"))
+    a = sorted(tuple(r) for r in fast.select("g", "v", "c_cum", "c_tot", "i", "n", "c_next").collect())
+    b = sorted(tuple(r) for r in naive.collect())
     assert a == b
 
 
+def test_cut_points_balance_a_skewed_distribution(spark):
+    # one huge outlier: equal-width ranges would put every other value in one range
+    vals = [float(x) for x in range(2000)] + [1e15]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    cuts = cut_points(df, F.col("v"), [], 16, 100).first()["_cuts"]
+    assert len(cuts) == 15 and cuts == sorted(cuts)
+    sized = (count_below(df.crossJoin(F.broadcast(spark.createDataFrame([(cuts,)], "_cuts array<double>"))),
+                         F.col("v"), "_cuts", 15, "_b").groupBy("_b").count().collect())
+    sizes = [r["count"] for r in sized]
+    assert len(sizes) == 16 and max(sizes) <= 2 * len(vals) / 16
+
+
 @pytest.mark.parametrize("max_distinct", [None, 100_000])   # bucketed kernel / checked percentile path
 def test_exact_quantiles_match_percentile(spark, max_distinct):
     rng = np.random.default_rng(3)

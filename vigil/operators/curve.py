@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, global_index, running_sums, safe_div
+from vigil.operators.ordered import _cols, running_sums, safe_div
 
 # fixed values of the reference configuration
 DEFAULT_THRESHOLD = 0.5072
@@ -46,19 +46,16 @@ def score_counts(df: DataFrame, label: str, score: str,
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-def _with_totals(curve: DataFrame, counts: DataFrame, g: list[str]) -> DataFrame:
-    tot = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if not g:
-        return curve.crossJoin(F.broadcast(tot))  # one row
-    return curve.join(tot, g)
-
-
 def threshold_counts(df: DataFrame, label: str, score: str,
                      group_cols: Sequence[str] | str | None = None,
-                     extra_thresholds: Sequence[float] = ()) -> DataFrame:
+                     extra_thresholds: Sequence[float] = (), index: str | None = None,
+                     count: str | None = None, lead: bool = False) -> DataFrame:
     """``group…, threshold, pos, neg, tp, fp, fn, tn, n_pos, n_neg`` with
     tp/fp counting rows whose score >= threshold.  ``extra_thresholds`` adds
-    candidate thresholds that are not scores (they carry pos = neg = 0)."""
+    candidate thresholds that are not scores (they carry pos = neg = 0).
+    From the same pass: ``index`` (0-based, descending threshold), ``count``
+    (distinct thresholds per group) and, with ``lead``, ``pos_next`` /
+    ``neg_next`` of the next lower threshold."""
     g = _cols(group_cols)
     counts = score_counts(df, label, score, g)
     if extra_thresholds:
@@ -73,12 +70,13 @@ def threshold_counts(df: DataFrame, label: str, score: str,
                              F.lit(0).cast("long").alias("neg"))
         counts = (counts.unionByName(extra).groupBy(*g, "threshold")
                   .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    cum = running_sums(counts, "threshold", ["pos", "neg"], g, descending=True)
-    cum = cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
-    out = _with_totals(cum, counts, g)
-    return out.select(*g, "threshold", "pos", "neg", "tp", "fp",
-                      (F.col("n_pos") - F.col("tp")).alias("fn"),
-                      (F.col("n_neg") - F.col("fp")).alias("tn"), "n_pos", "n_neg")
+    cum = running_sums(counts, "threshold", ["pos", "neg"], g, descending=True, totals=True,
+                       index=index, count=count, lead_cols=["pos", "neg"] if lead else ())
+    extra_out = [c for c in (index, count) if c] + (["pos_next", "neg_next"] if lead else [])
+    return cum.select(*g, "threshold", "pos", "neg", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"),
+                      (F.col("pos_tot") - F.col("pos_cum")).alias("fn"),
+                      (F.col("neg_tot") - F.col("neg_cum")).alias("tn"),
+                      F.col("pos_tot").alias("n_pos"), F.col("neg_tot").alias("n_neg"), *extra_out)
 
 
 def precision_col() -> Column:
@@ -136,35 +134,31 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = T
     neighbours (same positive and negative step as the next point), the first
     and last points always kept.  Empty when a class is absent.
     """
-    c = threshold_counts(df, label, score)
-    c = global_index(c, "threshold", descending=True, name="i")
-    nxt = c.select((F.col("i") - 1).alias("i"), F.col("pos").alias("pos_next"),
-                   F.col("neg").alias("neg_next"))
-    n_pts = c.agg(F.count(F.lit(1)).alias("n_pts"))
-    pts = c.join(nxt, "i", "left").crossJoin(F.broadcast(n_pts))  # one row
+    c = threshold_counts(df, label, score, index="i", count="n_pts", lead=drop_intermediate)
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    pts = c.where(both)
     if drop_intermediate:
         keep = ((F.col("i") == 0) | (F.col("i") == F.col("n_pts") - 1) | (F.col("n_pts") <= 2)
                 | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
         pts = pts.where(keep)
-    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    pts = pts.where(both).select(
-        "threshold",
-        (F.col("fp") / F.col("n_neg")).alias("fpr"),
-        (F.col("tp") / F.col("n_pos")).alias("tpr"))
-    origin = (c.where((F.col("i") == 0) & both)
-              .select(F.lit(None).cast("double").alias("threshold"),
-                      F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
-    return pts.unionByName(origin)
+    pt = F.struct(F.col("threshold").alias("threshold"),
+                  (F.col("fp") / F.col("n_neg")).alias("fpr"), (F.col("tp") / F.col("n_pos")).alias("tpr"))
+    origin = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                      F.lit(0.0).alias("tpr"))
+    # the origin is emitted next to the first point (no second branch over the curve)
+    return pts.select(F.explode(F.when(F.col("i") == 0, F.array(origin, pt)).otherwise(F.array(pt)))
+                      .alias("_p")).select("_p.*")
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """``threshold, precision, recall`` per distinct score + final (null, 1, 0)."""
-    c = with_curve_metrics(threshold_counts(df, label, score))
-    pts = c.select("threshold", "precision", "recall")
-    final = (c.where(F.col("threshold") == F.col("threshold")).limit(1)
-             .select(F.lit(None).cast("double").alias("threshold"),
-                     F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
-    return pts.unionByName(final)
+    c = with_curve_metrics(threshold_counts(df, label, score, index="i"))
+    pt = F.struct(F.col("threshold").alias("threshold"), F.col("precision").alias("precision"),
+                  F.col("recall").alias("recall"))
+    final = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                     F.lit(0.0).alias("recall"))
+    return c.select(F.explode(F.when(F.col("i") == 0, F.array(pt, final)).otherwise(F.array(pt)))
+                    .alias("_p")).select("_p.*")
 
 
 def _edges(n_bins: int) -> list[float]:
@@ -310,9 +304,7 @@ def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | N
         extra = extra.select("threshold", *[F.lit(0).cast("long").alias(c) for c in sums])
         counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
     counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
-    cum = running_sums(counts, "threshold", sums, descending=True)
-    tot = counts.agg(*[F.sum(c).alias(f"{c}_tot") for c in sums])
-    cum = cum.crossJoin(F.broadcast(tot))  # one row
+    cum = running_sums(counts, "threshold", sums, descending=True, totals=True)
     cum = (cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
            .withColumnRenamed("pos_tot", "n_pos").withColumnRenamed("neg_tot", "n_neg")
            .withColumn("fn", F.col("n_pos") - F.col("tp")))

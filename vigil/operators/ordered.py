@@ -2,8 +2,10 @@
 
 A running sum over a global order written as ``sum() OVER (ORDER BY x)``
 has no partition key and runs in a single task.  ``running_sums`` instead
-range-buckets the order column, runs the window per (group, bucket) and adds
-per-bucket offsets from a table whose size is bounded by the bucket count.
+cuts the order column into ranges of equal row counts (approximate-quantile
+cut points, so a skewed value distribution still spreads evenly), runs the
+window per (group, range) and adds per-range offsets from a table whose size
+is bounded by the bucket count.
 ``exact_quantiles`` and ``global_index`` are built on it, so exact medians,
 deciles and ranks never gather a whole column into one aggregation buffer.
 """
@@ -12,10 +14,14 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
+CUT_ACCURACY = 10_000  # percentile_approx accuracy for bucket cuts: ±n/10 000 rows per cut
+ROWS_PER_BUCKET = 1_000_000  # target rows per (group, range) window task
 
 
 def _cols(cols: Iterable[str] | str | None) -> list[str]:
@@ -40,55 +46,124 @@ def scalar(df: DataFrame, expr) -> Column:
     return df.select(expr).scalar()
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    """Join a per-group side table; broadcast only when its size is bounded
-    by construction (no grouping keys -> one row per bucket)."""
-    if not keys:
-        return df.crossJoin(F.broadcast(small))
-    return df.join(F.broadcast(small) if bounded else small, keys)
+def count_below(df: DataFrame, v: Column, cuts: str, n_cuts: int, out: str) -> DataFrame:
+    """``out`` = number of entries of the sorted array column ``cuts`` (length
+    at most ``n_cuts``) that are < ``v``: a binary search unrolled into
+    ceil(log2(n_cuts + 1)) projections — codegen'd, no lambda, O(log n) per row."""
+    step = 1
+    while step * 2 <= n_cuts:
+        step *= 2
+    df = df.withColumn(out, F.lit(0))
+    while step >= 1:
+        cand = F.col(out) + F.lit(step)
+        df = df.withColumn(out, F.when(F.try_element_at(F.col(cuts), cand) < v, cand).otherwise(F.col(out)))
+        step //= 2
+    return df
+
+
+def cut_points(df: DataFrame, order: Column, group_cols: list[str], buckets: int,
+               rows_per_bucket: int) -> DataFrame:
+    """Per group: sorted cut points splitting the rows into
+    ``min(buckets, ceil(n / rows_per_bucket))`` ranges of about equal size
+    (approximate quantiles, one sketch aggregate; ``buckets - 1`` values at
+    most per group)."""
+    nb = buckets
+    per = df.groupBy(*group_cols).agg(
+        F.count(order).alias("_n"),
+        # one array literal (a list would become nb separate literal expressions, slow to analyse)
+        F.percentile_approx(order, F.lit(np.arange(1, nb) / nb), CUT_ACCURACY).alias("_all"))
+    k_g = F.least(F.lit(nb), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("int")))
+    thin = F.when(k_g > 1, F.transform(
+        F.sequence(F.lit(1), k_g - 1),
+        lambda k: F.element_at(F.col("_all"), F.floor(k * F.lit(nb) / k_g).cast("int"))))
+    return per.select(*group_cols, F.coalesce(thin, F.array().cast("array<double>")).alias("_cuts"))
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] | str | None = None,
                  descending: bool = False, buckets: int = DEFAULT_BUCKETS,
-                 small_groups: bool = True, suffix: str = "_cum") -> DataFrame:
+                 small_groups: bool = True, suffix: str = "_cum", totals: bool = False,
+                 index: str | None = None, count: str | None = None,
+                 lead_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over all rows of the same group whose
     order value is <= (or >= when ``descending``) the row's value, ties
-    included (RANGE frame).
-
-    Plan: one min/max aggregate, a window partitioned by (group, bucket) — so
-    the work spreads over up to ``buckets`` tasks per group — and a running
-    sum over per-bucket totals (at most ``buckets`` rows per group) joined
-    back.  ``small_groups`` states that the number of groups is small enough
-    to broadcast ``groups × buckets`` rows.
+    included (RANGE frame).  Optional outputs from the same pass:
+    ``totals`` -> ``<c>_tot`` (group total); ``index`` -> 0-based position in
+    the scan order; ``count`` -> rows in the group; ``lead_cols`` ->
+    ``<c>_next``, the next row's value (null on the last row).  ``index`` and
+    ``lead_cols`` assume distinct order values per group (pre-aggregate).
+
+    Plan: each group's order values are cut into ranges of about
+    ``rows_per_bucket`` rows (at most ``buckets``) at approximate quantiles,
+    so a skewed value distribution still spreads evenly.  The cut points are
+    a scalar subquery (groups × buckets values, bounded when
+    ``small_groups``), looked up per row by a binary search — nothing
+    group-sized is copied onto the rows.  A window partitioned by
+    (group, range) does the work; a window over the per-range totals (at most
+    ``buckets`` rows per group) gives each range its offset, joined back.
+    With unbounded groups the cut points are joined per group instead.
     """
     g = _cols(group_cols)
     o = F.col(order_col).cast("double")
-    # bounds share the input's shuffle with the main branch (one plan, exchange reuse)
-    bounds = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
-    b = _attach(df, bounds, g, small_groups)
-    lo, hi = F.col("_lo"), F.col("_hi")
-    scaled = (o - lo) / (hi - lo) * F.lit(float(buckets))
-    bucket = F.when(hi > lo, F.least(F.lit(buckets - 1), F.floor(scaled).cast("int"))).otherwise(F.lit(0))
+    nb = max(1, int(buckets))
+    if nb > 1:
+        cuts = cut_points(df, o, g, nb, rows_per_bucket)
+        if not g:
+            b = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+        elif small_groups:
+            key = F.struct(*[F.col(c) for c in g])
+            lookup = cuts.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("_cuts"))))).scalar()
+            b = df.withColumn("_cuts", F.try_element_at(lookup, key))
+        else:
+            b = df.join(cuts, g)
+        b = count_below(b, o, "_cuts", nb - 1, "_b").drop("_cuts")
+    else:
+        b = df.withColumn("_b", F.lit(0))
     if descending:
-        bucket = F.lit(buckets - 1) - bucket
-    b = b.withColumn("_b", bucket).drop("_lo", "_hi")
+        b = b.withColumn("_b", F.lit(nb - 1) - F.col("_b"))
 
     ordering = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_in = (Window.partitionBy(*g, "_b").orderBy(ordering)
-            .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    for c in sum_cols:
-        b = b.withColumn(f"_{c}_in", F.sum(c).over(w_in))
+    w = Window.partitionBy(*g, "_b").orderBy(ordering)
+    w_in = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    extra = [F.sum(c).over(w_in).alias(f"_{c}_in") for c in sum_cols]
+    if index:
+        extra.append(F.row_number().over(w).alias("_rn"))
+    if lead_cols:
+        extra.append(F.lead(F.struct(*lead_cols)).over(w).alias("_lead"))
+    b = b.select("*", *extra)
+
+    aggs = [F.sum(c).alias(f"_{c}_bt") for c in sum_cols]
+    if index or count:
+        aggs.append(F.count(F.lit(1)).alias("_n_bt"))
+    if lead_cols:
+        first = F.max_by if descending else F.min_by
+        aggs.append(first(F.struct(*lead_cols), F.col(order_col)).alias("_first"))
+    per = b.groupBy(*g, "_b").agg(*aggs)
+    w_b = Window.partitionBy(*g).orderBy("_b")
+    w_prev = w_b.rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*g)
+    sel = [F.coalesce(F.sum(f"_{c}_bt").over(w_prev), F.lit(0)).alias(f"_{c}_off") for c in sum_cols]
+    if totals:
+        sel += [F.sum(f"_{c}_bt").over(w_all).alias(f"{c}_tot") for c in sum_cols]
+    if index:
+        sel.append(F.coalesce(F.sum("_n_bt").over(w_prev), F.lit(0)).alias("_n_off"))
+    if count:
+        sel.append(F.sum("_n_bt").over(w_all).alias(count))
+    if lead_cols:
+        sel.append(F.lead("_first").over(w_b).alias("_next_first"))
+    offsets = per.select(*g, "_b", *sel)
 
-    totals = b.groupBy(*g, "_b").agg(*[F.sum(c).alias(f"_{c}_bt") for c in sum_cols])
-    w_off = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *g, "_b", *[F.coalesce(F.sum(f"_{c}_bt").over(w_off), F.lit(0)).alias(f"_{c}_off")
-                    for c in sum_cols])
     out = b.join(F.broadcast(offsets) if small_groups else offsets, [*g, "_b"])
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_{c}_in") + F.col(f"_{c}_off"))
-    return out.drop("_b", *[f"_{c}_in" for c in sum_cols], *[f"_{c}_off" for c in sum_cols])
+    if index:
+        out = out.withColumn(index, F.col("_rn") - 1 + F.col("_n_off"))
+    if lead_cols:
+        nxt = F.coalesce(F.col("_lead"), F.col("_next_first"))
+        out = out.select("*", *[nxt[c].alias(f"{c}_next") for c in lead_cols])
+    tmp = ["_b", "_rn", "_n_off", "_lead", "_next_first"]
+    tmp += [f"_{c}_{k}" for c in sum_cols for k in ("in", "off")]
+    return out.drop(*tmp)
 
 
 def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str | None = None,
@@ -96,9 +171,7 @@ def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str
                  name: str = "_idx") -> DataFrame:
     """0-based position of each row in (group, order) — rows must have distinct
     order values within a group (pre-aggregate first)."""
-    out = running_sums(df.withColumn("_one", F.lit(1)), order_col, ["_one"], group_cols,
-                       descending=descending, buckets=buckets)
-    return out.withColumn(name, F.col("_one_cum") - 1).drop("_one", "_one_cum")
+    return running_sums(df, order_col, [], group_cols, descending=descending, buckets=buckets, index=name)
 
 
 MAX_DISTINCT_IN_BUFFER = 100_000
@@ -134,20 +207,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             return agg.select(*g, F.explode(z).alias("_z")).select(*g, "_z.q", "_z.value")
     vc = (df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull())
           .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups)
+    vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups, totals=True)
     vc = vc.withColumn("_end", F.col("_c_cum") - 1).withColumn("_start", F.col("_c_cum") - F.col("_c"))
 
-    n = vc.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    # order-statistic positions around (n-1)·q, from the group total on every row (no join)
     qs = F.array(*[F.lit(float(q)) for q in probs])
-    pos = n.select(*g, F.transform(qs, lambda q: F.struct(
-        q.alias("q"),
-        ((F.col("_n") - 1).cast("double") * q).alias("h"))).alias("_pos"))
-    pos = pos.select(*g, F.transform("_pos", lambda p: F.struct(
-        p["q"].alias("q"), p["h"].alias("h"),
-        F.floor(p["h"]).cast("long").alias("lo"),
-        F.ceil(p["h"]).cast("long").alias("hi"))).alias("_pos"))
-
-    j = _attach(vc, pos, g, small_groups)
+    j = vc.withColumn("_pos", F.transform(qs, lambda q: F.struct(
+        q.alias("q"), ((F.col("_c_tot") - 1).cast("double") * q).alias("h"),
+        F.floor((F.col("_c_tot") - 1).cast("double") * q).cast("long").alias("lo"),
+        F.ceil((F.col("_c_tot") - 1).cast("double") * q).cast("long").alias("hi"))))
     hits = j.select(*g, "_v", F.explode(F.filter(
         "_pos", lambda p: ((p["lo"] >= F.col("_start")) & (p["lo"] <= F.col("_end")))
         | ((p["hi"] >= F.col("_start")) & (p["hi"] <= F.col("_end"))))).alias("p"),

@@ -15,6 +15,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Both rules only rewrite joins against partitioned / selectively filtered scans; on the kernel plans
+    # (windows, repeated subtrees, scalar subqueries) they never fire yet cost seconds of planning per query.
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
