@@ -101,8 +101,7 @@ def f1_smoothed(p: Column, r: Column) -> Column:
 
 def with_curve_metrics(curve: DataFrame) -> DataFrame:
     """precision, recall (curve convention) and smoothed F1 per threshold."""
-    return (curve.withColumn("precision", precision_col())
-            .withColumn("recall", recall_col(True))
+    return (curve.withColumns({"precision": precision_col(), "recall": recall_col(True)})
             .withColumn("f1", f1_smoothed(F.col("precision"), F.col("recall"))))
 
 
@@ -305,8 +304,7 @@ def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | N
         counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
     counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
     cum = running_sums(counts, "threshold", sums, descending=True, totals=True)
-    cum = (cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
-           .withColumnRenamed("pos_tot", "n_pos").withColumnRenamed("neg_tot", "n_neg")
+    cum = (cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp", "pos_tot": "n_pos", "neg_tot": "n_neg"})
            .withColumn("fn", F.col("n_pos") - F.col("tp")))
     return cum, values
 
@@ -325,8 +323,8 @@ def _fairness_cols(cum: DataFrame, n_groups: int) -> DataFrame:
     def mn(xs):
         return xs[0] if len(xs) == 1 else F.least(*xs)
 
-    return (cum.withColumn("max_fpr", mx(fprs)).withColumn("max_fnr", mx(fnrs))
-            .withColumn("gap_fpr", mx(fprs) - mn(fprs)).withColumn("gap_fnr", mx(fnrs) - mn(fnrs)))
+    return cum.withColumns({"max_fpr": mx(fprs), "max_fnr": mx(fnrs),
+                            "gap_fpr": mx(fprs) - mn(fprs), "gap_fnr": mx(fnrs) - mn(fnrs)})
 
 
 def fairness_curve(df: DataFrame, label: str, score: str, group: str | None,

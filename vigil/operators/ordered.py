@@ -154,16 +154,17 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     offsets = per.select(*g, "_b", *sel)
 
     out = b.join(F.broadcast(offsets) if small_groups else offsets, [*g, "_b"])
-    for c in sum_cols:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_{c}_in") + F.col(f"_{c}_off"))
+    new = [(F.col(f"_{c}_in") + F.col(f"_{c}_off")).alias(f"{c}{suffix}") for c in sum_cols]
+    if totals:
+        new += [F.col(f"{c}_tot") for c in sum_cols]
     if index:
-        out = out.withColumn(index, F.col("_rn") - 1 + F.col("_n_off"))
+        new.append((F.col("_rn") - 1 + F.col("_n_off")).alias(index))
+    if count:
+        new.append(F.col(count))
     if lead_cols:
         nxt = F.coalesce(F.col("_lead"), F.col("_next_first"))
-        out = out.select("*", *[nxt[c].alias(f"{c}_next") for c in lead_cols])
-    tmp = ["_b", "_rn", "_n_off", "_lead", "_next_first"]
-    tmp += [f"_{c}_{k}" for c in sum_cols for k in ("in", "off")]
-    return out.drop(*tmp)
+        new += [nxt[c].alias(f"{c}_next") for c in lead_cols]
+    return out.select(*[F.col(c) for c in df.columns], *new)  # one projection drops the helpers
 
 
 def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str | None = None,
