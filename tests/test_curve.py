@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import curve, metrics
-from vigil.operators.ordered import count_below, cut_points, exact_quantiles, running_sums
+from vigil.operators.ordered import count_below, count_less, cut_points, exact_quantiles, running_sums
 
 
 def _df(spark, y, p, g=None):
@@ -138,3 +138,18 @@ def test_thresholds_in_unit_interval(spark, small_dir):
         assert 0.0 <= t <= 1.0
     s = curve.threshold_strategies(d, "y", "p", "grp").collect()
     assert len(s) == 4 and sum(r["is_active"] for r in s) == 1
+
+
+def test_count_less_matches_filter_size(spark):
+    rng = np.random.default_rng(11)
+    cuts = sorted(np.round(rng.random(7), 1).tolist())          # with repeats
+    data = [(float(v), cuts[: int(k)]) for v, k in zip(np.round(rng.random(200), 1), rng.integers(0, 8, 200))]
+    df = spark.createDataFrame(data, "v double, arr array<double>")
+    lit_arr = F.array(*[F.lit(c) for c in cuts])
+    got = df.select(
+        count_less(cuts, F.col("v")).alias("a"), F.size(F.filter(lit_arr, lambda e: e < F.col("v"))).alias("ea"),
+        count_less(cuts, F.col("v"), inclusive=True).alias("b"),
+        F.size(F.filter(lit_arr, lambda e: e <= F.col("v"))).alias("eb"),
+        count_less(F.col("arr"), F.col("v"), n=7).alias("c"),
+        F.size(F.filter("arr", lambda e: e < F.col("v"))).alias("ec")).collect()
+    assert all(r["a"] == r["ea"] and r["b"] == r["eb"] and r["c"] == r["ec"] for r in got)

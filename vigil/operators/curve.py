@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, running_sums, safe_div
+from vigil.operators.ordered import _cols, count_less, running_sums, safe_div
 
 # fixed values of the reference configuration
 DEFAULT_THRESHOLD = 0.5072
@@ -170,9 +170,8 @@ def calibration_curve(df: DataFrame, label: str, score: str, n_bins: int = 10) -
     """``bin, mean_predicted, fraction_positive, n``: uniform right-closed bins
     (a score on an inner edge falls in the lower bin), empty bins omitted,
     empty result when one class is absent."""
-    inner = F.array(*[F.lit(e) for e in _edges(n_bins)[1:-1]])
     p = F.col(score).cast("double")
-    b = F.size(F.filter(inner, lambda e: e < p))
+    b = count_less(_edges(n_bins)[1:-1], p)
     binned = df.where(F.col(score).isNotNull()).select(b.alias("bin"), p.alias("_p"),
                                                       _label(label).alias("_y"))
     agg = binned.groupBy("bin").agg(F.avg("_p").alias("mean_predicted"),
@@ -190,11 +189,10 @@ def score_histogram(df: DataFrame, label: str, score: str, n_bins: int = 20) ->
     negative``; left-closed bins, last bin closed, scores outside [0, 1]
     ignored, every bin present (the bin domain is generated)."""
     edges = _edges(n_bins)
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
     p = F.col(score).cast("double")
     y = _label(label)
     counted = (df.where(p.between(0.0, 1.0))
-               .select(F.size(F.filter(inner, lambda e: e <= p)).alias("bin"), y.alias("_y"))
+               .select(count_less(edges[1:-1], p, inclusive=True).alias("bin"), y.alias("_y"))
                .groupBy("bin").agg(F.sum("_y").alias("positive"),
                                    F.sum(F.lit(1) - F.col("_y")).alias("negative")))
     domain = df.sparkSession.createDataFrame(
@@ -213,11 +211,10 @@ def threshold_grid(df: DataFrame, label: str, score: str, n: int = 50) -> DataFr
     """
     step = 1.0 / (n - 1)
     grid = [k * step for k in range(n - 1)] + [1.0]
-    garr = F.array(*[F.lit(t) for t in grid])
     p = F.col(score).cast("double")
     y = _label(label)
     b = (df.where(p.isNotNull())
-         .select((F.size(F.filter(garr, lambda t: t <= p)) - 1).alias("_k"), y.alias("_y"))
+         .select((count_less(grid, p, inclusive=True) - 1).alias("_k"), y.alias("_y"))
          .groupBy("_k").agg(F.sum("_y").alias("_pos"), F.sum(F.lit(1) - F.col("_y")).alias("_neg")))
     spread = (b.where(F.col("_k") >= 0)
               .select(F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("k"), "_pos", "_neg")

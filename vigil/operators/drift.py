@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
-from vigil.operators.ordered import _cols, exact_quantiles, safe_div
+from vigil.operators.ordered import _cols, count_less, exact_quantiles, safe_div
 
 # fixed values of the reference configuration
 PSI_EPS = 1e-6
@@ -46,11 +46,11 @@ def psi_edges(ref_long: DataFrame, bins: int = 10) -> DataFrame:
     return q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("edges"))
 
 
-def bin_index(v: Column, edges: Column) -> Column:
-    """Right-closed bin 1..m-1 for edges e0<…<e(m-1), lowest edge included;
-    null when the value is outside [e0, e(m-1)]."""
+def bin_index(v: Column, edges: Column, max_edges: int) -> Column:
+    """Right-closed bin 1..m-1 for edges e0<…<e(m-1) (m <= ``max_edges``),
+    lowest edge included; null when the value is outside [e0, e(m-1)]."""
     first, last = F.element_at(edges, 1), F.element_at(edges, -1)
-    idx = F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < v)))
+    idx = F.greatest(F.lit(1), count_less(edges, v, n=max_edges))
     return F.when((v >= first) & (v <= last), idx)
 
 
@@ -71,6 +71,9 @@ class PsiReference:
         items = [x for f in self.features for x in (F.lit(f), elem(values.get(f)))]
         return F.create_map(*items) if items else F.create_map()
 
+    def max_edges(self) -> int:
+        return max([len(e) for e in self.edges.values()] or [0])
+
     def edges_col(self) -> Column:
         return self._map(self.edges, lambda e: F.array(*[F.lit(float(x)) for x in (e or [])]).cast("array<double>"))
 
@@ -87,7 +90,8 @@ def psi_fit(ref: DataFrame, features: Sequence[str], bins: int = 10) -> PsiRefer
         for r in psi_edges(rl, bins).collect():
             model.edges[r["feature"]] = [float(x) for x in r["edges"]]
         edges = model.edges_col()
-        binned = rl.withColumn("bin", bin_index(F.col("v"), F.element_at(edges, F.col("feature"))))
+        binned = rl.withColumn("bin", bin_index(F.col("v"), F.element_at(edges, F.col("feature")),
+                                                model.max_edges()))
         rows = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()
     finally:
         rl.unpersist()
@@ -124,7 +128,7 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
     feats = model.features
     cl = to_long(cur, feats, g)
     edges = F.element_at(model.edges_col(), F.col("feature"))
-    b = bin_index(F.col("v"), edges)
+    b = bin_index(F.col("v"), edges, model.max_edges())
     if tails:
         b = (F.when(F.col("v") < F.element_at(edges, 1), F.lit(0))
              .when(F.col("v") > F.element_at(edges, -1), F.size(edges)).otherwise(b))

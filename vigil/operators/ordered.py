@@ -12,6 +12,8 @@ deciles and ranks never gather a whole column into one aggregation buffer.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
 from typing import Iterable, Sequence
 
 import numpy as np
@@ -61,6 +63,23 @@ def count_below(df: DataFrame, v: Column, cuts: str, n_cuts: int, out: str) -> D
     return df
 
 
+def count_less(cuts, v: Column, inclusive: bool = False, n: int | None = None) -> Column:
+    """Number of entries of a sorted array that are < ``v`` (<= with
+    ``inclusive``): an unrolled sum of comparisons, codegen'd — a
+    ``size(filter(arr, lambda))`` would be evaluated interpreted on every row.
+    ``cuts`` is a literal list, or an array column of at most ``n`` entries
+    (missing entries count 0)."""
+    def below(e: Column) -> Column:
+        return (e <= v) if inclusive else (e < v)
+
+    if isinstance(cuts, (list, tuple)):
+        terms = [below(F.lit(float(e))).cast("int") for e in cuts]
+    else:
+        terms = [F.coalesce(below(F.try_element_at(cuts, F.lit(k))).cast("int"), F.lit(0))
+                 for k in range(1, (n or 0) + 1)]
+    return reduce(operator.add, terms) if terms else F.lit(0)
+
+
 def cut_points(df: DataFrame, order: Column, group_cols: list[str], buckets: int,
                rows_per_bucket: int) -> DataFrame:
     """Per group: sorted cut points splitting the rows into
