@@ -230,16 +230,22 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups, totals=True)
     vc = vc.withColumn("_end", F.col("_c_cum") - 1).withColumn("_start", F.col("_c_cum") - F.col("_c"))
 
-    # order-statistic positions around (n-1)·q, from the group total on every row (no join)
-    qs = F.array(*[F.lit(float(q)) for q in probs])
-    j = vc.withColumn("_pos", F.transform(qs, lambda q: F.struct(
-        q.alias("q"), ((F.col("_c_tot") - 1).cast("double") * q).alias("h"),
-        F.floor((F.col("_c_tot") - 1).cast("double") * q).cast("long").alias("lo"),
-        F.ceil((F.col("_c_tot") - 1).cast("double") * q).cast("long").alias("hi"))))
-    hits = j.select(*g, "_v", F.explode(F.filter(
-        "_pos", lambda p: ((p["lo"] >= F.col("_start")) & (p["lo"] <= F.col("_end")))
-        | ((p["hi"] >= F.col("_start")) & (p["hi"] <= F.col("_end"))))).alias("p"),
-        "_start", "_end")
+    # order-statistic positions around (n-1)·q from the group total on every row (no join); the
+    # probabilities are unrolled into codegen'd columns (no per-row lambda), and only the few rows whose
+    # position range holds a wanted order statistic are expanded
+    def holds(pos: Column) -> Column:
+        return (pos >= F.col("_start")) & (pos <= F.col("_end"))
+
+    entries, any_hit = [], None
+    for q in probs:
+        h = (F.col("_c_tot") - 1).cast("double") * F.lit(float(q))
+        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        hit = holds(lo) | holds(hi)
+        entries.append(F.when(hit, F.struct(F.lit(float(q)).alias("q"), h.alias("h"), lo.alias("lo"),
+                                            hi.alias("hi"))))
+        any_hit = hit if any_hit is None else any_hit | hit
+    hits = (vc.where(any_hit).select(*g, "_v", F.explode(F.array(*entries)).alias("p"), "_start", "_end")
+            .where(F.col("p").isNotNull()))
     in_lo = (F.col("p.lo") >= F.col("_start")) & (F.col("p.lo") <= F.col("_end"))
     in_hi = (F.col("p.hi") >= F.col("_start")) & (F.col("p.hi") <= F.col("_end"))
     agg = hits.groupBy(*g, F.col("p.q").alias("q")).agg(
