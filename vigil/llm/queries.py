@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import simhash_golay
+from vigil.llm import decontaminate, language_cnn, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,19 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op5_language_cnn")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    return language_cnn.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash_golay")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, at most 2 bits."""
     return simhash_golay.digest(simhash_golay.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query("op10_decontaminate", decontaminate.ORACLE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
