@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, language_cnn, simhash_golay
+from vigil.llm import decontaminate, language_cnn, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op3_secrets_link")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, weak parts only where linked."""
+    return secrets_link.digest(secrets_link.find(table(spark, sf_dir, "documents")))
+
+
 @query("op5_language_cnn")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
