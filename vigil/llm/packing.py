@@ -8,8 +8,8 @@
    possible.  It is solved by multiplicative weights: a length's weight falls
    exponentially with its covered share, and the next configuration is the
    knapsack optimum under these weights, found by dynamic programming.
-3. Rounding takes the whole part of each configuration, as far as counts last,
-   then fills what is left by bounded knapsacks under the program's prices.
+3. Rounding takes the whole part of each configuration, as far as counts last;
+   what is left goes by best fit, longest first, by counts as well.
 4. The result, runs of (length, ranks, sequences, offset), is as small as the
    histogram allows; pieces get their rank within their length by salted
    windows, so that a third of all rows may share one length.
@@ -36,7 +36,9 @@ CAPACITY = 2048
 END = 0
 CACHE = 200_000  # words kept by each Python worker
 SALT_ROWS = 50_000  # pieces of one length that one window sorts, about
-ROUNDS = 400  # of multiplicative weights
+ROUNDS = 40  # of multiplicative weights
+ETA = 4.0  # how fast a covered length loses weight
+SLACK = 0.99  # configurations this near to the best are bought in the same round
 SPECIAL = "<|endoftext|>"
 _LATIN = "ɏ"  # beyond, the reference tokenizer itself is asked
 _blanks = re.compile(r"\s\s|^\s|\s$")
@@ -148,86 +150,106 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | N
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def knapsack(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """How many of each length (by index, at most ``most``) make the most valuable configuration."""
-    idx, size, times = [], [], []
-    for i in range(len(lengths)):
-        left, k = min(int(most[i]), capacity // int(lengths[i])), 1
-        while left > 0:
-            k = min(k, left)
-            idx.append(i), size.append(k * int(lengths[i])), times.append(k)
-            left -= k
-            k *= 2
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(idx), capacity + 1), bool)
-    for j, (i, s, k) in enumerate(zip(idx, size, times)):
-        more = best[:capacity + 1 - s] + value[i] * k
-        better = more > best[s:] + 1e-15
-        took[j, s:] = better
-        best[s:] = np.where(better, more, best[s:])
-    config, c = {}, int(best.argmax())
-    for j in range(len(idx) - 1, -1, -1):
-        if took[j, c]:
-            config[idx[j]] = config.get(idx[j], 0) + times[j]
-            c -= size[j]
-    return config
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS):
-    """Fractional cover by multiplicative weights: ([(configuration, amount)], prices)."""
-    need = counts.astype(float)
-    covered = np.zeros(len(lengths))
-    plan: dict[tuple, float] = {}
-    price = lengths / capacity
-    total = np.zeros(len(lengths))
-    bins = max(1.0, float((need * lengths).sum() / capacity))
-    eta = 8.0
+def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: (value, choice) by room; choice is the index of a length, the
+    longest of equally good ones, or -1."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    order = np.argsort(lengths)
+    size, worth = lengths[order], price[order]
+    fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        k = fits[room]
+        if k:
+            value = worth[:k] + best[room - size[:k]]
+            j = k - 1 - int(value[::-1].argmax())
+            if value[j] > best[room - 1]:
+                best[room], choice[room] = value[j], order[j]
+            else:
+                best[room], choice[room] = best[room - 1], -2  # one unit stays empty
+    return best, choice
+
+
+def configuration(first: int, lengths: np.ndarray, choice: np.ndarray, capacity: int) -> tuple[int, ...]:
+    """The best configuration that holds length ``first`` (an index), as sorted indices."""
+    held, room = [first], capacity - int(lengths[first])
+    while room > 0 and choice[room] != -1:
+        if choice[room] == -2:
+            room -= 1
+        else:
+            held.append(int(choice[room]))
+            room -= int(lengths[choice[room]])
+    return tuple(sorted(held))
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
+    """Fractional cover by multiplicative weights: amounts of configurations (tuples of length indices).
+
+    The price of a length is its size times exp(-eta * covered share).  One
+    dynamic program a round prices, for each length, the best configuration
+    that holds it; those within ``SLACK`` of the best of all are bought, each in
+    a small share of its length's count, before prices change.
+    """
+    need, share = counts.astype(float), np.zeros(len(lengths))
+    plan: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        share = covered / need
+        price = lengths / capacity * np.exp(-ETA * (share - share.min()))
+        best, choice = knapsack(lengths, price, capacity)
+        value = price + best[capacity - lengths]
+        for i in np.nonzero((value >= SLACK * value.max()) & (share < 1))[0].tolist():
+            config = configuration(i, lengths, choice, capacity)
+            amount = need[i] / rounds / config.count(i)
+            plan[config] = plan.get(config, 0.0) + amount
+            for j in config:
+                share[j] += amount / need[j]
         if share.min() >= 1:
             break
-        price = np.where(share < 1, lengths / capacity * np.exp(-eta * share), 0.0)
-        config = knapsack(lengths, price, np.minimum(counts, capacity), capacity)
-        if not config:
-            break
-        i = np.fromiter(config.keys(), int)
-        a = np.fromiter(config.values(), float)
-        step = min(float((need[i] / a).min()), 4 * bins / rounds + 1)  # no length is covered by more than its count at once
-        step = min(step, max(float(((need[i] - covered[i]) / a).max()), 1.0))
-        covered[i] += step * a
-        total += price / max(price.max(), 1e-300)
-        key = tuple(sorted(config.items()))
-        plan[key] = plan.get(key, 0.0) + step
-    return list(plan.items()), total
+    return {c: x / max(1.0, max(share[j] for j in c)) for c, x in plan.items()}
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Longest first, each into the fullest sequence that takes it; equal sequences are held as one entry."""
+    open_: dict[int, list] = {}  # room left -> [(lengths held, sequences)]
+    rooms = np.zeros(capacity + 1, bool)
+
+    def put(room, held, k):
+        open_.setdefault(room, []).append((held, k))
+        rooms[room] = True
+
+    for n, c in sorted(zip(map(int, lengths), map(int, counts)), reverse=True):
+        while c > 0:
+            at = n + int(rooms[n:].argmax())
+            if not rooms[at]:
+                each = capacity // n
+                if c >= each:
+                    put(capacity - n * each, (n,) * each, c // each)
+                if c % each:
+                    put(capacity - n * (c % each), (n,) * (c % each), 1)
+                break
+            held, k = open_[at].pop()
+            if k > c:
+                open_[at].append((held, k - c))
+            rooms[at] = bool(open_[at])
+            put(at - n, held + (n,), min(k, c))
+            c -= min(k, c)
+    return [({n: held.count(n) for n in set(held)}, k) for groups in open_.values() for held, k in groups]
 
 
 def pack_counts(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS):
     """[({length: times}, sequences)] that hold every counted piece exactly once."""
     lengths, left = np.asarray(lengths, int), np.asarray(counts, np.int64).copy()
     made: list[tuple[dict[int, int], int]] = []
-    for i in np.nonzero(lengths == capacity)[0]:
-        made.append(({capacity: 1}, int(left[i])))
-        left[i] = 0
-    keep = left > 0
-    lengths, left = lengths[keep], left[keep]
-    if not len(lengths):
-        return made
-    plan, _ = solve(lengths, left, capacity, rounds)
-    for config, amount in sorted(plan, key=lambda x: -x[1]):
-        k = min([int(amount)] + [int(left[i] // a) for i, a in config])
+    whole = lengths == capacity
+    if left[whole].sum():
+        made.append(({capacity: 1}, int(left[whole].sum())))
+    lengths, left = lengths[~whole & (left > 0)], left[~whole & (left > 0)]
+    for config, amount in sorted(solve(lengths, left, capacity, rounds).items(), key=lambda x: -x[1]):
+        held = {i: config.count(i) for i in set(config)}
+        k = min([int(amount)] + [int(left[i] // a) for i, a in held.items()])
         if k > 0:
-            made.append(({int(lengths[i]): a for i, a in config}, k))
-            for i, a in config:
+            made.append(({int(lengths[i]): a for i, a in held.items()}, k))
+            for i, a in held.items():
                 left[i] -= k * a
-    while left.any():  # what rounding left: full sequences, long pieces first
-        at = np.nonzero(left)[0]
-        value = (lengths[at] / capacity) ** 1.0 * (1 + 0.02 * lengths[at] / capacity)
-        config = knapsack(lengths[at], value, left[at], capacity)
-        k = min(int(left[at[i]] // a) for i, a in config.items())
-        made.append(({int(lengths[at[i]]): a for i, a in config.items()}, k))
-        for i, a in config.items():
-            left[at[i]] -= k * a
-    return made
+    return made + best_fit(lengths[left > 0], left[left > 0], capacity)
 
 
 def runs(made) -> dict[int, np.ndarray]:

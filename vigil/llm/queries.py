@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, language_cnn, secrets_link, simhash_golay
+from vigil.llm import decontaminate, language_cnn, packing, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op3_secrets_link")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, weak parts only where linked."""
