@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, language_cnn, packing, secrets_link, simhash_golay
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, packing, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_link.digest(secrets_link.find(table(spark, sf_dir, "documents")))
 
 
+@query("op4_embedding_tiles", embedding_tiles.ORACLE_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine >= 0.9."""
+    return embedding_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_language_cnn")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
