@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, ngram_kn, packing, secrets_link, simhash_golay
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, ngram_kn, packing, quality_fm, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.digest(simhash_golay.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+@query("op8_quality_fm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels outside the held-out fold."""
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_ngram_kn")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of all documents, learned outside the held-out fold."""
