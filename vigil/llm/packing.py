@@ -35,7 +35,7 @@ from vigil.llm.common import materialize
 CAPACITY = 2048
 END = 0
 CACHE = 200_000  # words kept by each Python worker
-SALT_ROWS = 50_000  # pieces of one length that one window sorts, about
+SALT_ROWS = 2_000  # pieces for each salt; windows sort those of one length and salt
 ROUNDS = 40  # of multiplicative weights
 ETA = 4.0  # how fast a covered length loses weight
 SLACK = 0.99  # configurations this near to the best are bought in the same round

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, ngram_kn, packing, quality_fm, secrets_link, simhash_golay
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_pii_votes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii_votes.digest(pii_votes.find(table(spark, sf_dir, "documents")))
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of at most 2048 tokens."""
