@@ -120,7 +120,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     t = F.col("text").cast("string")
     gaps, parts = F.split(t, ANY_CASE_WORD, -1), F.regexp_extract_all(t, F.lit(ANY_CASE_WORD), F.lit(0))
     kept = F.transform(parts, lambda w, i: F.when(F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(w))
-    cut = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
+    cut = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
     return docs.join(f, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)) \
         .drop("__k_id", "__k_text", "__k_len", "__spans")
 

@@ -17,24 +17,27 @@ class Kind(NamedTuple):
     needs: str  # a cheap pattern that every text with a match contains
 
 
-def _found(number: int, kind: Kind, text: Column) -> Column:
-    """Matches of one kind as array<struct>: gap is the distance from the previous match's end."""
-    gaps = F.split(text, kind.pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    rows = F.transform(hits, lambda h, i: F.struct(
-        F.lit(number).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).cast("long").alias("gap"), h.alias("hit"),
+def _matches(n: int) -> Column:
+    """Structs of kind n's matches, from its columns of hits and of gaps between them."""
+    gaps = F.col(f"g{n}")
+    return F.transform(F.col(f"h{n}"), lambda h, i: F.struct(
+        F.lit(n).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).cast("long").alias("gap"), h.alias("hit"),
         F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")))
-    none = F.array().cast("array<struct<kind:int,i:int,gap:bigint,hit:string,before:string,after:string>>")
-    return F.when(text.rlike(kind.needs), rows).otherwise(none)
 
 
 def scan(docs: DataFrame, kinds: list[Kind]) -> DataFrame:
     """(rid, doc_id, found), one row per row of ``docs(doc_id, text)``; written to
-    the shared folder, so rid stays what it is."""
+    the shared folder, so rid stays what it is.  A match's gap is its distance
+    from the end of the match of its kind before."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.concat(*[_found(n, k, text) for n, k in enumerate(kinds)])
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("found"))
-    return materialize(rows, "matches")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
+    none = F.array().cast("array<string>")
+    for n, k in enumerate(kinds):  # columns of their own: within a lambda they would be made anew for every match
+        needed = F.col("text").rlike(k.needs)
+        rows = rows.withColumns({f"g{n}": F.when(needed, F.split("text", k.pattern, -1)).otherwise(none),
+                                 f"h{n}": F.when(needed, F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(none)})
+    found = [_matches(n) for n in range(len(kinds))]
+    return materialize(rows.select("rid", "doc_id", F.concat(*found).alias("found")), "matches")
 
 
 def positions(scanned: DataFrame) -> DataFrame:
