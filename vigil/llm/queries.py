@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.digest(simhash_golay.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, by path source/doc_id."""
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_fm")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from labels outside the held-out fold."""
