@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
 from array import array
 
@@ -34,7 +35,7 @@ from vigil.llm.common import materialize
 
 CAPACITY = 2048
 END = 0
-CACHE = 200_000  # words kept by each Python worker
+CACHE = 400_000  # words kept by each Python worker, under 100 MB
 SALT_ROWS = 2_000  # pieces for each salt; windows sort those of one length and salt
 ROUNDS = 40  # of multiplicative weights
 ETA = 4.0  # how fast a covered length loses weight
@@ -52,6 +53,13 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _ids(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Ids:
     """Token ids (little-endian unsigned 32-bit) of texts; equal to those of the tokenizer's file."""
 
@@ -76,7 +84,7 @@ class Ids:
         self.bare: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        if text > "" and (max(text) > _LATIN or SPECIAL in text):
+        if (not text.isascii() and max(text) > _LATIN) or SPECIAL in text:
             if self.whole is None:
                 from tokenizers import Tokenizer
 
@@ -84,7 +92,7 @@ class Ids:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+        return _ids(ids)
 
     def _word(self, word: str, cache: dict[str, bytes], lead: str) -> bytes:
         """A chunk without a blank at its ends, after ``lead``; a line break between others is a token of its own."""
