@@ -250,6 +250,8 @@ def pack_counts(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACIT
     if left[whole].sum():
         made.append(({capacity: 1}, int(left[whole].sum())))
     lengths, left = lengths[~whole & (left > 0)], left[~whole & (left > 0)]
+    if not len(lengths):
+        return made
     for config, amount in sorted(solve(lengths, left, capacity, rounds).items(), key=lambda x: -x[1]):
         held = {i: config.count(i) for i in set(config)}
         k = min([int(amount)] + [int(left[i] // a) for i, a in held.items()])
