@@ -9,7 +9,7 @@ from vigil.sources import artifacts, files
 
 def test_duplicate_canonical_names_keep_first(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`FASE 2022` int, fase int, RA int")
-    out = files.canonical_columns(df)
+    out = files.canonical_columns(df, 2022)
     assert out.columns == ["FASE", "RA"] and out.first()["FASE"] == 1
 
 

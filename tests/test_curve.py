@@ -106,18 +106,27 @@ def test_cut_points_balance_a_skewed_distribution(spark):
     assert len(sizes) == 16 and max(sizes) <= 2 * len(vals) / 16
 
 
-@pytest.mark.parametrize("max_distinct", [None, 100_000])   # bucketed kernel / checked percentile path
-def test_exact_quantiles_match_percentile(spark, max_distinct):
+@pytest.mark.parametrize("small_groups", [True, False])
+def test_exact_quantiles_match_percentile(spark, small_groups):
     rng = np.random.default_rng(3)
-    data = [(str(g), float(v)) for g, v in zip(rng.integers(0, 2, 400), np.round(rng.normal(size=400), 1))]
+    data = [([None, "0", "1"][g], float(v)) for g, v in zip(rng.integers(0, 3, 600), rng.normal(size=600) * 7.3)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
     ours = {(r["g"], r["q"]): r["value"] for r in
-            exact_quantiles(df, "v", probs, "g", max_distinct=max_distinct).collect()}
+            exact_quantiles(df, "v", probs, "g", small_groups=small_groups).collect()}
     ref = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in probs])).alias("qs")).collect()
     for r in ref:
         for q, v in zip(probs, r["qs"]):
-            assert ours[(r["g"], q)] == pytest.approx(v, abs=1e-12)
+            assert ours[(r["g"], q)] == v
+    assert len(ours) == 3 * len(probs)
+
+
+def test_exact_quantiles_of_many_distinct_values(spark):
+    df = spark.range(150_000).select((F.col("id") * 7919 % 150_001 / 3.7).alias("v"))
+    probs = [0.1, 0.5, 0.999]
+    ours = {r["q"]: r["value"] for r in exact_quantiles(df, "v", probs).collect()}
+    ref = df.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    assert [ours[q] for q in probs] == ref
 
 
 def test_fair_threshold_feasible_and_fallback(spark):

@@ -2,9 +2,10 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import obs
+from vigil.operators import contract, obs
 from vigil.sources import files
 
 
@@ -35,8 +36,29 @@ def test_csv_delimiter_fallback(spark):
 def test_canonical_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4, 5, 6, 7)], "ra int, `matematica 2023` int, `port 23` int, ing int, "
                                                         "defasagem int, `ano ingresso` int, `inst ensino` int")
-    assert files.canonical_columns(df).columns == ["RA", "NOTA_MAT", "NOTA_PORT", "NOTA_ING", "DEFASAGEM",
-                                                   "ANO_INGRESSO", "INSTITUICAO_ENSINO"]
+    assert files.canonical_columns(df, 2023).columns == ["RA", "NOTA_MAT", "NOTA_PORT", "NOTA_ING", "DEFASAGEM",
+                                                         "ANO_INGRESSO", "INSTITUICAO_ENSINO"]
+
+
+def test_canonical_names_keep_other_years_and_columns(spark):
+    names = {"INDE 22": "INDE 22", "INDE 2023": "INDE", "INDE 23": "INDE", "Fase": "FASE", "Fase ideal": "FASE IDEAL",
+             "Pedra 2023": "PEDRA", "Pedra 21": "PEDRA 21"}
+    assert {n: files.canonical_name(n, 2023) for n in names} == names
+    for target, aliases in files.COLUMN_ALIASES.items():
+        assert {files.canonical_name(a.lower(), 2024) for a in aliases} == {target}
+    assert files.canonical_name("Rec. Psicologia 2022", 2022) == "REC_PSICOLOGIA"
+    assert files.canonical_name("Ponto de virada") == "PONTO_VIRADA"
+
+
+def test_scan_panel_chains_canonical_names_and_contract(spark):
+    d = tempfile.mkdtemp(prefix="vigil-panel-")
+    spark.createDataFrame([(" 1 ", 5.0, 1.0)], "matricula string, `INDE 22` double, `INDE 2023` double").write.parquet(f"{d}/p2023.parquet")
+    spark.createDataFrame([("2", "7,5")], "id_aluno string, `INDE 24` string").write.parquet(f"{d}/p2024.parquet")
+    df = files.scan_panel(spark, [f"{d}/p*.parquet"], required=["RA", "INDE"])
+    got = {r["ANO_REFERENCIA"]: r for r in df.collect()}
+    assert got[2023]["RA"] == "1" and float(got[2023]["INDE"]) == 1.0 and got[2023]["INDE 22"] == 5.0 and got[2024]["RA"] == "2"
+    with pytest.raises(contract.ContractError):
+        files.scan_panel(spark, [f"{d}/p*.parquet"], required=["NOPE"])
 
 
 def test_jsonl_flatten_and_tail(spark):

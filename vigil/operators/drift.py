@@ -17,9 +17,11 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from vigil.functions.clean import to_number
 from vigil.functions.numeric import rnd
-from vigil.operators.ordered import _cols, count_less, exact_quantiles, safe_div
+from vigil.operators.ordered import _cols, count_less, exact_quantiles, safe_div, same_groups
 
 # fixed values of the reference configuration
 PSI_EPS = 1e-6
@@ -31,18 +33,28 @@ PSI_TOP_FEATURES = 5
 STATUS_STABLE, STATUS_MODERATE, STATUS_CRITICAL = "stable", "moderate", "critical"
 
 
-def to_long(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Wide -> ``group…, feature, v`` (double), null values dropped."""
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as double: text that is no number and NaN become null."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, NumericType):
+        d = c.cast("double")
+        return F.when(~F.isnan(d), d) if kind.typeName() in ("float", "double") else d
+    return to_number(c.cast("string"))
+
+
+def to_long(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = (), nulls: bool = False) -> DataFrame:
+    """Wide -> ``group…, feature, v`` (double); values that are no number are
+    dropped, or kept as null with ``nulls``."""
     g = list(group_cols)
-    cast = df.select(*g, *[F.col(f).cast("double").alias(f) for f in features])
-    return (cast.unpivot(g or None, list(features), "feature", "v") if g else
-            cast.unpivot([], list(features), "feature", "v")).where(F.col("v").isNotNull())
+    cast = df.select(*g, *[as_number(df, f).alias(f) for f in features])
+    long = cast.unpivot(g, list(features), "feature", "v")
+    return long if nulls else long.where(F.col("v").isNotNull())
 
 
 def psi_edges(ref_long: DataFrame, bins: int = 10) -> DataFrame:
     """``feature, edges``: sorted distinct reference quantiles at 0, 1/bins … 1."""
     probs = [k / bins for k in range(bins + 1)]
-    q = exact_quantiles(ref_long, "v", probs, "feature")
+    q = exact_quantiles(ref_long, "v", probs, "feature", small_groups=True)  # one group per named feature
     return q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("edges"))
 
 
@@ -126,14 +138,14 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
     reference share 0) and proportions are over all values."""
     g = _cols(group_cols)
     feats = model.features
-    cl = to_long(cur, feats, g)
+    cl = to_long(cur, feats, g, nulls=True)  # a feature without a number still has its row
     edges = F.element_at(model.edges_col(), F.col("feature"))
     b = bin_index(F.col("v"), edges, model.max_edges())
     if tails:
         b = (F.when(F.col("v") < F.element_at(edges, 1), F.lit(0))
              .when(F.col("v") > F.element_at(edges, -1), F.size(edges)).otherwise(b))
     agg = (cl.withColumn("bin", b)
-           .groupBy(*g, "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")))
+           .groupBy(*g, "feature", "bin").agg(F.count("v").alias("n"), F.sum("v").alias("s")))
     tot = agg.groupBy(*g, "feature").agg(
         F.sum("n").alias("n_cur"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("c_in"),
         F.sum("s").alias("s_cur"))
@@ -145,8 +157,8 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
         dom = tot.select(*g, "feature", "c_in",
                          F.explode(F.sequence(F.lit(1), F.greatest(n_edges - 1, F.lit(1)))).alias("bin"))
         dom = dom.where(F.col("bin") < n_edges)
-    j = dom.join(agg.where(F.col("bin").isNotNull()).select(*g, "feature", "bin", "n"),
-                 [*g, "feature", "bin"], "left")
+    j = same_groups(dom, agg.where(F.col("bin").isNotNull()).select(*g, "feature", "bin", "n"),
+                    [*g, "feature", "bin"], "left")
     r = F.element_at(F.element_at(model.shares_col(), F.col("feature")), F.col("bin"))
     if tails:
         r = F.when((F.col("bin") == 0) | (F.col("bin") == n_edges), F.lit(0.0)).otherwise(r)
@@ -154,7 +166,7 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
     eps = F.lit(PSI_EPS)
     term = ((c + eps) - (r + eps)) * F.log((c + eps) / (r + eps))
     s = j.where(F.col("c_in") > 0).groupBy(*g, "feature").agg(F.sum(term).alias("_s"))
-    out = tot.join(s, [*g, "feature"], "left")
+    out = same_groups(tot, s, [*g, "feature"], "left")
     n_ref = model._map(model.n, lambda x: F.lit(int(x or 0)).cast("long"))
     val = (F.when((F.element_at(n_ref, F.col("feature")) == 0) | (F.col("n_cur") == 0) | (n_edges < 3),
                   F.lit(0.0))
@@ -162,7 +174,7 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
            .otherwise(rnd(F.col("_s"), 6)))
     return out.select(*g, "feature", val.alias("psi_raw"), n_edges.alias("n_edges"),
                       F.coalesce("c_in", F.lit(0)).alias("in_range_cur"), "n_cur",
-                      (F.col("s_cur") / F.col("n_cur")).alias("current_mean"))
+                      F.when(F.col("n_cur") > 0, F.col("s_cur") / F.col("n_cur")).alias("current_mean"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
@@ -173,12 +185,12 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
               group_cols: Sequence[str] | str | None = None, flag: float = PSI_FLAG,
-              model: PsiReference | None = None) -> DataFrame:
+              model: PsiReference | None = None, top: int | None = PSI_TOP_FEATURES) -> DataFrame:
     """PSI table: ``group…, feature, psi (4 dp), reference_mean, current_mean,
-    delta_mean, direction, drift_flag, all_out_of_range`` for the first five
-    features present on both sides."""
+    delta_mean, direction, drift_flag, all_out_of_range`` for the first ``top``
+    features (None: all) present on both sides."""
     g = _cols(group_cols)
-    feats = [f for f in features if f in ref.columns and f in cur.columns][:PSI_TOP_FEATURES]
+    feats = [f for f in features if f in ref.columns and f in cur.columns][:top]
     model = model or psi_fit(ref, feats, bins)
     p = psi_apply(model, cur, g)
     rm = F.element_at(model._map(model.mean, lambda x: F.lit(x).cast("double")), F.col("feature"))
@@ -209,7 +221,7 @@ def positive_rate(df: DataFrame, prediction: str | None = "prediction",
     with no prediction column the share of ``segment == high_value``; else 0."""
     g = _cols(group_cols)
     if prediction and prediction in df.columns:
-        hit = (F.coalesce(F.col(prediction).cast("double"), F.lit(0.0)) == 1.0).cast("double")
+        hit = (F.coalesce(as_number(df, prediction), F.lit(0.0)) == 1.0).cast("double")
     elif segment and segment in df.columns:
         hit = (F.col(segment).cast("string") == high_value).cast("double")
     else:
@@ -238,7 +250,11 @@ def rate_shift(ref: DataFrame, cur: DataFrame, prediction: str = "prediction",
 def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null cells / (rows × columns), 6 dp; 0 for an empty frame.  One pass."""
     cols = list(columns or df.columns)
-    nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in cols), F.lit(0))
+    def missing(c: str) -> Column:
+        gone = F.col(c).isNull()
+        return gone | F.isnan(F.col(c)) if df.schema[c].dataType.typeName() in ("float", "double") else gone
+
+    nulls = sum((F.sum(F.coalesce(missing(c), F.lit(True)).cast("long")) for c in cols), F.lit(0))
     agg = df.agg(nulls.alias("_nulls"), F.count(F.lit(1)).alias("_rows"))
     cells = F.col("_rows") * F.lit(len(cols))
     return agg.select(rnd(safe_div(F.col("_nulls").cast("double"), cells.cast("double")), 6)

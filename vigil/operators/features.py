@@ -70,7 +70,7 @@ def train_statistics(train: DataFrame, start: str, age: str, ref_period: str | N
     cols = {"s": to_number(F.col(start)), "a": to_number(F.col(age)),
             "r": to_number(F.col(ref_period)) if ref_period else F.lit(None).cast("double")}
     long = train.select(*[c.alias(k) for k, c in cols.items()]).unpivot([], list(cols), "_k", "_v")
-    med = exact_median(long, "_v", "_k")
+    med = exact_median(long, "_v", "_k", small_groups=True)
     m = med.agg(*[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(f"_m{k}") for k in cols])
     one = train.sparkSession.range(1).select(F.lit(1).alias("_one"))
     j = one.join(m.withColumn("_one", F.lit(1)), "_one", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
-from vigil.operators.ordered import _cols, safe_div, scalar
+from vigil.operators.ordered import _cols, safe_div, scalar, same_groups
 
 # fixed values of the reference configuration
 MIN_RECALL_GATE = 0.6
@@ -122,7 +122,7 @@ def group_weights(df: DataFrame, group: str, name: str = "weight") -> DataFrame:
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     mean = counts.agg(F.avg("_gn").alias("_gm"))
     w = counts.crossJoin(F.broadcast(mean)).select(group, (F.col("_gm") / F.col("_gn")).alias(name))  # one row
-    return df.join(w, group, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1.0)))
+    return same_groups(df, w, [group], "left")  # a null group is a group
 
 
 # --------------------------------------------------------------------------- folds

@@ -98,10 +98,17 @@ def cut_points(df: DataFrame, order: Column, group_cols: list[str], buckets: int
     return per.select(*group_cols, F.coalesce(thin, F.array().cast("array<double>")).alias("_cuts"))
 
 
+def same_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, null being equal to null; ``left``'s columns are kept."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    on = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols])
+    return left.join(named, on, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] | str | None = None,
                  descending: bool = False, buckets: int = DEFAULT_BUCKETS,
-                 small_groups: bool = True, suffix: str = "_cum", totals: bool = False,
+                 small_groups: bool = False, suffix: str = "_cum", totals: bool = False,
                  index: str | None = None, count: str | None = None,
                  lead_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over all rows of the same group whose
@@ -115,9 +122,9 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     Plan: each group's order values are cut into ranges of about
     ``rows_per_bucket`` rows (at most ``buckets``) at approximate quantiles,
     so a skewed value distribution still spreads evenly.  The cut points are
-    a scalar subquery (groups × buckets values, bounded when
-    ``small_groups``), looked up per row by a binary search — nothing
-    group-sized is copied onto the rows.  A window partitioned by
+    a scalar subquery when there is no group, or when the caller vouches for
+    ``small_groups`` (a fixed list such as feature names), looked up per row by
+    a binary search — nothing group-sized is copied onto the rows.  A window partitioned by
     (group, range) does the work; a window over the per-range totals (at most
     ``buckets`` rows per group) gives each range its offset, joined back.
     With unbounded groups the cut points are joined per group instead.
@@ -134,7 +141,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
             lookup = cuts.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("_cuts"))))).scalar()
             b = df.withColumn("_cuts", F.try_element_at(lookup, key))
         else:
-            b = df.join(cuts, g)
+            b = same_groups(df, cuts, g)
         b = count_below(b, o, "_cuts", nb - 1, "_b").drop("_cuts")
     else:
         b = df.withColumn("_b", F.lit(0))
@@ -172,7 +179,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         sel.append(F.lead("_first").over(w_b).alias("_next_first"))
     offsets = per.select(*g, "_b", *sel)
 
-    out = b.join(F.broadcast(offsets) if small_groups else offsets, [*g, "_b"])
+    out = same_groups(b, F.broadcast(offsets) if small_groups else offsets, [*g, "_b"])
     new = [(F.col(f"_{c}_in") + F.col(f"_{c}_off")).alias(f"{c}{suffix}") for c in sum_cols]
     if totals:
         new += [F.col(f"{c}_tot") for c in sum_cols]
@@ -194,37 +201,19 @@ def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str
     return running_sums(df, order_col, [], group_cols, descending=descending, buckets=buckets, index=name)
 
 
-MAX_DISTINCT_IN_BUFFER = 100_000
-
-
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] | str | None = None,
-                    buckets: int = DEFAULT_BUCKETS, small_groups: bool = True,
-                    max_distinct: int | None = MAX_DISTINCT_IN_BUFFER) -> DataFrame:
-    """Exact linear-interpolation quantiles (same as SQL ``percentile`` /
-    ``quantile_cont``).  Nulls are ignored.  Output: ``group…, q, value``.
-
-    Two exact plans, chosen by a checked bound:
-    * when every group holds at most ``max_distinct`` distinct values (HLL
-      estimate, one cheap pass), Spark's ``percentile`` — its buffer is a map
-      of distinct value -> count, so memory is bounded by the check;
-    * otherwise value counts -> distributed running counts (bucketed) -> pick
-      the order statistics around ``(n-1)·q`` -> interpolate; no buffer grows
-      with the data.
+                    buckets: int = DEFAULT_BUCKETS, small_groups: bool = False) -> DataFrame:
+    """Exact linear-interpolation quantiles, equal to SQL ``percentile`` to the
+    last bit.  Null values are ignored; a null group is a group.  Output:
+    ``group…, q, value``.
+
+    One plan at every size: value counts -> distributed running counts
+    (bucketed) -> pick the order statistics around ``(n-1)·q`` -> interpolate;
+    no buffer grows with the data.
     """
     g = _cols(group_cols)
     v = F.col(value_col).cast("double")
-    if max_distinct:
-        nd = (df.where(v.isNotNull()).groupBy(*g).agg(F.approx_count_distinct(v, 0.05).alias("_nd"))
-              .agg(F.max("_nd")).first()[0])
-        if nd is None:
-            return df.sparkSession.createDataFrame(
-                [], df.select(*g).schema.add("q", "double").add("value", "double"))
-        if nd * 1.15 <= max_distinct:  # margin for the estimate's error
-            qs = F.array(*[F.lit(float(q)) for q in probs])
-            agg = df.where(v.isNotNull()).groupBy(*g).agg(F.percentile(v, qs).alias("_vals"))
-            z = F.arrays_zip(qs.alias("q"), F.col("_vals").alias("value"))
-            return agg.select(*g, F.explode(z).alias("_z")).select(*g, "_z.q", "_z.value")
     vc = (df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull())
           .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
     vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups, totals=True)
@@ -249,15 +238,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     in_lo = (F.col("p.lo") >= F.col("_start")) & (F.col("p.lo") <= F.col("_end"))
     in_hi = (F.col("p.hi") >= F.col("_start")) & (F.col("p.hi") <= F.col("_end"))
     agg = hits.groupBy(*g, F.col("p.q").alias("q")).agg(
-        F.first("p.h").alias("h"), F.first("p.lo").alias("lo"),
+        F.first("p.h").alias("h"), F.first("p.lo").alias("lo"), F.first("p.hi").alias("hi"),
         F.max(F.when(in_lo, F.col("_v"))).alias("v_lo"),
         F.max(F.when(in_hi, F.col("_v"))).alias("v_hi"))
-    val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))
+    val = (F.col("hi") - F.col("h")) * F.col("v_lo") + (F.col("h") - F.col("lo")) * F.col("v_hi")
     return agg.select(*g, "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
                       .otherwise(val).alias("value"))
 
 
 def exact_median(df: DataFrame, value_col: str,
-                 group_cols: Sequence[str] | str | None = None) -> DataFrame:
+                 group_cols: Sequence[str] | str | None = None, small_groups: bool = False) -> DataFrame:
     """Exact median per group (``group…, value``)."""
-    return exact_quantiles(df, value_col, [0.5], group_cols).drop("q")
+    return exact_quantiles(df, value_col, [0.5], group_cols, small_groups=small_groups).drop("q")

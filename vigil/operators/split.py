@@ -11,17 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import global_index, scalar
+from vigil.operators.ordered import running_sums, scalar
 
 SEED = 42
 
 
-def _u(key: str, seed: int):
-    """Seeded hash mapped to [0, 1)."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53))
-
-
 def hash_split(df: DataFrame, key: str, train_pct: int = 80, seed: int = SEED, role: str = "role") -> DataFrame:
     """``train`` when pmod(xxhash64(key, seed), 100) < train_pct.  A table with
     fewer than two rows goes wholly to both sides in the reference; here it
@@ -34,16 +28,17 @@ def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.
                      role: str = "role") -> DataFrame:
     """Exactly floor(train_frac · n_class) rows of each class go to ``train``,
     chosen by seeded hash order; when a class has fewer than 2 rows the split
-    is not stratified (one stratum), as in the reference's fallback."""
+    is not stratified (one stratum), as in the reference's fallback.  Rows
+    without a label are a class.  Rows of one key stand by a hash of all their
+    columns, so only equal rows may change places."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.withColumn("_u", _u(key, seed)).withColumn("_min_n", scalar(counts, F.min("_n")))
-    d = d.withColumn("_stratum", F.when(F.col("_min_n") >= 2, F.col(label).cast("string")).otherwise(F.lit("all")))
-    # rank by (hash, key) inside the stratum; ties on the hash are broken by the key
-    d = d.withColumn("_o", F.col("_u") + F.lit(0.0))
-    ranked = global_index(d.withColumn("_ord", F.struct("_o", F.col(key))).withColumn("_ordv", F.col("_o")),
-                          "_ordv", "_stratum", name="_rank")
-    n = ranked.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_sn"))
-    out = ranked.join(F.broadcast(n), "_stratum")
-    return (out.withColumn(role, F.when(F.col("_rank") < F.floor(F.col("_sn") * train_frac), F.lit("train"))
-                           .otherwise(F.lit("test")))
-            .drop("_u", "_min_n", "_stratum", "_o", "_ord", "_ordv", "_rank", "_sn"))
+    whole = F.xxhash64(F.to_json(F.struct(*df.columns)), F.lit(seed))
+    order = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 32)) * F.lit(1 << 21)
+             + F.pmod(whole, F.lit(1 << 21))).cast("double")
+    d = df.withColumn("_o", order).withColumn("_min_n", scalar(counts, F.min("_n")))
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
+    d = d.withColumn("_stratum", F.when(F.col("_min_n") >= 2, stratum).otherwise(F.lit("all")))
+    ranked = running_sums(d, "_o", [], "_stratum", index="_rank", count="_sn")
+    return (ranked.withColumn(role, F.when(F.col("_rank") < F.floor(F.col("_sn") * train_frac), F.lit("train"))
+                              .otherwise(F.lit("test")))
+            .drop("_min_n", "_stratum", "_o", "_rank", "_sn"))

@@ -5,11 +5,9 @@ Scale notes
 - ``lag_features`` uses one window spec for every column (one shuffle by key).
   A panel has one row per (key, period), so a window partition is bounded by
   the number of periods.
-- ``asof_prior`` never builds a request × history product: the history is
-  reduced to one sorted array per key (bounded by the number of distinct
-  periods, checked), equi-joined to the requests (AQE splits a hot key on the
-  request side because the history side is a single row per key), and the
-  prior row is picked with array functions.
+- ``asof_prior`` never builds a request × history product: a history cell
+  knows its key's next period, so the equi-join on the key keeps one cell a
+  request; AQE splits a hot key on the request side.
 - fold tables hold one row per distinct period and are broadcast.
 """
 
@@ -29,11 +27,12 @@ def lag_features(df: DataFrame, key: str, order: str, cols: Sequence[str], fill:
     """Previous *row* per key (gaps between periods are skipped) for ``cols``,
     null -> ``fill``.  ``new_col`` = 1 for the first row of a key; with
     ``compat_new_from=c`` it is 1 when the lagged ``c`` equals 0 (the
-    reference's rule, which also flags real zero priors).  Key or order column
-    absent -> unchanged."""
+    reference's rule, which also flags real zero priors).  Rows of equal order
+    stand by ``tiebreak``, by default by ``cols``.  Key or order column absent
+    -> unchanged."""
     if key not in df.columns or order not in df.columns:
         return df
-    ordering = [F.col(order)] + ([F.col(tiebreak)] if tiebreak else [])
+    ordering = [F.col(order)] + ([F.col(tiebreak)] if tiebreak else _tiebreak(df, [c for c in cols if c in df.columns]))
     w = Window.partitionBy(key).orderBy(*ordering)
     out = df.withColumns({f"{c}{suffix}": F.coalesce(F.lag(c, 1).over(w).cast("double"), F.lit(float(fill)))
                           for c in cols if c in df.columns})
@@ -47,30 +46,33 @@ def lag_features(df: DataFrame, key: str, order: str, cols: Sequence[str], fill:
     return out
 
 
-def last_row_per_key(df: DataFrame, key: str, order: str, cols: Sequence[str] | None = None) -> DataFrame:
+def _tiebreak(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Columns that can be ordered, to decide between rows of equal order: the
+    same row wins on every run and partitioning."""
+    simple = ("array", "map", "struct", "variant")
+    return [F.col(c) for c in cols if df.schema[c].dataType.typeName() not in simple]
+
+
+def last_row_per_key(df: DataFrame, key: str, order: str, cols: Sequence[str] | None = None,
+                     tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Row with the greatest ``order`` per key (``max_by`` — partial aggregation,
-    so a hot key is combined on every executor before the shuffle)."""
+    so a hot key is combined on every executor before the shuffle).  Rows of
+    equal order: the greatest by ``tiebreak``, by default by the kept columns."""
     keep = [c for c in (cols or df.columns) if c not in (key,)]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in keep]), F.col(order)).alias("_r"))
+    rank = F.struct(F.col(order).alias("_o"), *[c.alias(f"_t{i}") for i, c in enumerate(_tiebreak(df, tiebreak or keep))])
+    return (df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in keep]), rank).alias("_r"))
             .select(key, "_r.*"))
 
 
-def history_arrays(panel: DataFrame, key: str, period: str, cols: Sequence[str],
-                   max_periods: int | None = 10000) -> DataFrame:
-    """One row per key: ``_hist`` = array of (period, cols…) sorted by period,
-    the last row winning when a (key, period) cell repeats.  The array size is
-    bounded by the number of distinct periods, which is checked against
-    ``max_periods`` (a panel invariant; a raw event log is not a panel)."""
-    if max_periods is not None:
-        n = panel.select(period).distinct().limit(max_periods + 1).count()
-        if n > max_periods:
-            raise ValueError(f"{n} distinct periods exceed max_periods={max_periods}")
-    cell = last_row_per_key(panel.withColumn("_kp", F.struct(key, period)), "_kp", period,
-                            [c for c in cols if c != period])
-    cell = cell.select(F.col("_kp").getField(key).alias(key), F.col("_kp").getField(period).alias("_period"),
-                       *[c for c in cols if c != period])
-    return cell.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("_period"), *[F.col(c) for c in cols if c != period]))).alias("_hist"))
+def history_cells(panel: DataFrame, key: str, period: str, cols: Sequence[str],
+                  tiebreak: Sequence[str] | None = None) -> DataFrame:
+    """One row per (key, period) with ``_next``, the key's next period (null on its last)."""
+    keep = [c for c in cols if c != period]
+    rank = _tiebreak(panel, tiebreak or keep)
+    cell = (panel.where(F.col(period).isNotNull())
+            .groupBy(F.col(key).alias("_key"), F.col(period).alias("_period"))
+            .agg(F.max_by(F.struct(*[F.col(c) for c in keep]), F.struct(*rank) if rank else F.lit(1)).alias("_m")))
+    return cell.withColumn("_next", F.lead("_period").over(Window.partitionBy("_key").orderBy("_period")))
 
 
 def _as_double(c: Column, dtype) -> Column:
@@ -84,7 +86,7 @@ def _as_double(c: Column, dtype) -> Column:
 
 def asof_prior(requests: DataFrame, panel: DataFrame, key: str, req_period: str, panel_period: str,
                cols: Sequence[str], prefix: str = "prior_", fill: float = 0.0,
-               new_col: str = "is_new", max_periods: int | None = 10000) -> DataFrame:
+               new_col: str = "is_new", tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Strict as-of lookup with cold start (D1 + D2).
 
     For each request: the panel row of the same key with the greatest period
@@ -92,20 +94,22 @@ def asof_prior(requests: DataFrame, panel: DataFrame, key: str, req_period: str,
     overall).  Each metric is parsed to double, unparsable/null -> ``fill``.
     Found -> ``is_new = 0``; no earlier row or unknown key -> zeros and
     ``is_new = 1``.  Requests keep their own columns, duplicates survive.
+
+    A history cell answers the requests after its period up to the key's next
+    one, so an equi-join on the key with that interval meets one cell at most
+    and carries no array, whatever the number of periods.
     """
-    hist = history_arrays(panel, key, panel_period, cols, max_periods)
+    hist = history_cells(panel, key, panel_period, cols, tiebreak)
     rp = F.col(req_period)
-    j = requests.join(hist, key, "left")
-    before = F.filter(F.coalesce(F.col("_hist"), F.array().cast(hist.schema["_hist"].dataType)),
-                      lambda h: rp.isNull() | (h["_period"] < rp))
-    j = j.withColumn("_m", F.when(F.size(before) > 0, F.element_at(before, -1)))
+    within = (rp.isNull() & F.col("_next").isNull()) | ((F.col("_period") < rp) & (F.col("_next").isNull() | (F.col("_next") >= rp)))
+    j = requests.join(hist, (F.col(key) == F.col("_key")) & within, "left")
     out = j.withColumns({
-        f"{prefix}period": F.col("_m._period"),
+        f"{prefix}period": F.col("_period"),
         **{f"{prefix}{c}": F.coalesce(_as_double(F.col(f"_m.{c}"), panel.schema[c].dataType), F.lit(float(fill)))
            for c in cols if c != panel_period},
-        new_col: F.col("_m").isNull().cast("int"),
+        new_col: F.col("_period").isNull().cast("int"),
     })
-    return out.drop("_hist", "_m")
+    return out.drop("_key", "_period", "_next", "_m")
 
 
 def max_period(df: DataFrame, period: str) -> DataFrame:

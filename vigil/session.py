@@ -15,10 +15,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Both rules only rewrite joins against partitioned / selectively filtered scans; on the kernel plans
-    # (windows, repeated subtrees, scalar subqueries) they never fire yet cost seconds of planning per query.
-    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -54,14 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming state.
 
     Reads ``spark.checkpoint.dir`` (the cluster's shared folder).  Only when it
-    is unset — local runs and tests — a scratch folder is created and
-    registered, so later calls agree.
+    is unset on a ``local`` master — tests — a scratch folder is created and
+    registered, so later calls agree; on a cluster it must be set, because no
+    folder of the driver is seen by the executors.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

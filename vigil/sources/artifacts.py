@@ -10,6 +10,7 @@ history is the table itself.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from typing import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -59,8 +60,8 @@ def promote_model(model: PipelineModel, base: str, registry: str, f1: float, rec
     backups) and append a pointer row to the ``registry`` table."""
     spark = SparkSession.getActiveSession()
     version = version or version_tag()
-    path = f"{base.rstrip('/')}/{version}"
-    model.write().overwrite().save(path)
+    path = f"{base.rstrip('/')}/{version}-{uuid.uuid4().hex[:8]}"  # two promotions of one day keep both models
+    model.write().save(path)
     row = spark.createDataFrame([(version, path, f1, recall)], "version string, path string, f1 double, recall double")
     row.withColumn("promoted_at", F.current_timestamp()).select("version", "path", "promoted_at", "f1", "recall") \
         .write.mode("append").parquet(registry)

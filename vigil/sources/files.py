@@ -16,17 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# fixed values of the reference loader (alias rules for canonical names)
-PERIOD_PATTERN = r"(20\d{2})"
-KEY_ALIASES = ["RA"]
+# fixed values of the reference loader: period names, exact aliases, and words that together rename a column
+PERIOD_PATTERN = r"(202\d)"
 COLUMN_ALIASES = {
-    "MATEMATICA": "NOTA_MAT", "MAT": "NOTA_MAT",
-    "PORTUGUES": "NOTA_PORT", "PORT": "NOTA_PORT",
-    "INGLES": "NOTA_ING", "ING": "NOTA_ING",
-    "DEFAS": "DEFASAGEM",
+    "RA": ["RA", "ID_ALUNO", "CODIGO_ALUNO", "MATRICULA"],
+    "NOTA_MAT": ["MAT", "MATEM", "MATEMATICA"],
+    "NOTA_PORT": ["POR", "PORT", "PORTUG", "PORTUGUES"],
+    "NOTA_ING": ["ING", "INGL", "INGLES"],
+    "DEFASAGEM": ["DEFAS", "DEFASAGEM"],
 }
-CONTAINS_RULES = [(("ANO", "INGRESSO"), "ANO_INGRESSO"), (("INST", "ENSINO"), "INSTITUICAO_ENSINO"),
-                  (("PEDRA",), "PEDRA"), (("FASE",), "FASE")]
+ENTRY_YEAR = (("ANO", "INGRESSO"), "ANO_INGRESSO")
+LATER_RULES = [
+    (("INST", "ENSINO"), "INSTITUICAO_ENSINO"),
+    (("PONTO", "VIRADA"), "PONTO_VIRADA"),
+    (("PSICOLOGIA", "REC"), "REC_PSICOLOGIA"),
+]
+KEY = "RA"
 
 
 class SourceError(FileNotFoundError):
@@ -34,10 +39,18 @@ class SourceError(FileNotFoundError):
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
-    """Union by column name, keeping duplicates; missing columns become null."""
+    """Union by column name, keeping duplicates; missing columns become null.
+    A column that is text in one input and a number in another becomes text
+    (the coercions parse it later), not a failing cast."""
     frames = list(frames)
     if not frames:
         raise SourceError("nothing to union")
+    types: dict[str, set[str]] = {}
+    for f in frames:
+        for c, t in f.dtypes:
+            types.setdefault(c, set()).add(t)
+    mixed = {c for c, ts in types.items() if len(ts) > 1 and "string" in ts}
+    frames = [f.withColumns({c: F.col(f"`{c}`").cast("string") for c in f.columns if c in mixed}) for f in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -59,14 +72,15 @@ def _expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 def scan_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
               period_col: str | None = "period", period_pattern: str = PERIOD_PATTERN,
-              options: Mapping[str, str] | None = None) -> DataFrame:
+              options: Mapping[str, str] | None = None, prepare=None) -> DataFrame:
     """All inputs matching ``paths`` (globs allowed) as one DataFrame.
 
-    No match -> SourceError.  The period is the first ``20YY`` in each
+    No match -> SourceError.  The period is the first ``202Y`` in each
     input's own name; inputs without one are skipped and if none remains a
     SourceError is raised.  Inputs of the same period are read together and
     tagged with it, then periods are unioned by column name (missing columns
-    become null) — one read per distinct period, not per file.  Data laid out
+    become null) — one read per distinct period, not per file.  ``prepare(df,
+    period)`` is applied to each period's columns before.  Data laid out
     in ``period=YYYY`` folders needs none of this: Spark discovers it."""
     found = _expand(spark, paths)
     if not found:
@@ -81,7 +95,8 @@ def scan_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
             by_period.setdefault(int(m.group(1)), []).append(f)
     if not by_period:
         raise SourceError("no input file carries a period in its name")
-    return union_all(reader.load(fs).withColumn(period_col, F.lit(p).cast("int"))
+    prepare = prepare or (lambda df, period: df)
+    return union_all(prepare(reader.load(fs), p).withColumn(period_col, F.lit(p).cast("int"))
                      for p, fs in sorted(by_period.items()))
 
 
@@ -108,36 +123,43 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df
 
 
-def canonical_name(name: str) -> str:
-    """Upper, trim, strip accents, drop a ``[ _]YYYY`` anywhere and ``[ _]YY``
-    at the end, spaces -> underscores, then the alias rules."""
-    n = unicodedata.normalize("NFKD", str(name)).encode("ascii", "ignore").decode("ascii")
-    n = n.upper().strip()
-    n = re.sub(r"[ _]20\d{2}", "", n)
-    n = re.sub(r"[ _]\d{2}$", "", n)
-    n = re.sub(r"\s+", "_", n.strip())
-    if n in COLUMN_ALIASES:
-        return COLUMN_ALIASES[n]
-    parts = set(n.replace("_", " ").split())
-    for needles, target in CONTAINS_RULES:
-        if all(any(p.startswith(nd) for p in parts) for nd in needles):
-            return target
-    return n
-
-
-def canonical_columns(df: DataFrame) -> DataFrame:
-    """Rename to canonical names, then keep the first of duplicated names."""
-    names = [canonical_name(c) for c in df.columns]
+def canonical_name(name: str, period: int | None = None) -> str:
+    """The contract's name of a sheet's column: upper case, no accents, without
+    the sheet's *own* year (another year stays: it is another column), then the
+    aliases.  Two columns that differ in anything else stay two."""
+    n = unicodedata.normalize("NFKD", str(name).upper().strip()).encode("ascii", "ignore").decode("ascii")
+    if period is not None:
+        n = re.sub(rf"[ _]{period}|[ _]{period % 100:02d}$", "", n)
+    by_alias = {alias: target for target, aliases in COLUMN_ALIASES.items() for alias in aliases}
+    rules = LATER_RULES + ([] if n in by_alias else [ENTRY_YEAR])
+    return next((target for needles, target in rules if all(w in n for w in needles)), by_alias.get(n, n))
+
+
+def canonical_columns(df: DataFrame, period: int | None = None) -> DataFrame:
+    """Rename to canonical names, then keep the first of equal names; the key is trimmed text."""
+    names = [canonical_name(c, period) for c in df.columns]
     tmp = [f"_c{i}" for i in range(len(names))]
     d = df.toDF(*tmp)
     seen, keep = set(), []
     for t, n in zip(tmp, names):
         if n not in seen:
             seen.add(n)
-            keep.append(F.col(t).alias(n))
+            keep.append((F.trim(F.col(t).cast("string")) if n == KEY else F.col(t)).alias(n))
     return d.select(*keep)
 
 
+def scan_panel(spark: SparkSession, paths: Sequence[str], required: Sequence[str] = (), types: Mapping[str, str] | None = None,
+               period_col: str = "ANO_REFERENCIA", fmt: str = "parquet", options: Mapping[str, str] | None = None) -> DataFrame:
+    """The loader as one plan: every input canonicalised with its own period,
+    tagged, unioned by name, then the contract — required columns, at least one
+    row, types."""
+    from vigil.operators import contract
+
+    df = scan_many(spark, paths, fmt, period_col, options=options, prepare=canonical_columns)
+    df = contract.require_non_empty(contract.require_columns(df, [*required, period_col]))
+    return contract.coerce_types(df, types, fill=None) if types else df
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with an explicit schema; malformed lines become null rows
     (line-level tolerance) instead of failing the whole file."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -77,26 +77,28 @@ def windowed_error_rate(events: DataFrame, interval: str = "5 minutes") -> DataF
             .select(F.col("w.start").cast("timestamp_ntz").alias("bucket_start"), "n", "error_pct"))
 
 
-def latest_per_facet(events: DataFrame, facet: Callable = None) -> DataFrame:
-    """Latest value per host (user_id % 10) — a keyed running ``max_by``
-    (state is one row per facet), emitted in update mode."""
-    host = (F.col("user_id") % 10).alias("host")
-    return events.groupBy(host).agg(
+def latest_per_facet(events: DataFrame, facet: Column | None = None) -> DataFrame:
+    """Latest value per ``facet`` (default: host = user_id % 10), as column
+    ``host`` — a keyed running ``max_by`` (state is one row per facet), emitted
+    in update mode."""
+    host = F.col("user_id") % 10 if facet is None else facet
+    return events.groupBy(host.alias("host")).agg(
         F.max_by(F.struct("value", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts")),
                  F.struct("ts", "event_id")).alias("l")).select(
         "host", F.col("l.value").alias("latest_value"), F.col("l.event_type").alias("latest_type"),
         F.col("l.ts").alias("latest_ts"))
 
 
-def await_all(q: StreamingQuery, timeout_s: int = 600) -> None:
-    q.awaitTermination(timeout_s)
+def await_all(q: StreamingQuery) -> None:
+    """Wait until an ``availableNow`` query has read everything, however long it takes."""
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
 def drift_monitor(current: DataFrame, reference: DataFrame, features, history_path: str,
                   prediction: str = "prediction", available_now: bool = True,
-                  interval_seconds: int = SNAPSHOT_SECONDS) -> StreamingQuery:
+                  interval_seconds: int = SNAPSHOT_SECONDS, top: int | None = drift.PSI_TOP_FEATURES) -> StreamingQuery:
     """Drift snapshot per micro-batch against a reference fitted once.
 
     Every batch adds one row (samples, average PSI, drifted feature count,
@@ -105,7 +107,7 @@ def drift_monitor(current: DataFrame, reference: DataFrame, features, history_pa
     a batch with fewer than 5 rows appends nothing (insufficient samples).
     With ``available_now=False`` the processing-time trigger is the
     snapshot throttle (at most one snapshot per interval)."""
-    feats = [f for f in features if f in reference.columns and f in current.columns][:drift.PSI_TOP_FEATURES]
+    feats = [f for f in features if f in reference.columns and f in current.columns][:top]
     model = drift.psi_fit(reference, feats)
     ref_rate = drift.positive_rate(reference, prediction).first()["rate"]
 
@@ -119,7 +121,7 @@ def drift_monitor(current: DataFrame, reference: DataFrame, features, history_pa
     def _snapshot(batch: DataFrame, bid: int) -> None:
         if batch.limit(5).count() < 5:
             return
-        p = drift.psi_table(reference, batch, feats, model=model)
+        p = drift.psi_table(reference, batch, feats, model=model, top=None)
         s = drift.drift_summary(p)
         r = drift.positive_rate(batch, prediction).withColumnRenamed("rate", "current_rate")
         n = batch.agg(F.count(F.lit(1)).alias("samples"))
