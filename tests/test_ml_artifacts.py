@@ -31,6 +31,9 @@ def test_train_promote_and_load(spark, small_dir):
     out, model = training.train_and_evaluate(_panel(spark, small_dir), SPEC, n_trees=5, max_depth=3)
     m = {r["metric"]: r["value"] for r in out.collect()}
     assert 0.0 <= m["threshold"] <= 1.0 and m["train_rows"] > 0 and m["test_rows"] > 0
+    assert m["validation_rows"] > 0 and m["threshold_source:validation"] == 1.0
+    assert m["tn"] + m["fp"] + m["fn"] + m["tp"] == m["test_rows"] and m["f1_low"] <= m["f1_high"]
+    assert sum(k.startswith("calibration:") for k in m) == 1 and any(k.startswith("group:") for k in m)
     base, reg = tempfile.mkdtemp(prefix="vigil-models-"), tempfile.mkdtemp(prefix="vigil-reg-") + "/registry"
     assert artifacts.current_model(spark, reg) == (None, None)
     v = artifacts.promote_model(model, base, reg, m["f1"], m["recall"], version="v2024.01.01")

@@ -122,6 +122,30 @@ def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str,
             .unionByName(b(isot, "_q").select(F.lit("isotonic").alias("candidate"), "brier")))
 
 
+ISOTONIC_MAX_ROWS = 200_000  # rows an isotonic fit may see: Spark merges its pooled blocks on the driver
+
+
+def apply_calibration(method: str, fitted_on: DataFrame, df: DataFrame, label: str, score_col: str, key: str) -> DataFrame:
+    """``df`` with ``score_col`` calibrated by ``method`` (none, sigmoid or isotonic)
+    fitted on held-out scores.  Isotonic takes at most about
+    ``ISOTONIC_MAX_ROWS`` of them, chosen by a hash of the key."""
+    if method == "none":
+        return df
+    eps = 1e-6
+    logit = lambda c: F.log(F.least(F.greatest(c, F.lit(eps)), F.lit(1 - eps)) / (1 - F.least(F.greatest(c, F.lit(eps)), F.lit(1 - eps))))
+    base = fitted_on.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"), F.col(score_col).cast("double").alias("_p"))
+    if method == "sigmoid":
+        va = VectorAssembler(inputCols=["_logit"], outputCol="_f")
+        m = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, probabilityCol="_pp", rawPredictionCol="_rp",
+                               predictionCol="_pr").fit(va.transform(base.withColumn("_logit", logit(F.col("_p")))))
+        out = m.transform(va.transform(df.withColumn("_logit", logit(F.col(score_col)))))
+        return out.withColumn(score_col, vector_to_array("_pp")[1]).drop("_logit", "_f", "_pp", "_rp", "_pr")
+    n = base.count()
+    part = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, ISOTONIC_MAX_ROWS / max(n, 1)) * (1 << 30))
+    m = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(base.where(part))
+    return m.transform(df.withColumn("_p", F.col(score_col))).withColumn(score_col, F.col("_q")).drop("_p", "_q")
+
+
 def choose_calibration(cands: DataFrame, n_rows: int, n_classes: int) -> DataFrame:
     """Lowest Brier; switch away from ``none`` only for a gain >= 1e-4; too few
     rows (< 50) or a single class -> ``none``."""

@@ -13,7 +13,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import curve, features, metrics, ml, temporal
+from vigil.operators import curve, features, metrics, ml, split, temporal
 from vigil.session import checkpoint_dir
 
 # fixed values of the reference configuration
@@ -22,9 +22,15 @@ LEAKING_COLUMNS = ["INDE", "PEDRA", "DEFASAGEM", "NOTA_PORT", "NOTA_MAT", "NOTA_
 
 def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREES,
                        max_depth: int = ml.MAX_DEPTH, strategy: str = "fairness_f1",
-                       current_f1: float | None = None) -> tuple[DataFrame, object]:
+                       current_f1: float | None = None, threshold_source: str = "validation") -> tuple[DataFrame, object]:
     """Returns (metrics long table ``metric, value``, fitted model).
 
+    A quarter of the training keys is held out by hash: a forest fitted on the
+    rest scores it, and on these scores the calibration (by Brier) and, with
+    ``threshold_source="validation"``, the threshold are chosen, so that the test
+    rows only report.  ``"test"`` picks the threshold on the test rows.  The
+    returned forest is refitted on all training rows.
+
     ``spec`` keys: key, period, label_gap / label_index / label_tier, lag_cols,
     leak_cols, start, age, group (sensitive, fairness only), code.
     """
@@ -49,20 +55,33 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
     numeric = [spec["age"], "tenure", *priors, "is_new"]
     categorical = [c for c in [spec.get("code")] if c]
     train = ml.balanced_weights(prepared.where(F.col("role") == "train"), "label", spec.get("group"))
+    if threshold_source not in ("validation", "test"):
+        raise ValueError(f"threshold_source: {threshold_source!r}")
+    inner = split.hash_split(train, spec["key"], 75, role="_inner")
+    first = ml.fit(inner.where(F.col("_inner") == "train"), numeric, categorical, "label", "weight", n_trees=n_trees, max_depth=max_depth)
+    raw_val = ml.score(first, inner.where(F.col("_inner") == "test"), categorical).checkpoint(eager=True)
+    size = raw_val.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
+    method = "none"
+    if size["k"] >= 2 and size["n"] >= ml.CALIBRATION_MIN_ROWS:
+        cands = ml.calibration_candidates(raw_val, "label", "p", spec["key"])
+        method = ml.choose_calibration(cands, int(size["n"]), int(size["k"])).where("chosen").first()["candidate"]
+    calibrated = lambda df: ml.apply_calibration(method, raw_val, df, "label", "p", spec["key"])
     model = ml.fit(train, numeric, categorical, "label", "weight", n_trees=n_trees, max_depth=max_depth)
-    scored = ml.score(model, prepared, categorical).persist()
+    scored = calibrated(ml.score(model, prepared, categorical)).persist()
     test = scored.where(F.col("role") == "test")
     tr = scored.where(F.col("role") == "train")
+    chosen_on = test if threshold_source == "test" or not size["n"] else calibrated(raw_val)
     grp = spec.get("group")
     if strategy == "fairness_f1" and grp:
-        pick = curve.fair_threshold(test, "label", "p", grp)
+        pick = curve.fair_threshold(chosen_on, "label", "p", grp)
     elif strategy == "recall":
-        pick = curve.max_recall_threshold(test, "label", "p").withColumn("strategy", F.lit("recall"))
+        pick = curve.max_recall_threshold(chosen_on, "label", "p").withColumn("strategy", F.lit("recall"))
     elif strategy == "cost":
-        pick = curve.min_cost_threshold(test, "label", "p").withColumn("strategy", F.lit("cost"))
+        pick = curve.min_cost_threshold(chosen_on, "label", "p").withColumn("strategy", F.lit("cost"))
     else:
-        pick = curve.best_f1_threshold(test, "label", "p").withColumn("strategy", F.lit("f1"))
-    t = float(pick.select("threshold").first()[0])
+        pick = curve.best_f1_threshold(chosen_on, "label", "p").withColumn("strategy", F.lit("f1"))
+    picked = pick.select("threshold", "strategy").first()
+    t = float(picked["threshold"])
     pred = metrics.predicted("p", t)
     m_test = metrics.classification_metrics(test, "label", pred).first()
     m_train = metrics.classification_metrics(tr, "label", pred).first()
@@ -74,11 +93,18 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
                (current_f1 is None or m_test["f1"] >= current_f1 * metrics.GATE_F1_RATIO))
     rows = [("threshold", t), ("recall", m_test["recall"]), ("precision", m_test["precision"]),
             ("f1", m_test["f1"]), ("auc", auc.get("test")), ("brier", brier),
-            ("train_f1", m_train["f1"]), ("train_auc", auc.get("train")),
+            ("tn", m_test["tn"]), ("fp", m_test["fp"]), ("fn", m_test["fn"]), ("tp", m_test["tp"]),
+            ("train_recall", m_train["recall"]), ("train_precision", m_train["precision"]), ("train_f1", m_train["f1"]), ("train_auc", auc.get("train")),
             ("overfit_gap_f1", round(m_train["f1"] - m_test["f1"], 4)),
             ("baseline_f1", base["f1"]), ("baseline_recall", base["recall"]),
             ("baseline_precision", base["precision"]), ("promote", float(promote)),
-            ("train_rows", float(tr.count())), ("test_rows", float(test.count()))]
+            ("train_rows", m_train["support"]), ("test_rows", m_test["support"]), ("validation_rows", size["n"]),
+            (f"calibration:{method}", 1.0), (f"threshold_source:{threshold_source}", 1.0), (f"strategy:{picked['strategy']}", 1.0)]
+    interval = metrics.bootstrap_f1(test, "label", pred).first()
+    rows += [(c, interval[c]) for c in ("f1_mean", "f1_std", "f1_low", "f1_high")]
+    if grp:
+        for r in metrics.group_metrics(test, "label", pred, [grp]).collect():
+            rows += [(f"group:{r['value']}:{c}", r[c]) for c in ("recall", "precision", "f1", "support")]
     rows += [(f"importance:{n}", v) for n, v in ml.feature_importance(model, numeric, categorical)]
     out = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "metric string, value double")
     scored.unpersist()

@@ -125,6 +125,15 @@ def timeseries_avg(spark, d):
                            [rnd(F.avg("duration"), 6).alias("avg_duration"), F.count(F.lit(1)).alias("n")])
 
 
+@query("timeseries_percentile", with_ctes(API_SQL) + """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, round(quantile_cont(duration, 0.95), 6) AS p95
+FROM api WHERE duration IS NOT NULL GROUP BY 1""")
+def timeseries_percentile(spark, d):
+    """Exact 95th percentile of the duration per hour; the hours are groups without a bound."""
+    hours = api(spark, d).select(F.window("ts", "1 hour").alias("w"), "duration").select(F.col("w.start").alias("bucket_start"), "duration")
+    return obs.percentiles(hours, "duration", [0.95], ["bucket_start"]).select("bucket_start", rnd("p95", 6).alias("p95"))
+
+
 @query("timeseries_facet_topn", with_ctes(API_SQL, """
 top AS (SELECT host FROM api GROUP BY host ORDER BY avg(duration) DESC, host ASC LIMIT 8)""") + """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, host, round(avg(duration), 6) AS avg_duration,

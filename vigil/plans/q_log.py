@@ -209,7 +209,7 @@ ncur AS (SELECT count(*) AS samples, max(ts) AS window_ts FROM log WHERE NOT is_
 
 
 def _snapshot(spark, d):
-    ref, cur = _split(spark, d)
+    ref, cur = (x.where(F.col("prediction").isNotNull()) for x in _split(spark, d))
     p = _psi(spark, d)
     st = _status(spark, d, p)
     top = drift.top_features(p)

@@ -1,6 +1,6 @@
-"""Queries without an exact SQL oracle: seeded splits, bootstrap, Spark ML
-training and calibration, prediction-log rows and the streaming twins.
-Each is checked by row counts in the driver and by invariants in tests/."""
+"""Seeded splits, bootstrap, Spark ML training and calibration, prediction-log
+rows and the streaming twins.  Those without an exact SQL oracle are checked by
+row counts in the driver and by invariants in tests/."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigil.functions import decision as dec
 from vigil.functions.numeric import rnd
 from vigil.operators import metrics, ml, split, training
-from vigil.plans.bindings import LOG_FEATURES, log, panel, scored
+from vigil.plans.bindings import LOG_FEATURES, SCORED_SQL, log, panel, scored, with_ctes
 from vigil.plans.registry import query
 from vigil.streaming import monitors
 
@@ -26,6 +26,14 @@ def stratified_split(spark, d):
     return split.stratified_split(scored(spark, d), "y", "id").select("id", "y", "role")
 
 
+@query("stratified_counts", with_ctes(SCORED_SQL, "c AS (SELECT y, count(*) AS n FROM scored GROUP BY y)") + """
+SELECT y, 'train' AS role, CAST(floor(n * 0.8) AS BIGINT) AS n FROM c
+UNION ALL SELECT y, 'test', CAST(n - floor(n * 0.8) AS BIGINT) FROM c""")
+def stratified_counts(spark, d):
+    """Rows of each class on each side of the exact stratified split."""
+    return split.stratified_split(scored(spark, d), "y", "id").groupBy("y", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("bootstrap_f1")
 def bootstrap_f1(spark, d):
     return metrics.bootstrap_f1(scored(spark, d), "y", metrics.predicted("p", T), "grp")
@@ -69,31 +77,34 @@ def prediction_log_rows(spark, d):
                  dec.risk_label(pred).alias("label")).alias("prediction_result"))
 
 
-@query("stream_timeseries")
+@query("stream_timeseries", """
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket_start, round(avg(value), 6) AS avg_value, count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
 def stream_timeseries(spark, d):
-    q, path = monitors.run_to_parquet(monitors.windowed_timeseries(monitors.event_stream(spark, d)), "timeseries")
+    q, read = monitors.run_latest(monitors.windowed_timeseries(monitors.event_stream(spark, d)), "timeseries", ["bucket_start"])
     monitors.await_all(q)
-    return spark.read.parquet(path)
+    return read().withColumn("avg_value", rnd("avg_value", 6))
 
 
-@query("stream_error_rate")
+@query("stream_error_rate", """
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket_start, count(*) AS n,
+       round(100.0 * avg(CASE WHEN event_type = 'error' THEN 1.0 WHEN event_type IS NOT NULL THEN 0.0 END), 6) AS error_pct
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
 def stream_error_rate(spark, d):
-    q, path = monitors.run_to_parquet(monitors.windowed_error_rate(monitors.event_stream(spark, d)), "error_rate")
+    q, read = monitors.run_latest(monitors.windowed_error_rate(monitors.event_stream(spark, d)), "error_rate", ["bucket_start"])
     monitors.await_all(q)
-    return spark.read.parquet(path)
+    return read().withColumn("error_pct", rnd("error_pct", 6))
 
 
-@query("stream_latest")
+@query("stream_latest", """
+SELECT host, value AS latest_value, event_type AS latest_type, ts AS latest_ts
+FROM (SELECT user_id % 10 AS host, value, event_type, ts,
+             row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts IS NOT NULL)
+WHERE r = 1""")
 def stream_latest(spark, d):
-    out = monitors._run_dir(spark, "latest_out")
-
-    def sink(batch, _bid):
-        batch.write.mode("overwrite").parquet(out)
-
-    q = monitors.run_foreach_batch(monitors.latest_per_facet(monitors.event_stream(spark, d)), "latest", sink,
-                                   mode="complete")
+    q, read = monitors.run_latest(monitors.latest_per_facet(monitors.event_stream(spark, d)), "latest", ["host"])
     monitors.await_all(q)
-    return spark.read.parquet(out)
+    return read()
 
 
 @query("stream_drift")

@@ -3,7 +3,8 @@
 The event log is read with ``readStream`` (explicit schema), event time is
 the ``ts`` column cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ), and a
 10-minute watermark bounds the state.  Tumbling-window aggregates run in
-append mode (an open window is emitted once the watermark passes it).  The
+append mode (a window is emitted once the watermark passes it) or, by
+``run_latest``, in update mode with each window's last state kept.  The
 drift monitor re-uses the batch snapshot inside ``foreachBatch`` and appends
 one history row per micro-batch — the throttle of the reference becomes a
 processing-time trigger.  Sinks are parquet folders under the shared
@@ -18,6 +19,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigil.operators import drift
 from vigil.session import checkpoint_dir
@@ -62,15 +64,39 @@ def run_foreach_batch(df: DataFrame, name: str, fn: Callable[[DataFrame, int], N
     return w.start()
 
 
+def run_latest(df: DataFrame, name: str, keys: list[str], available_now: bool = True,
+               processing_seconds: int | None = None) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Start a query in update mode: every micro-batch writes the rows it changed
+    under its own ``batch_id=`` folder (a replayed batch rewrites its own), and
+    the returned reader gives each key's last row — open windows included, with
+    the state still bounded by the watermark."""
+    spark = df.sparkSession
+    out = _run_dir(spark, f"{name}_out")
+
+    def sink(batch: DataFrame, bid: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={bid}")
+
+    q = run_foreach_batch(df, name, sink, mode="update", available_now=available_now,
+                          processing_seconds=processing_seconds or SNAPSHOT_SECONDS)
+
+    def read() -> DataFrame:
+        every = spark.read.schema(StructType([*df.schema.fields, StructField("batch_id", LongType())])).parquet(out)
+        kept = [c for c in df.columns if c not in keys]
+        return (every.groupBy(*keys).agg(F.max_by(F.struct(*kept), "batch_id").alias("_l"))
+                .select(*[F.col(c) if c in keys else F.col(f"_l.{c}") for c in df.columns]))
+
+    return q, read
+
+
 def windowed_timeseries(events: DataFrame, interval: str = "5 minutes") -> DataFrame:
-    """Average value and count per tumbling window (append mode)."""
+    """Average value and count per tumbling window."""
     return (events.groupBy(F.window("ts", interval).alias("w"))
             .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("bucket_start"), "avg_value", "n"))
 
 
 def windowed_error_rate(events: DataFrame, interval: str = "5 minutes") -> DataFrame:
-    """Error percentage per tumbling window (append mode)."""
+    """Error percentage per tumbling window."""
     err = (F.col("event_type") == "error").cast("int")
     return (events.groupBy(F.window("ts", interval).alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), (100.0 * F.avg(err)).alias("error_pct"))
