@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
-    from vigil.plans import q_api, q_dirty, q_log, q_panel, q_rows, q_scored  # noqa: F401
+    from vigil.plans import q_api, q_dirty, q_events, q_log, q_panel, q_rows, q_scored  # noqa: F401
