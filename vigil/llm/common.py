@@ -42,8 +42,10 @@ def remainder(id_col: str | Column, n: int) -> Column:
 
 
 def ascii_lower(c: str | Column) -> Column:
-    """Lower-case A-Z only; null stays null."""
-    return F.translate(F.col(c) if isinstance(c, str) else c, UPPER, LOWER)
+    """Lower-case A-Z only; null stays null.  ``translate`` looks every character
+    up in a table, so it is left to texts that are not plain ASCII."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -18,16 +18,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.llm.common import ascii_lower, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
 MAX_BROADCAST_WINDOWS = 300_000  # of about 200 bytes
 
 
+def _split(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.array_remove(F.split(text, pattern, -1), ""), F.array().cast("array<string>"))
+
+
 def words(text: str) -> Column:
     """Normalised words of a column; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(F.col(text).cast("string")), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    return _split(ascii_lower(F.col(text).cast("string")), NO_WORD)
 
 
 def anchored_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -84,7 +88,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N,
     """
     found = materialize(hits(docs, benchmark, n, max_broadcast_windows), "hits")
     f = found.select(*[F.col(c).alias(f"f{c}") for c in ("k_id", "k_text", "k_len")], "spans", "items")
-    every = docs.select(*_key(), F.size(words("text")).cast("long").alias("n_words"))
+    n_words = F.size(_split(F.col("text").cast("string"), ANY_CASE_NO_WORD))  # case doesn't move them
+    every = docs.select(*_key(), n_words.cast("long").alias("n_words"))
     same = [F.col(c).eqNullSafe(F.col(f"f{c}")) for c in ("k_id", "k_text", "k_len")]
     return every.join(f, same[0] & same[1] & same[2], "left").select(
         F.col("k_id").alias("doc_id"), "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
