@@ -101,6 +101,17 @@ def test_redact(spark):
     assert plain == {(i, t) for i, t, *_ in rows()}
 
 
+def test_long_secrets_are_masked_whole(spark):
+    long_, host = "aB3x" * 100, ".".join(["db1"] * 12)
+    texts = [(1, f"user=bob session {long_} end"), (2, f"user=bob auth={long_} end"), (3, f"token=abcdef12 client_id={long_} end"),
+             (4, f"user=bob auth{' ' * 9}={' ' * 9}{long_[:12]} at https://x.org/{'p/' * 300}q end"), (5, f"user=bob auth=xyzzy12 at {host}:5432 end"),
+             (6, "user=bob pwd=xyzzy12 a.example.com:80.b.example.com:90-c.example.com:99 end"), (7, "a." * 300_000 + " user=bob auth=xyzzy12:")]
+    got = {r["doc_id"]: r["text"] for r in collected(s.redact(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert [got[i] for i in range(1, 7)] == ["[secret] session [secret] end", "[secret] [secret] end", "[secret] [secret] end", "[secret] [secret] at [secret] end",
+                                             "[secret] [secret] at [secret] end", "[secret] [secret] [secret].[secret]-[secret] end"]
+    assert got[7] == "a." * 300_000 + " [secret] [secret]:"
+
+
 def test_edges_and_long_matches(spark):
     for m in (s, p):
         assert m.find(empty(spark)).count() == 0

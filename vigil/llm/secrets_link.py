@@ -24,14 +24,18 @@ from vigil.llm.common import materialize
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+URL = r"""(?<![A-Za-z0-9])(?:https?|s3|ftp|jdbc|postgres|postgresql|mysql|redis|amqp|mongodb)://[^\s"'<>]{3,}+"""
+# A chain of labels is tried from its first one, or from behind the port of a match before: the rest ends alike, so long chains cost linear time
+HOST = (r"(?<![A-Za-z0-9])(?:(?<![A-Za-z0-9-]\.)(?<!-)|(?<=:[0-9]{2,5}[.-]{1,9}))"
+        r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}(?![0-9])")
 KINDS = [
     S.Kind("assign", ASSIGN, r"[:=]"),
     S.Kind("access", r"AKIA[A-Z0-9]{16,}+", r"AKIA"),
     S.Kind("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", r"[0-9a-f]{24}"),
-    S.Kind("weak_token", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![A-Za-z0-9+/_=-])", r"[A-Za-z0-9+/_-]{20}"),
-    S.Kind("weak_value", r"""(?<![A-Za-z0-9])(?i:auth|key|pwd|pass|credential)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9+/_.=-]{6,200}+""", r"[:=]"),
-    S.Kind("weak_id", r"""(?<![A-Za-z0-9])(?i:user|username|login|account|client_?id|access_?key_?id|tenant_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@_.-]{3,200}+""", r"[:=]"),
-    S.Kind("endpoint", r"""(?<![A-Za-z0-9])(?:(?:https?|s3|ftp|jdbc|postgres|postgresql|mysql|redis|amqp|mongodb)://[^\s"'<>]{3,500}+|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9]))""", r":"),
+    S.Kind("weak_token", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", r"[A-Za-z0-9+/_-]{20}"),
+    S.Kind("weak_value", r"""(?<![A-Za-z0-9])(?i:auth|key|pwd|pass|credential)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{6,}+""", r"[:=]"),
+    S.Kind("weak_id", r"""(?<![A-Za-z0-9])(?i:user|username|login|account|client_?id|access_?key_?id|tenant_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@_.-]{3,}+""", r"[:=]"),
+    S.Kind("endpoint", URL + "|" + HOST, r":"),
 ]
 BASE = 3  # of the kinds above are the base
 SCOPE = 256
