@@ -112,6 +112,41 @@ def test_long_secrets_are_masked_whole(spark):
     assert got[7] == "a." * 300_000 + " [secret] [secret]:"
 
 
+def test_no_string_is_its_own_complement(spark):
+    url = "https://example.com/Projects/Report2024/Final"
+    texts = [(1, f"See {url} for more"), (2, f"account: {WEAK} alone"), (3, f"user=bob {url}"), (4, f"db.example.com:99 account: {WEAK}"),
+             (5, f"client_id={'aB3x' * 100} token=abcdef12")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: ([a["kind"] for a in r["added"]]) for r in collected(s.find(docs))}
+    assert got == {1: [], 2: [], 3: ["weak_id", "weak_token"], 4: ["weak_token"], 5: ["weak_id"]}
+    assert {r["doc_id"]: r["text"] for r in collected(s.redact(docs))}[1] == texts[0][1]
+
+
+def test_overlapping_links_match_all_pairs(spark):
+    rnd, kinds = random.Random(8), {"weak_token": 3, "weak_id": 5, "endpoint": 6, "assign": 0}
+    role = {k: r for r, ks in s.ROLES.items() for k in ks}
+    parts, want = [], set()
+    for rid in range(120):
+        own = []
+        for _ in range(rnd.randint(1, 9)):
+            k, a = rnd.choice(list(kinds)), rnd.randint(0, 120)
+            own.append((rid, kinds[k], k, a, a + rnd.choice([3, 10, 30, 260]), role[k]))
+        own = sorted(set(own))
+        apart = lambda x, y: x[4] <= y[3] or y[4] <= x[3]
+        def reach(x, y):
+            x, y = sorted((x, y), key=lambda z: z[3])
+            return apart(x, y) and y[3] - max(x[3], x[4] - s.TAIL) <= 40
+        for x in own:
+            near = [y for y in own if y[5] != x[5] and reach(x, y)]
+            has = {y[5] for y in near}
+            pair = any(y[5] == "id" and z[5] == "secret" and apart(y, z) for y in near for z in near)
+            if x[1] >= s.BASE and {"secret": bool(has), "id": "secret" in has, "endpoint": pair}[x[5]]:
+                want.add((*x[:5], frozenset(has)))
+        parts += own
+    p = spark.createDataFrame(parts, "rid long, number int, kind string, start long, end long, role string")
+    assert {(*r[:5], frozenset(r["roles"])) for r in s.link(p, 40).collect()} == want and len(want) > 50
+
+
 def test_edges_and_long_matches(spark):
     for m in (s, p):
         assert m.find(empty(spark)).count() == 0

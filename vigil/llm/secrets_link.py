@@ -8,16 +8,16 @@ reported by themselves.  Weak parts are reported only with their complements:
 * a weak identifier (``user=``, ``client_id:``, ...) needs a secret, weak or strong;
 * an endpoint (URL with a scheme of services, ``host:port``) needs both.
 
-Scopes are intervals of ``scope`` code points around a part.  The interval join
-goes by cells of that length: each cell keeps, per role, its first and last
-start, which decide exactly whether some part of that role lies within reach of
-a candidate in the same or a neighbouring cell.  So a candidate meets at most
-three rows per role, however many parts a text holds.
+Scopes are intervals of ``scope`` code points around a part, from start to start.
+The parts of a text are walked once in either direction, with the nearest part of
+each role so far that doesn't overlap the one at hand: one string is not its own
+complement, as a token within a URL would be.  That nearest part decides exactly
+whether some part of its role is in reach, however many parts a text holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil.llm import spans as S
 from vigil.llm.common import materialize
@@ -39,6 +39,7 @@ KINDS = [
 ]
 BASE = 3  # of the kinds above are the base
 SCOPE = 256
+TAIL = 200  # of a longer part, what follows is in reach of its last so many code points
 ROLES = {"secret": ("assign", "hex", "weak_token", "weak_value"), "id": ("access", "weak_id"), "endpoint": ("endpoint",)}
 
 
@@ -54,26 +55,40 @@ def parts(scanned: DataFrame) -> DataFrame:
     return p.select("rid", "number", "kind", "start", "end", role.alias("role"))
 
 
-def _cells(p: DataFrame, scope: int) -> DataFrame:
-    return p.groupBy("rid", F.floor(F.col("start") / scope).alias("cell"), "role").agg(
-        F.min("start").alias("first"), F.max("start").alias("last"))
+def _seen(p: DataFrame, ahead: bool, **columns: tuple[Column, str]) -> DataFrame:
+    """``p`` with, per (value, role), the nearest value among the parts of that role
+    that end up to its start, or (``ahead``) begin from its end on: the greatest
+    before, the least ahead.  Parts that overlap it are never among them."""
+    gives, asks = ("start", "end") if ahead else ("end", "start")
+    marks = F.array(F.struct(F.col(gives).alias("at"), F.lit(0).alias("ask")), F.struct(F.col(asks).alias("at"), F.lit(1).alias("ask")))
+    e = p.withColumn("m", F.explode(marks)).select(*p.columns, "m.*")
+    so_far = Window.partitionBy("rid").orderBy(F.desc("at") if ahead else F.asc("at"), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.min if ahead else F.max
+    e = e.withColumns({n: nearest(F.when((F.col("ask") == 0) & F.col("role").isin(*[r] if r else list(ROLES)), v)).over(so_far)
+                       for n, (v, r) in columns.items()})
+    return e.where("ask = 1").drop("at", "ask")
 
 
 def link(p: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(rid, number, kind, start, end, roles): weak parts with the complementary roles in reach."""
-    weak = p.where(F.col("number") >= BASE)
-    near = weak.withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))),
-                                                         lambda d: F.floor(F.col("start") / scope) + d)))
-    c = _cells(p, scope).select(F.col("rid").alias("c_rid"), F.col("cell").alias("c_cell"), F.col("role").alias("c_role"), "first", "last")
-    here = F.floor(F.col("start") / scope)
-    meets = near.join(c, (F.col("rid") == F.col("c_rid")) & (F.col("cell") == F.col("c_cell")) & (F.col("role") != F.col("c_role"))
-                      & ((F.col("cell") == here) | ((F.col("cell") < here) & (F.col("last") >= F.col("start") - scope))
-                         | ((F.col("cell") > here) & (F.col("first") <= F.col("start") + scope))))
-    found = meets.groupBy("rid", "number", "kind", "start", "end", "role").agg(F.collect_set("c_role").alias("roles"))
-    has = lambda r: F.array_contains("roles", r)
-    enough = (F.when(F.col("role") == "secret", has("id") | has("endpoint")).when(F.col("role") == "id", has("secret"))
-              .otherwise(has("id") & has("secret")))
-    return found.where(enough).drop("role")
+    """(rid, number, kind, start, end, roles): weak parts with the complementary roles in reach.
+
+    A part never vouches for one that it overlaps, and the two that vouch for an
+    endpoint don't overlap either.
+    """
+    p = p.withColumn("tail", F.greatest("start", F.col("end") - TAIL))
+    p = _seen(p, False, **{f"before_{r}": (F.col("tail"), r) for r in ROLES})
+    p = _seen(p, True, **{f"after_{r}": (F.col("start"), r) for r in ROLES})
+    # Pairs of a secret and an identifier, filed under the one that is nearer to those who ask
+    other = lambda side: F.when(F.col("role") == "secret", F.col(f"{side}_id")).when(F.col("role") == "id", F.col(f"{side}_secret"))
+    p = _seen(p, False, before_pair=(other("before"), None))
+    p = _seen(p, True, after_pair=(other("after"), None))
+    behind = lambda x: F.coalesce(F.col(f"before_{x}") >= F.col("start") - scope, F.lit(False))
+    ahead = lambda x: F.coalesce(F.col(f"after_{x}") <= F.col("tail") + scope, F.lit(False))
+    has = lambda r: behind(r) | ahead(r)
+    both = has("pair") | (behind("id") & ahead("secret")) | (behind("secret") & ahead("id"))
+    enough = F.when(F.col("role") == "secret", has("id") | has("endpoint")).when(F.col("role") == "id", has("secret")).otherwise(both)
+    roles = F.array_compact(F.array(*[F.when(has(r) & (F.col("role") != r), F.lit(r)) for r in ROLES]))
+    return p.where((F.col("number") >= BASE) & enough).select("rid", "number", "kind", "start", "end", roles.alias("roles"))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
