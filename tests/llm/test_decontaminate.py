@@ -3,6 +3,7 @@ import re
 
 import pytest
 from llm_edge import collected, documents, empty, rows
+from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate as d
 
@@ -41,6 +42,28 @@ def test_scan_matches_brute_force(spark, items, limit):
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
 
 
+def test_shuffle_path_holds_no_words_per_word(spark, items, monkeypatch):
+    plans, real = [], d.materialize
+    monkeypatch.setattr(d, "materialize", lambda df, what: (plans.append(df), real(df, what))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.append(d.hits(documents(spark), spark.createDataFrame(items, ITEMS), max_broadcast_windows=0))
+        shown = "".join(spark._jvm.PythonSQLUtils.explainString(x._jdf.queryExecution(), "formatted") for x in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", shown)
+    assert inputs and not [x for x in inputs if re.search(r"\bw#", x) and re.search(r"\b(pos|start)#", x)]
+
+
+def test_equal_hashes_are_verified(spark, items, monkeypatch):
+    monkeypatch.setattr(d, "_word_hashes", lambda w: F.transform(w, lambda x: F.lit(1).cast("long")))
+    docs = documents(spark).where("length(text) < 5000")
+    got = collected(d.digest(d.scan(docs, spark.createDataFrame(items, ITEMS), max_broadcast_windows=0)))
+    want = sorted(((i, *brute(t, items)) for i, t, *_ in rows() if t is not None and len(t) < 5000), key=repr)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got), key=repr) == want
+
+
 def test_remove(spark, items):
     docs, bench = documents(spark), spark.createDataFrame(items, ITEMS)
     kept = collected(d.remove(docs, bench))

@@ -9,7 +9,10 @@ words around it.  So each occurrence of each window is found, while only
 anchors' positions leave the first join.
 
 The anchor table is broadcast while it has at most ``max_broadcast_windows``
-windows, and joined by a shuffle beyond.
+windows.  Beyond, windows are joined by a shuffle: a document gives one row per
+word and window size, with the hash of the words from there on and no text.
+Equal hashes are verified by comparing the window with its document's words,
+which are shuffled once per document.
 """
 
 from __future__ import annotations
@@ -52,13 +55,39 @@ def _key() -> list[Column]:
     return [F.col("doc_id").alias("k_id"), F.xxhash64(t).alias("k_text"), F.length(t).alias("k_len")]
 
 
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _hits_by_hash(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``hits`` without a broadcast."""
+    sizes = [r[0] for r in windows.select(F.size("window")).distinct().collect()]  # at most n
+    windows = windows.select(F.xxhash64(F.size("window"), _word_hashes(F.col("window"))).alias("w_hash"), "window", "items")
+    size = F.col("size")
+    there = F.transform(F.sequence(F.lit(1), F.size("h") - size + 1), lambda i: F.xxhash64(size, F.slice("h", i, size)))
+    at = (docs.select(*_key(), _word_hashes(words("text")).alias("h"))
+          .select("k_id", "k_text", "k_len", "h", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.size("h") >= size)
+          .select("k_id", "k_text", "k_len", F.posexplode(there).alias("start", "hash")))
+    maybe = (at.join(windows, F.col("hash") == F.col("w_hash")).groupBy("k_id", "k_text", "k_len")
+             .agg(F.collect_set(F.struct("start", "window", "items")).alias("maybe")))
+    maybe = materialize(maybe.select(*[F.col(c).alias(f"m_{c}") for c in ("k_id", "k_text", "k_len")], "maybe"), "maybe-hits")
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("k_id", "k_text", "k_len")]
+    found = (docs.select(*_key(), words("text").alias("w")).join(maybe, same[0] & same[1] & same[2])
+             .select("k_id", "k_text", "k_len", F.filter("maybe", lambda m: F.slice("w", m["start"] + 1, F.size(m["window"])) == m["window"]).alias("hit"))
+             .where(F.size("hit") > 0).dropDuplicates(["k_id", "k_text", "k_len"]))
+    spans = F.transform("hit", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.size(m["window"])).alias("end")))
+    return found.select("k_id", "k_text", "k_len", F.array_sort(F.array_distinct(spans)).alias("spans"),
+                        F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda m: m["items"])))).alias("items"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
          max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """(k_id, k_text, k_len, spans, items) of documents with an occurring window:
     spans are sorted (start, end) word ranges, end exclusive."""
     anchors = materialize(anchored_windows(benchmark, n), "windows")
-    if anchors.count() <= max_broadcast_windows:
-        anchors = F.broadcast(anchors)
+    if anchors.count() > max_broadcast_windows:
+        return _hits_by_hash(docs, anchors)
+    anchors = F.broadcast(anchors)
     at = docs.select(*_key(), words("text").alias("w")).select("k_id", "k_text", "k_len", "w", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("offset")
     found = (at.join(anchors, F.col("word") == F.col("anchor"))
