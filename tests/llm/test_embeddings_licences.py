@@ -98,6 +98,15 @@ def test_licences_match_brute_force(spark):
     assert {r["id"]: r["from_dir"] for r in got}[8] == "a/b/d" and {r["id"]: r["from_dir"] for r in got}[11] is None
 
 
+def test_statements_are_whole_lines_and_comment_blocks(spark):
+    by_line = [(i, "a.py", t) for i, (_, t) in enumerate(lic.TEMPLATES)]
+    wrapped = "x = 1\n# Licensed under the Apache License,\n# Version 2.0; you may not use this file\n# except in compliance with the License\ny = 2"
+    files = by_line + [(100, "b.py", wrapped), (101, "c.py", "x = 1\n" + "# long\n" * 50_000 + "y"), (102, "d.py", "; a\r\n; Licensed under CC BY 4.0.")]
+    got = {r["id"]: r for r in collected(lic.scan(spark.createDataFrame(files, "id long, path string, text string")))}
+    assert [(got[i]["licence"], got[i]["score"]) for i, _, _ in by_line] == [(name, 1.0) for name, _ in lic.TEMPLATES]
+    assert (got[100]["licence"], got[100]["score"], got[101]["licence"]) == ("Apache-2.0", 1.0, None) and got[102]["licence"] == "CC-BY-4.0"
+
+
 def test_licence_edges(spark):
     assert len(collected(lic.scan_documents(documents(spark)))) == len(rows())
     assert lic.scan_documents(empty(spark)).count() == 0
