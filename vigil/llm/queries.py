@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay, token_align
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op11_token_align")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers over all documents."""
+    return token_align.digest(table(spark, sf_dir, "documents"))
