@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, quality_fm, secrets_link, simhash_golay, token_align
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, prefix_trie, quality_fm, secrets_link, simhash_golay, token_align
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token groups and links of two tokenizers over all documents."""
     return token_align.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
