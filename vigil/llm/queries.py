@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, prefix_trie, quality_fm, secrets_link, simhash_golay, token_align
+from vigil.llm import decontaminate, embedding_tiles, language_cnn, license_scan, ngram_kn, packing, pii_votes, prefix_trie, quality_fm, secrets_link, simhash_golay, token_align, toxicity
 from vigil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the held-out fold."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op13_prefix_trie")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations."""
