@@ -54,7 +54,7 @@ _OTHER = "{"  # follows z; stands for any other letter
 #: What a mark may stand for, and its cost.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
          "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-MASKS, VOWELS = "*#?%", "aeiou"
+MASKS, VOWELS, STOPS = "*#?%", "aeiou", ".,;:"
 LOOK, MASK, STRAY, GAP, TWICE, AGAIN, JOIN, KEEP = 1.2, 3.0, 2.0, 2.0, 6.0, 0.4, 0.2, 1.5
 
 _triple = re.compile(r"(.)\1\1")
@@ -216,7 +216,7 @@ class Reader:
         return got
 
     def spaced(self, run: list[str]) -> list[str]:
-        return decode(fold(" ".join(run)), self.model).split()
+        return decode(fold(" ".join(w.rstrip(STOPS) or w for w in run)), self.model).split()
 
 
 def _slices(texts: list[str | None]):
@@ -237,8 +237,8 @@ def _slices(texts: list[str | None]):
 
 
 def _single_runs(words: list[str], at: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
-    """Positions from and to of three or more tokens of one character in a row."""
-    one = np.array([len(w) == 1 and (w.isalpha() or w in LOOKS) for w in words], bool)
+    """Positions from and to of three or more tokens of one character in a row, whatever stops follow it."""
+    one = np.array([len(c := w.rstrip(STOPS)) == 1 and (c.isalpha() or c in LOOKS) for w in words], bool)
     if not len(at) or not one.any():
         return []
     single = one[at]
