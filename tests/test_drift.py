@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators import drift
+from vigil.sources import files
 
 
 def _one(spark, values, name="x"):
@@ -86,3 +90,69 @@ def test_psi_of_text_nan_and_missing_features(spark):
     assert p["b"]["current_mean"] is not None and p["b"]["psi"] < 0.1
     assert {r["feature"] for r in drift.psi_table(ref, cur, ["a", "b", "c"], top=2).collect()} == {"a", "b"}
     assert drift.missing_ratio(cur, ["b"]).first()["missing_ratio"] == round(8 / 50, 6)
+
+
+def _log(spark):
+    rows = [(i < 60, float(i % 17), None if i % 5 == 0 else i % 3, i, None if i == 99 else int(i % 4 == 0)) for i in range(100)]
+    return spark.createDataFrame(rows, "is_ref boolean, x double, k int, at int, prediction int").withColumn("at", F.timestamp_seconds("at"))
+
+
+def test_snapshot_is_one_scan_and_equals_the_parts(spark):
+    log = _log(spark)
+    got = drift.snapshot(log, "is_ref", ["x", "k"], cells=["x", "k"], time="at").first()
+    valid = log.where("prediction is not null")
+    ref, cur = valid.where("is_ref"), valid.where("not is_ref")
+    p = drift.psi_table(ref, cur, ["x", "k"])
+    shift = drift.rate_shift(ref, cur).first()
+    parts = drift.drift_summary(p).first()
+    assert (got["avg_psi"], got["n_drifted"]) == (parts["avg_psi"], parts["n_drifted"])
+    assert [got[c] for c in ("reference_rate", "current_rate", "delta_pp", "change_pct", "shift_alert")] == list(shift)
+    assert got["missing_ratio"] == drift.missing_ratio(cur, ["x", "k"]).first()[0]
+    assert got["samples"] == cur.count() == 39 and got["status"] == "updated" and got["updated"]
+    assert got["window_ts"] == cur.agg(F.max("at")).first()[0]
+    assert [got["t1"], got["t2"]] == [r["feature"] for r in drift.top_features(p).orderBy("rank").collect()] and got["t3"] is None
+    counts = drift.snapshot_counts(log, "is_ref", ["x", "k"], cells=["x"])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("keep,status", [("is_ref", "empty_or_invalid_logs"), ("not is_ref", "reference_not_found"),
+                                         ("is_ref or at >= timestamp_seconds(96)", "insufficient_samples"), ("true", "updated")])
+def test_snapshot_guards(spark, keep, status):
+    rows = _log(spark).where(keep)
+    got = drift.snapshot(rows, "is_ref", ["x"], cells=["x"]).first()
+    assert got["status"] == status and got["updated"] == (status == "updated")
+    alone = drift.snapshot_status(spark, rows.where("is_ref"), rows.where("not is_ref")).first()
+    assert (alone["status"], alone["samples"]) == (status, got["samples"])
+
+
+def test_sources_that_are_not_there(spark, tmp_path):
+    cur = _log(spark)
+    none = files.open_if_there(spark, str(tmp_path / "none"))
+    assert none is None
+    assert drift.snapshot_status(spark, none, cur).first()["status"] == "reference_not_found"
+    assert drift.snapshot_status(spark, cur, none).first()["status"] == "logs_not_found"
+
+
+def test_distributions_and_bins(spark):
+    ref, cur = _one(spark, range(1, 11)), _one(spark, range(2, 12))
+    model = drift.psi_fit(ref, ["x"], bins=5)
+    d = drift.psi_detail(model, cur).first()
+    assert d["bins"] == [1.0, 2.8, 4.6, 6.4, 8.2, 10.0] and d["reference_distribution"] == [0.2] * 5
+    assert d["current_distribution"] == [pytest.approx(x, abs=1e-6) for x in (1 / 9, 2 / 9, 2 / 9, 2 / 9, 2 / 9)]
+    rows = drift.psi_distributions(model, cur).collect()
+    assert len(rows) == 5 and sum(r["contribution"] for r in rows) == pytest.approx(d["psi"], abs=1e-5)
+    flat = drift.psi_fit(_one(spark, [1] * 20 + [2]), ["x"])
+    d = drift.psi_detail(flat, cur).first()
+    assert (d["psi"], d["reference_distribution"], d["current_distribution"], d["bins"]) == (0.0, [], [], [1.0, 2.0])
+    assert drift.psi_detail(drift.psi_fit(ref.limit(0), ["x"]), cur).first()["bins"] == []
+
+
+def test_shares_come_from_the_quantiles(spark):
+    """Repeated values, edges on and between values: equal to counting every value again."""
+    rnd = random.Random(7)
+    values = [rnd.choice([0.0, 0.1, 0.1, 2.5, rnd.random() * 5]) for _ in range(700)]
+    model = drift.psi_fit(_one(spark, values), ["x"])
+    e = model.edges["x"]
+    want = [sum((v > a or (k == 0 and v == a)) and v <= b for v in values) / len(values) for k, (a, b) in enumerate(zip(e, e[1:]))]
+    assert model.shares["x"] == pytest.approx(want) and model.mean["x"] == pytest.approx(sum(values) / len(values))

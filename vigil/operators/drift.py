@@ -1,9 +1,10 @@
 """Population drift between a reference and a current DataFrame.
 
-PSI is fitted on the reference once (like an MLlib estimator): exact decile
-edges from the distributed quantile kernel and the reference share of every
-bin — a result bounded by features × (bins + 1), whatever the data size.
-Applying it to a current DataFrame (a batch, a group of snapshots or a
+PSI is fitted on the reference once (like an MLlib estimator).  One scan makes
+a (feature, value) count table by partial aggregation in the scan's own stage;
+it is written once, and the exact decile edges, the share of every bin and the
+means all come from it - a result bounded by features × (bins + 1), whatever
+the data size.  Applying it to a current DataFrame (a batch, a group of snapshots or a
 streaming micro-batch) is one scan: values are unpivoted to
 ``(feature, value)``, binned by a JVM-side expression against the literal
 edges, and counted per (group, feature, bin) with map-side combine.  The bin
@@ -15,13 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from vigil.functions.clean import to_number
 from vigil.functions.numeric import rnd
-from vigil.operators.ordered import _cols, count_less, exact_quantiles, safe_div, same_groups
+from vigil.operators.ordered import _cols, count_less, quantiles_of_counts, safe_div, same_groups
+from vigil.session import written
 
 # fixed values of the reference configuration
 PSI_EPS = 1e-6
@@ -51,17 +53,20 @@ def to_long(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] =
     return long if nulls else long.where(F.col("v").isNotNull())
 
 
-def psi_edges(ref_long: DataFrame, bins: int = 10) -> DataFrame:
-    """``feature, edges``: sorted distinct reference quantiles at 0, 1/bins … 1."""
-    probs = [k / bins for k in range(bins + 1)]
-    q = exact_quantiles(ref_long, "v", probs, "feature", small_groups=True)  # one group per named feature
-    return q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("edges"))
+def value_counts(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """``group…, feature, v, n``: how often each number occurs; null stands for values that are none.
+
+    The rows x features exist only inside the scan's stage: the partial
+    aggregate follows at once, and what is shuffled is one row per distinct
+    value and task."""
+    g = list(group_cols)
+    return to_long(df, features, g, nulls=True).groupBy(*g, "feature", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bin_index(v: Column, edges: Column, max_edges: int) -> Column:
     """Right-closed bin 1..m-1 for edges e0<…<e(m-1) (m <= ``max_edges``),
     lowest edge included; null when the value is outside [e0, e(m-1)]."""
-    first, last = F.element_at(edges, 1), F.element_at(edges, -1)
+    first, last = F.try_element_at(edges, F.lit(1)), F.try_element_at(edges, F.lit(-1))
     idx = F.greatest(F.lit(1), count_less(edges, v, n=max_edges))
     return F.when((v >= first) & (v <= last), idx)
 
@@ -94,39 +99,48 @@ class PsiReference:
 
 
 def psi_fit(ref: DataFrame, features: Sequence[str], bins: int = 10) -> PsiReference:
-    """Fit the reference: exact deciles (distributed quantile kernel), then
-    one aggregate of bin counts.  Two small results reach the driver."""
-    rl = to_long(ref, features).persist()
-    try:
-        model = PsiReference(list(features), bins)
-        for r in psi_edges(rl, bins).collect():
-            model.edges[r["feature"]] = [float(x) for x in r["edges"]]
-        edges = model.edges_col()
-        binned = rl.withColumn("bin", bin_index(F.col("v"), F.element_at(edges, F.col("feature")),
-                                                model.max_edges()))
-        rows = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()
-    finally:
-        rl.unpersist()
-    tot, tot_in, sums, per_bin = {}, {}, {}, {}
-    for r in rows:
-        f = r["feature"]
-        tot[f] = tot.get(f, 0) + r["n"]
-        sums[f] = sums.get(f, 0.0) + r["s"]
-        if r["bin"] is not None:
-            tot_in[f] = tot_in.get(f, 0) + r["n"]
-            per_bin[(f, r["bin"])] = r["n"]
+    """Fit the reference: one scan into value counts, which are written; the rest reads those."""
+    return psi_fit_counts(written(value_counts(ref, features), "psi-counts"), features, bins)
+
+
+def psi_fit_counts(counts: DataFrame, features: Sequence[str], bins: int = 10) -> PsiReference:
+    """Fit from ``counts(feature, v, n)``.  A bin's share is the difference of the
+    counts up to its edges, which the quantiles bring along: at most bins + 1
+    rows a feature, and one row a feature of sums, reach the driver."""
+    model = PsiReference(list(features), bins)
+    known = counts.where(F.col("v").isNotNull())
+    q = quantiles_of_counts(known, "v", "n", [k / bins for k in range(bins + 1)], "feature", small_groups=True)
+    upto: dict = {}
+    for r in q.collect():
+        upto.setdefault(r["feature"], {})[float(r["value"])] = r["below"]
+        model.n[r["feature"]] = r["total"]
+    sums = {r["feature"]: r["s"] for r in known.groupBy("feature").agg(F.sum(F.col("v") * F.col("n")).alias("s")).collect()}
     for f in features:
-        e = model.edges.get(f, [])
-        model.n[f] = tot.get(f, 0)
-        model.n_in[f] = tot_in.get(f, 0)
-        model.mean[f] = sums[f] / tot[f] if tot.get(f) else None
-        model.shares[f] = [per_bin.get((f, b), 0) / model.n_in[f] if model.n_in[f] else 0.0
-                           for b in range(1, max(len(e), 1))]
+        edges = sorted(upto.get(f, {}))
+        model.edges[f] = edges
+        model.n[f] = model.n_in[f] = model.n.get(f, 0)  # the first edge is the lowest value, the last the highest
+        model.mean[f] = sums[f] / model.n[f] if model.n[f] else None
+        ends = [upto[f][e] for e in edges[1:]]
+        model.shares[f] = [(b - a) / model.n[f] for a, b in zip([0, *ends[:-1]], ends)]
     return model
 
 
+def _bin_counts(model: PsiReference, cur: DataFrame, g: list[str], tails: bool, counted: bool) -> DataFrame:
+    """``group…, feature, bin, n, s``: counts and sums per bin of rows, or of value counts."""
+    # a feature without a number still has its row
+    cl = cur.select(*g, "feature", "v", F.col("n").alias("_w")) if counted else to_long(cur, model.features, g, nulls=True).withColumn("_w", F.lit(1))
+    edges = F.element_at(model.edges_col(), F.col("feature"))
+    b = bin_index(F.col("v"), edges, model.max_edges())
+    if tails:
+        b = (F.when(F.col("v") < F.try_element_at(edges, F.lit(1)), F.lit(0))
+             .when(F.col("v") > F.try_element_at(edges, F.lit(-1)), F.size(edges)).otherwise(b))
+    known = F.when(F.col("v").isNotNull(), F.col("_w"))
+    return (cl.withColumn("bin", b).groupBy(*g, "feature", "bin")
+            .agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), F.sum(F.col("v") * F.col("_w")).alias("s")))
+
+
 def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | str | None = None,
-              tails: bool = False) -> DataFrame:
+              tails: bool = False, counted: bool = False) -> DataFrame:
     """PSI of a current DataFrame (per optional group) against a fitted
     reference — one scan of ``cur`` and one aggregate; empty current bins
     still contribute (the bin domain comes from the reference edges).
@@ -135,17 +149,16 @@ def psi_apply(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | s
     current_mean`` (psi_raw rounded to 6 dp; 0 with < 3 edges or an empty
     side; null when every current value is out of range).  With ``tails``
     out-of-range current values are kept in two extra bins (below / above,
-    reference share 0) and proportions are over all values."""
+    reference share 0) and proportions are over all values.  With ``counted``
+    ``cur`` is a table of value counts (``group…, feature, v, n``)."""
+    g = _cols(group_cols)
+    return psi_of_bins(model, _bin_counts(model, cur, g, tails, counted), g, tails)
+
+
+def psi_of_bins(model: PsiReference, agg: DataFrame, group_cols: Sequence[str] | str | None = None,
+                tails: bool = False) -> DataFrame:
+    """``psi_apply`` from bin counts ``group…, feature, bin, n, s`` - of a scan, or kept as a stream's state."""
     g = _cols(group_cols)
-    feats = model.features
-    cl = to_long(cur, feats, g, nulls=True)  # a feature without a number still has its row
-    edges = F.element_at(model.edges_col(), F.col("feature"))
-    b = bin_index(F.col("v"), edges, model.max_edges())
-    if tails:
-        b = (F.when(F.col("v") < F.element_at(edges, 1), F.lit(0))
-             .when(F.col("v") > F.element_at(edges, -1), F.size(edges)).otherwise(b))
-    agg = (cl.withColumn("bin", b)
-           .groupBy(*g, "feature", "bin").agg(F.count("v").alias("n"), F.sum("v").alias("s")))
     tot = agg.groupBy(*g, "feature").agg(
         F.sum("n").alias("n_cur"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("c_in"),
         F.sum("s").alias("s_cur"))
@@ -185,14 +198,19 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
               group_cols: Sequence[str] | str | None = None, flag: float = PSI_FLAG,
-              model: PsiReference | None = None, top: int | None = PSI_TOP_FEATURES) -> DataFrame:
+              model: PsiReference | None = None, top: int | None = PSI_TOP_FEATURES, counted: bool = False) -> DataFrame:
     """PSI table: ``group…, feature, psi (4 dp), reference_mean, current_mean,
     delta_mean, direction, drift_flag, all_out_of_range`` for the first ``top``
     features (None: all) present on both sides."""
     g = _cols(group_cols)
-    feats = [f for f in features if f in ref.columns and f in cur.columns][:top]
-    model = model or psi_fit(ref, feats, bins)
-    p = psi_apply(model, cur, g)
+    if model is None:
+        model = psi_fit(ref, [f for f in features if f in ref.columns and f in cur.columns][:top], bins)
+    return psi_report(model, psi_apply(model, cur, g, counted=counted), g, flag)
+
+
+def psi_report(model: PsiReference, p: DataFrame, group_cols: Sequence[str] | str | None = None, flag: float = PSI_FLAG) -> DataFrame:
+    """The PSI table's columns from ``psi_apply``'s."""
+    g = _cols(group_cols)
     rm = F.element_at(model._map(model.mean, lambda x: F.lit(x).cast("double")), F.col("feature"))
     return p.select(
         *g, "feature",
@@ -205,6 +223,40 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int
         F.col("psi_raw").isNull().alias("all_out_of_range"))
 
 
+def psi_distributions(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | str | None = None,
+                      counted: bool = False) -> DataFrame:
+    """The distributions behind the PSI: ``group…, feature, bin, lower, upper,
+    reference_share, current_share, contribution`` (6 dp), one row per bin of
+    each feature with at least 3 edges and numbers on both sides."""
+    g = _cols(group_cols)
+    agg = _bin_counts(model, cur, g, False, counted)
+    in_range = F.col("bin").isNotNull()
+    tot = agg.groupBy(*g, "feature").agg(F.sum(F.when(in_range, F.col("n"))).alias("c_in"))
+    edges, shares = F.element_at(model.edges_col(), F.col("feature")), F.element_at(model.shares_col(), F.col("feature"))
+    dom = (tot.where((F.size(edges) >= 3) & (F.col("c_in") > 0))
+           .select(*g, "feature", "c_in", F.explode(F.sequence(F.lit(1), F.size(edges) - 1)).alias("bin")))
+    j = same_groups(dom, agg.where(in_range).select(*g, "feature", "bin", "n"), [*g, "feature", "bin"], "left")
+    c, r, eps = F.coalesce(F.col("n"), F.lit(0)) / F.col("c_in"), F.element_at(shares, F.col("bin")), F.lit(PSI_EPS)
+    return j.select(*g, "feature", "bin", rnd(F.element_at(edges, F.col("bin")), 6).alias("lower"),
+                    rnd(F.element_at(edges, F.col("bin") + 1), 6).alias("upper"), rnd(r, 6).alias("reference_share"),
+                    rnd(c, 6).alias("current_share"), rnd(((c + eps) - (r + eps)) * F.log((c + eps) / (r + eps)), 6).alias("contribution"))
+
+
+def psi_detail(model: PsiReference, cur: DataFrame, group_cols: Sequence[str] | str | None = None) -> DataFrame:
+    """``group…, feature, psi, reference_distribution, current_distribution,
+    bins``: the shares and the edges as arrays (6 dp), empty where the PSI is 0
+    for want of numbers or edges."""
+    g = _cols(group_cols)
+    d = psi_distributions(model, cur, g)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("bin", c))), lambda x: x[c]).alias(c)
+    lists = d.groupBy(*g, "feature").agg(listed("reference_share"), listed("current_share"))
+    none = F.array().cast("array<double>")
+    edges = F.transform(F.element_at(model.edges_col(), F.col("feature")), lambda e: rnd(e, 6))
+    out = same_groups(psi_apply(model, cur, g).select(*g, "feature", F.col("psi_raw").alias("psi"), "n_cur"), lists, [*g, "feature"], "left")
+    return out.select(*g, "feature", "psi", F.coalesce("reference_share", none).alias("reference_distribution"),
+                      F.coalesce("current_share", none).alias("current_distribution"), F.when(F.col("n_cur") > 0, edges).otherwise(none).alias("bins"))
+
+
 def top_features(psi_tbl: DataFrame, n: int = PSI_TOP_FEATURES,
                  group_cols: Sequence[str] | str | None = None) -> DataFrame:
     """Top-n features by PSI (desc, then feature name): ``group…, rank, feature, psi``."""
@@ -275,6 +327,79 @@ def drift_summary(psi_tbl: DataFrame, group_cols: Sequence[str] | str | None = N
         F.count_if(F.col("drift_flag")).alias("n_drifted"))
 
 
+MIN_SAMPLES = 5
+
+
+def guard_status(n_ref: Column, n_cur: Column, min_rows: int = MIN_SAMPLES) -> Column:
+    """What keeps a snapshot from being taken, else ``updated``."""
+    return (F.when(n_ref == 0, "reference_not_found").when(n_cur == 0, "empty_or_invalid_logs")
+            .when(n_cur < min_rows, "insufficient_samples").otherwise("updated"))
+
+
+def snapshot_status(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | None, prediction: str = "prediction",
+                    min_rows: int = MIN_SAMPLES) -> DataFrame:
+    """One row (status, updated, samples) from sources that may be missing: None is a source that is not there.
+    Rows without a prediction do not count."""
+    lost = "reference_not_found" if ref is None else "logs_not_found" if cur is None else None
+    if lost:
+        return spark.range(1).select(F.lit(lost).alias("status"), F.lit(False).alias("updated"), F.lit(0).cast("long").alias("samples"))
+    # the reference is only asked whether it has a row
+    n_ref = ref.limit(1).agg(F.count(F.lit(1))).scalar()
+    one = cur.agg(F.count(prediction).alias("samples")).withColumn("status", guard_status(n_ref, F.col("samples"), min_rows))
+    return one.select("status", (F.col("status") == "updated").alias("updated"), "samples")
+
+
+def snapshot_counts(rows: DataFrame, is_ref: str, features: Sequence[str], prediction: str = "prediction",
+                    cells: Sequence[str] = (), time: str | None = None) -> DataFrame:
+    """Everything a snapshot needs, in one scan: ``is_ref, feature, v, n, last``.
+
+    Besides the features there are two that no column has: ``#positive`` (is the
+    prediction 1) and ``#missing`` (how many of ``cells`` the row lacks).  Rows
+    without a prediction are left out."""
+    def missing(c: str) -> Column:
+        gone = F.col(c).isNull()
+        return (gone | F.isnan(F.col(c)) if rows.schema[c].dataType.typeName() in ("float", "double") else gone).cast("double")
+
+    lacks = sum((missing(c) for c in cells), F.lit(0.0))
+    wide = rows.where(F.col(prediction).isNotNull()).select(
+        F.col(is_ref).alias("is_ref"), (F.col(time) if time else F.lit(None).cast("timestamp")).alias("at"),
+        *[as_number(rows, f).alias(f) for f in features],
+        F.coalesce(as_number(rows, prediction) == 1.0, F.lit(False)).cast("double").alias("#positive"), lacks.alias("#missing"))
+    return (wide.unpivot(["is_ref", "at"], [*features, "#positive", "#missing"], "feature", "v")
+            .groupBy("is_ref", "feature", "v").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last")))
+
+
+def snapshot(rows: DataFrame, is_ref: str, features: Sequence[str], prediction: str = "prediction", cells: Sequence[str] = (),
+             time: str | None = None, bins: int = 10, top: int = PSI_TOP_FEATURES, min_rows: int = MIN_SAMPLES,
+             alert_pct: float = RATE_SHIFT_ALERT_PCT) -> DataFrame:
+    """The drift snapshot of the rows where ``is_ref`` is false against those where it is true: one row with the
+    guard's status, sizes, rates, missing cells, PSI summary and the three top features.
+
+    ``rows`` is scanned once, into ``snapshot_counts``; the rest reads those."""
+    features = list(features)[:top]
+    counts = written(snapshot_counts(rows, is_ref, features, prediction, cells, time), "snapshot-counts")
+    own = counts.where(F.col("feature").isin(features))
+    model = psi_fit_counts(own.where("is_ref"), features, bins)
+    p = psi_report(model, psi_apply(model, own.where("not is_ref"), counted=True))
+    tops = top_features(p, 3).agg(*[F.max(F.when(F.col("rank") == i, F.col("feature"))).alias(f"t{i}") for i in (1, 2, 3)])
+
+    def total(feature: str, ref: bool, v: Column = F.lit(1.0)) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("feature") == feature) & (F.col("is_ref") == ref), v * F.col("n"))), F.lit(0.0))
+
+    sizes = counts.agg(total("#positive", True).cast("long").alias("n_ref"), total("#positive", False).cast("long").alias("samples"),
+                       total("#positive", True, F.col("v")).alias("pos_ref"), total("#positive", False, F.col("v")).alias("pos_cur"),
+                       total("#missing", False, F.col("v")).alias("lacking"), F.max(F.when(~F.col("is_ref"), F.col("last"))).alias("window_ts"))
+    rate = lambda hits, n: rnd(safe_div(F.col(hits), F.col(n).cast("double")) * 100.0, 2)
+    sizes = sizes.withColumns({"reference_rate": rate("pos_ref", "n_ref"), "current_rate": rate("pos_cur", "samples"),
+                               "missing_ratio": rnd(safe_div(F.col("lacking"), (F.col("samples") * max(1, len(cells))).cast("double")), 6),
+                               "status": guard_status(F.col("n_ref"), F.col("samples"), min_rows)})
+    j = drift_summary(p).crossJoin(tops).crossJoin(sizes)  # one row each
+    j = j.select("*", *rate_shift_cols(F.col("reference_rate"), F.col("current_rate"), alert_pct))
+    return j.select("status", (F.col("status") == "updated").alias("updated"), "samples", "avg_psi", "n_drifted", "reference_rate", "current_rate",
+                    "delta_pp", "change_pct", "shift_alert", "missing_ratio", drift_status_col(F.col("avg_psi"), F.col("shift_alert")).alias("drift_status"),
+                    "t1", "t2", "t3", "window_ts")
+
+
 def drift_alerts(psi_tbl: DataFrame, threshold: float = PSI_ALERT) -> DataFrame:
     """Alert text for features with PSI >= threshold: ``feature, psi, message``."""
     msg = F.format_string("Feature %s with PSI=%.4f above the limit (direction: %s).",

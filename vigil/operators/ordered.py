@@ -216,6 +216,17 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     v = F.col(value_col).cast("double")
     vc = (df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull())
           .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    return quantiles_of_counts(vc, "_v", "_c", probs, g, buckets, small_groups).select(*g, "q", "value")
+
+
+def quantiles_of_counts(counts: DataFrame, value_col: str, count_col: str, probs: Sequence[float],
+                        group_cols: Sequence[str] | str | None = None,
+                        buckets: int = DEFAULT_BUCKETS, small_groups: bool = False) -> DataFrame:
+    """``exact_quantiles`` of a value count table (distinct non-null values per
+    group).  Output: ``group…, q, value, below, total`` - ``below`` counts the
+    rows whose value is at most the quantile, ``total`` the group's rows."""
+    g = _cols(group_cols)
+    vc = counts.select(*g, F.col(value_col).alias("_v"), F.col(count_col).alias("_c"))
     vc = running_sums(vc, "_v", ["_c"], g, buckets=buckets, small_groups=small_groups, totals=True)
     vc = vc.withColumn("_end", F.col("_c_cum") - 1).withColumn("_start", F.col("_c_cum") - F.col("_c"))
 
@@ -233,17 +244,23 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         entries.append(F.when(hit, F.struct(F.lit(float(q)).alias("q"), h.alias("h"), lo.alias("lo"),
                                             hi.alias("hi"))))
         any_hit = hit if any_hit is None else any_hit | hit
-    hits = (vc.where(any_hit).select(*g, "_v", F.explode(F.array(*entries)).alias("p"), "_start", "_end")
+    hits = (vc.where(any_hit).select(*g, "_v", F.explode(F.array(*entries)).alias("p"), "_start", "_end", "_c_tot")
             .where(F.col("p").isNotNull()))
     in_lo = (F.col("p.lo") >= F.col("_start")) & (F.col("p.lo") <= F.col("_end"))
     in_hi = (F.col("p.hi") >= F.col("_start")) & (F.col("p.hi") <= F.col("_end"))
     agg = hits.groupBy(*g, F.col("p.q").alias("q")).agg(
         F.first("p.h").alias("h"), F.first("p.lo").alias("lo"), F.first("p.hi").alias("hi"),
         F.max(F.when(in_lo, F.col("_v"))).alias("v_lo"),
-        F.max(F.when(in_hi, F.col("_v"))).alias("v_hi"))
+        F.max(F.when(in_hi, F.col("_v"))).alias("v_hi"),
+        F.max(F.when(in_lo, F.col("_start"))).alias("c_none"),
+        F.max(F.when(in_lo, F.col("_end") + 1)).alias("c_lo"),
+        F.max(F.when(in_hi, F.col("_end") + 1)).alias("c_hi"), F.first("_c_tot").alias("total"))
     val = (F.col("hi") - F.col("h")) * F.col("v_lo") + (F.col("h") - F.col("lo")) * F.col("v_hi")
-    return agg.select(*g, "q", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
-                      .otherwise(val).alias("value"))
+    out = agg.withColumn("value", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(val))
+    # an interpolated value lies between its two order statistics, up to rounding
+    below = (F.when(F.col("value") >= F.col("v_hi"), F.col("c_hi"))
+             .when(F.col("value") >= F.col("v_lo"), F.col("c_lo")).otherwise(F.col("c_none")))
+    return out.select(*g, "q", "value", below.alias("below"), "total")
 
 
 def exact_median(df: DataFrame, value_col: str,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
@@ -209,15 +212,10 @@ ncur AS (SELECT count(*) AS samples, max(ts) AS window_ts FROM log WHERE NOT is_
 
 
 def _snapshot(spark, d):
-    ref, cur = (x.where(F.col("prediction").isNotNull()) for x in _split(spark, d))
-    p = _psi(spark, d)
-    st = _status(spark, d, p)
-    top = drift.top_features(p)
-    tops = top.agg(*[F.max(F.when(F.col("rank") == i, F.col("feature"))).alias(f"t{i}") for i in (1, 2, 3)])
-    miss = drift.missing_ratio(_flat(spark, d).where(~F.col("is_ref")), MISSING_COLS)
-    n = cur.where(F.col("prediction").isNotNull()).agg(F.count(F.lit(1)).alias("samples"),
-                                                       F.max("ts").alias("window_ts"))
-    return st.crossJoin(tops).crossJoin(miss).crossJoin(n)
+    """One scan of the log: the records' fields, the features and the side of the split."""
+    feats = F.from_json(F.col("props"), "source string")
+    rows = log(spark, d).withColumn("source", feats.getField("source"))
+    return drift.snapshot(rows, "is_ref", LOG_FEATURES, cells=MISSING_COLS, time="ts")
 
 
 @query("drift_snapshot", PSI + "," + RATE_SQL + "," + STATUS_SQL + "," + TOP_SQL + "," + JSON_SQL + "," +
@@ -228,12 +226,47 @@ SELECT CASE WHEN samples >= 5 THEN 'updated' ELSE 'insufficient_samples' END AS
        coalesce(t3, '') AS top_drift_feature_3
 FROM status, shift2, tops, miss, ncur""")
 def drift_snapshot(spark, d):
-    s = _snapshot(spark, d)
-    ok = F.col("samples") >= 5
-    return s.select(F.when(ok, "updated").otherwise("insufficient_samples").alias("status"), ok.alias("updated"),
-                    "samples", "avg_psi", "n_drifted", "reference_rate", "current_rate", "change_pct",
-                    "shift_alert", "missing_ratio", "drift_status",
-                    *[F.coalesce(F.col(f"t{i}"), F.lit("")).alias(f"top_drift_feature_{i}") for i in (1, 2, 3)])
+    return _snapshot(spark, d).select(
+        "status", "updated", "samples", "avg_psi", "n_drifted", "reference_rate", "current_rate", "change_pct", "shift_alert", "missing_ratio",
+        "drift_status", *[F.coalesce(F.col(f"t{i}"), F.lit("")).alias(f"top_drift_feature_{i}") for i in (1, 2, 3)])
+
+
+GUARD_CASE = ("CASE WHEN (SELECT count(*) FROM log WHERE is_ref) = 0 THEN 'reference_not_found' WHEN n = 0 THEN 'empty_or_invalid_logs' "
+              "WHEN n < 5 THEN 'insufficient_samples' ELSE 'updated' END")
+
+
+@query("snapshot_guards", with_ctes(LOG_SQL, """
+cur AS (SELECT * FROM log WHERE NOT is_ref AND prediction IS NOT NULL),
+cases AS (
+  SELECT 'whole' AS scenario, count(*) AS n FROM cur
+  UNION ALL SELECT 'newest', count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM cur)) FROM cur
+  UNION ALL SELECT 'future', count(*) FILTER (WHERE ts > (SELECT max(ts) FROM cur)) FROM cur)""") + f"""
+SELECT scenario, {GUARD_CASE} AS status, {GUARD_CASE} = 'updated' AS updated, n AS samples FROM cases
+UNION ALL SELECT 'no_reference', 'reference_not_found', false, 0
+UNION ALL SELECT 'no_log', 'logs_not_found', false, 0""")
+def snapshot_guards(spark, d):
+    """Every status of the snapshot's guard, from sources that are whole, short, empty or not there."""
+    ref, cur = _split(spark, d)
+    gone = files.open_if_there(spark, f"{d}/no-such-table.parquet")
+    latest = cur.where(F.col("prediction").isNotNull()).agg(F.max("ts")).scalar()
+    cases = {"whole": (ref, cur), "newest": (ref, cur.where(F.col("ts") >= latest)), "future": (ref, cur.where(F.col("ts") > latest)),
+             "no_reference": (gone, cur), "no_log": (ref, gone)}
+    rows = [drift.snapshot_status(spark, *sides).select(F.lit(name).alias("scenario"), "*") for name, sides in cases.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("psi_distributions", PSI + """
+SELECT d.feature, CAST(d.bin AS INTEGER) AS bin, round(e.edges[d.bin], 6) AS lower, round(e.edges[d.bin + 1], 6) AS upper,
+       round(coalesce(rn.n, 0) / rt.r_in, 6) AS reference_share, round(coalesce(cn.n, 0) / ct.c_in, 6) AS current_share,
+       round(((coalesce(cn.n, 0) / ct.c_in + 1e-6) - (coalesce(rn.n, 0) / rt.r_in + 1e-6))
+             * ln((coalesce(cn.n, 0) / ct.c_in + 1e-6) / (coalesce(rn.n, 0) / rt.r_in + 1e-6)), 6) AS contribution
+FROM dom d JOIN edges e ON d.feature = e.feature JOIN rt ON d.feature = rt.feature JOIN ct ON d.feature = ct.feature
+LEFT JOIN rn ON rn.feature = d.feature AND rn.bin = d.bin LEFT JOIN cn ON cn.feature = d.feature AND cn.bin = d.bin
+WHERE len(e.edges) >= 3 AND ct.c_in > 0""")
+def psi_distributions(spark, d):
+    """The bins behind the PSI table: edges, reference and current shares, contributions."""
+    ref, cur = _split(spark, d)
+    return drift.psi_distributions(drift.psi_fit(ref, LOG_FEATURES), cur)
 
 
 @query("event_snapshot", PSI + "," + RATE_SQL + "," + STATUS_SQL + "," + TOP_SQL + "," + JSON_SQL + "," +

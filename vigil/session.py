@@ -6,10 +6,12 @@ only when nothing is configured (local tests) a scratch folder is created.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -66,3 +68,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+_RUN = uuid.uuid4().hex
+_dropped_at_exit: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this run's written tables below the shared one; dropped when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vigil-run-{_RUN}"
+    if path not in _dropped_at_exit:
+        _dropped_at_exit.add(path)
+        atexit.register(drop_run, spark, path)
+    return path
+
+
+def drop_run(spark: SparkSession, path: str | None = None) -> None:
+    """Delete the run's written tables; results that still read them are lost."""
+    path = path or run_folder(spark)
+    if spark.sparkContext._jsc is None:  # stopped before
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, what: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` into the run's folder and read it back.
+
+    Unlike a persisted frame it survives lost executors, and unlike an RDD
+    checkpoint it carries file sizes for the optimizer."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

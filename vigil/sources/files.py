@@ -185,6 +185,14 @@ def tail_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
+def open_if_there(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None where nothing is; a table that is there but can't be read raises."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.format(fmt).load(path)
+
+
 def source_status(ref: DataFrame | None, cur: DataFrame | None, min_rows: int = 5) -> str:
     """Monitoring guard: a status instead of an exception."""
     if ref is None:
