@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import curve, metrics
-from vigil.operators.ordered import count_below, count_less, cut_points, exact_quantiles, running_sums
+from vigil.operators.ordered import count_below, count_less, cut_points, exact_quantiles, ranges_for, running_sums
 
 
 def _df(spark, y, p, g=None):
@@ -162,3 +162,74 @@ def test_count_less_matches_filter_size(spark):
         count_less(F.col("arr"), F.col("v"), n=7).alias("c"),
         F.size(F.filter("arr", lambda e: e < F.col("v"))).alias("ec")).collect()
     assert all(r["a"] == r["ea"] and r["b"] == r["eb"] and r["c"] == r["ec"] for r in got)
+
+
+@pytest.mark.parametrize("buckets", [1, 16, 3000])
+def test_running_extremes_match_naive_window(spark, buckets):
+    """Any number of ranges: one, approximate quantiles, or Spark's own range partitions."""
+    rng = np.random.default_rng(9)
+    values = rng.permutation(800)[:500]
+    df = spark.createDataFrame([(str(v % 3), float(v), int(c), None if v % 7 == 0 else float(c))
+                                for v, c in zip(values, rng.integers(0, 50, 500))], "g string, v double, c long, x double")
+    got = running_sums(df, "v", ["c"], "g", descending=True, buckets=buckets, rows_per_bucket=20, totals=True, index="i", lead_cols=["c"],
+                       extremes={"hi": ("x", "max", "upto"), "lo": ("x", "min", "after")})
+    w = Window.partitionBy("g").orderBy(F.col("v").desc())
+    want = df.select("g", "v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("c").over(Window.partitionBy("g")),
+                     F.row_number().over(w) - 1, F.lead("c").over(w), F.max("x").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                     F.min("x").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    assert sorted(map(tuple, got.select("g", "v", "c_cum", "c_tot", "i", "c_next", "hi", "lo").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_number_of_ranges_follows_the_size(spark, tmp_path):
+    df = spark.range(20_000).select(F.rand(1).alias("v"))
+    df.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert ranges_for(t) == 1
+    assert ranges_for(t, rows_per_bucket=1000) == 1024
+    assert ranges_for(t, rows_per_bucket=10) > 1024
+
+
+def _naive_rates(data, t):
+    out = []
+    for g in sorted({g for _, _, g in data if g is not None}):
+        pos = [p for y, p, x in data if x == g and y == 1 and p is not None]
+        neg = [p for y, p, x in data if x == g and y == 0 and p is not None]
+        out.append((100 * sum(p >= t for p in neg) / len(neg) if neg else 0.0, 100 * sum(p < t for p in pos) / len(pos) if pos else 0.0))
+    return max(a for a, _ in out), max(b for _, b in out), max(a for a, _ in out) - min(a for a, _ in out), max(b for _, b in out) - min(b for _, b in out)
+
+
+def test_fairness_curve_by_group_rates(spark):
+    """Groups with one class only, a null group, null scores and a candidate that is no score."""
+    rng = np.random.default_rng(4)
+    groups = ["a", "b", "c", "d", None]
+    data = [(int(y), None if i % 41 == 0 else round(float(p), 2), groups[g]) for i, (y, p, g) in enumerate(zip(rng.integers(0, 2, 400), rng.random(400), rng.integers(0, 5, 400)))]
+    data = [(1 if g == "c" else 0 if g == "d" else y, p, g) for y, p, g in data]
+    df = spark.createDataFrame(data, "y int, p double, g string")
+    got = curve.fairness_curve(df, "y", "p", "g", extra_thresholds=[0.5072, 2.0, -1.0]).collect()
+    assert len(got) == len({p for _, p, _ in data if p is not None}) + 3
+    for r in got:
+        want = _naive_rates(data, r["threshold"])
+        assert [r["max_fpr"], r["max_fnr"], r["gap_fpr"], r["gap_fnr"]] == pytest.approx(want), r["threshold"]
+
+
+def test_fair_threshold_with_many_groups(spark):
+    """50 000 groups of two rows each: no column per group, nothing collected."""
+    n = 50_000
+    df = spark.range(2 * n).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 2).cast("long").alias("g"),
+                                   (F.when(F.col("id") % 2 == 1, 0.6).otherwise(0.1) + (F.col("id") % 300) / 1000).alias("p"))
+    r = curve.fair_threshold(df, "y", "p", "g").first()
+    assert r["strategy"] == "fairness_f1" and r["recall"] == 1.0 and r["max_fnr"] == 0.0
+    assert 0.399 < r["threshold"] <= 0.601 and r["gap_fpr"] == 0.0
+
+
+def test_threshold_report(spark, small_dir):
+    from vigil.plans.bindings import scored
+    d = scored(spark, small_dir)
+    rows = curve.threshold_report(d, "y", "p", "grp").collect()
+    p = [r["p"] for r in d.select("p").collect()]
+    assert {r["strategy"] for r in rows} == {"f1", "recall", "cost", "fairness_f1"}
+    for r in rows:
+        assert r["high_risk_estimated"] == sum(x >= r["threshold"] for x in p)
+        assert r["human_reviews"] == sum(abs(x - r["threshold"]) <= curve.REVIEW_MARGIN for x in p)
+        assert r["justification"] and r["tradeoff"]
+    assert "3" in next(r for r in rows if r["strategy"] == "cost")["justification"]

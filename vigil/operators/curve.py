@@ -17,10 +17,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import _cols, count_less, running_sums, safe_div
+from vigil.operators.ordered import _cols, count_less, ranges_for, running_sums, safe_div
 
 # fixed values of the reference configuration
 DEFAULT_THRESHOLD = 0.5072
+REVIEW_MARGIN = 0.02
 MIN_PRECISION = 0.5
 MIN_RECALL = 0.6
 COST_FN = 3.0
@@ -275,66 +276,64 @@ def min_cost_threshold(df: DataFrame, label: str, score: str, cost_fn: float = C
         "threshold", "cost", "fn", "fp")
 
 
-def group_threshold_counts(df: DataFrame, label: str, score: str, group: str | None,
-                           max_groups: int = 1000, extra_thresholds: Sequence[float] = ()) -> tuple[DataFrame, list]:
-    """Running counts overall and per group on the shared list of distinct
-    scores, one row per score.  Group values become columns (their number is
-    bounded by ``max_groups`` and checked), so no score × group product is
-    materialised.  Returns (curve, group values)."""
-    values = [] if group is None else [
-        r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().limit(max_groups + 1).collect()]
-    if len(values) > max_groups:
-        raise ValueError(f"more than {max_groups} groups in {group!r}")
-    values = sorted(values)
-    y = _label(label)
-    aggs = [F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")]
-    for i, v in enumerate(values):
-        m = F.col(group) == F.lit(v)
-        aggs += [F.sum(F.when(m, y).otherwise(0)).alias(f"_g{i}_pos"),
-                 F.sum(F.when(m, 1 - y).otherwise(0)).alias(f"_g{i}_neg")]
-    counts = (df.where(F.col(score).isNotNull())
-              .groupBy(F.col(score).cast("double").alias("threshold")).agg(*aggs))
-    sums = ["pos", "neg"] + [f"_g{i}_{k}" for i in range(len(values)) for k in ("pos", "neg")]
-    if extra_thresholds:
-        extra = df.sparkSession.createDataFrame([(float(t),) for t in extra_thresholds], "threshold double")
-        extra = extra.select("threshold", *[F.lit(0).cast("long").alias(c) for c in sums])
-        counts = counts.unionByName(extra).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
-    counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
-    cum = running_sums(counts, "threshold", sums, descending=True, totals=True)
-    cum = (cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp", "pos_tot": "n_pos", "neg_tot": "n_neg"})
-           .withColumn("fn", F.col("n_pos") - F.col("tp")))
-    return cum, values
-
-
-def _fairness_cols(cum: DataFrame, n_groups: int) -> DataFrame:
-    fprs, fnrs = [], []
-    for i in range(n_groups):
-        fp, n = F.col(f"_g{i}_neg_cum"), F.col(f"_g{i}_neg_tot")
-        tp, p = F.col(f"_g{i}_pos_cum"), F.col(f"_g{i}_pos_tot")
-        fprs.append(safe_div(fp, n) * F.lit(100.0))
-        fnrs.append(safe_div(p - tp, p) * F.lit(100.0))
-
-    def mx(xs):
-        return xs[0] if len(xs) == 1 else F.greatest(*xs)
-
-    def mn(xs):
-        return xs[0] if len(xs) == 1 else F.least(*xs)
-
-    return cum.withColumns({"max_fpr": mx(fprs), "max_fnr": mx(fnrs),
-                            "gap_fpr": mx(fprs) - mn(fprs), "gap_fnr": mx(fnrs) - mn(fnrs)})
+def _group_steps(df: DataFrame, label: str, score: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """How the groups' error rates change, and where they begin.
+
+    One row per distinct score: over the groups with a row of that score, the
+    highest FPR and lowest FNR at it (``up_fpr``, ``low_fnr``), and the lowest FPR
+    and highest FNR just above it (``above_fpr``, ``above_fnr``).  One row of
+    limits: the lowest FPR below all scores and the lowest FNR above them
+    (``floor_fpr``, ``floor_fnr``; a group without negatives or positives has rate
+    0), and the number of groups."""
+    own = running_sums(score_counts(df.where(F.col(group).isNotNull()), label, score, group), "threshold", ["pos", "neg"], group,
+                       descending=True, totals=True)
+    fpr = lambda fp: safe_div(fp, F.col("neg_tot")) * F.lit(100.0)
+    fnr = lambda tp: safe_div(F.col("pos_tot") - tp, F.col("pos_tot")) * F.lit(100.0)
+    steps = own.groupBy("threshold").agg(
+        F.max(fpr(F.col("neg_cum"))).alias("up_fpr"), F.min(fnr(F.col("pos_cum"))).alias("low_fnr"),
+        F.min(fpr(F.col("neg_cum") - F.col("neg"))).alias("above_fpr"), F.max(fnr(F.col("pos_cum") - F.col("pos"))).alias("above_fnr"))
+    rate = lambda n: F.when(F.col(n) > 0, F.lit(100.0)).otherwise(F.lit(0.0))
+    limits = score_counts(df.where(F.col(group).isNotNull()), label, score, group).groupBy(group).agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n")).agg(
+        F.min(rate("n")).alias("floor_fpr"), F.min(rate("p")).alias("floor_fnr"), F.count(F.lit(1)).alias("n_groups"))
+    return steps, limits
 
 
 def fairness_curve(df: DataFrame, label: str, score: str, group: str | None,
                    extra_thresholds: Sequence[float] = ()) -> DataFrame:
     """One row per distinct score (plus extra candidates): running counts,
     curve metrics and, with a group column, FPR/FNR gaps and maxima across
-    groups.  Every threshold choice below is a top-1 over this table."""
-    cum, values = group_threshold_counts(df, label, score, group, extra_thresholds=extra_thresholds)
+    groups.  Every threshold choice below is a top-1 over this table.
+
+    Any number of groups: a group's FPR only rises and its FNR only falls as the
+    threshold goes down, so the highest FPR over groups is a running maximum over
+    the (group, score) rows passed on the way down, and the lowest FPR a running
+    minimum, on the way up, of the rates that groups change to; the FNR likewise.
+    No score x group product is made, and no group's table reaches the driver."""
+    counts = score_counts(df, label, score)
+    if extra_thresholds:
+        extra = df.sparkSession.createDataFrame([(float(t), 0, 0) for t in extra_thresholds], "threshold double, pos long, neg long")
+        counts = counts.unionByName(extra).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
+    runs, ranges = {}, ranges_for(counts)  # the groups' steps add columns, not rows
+    if group is not None:
+        steps, limits = _group_steps(df, label, score, group)
+        counts = counts.join(steps, "threshold", "left")
+        runs = {"run_up": ("up_fpr", "max", "upto"), "run_low": ("low_fnr", "min", "upto"),
+                "run_fpr": ("above_fpr", "min", "after"), "run_fnr": ("above_fnr", "max", "after")}
+    cum = running_sums(counts, "threshold", ["pos", "neg"], descending=True, totals=True, buckets=ranges, extremes=runs)
+    cum = (cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp", "pos_tot": "n_pos", "neg_tot": "n_neg"})
+           .withColumn("fn", F.col("n_pos") - F.col("tp")))
     c = with_curve_metrics(cum)
-    if values:
-        return _fairness_cols(c, len(values))
-    nul = F.lit(None).cast("double")
-    return c.select("*", nul.alias("max_fpr"), nul.alias("max_fnr"), nul.alias("gap_fpr"), nul.alias("gap_fnr"))
+    if group is None:
+        nul = F.lit(None).cast("double")
+        return c.select("*", nul.alias("max_fpr"), nul.alias("max_fnr"), nul.alias("gap_fpr"), nul.alias("gap_fnr"))
+    c = c.crossJoin(F.broadcast(limits))  # one row
+    some = lambda x: F.when(F.col("n_groups") > 0, x)
+    zero = F.lit(0.0)
+    max_fpr, max_fnr = F.coalesce("run_up", zero), F.coalesce("run_fnr", zero)
+    return c.withColumns({"max_fpr": some(max_fpr), "max_fnr": some(max_fnr),
+                          "gap_fpr": some(max_fpr - F.least("run_fpr", "floor_fpr")), "gap_fnr": some(max_fnr - F.least("run_low", "floor_fnr"))})
 
 
 _PICK_COLS = ["threshold", "tp", "fp", "fn", "n_pos", "precision", "recall", "f1",
@@ -428,6 +427,34 @@ def fair_threshold(df: DataFrame, label: str, score: str, group: str,
     return _with_default(out, {"threshold": default, "strategy": "f1"})
 
 
+#: What each strategy is chosen for, and what it gives up.
+REASONS = {
+    "recall": ("highest recall at the required precision, so that cases at risk are found early", "more false alarms"),
+    "cost": ("lowest weighted cost of missed cases (weight {fn:g}) and false alarms (weight {fp:g})", "rests on the weights"),
+    "fairness_f1": ("highest recall among thresholds within the limits on group gaps and error rates", "overall F1 may be lower"),
+    "f1": ("best balance of precision and recall", "cases close to the threshold may be missed"),
+}
+
+
+def threshold_report(df: DataFrame, label: str, score: str, group: str, active: str = "fairness_f1",
+                     default: float = DEFAULT_THRESHOLD, band: float = REVIEW_MARGIN) -> DataFrame:
+    """``threshold_strategies`` with what a choice means: ``high_risk_estimated``
+    (rows at or above the threshold), ``human_reviews`` (rows within ``band`` of
+    it), ``justification`` and ``tradeoff``.  The row counts come from one pass over
+    the scores with the four thresholds as literals."""
+    rows = threshold_strategies(df, label, score, group, active, default).collect()  # four rows
+    p = F.col(score).cast("double")
+    aggs = [F.count_if(x) for r in rows for x in (p >= F.lit(r["threshold"]), F.abs(p - F.lit(r["threshold"])) <= F.lit(band))]
+    counted = list(df.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first()) if rows else []
+    spark, out = df.sparkSession, []
+    for i, r in enumerate(rows):
+        name = "f1" if r["strategy"] == "fairness_f1" and active == "fairness_f1" and not r["is_active"] else r["strategy"]
+        why, cost = REASONS[name]
+        out.append((*r, counted[2 * i], counted[2 * i + 1], why.format(fn=COST_FN, fp=COST_FP), cost))
+    return spark.createDataFrame(out, "strategy string, threshold double, precision double, recall double, f1 double, is_active boolean, "
+                                      "high_risk_estimated long, human_reviews long, justification string, tradeoff string")
+
+
 def threshold_strategies(df: DataFrame, label: str, score: str, group: str,
                          active: str = "fairness_f1", default: float = DEFAULT_THRESHOLD) -> DataFrame:
     """All four strategies side by side, each with the exact metrics of its

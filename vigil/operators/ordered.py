@@ -2,10 +2,10 @@
 
 A running sum over a global order written as ``sum() OVER (ORDER BY x)``
 has no partition key and runs in a single task.  ``running_sums`` instead
-cuts the order column into ranges of equal row counts (approximate-quantile
-cut points, so a skewed value distribution still spreads evenly), runs the
-window per (group, range) and adds per-range offsets from a table whose size
-is bounded by the bucket count.
+cuts the order column into ranges of equal row counts (so a skewed value
+distribution still spreads evenly), runs the window per (group, range) and adds
+per-range offsets.  The number of ranges follows from the size of the input, so
+that a range stays within ``ROWS_PER_BUCKET`` or so at any size.
 ``exact_quantiles`` and ``global_index`` are built on it, so exact medians,
 deciles and ranks never gather a whole column into one aggregation buffer.
 """
@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import operator
 from functools import reduce
-from typing import Iterable, Sequence
+from typing import Iterable, Mapping, Sequence
 
 import numpy as np
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import written
+
 DEFAULT_BUCKETS = 1024
 CUT_ACCURACY = 10_000  # percentile_approx accuracy for bucket cuts: ±n/10 000 rows per cut
 ROWS_PER_BUCKET = 1_000_000  # target rows per (group, range) window task
@@ -80,6 +82,47 @@ def count_less(cuts, v: Column, inclusive: bool = False, n: int | None = None) -
     return reduce(operator.add, terms) if terms else F.lit(0)
 
 
+def ranges_for(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """How many ranges a group of ``df`` needs so that one holds about
+    ``rows_per_bucket`` rows, from an upper bound of its bytes: the tables that it
+    reads, or the optimizer's estimate where that is lower (its estimate of a join
+    is the product of both sides).  One where everything fits into a few of them,
+    ``DEFAULT_BUCKETS`` where the size is not known (the cut points are then
+    thinned by the real counts)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = min(int(plan.stats().sizeInBytes()), read)
+    if size >= 1 << 60:
+        return DEFAULT_BUCKETS
+    n = -(-size // (2 * rows_per_bucket))  # a distinct number takes two bytes at least
+    return 1 if n <= 4 else max(DEFAULT_BUCKETS, n)
+
+
+def assign_ranges(df: DataFrame, order: Column, g: list[str], nb: int, rows_per_bucket: int, small_groups: bool) -> DataFrame:
+    """``df`` with ``_b``: the range that a row's order value falls into, ascending within its group.
+
+    Up to ``DEFAULT_BUCKETS`` ranges come from approximate quantiles of each
+    group.  More are Spark's own range partitions of (group, order): any number
+    of them, each of about ``rows_per_bucket`` rows, so that neither a range nor
+    the table of ranges (one row per group and partition) grows with the data of
+    one task.  They are written, as a range must not move when a task is repeated."""
+    if nb <= 1:
+        return df.withColumn("_b", F.lit(0))
+    if nb > DEFAULT_BUCKETS:
+        return written(df.repartitionByRange(nb, *[F.col(c) for c in g], order).withColumn("_b", F.spark_partition_id()), "ranges")
+    cuts = cut_points(df, order, g, nb, rows_per_bucket)
+    if not g:
+        b = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    elif small_groups:
+        key = F.struct(*[F.col(c) for c in g])
+        lookup = cuts.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("_cuts"))))).scalar()
+        b = df.withColumn("_cuts", F.try_element_at(lookup, key))
+    else:
+        b = same_groups(df, cuts, g)
+    return count_below(b, order, "_cuts", nb - 1, "_b").drop("_cuts")
+
+
 def cut_points(df: DataFrame, order: Column, group_cols: list[str], buckets: int,
                rows_per_bucket: int) -> DataFrame:
     """Per group: sorted cut points splitting the rows into
@@ -107,44 +150,32 @@ def same_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] | str | None = None,
-                 descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+                 descending: bool = False, buckets: int | None = None,
                  small_groups: bool = False, suffix: str = "_cum", totals: bool = False,
                  index: str | None = None, count: str | None = None,
-                 lead_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 lead_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET,
+                 extremes: Mapping[str, tuple[str, str, str]] | None = None) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over all rows of the same group whose
     order value is <= (or >= when ``descending``) the row's value, ties
     included (RANGE frame).  Optional outputs from the same pass:
     ``totals`` -> ``<c>_tot`` (group total); ``index`` -> 0-based position in
     the scan order; ``count`` -> rows in the group; ``lead_cols`` ->
-    ``<c>_next``, the next row's value (null on the last row).  ``index`` and
-    ``lead_cols`` assume distinct order values per group (pre-aggregate).
+    ``<c>_next``, the next row's value (null on the last row); ``extremes`` ->
+    name: (column, ``max`` or ``min``, ``upto`` or ``after``), the extreme over the
+    rows up to and including the row, or over those after it (null on the last
+    row).  ``index``, ``lead_cols`` and ``extremes`` assume distinct order values
+    per group (pre-aggregate).
 
     Plan: each group's order values are cut into ranges of about
-    ``rows_per_bucket`` rows (at most ``buckets``) at approximate quantiles,
-    so a skewed value distribution still spreads evenly.  The cut points are
-    a scalar subquery when there is no group, or when the caller vouches for
-    ``small_groups`` (a fixed list such as feature names), looked up per row by
-    a binary search — nothing group-sized is copied onto the rows.  A window partitioned by
-    (group, range) does the work; a window over the per-range totals (at most
-    ``buckets`` rows per group) gives each range its offset, joined back.
-    With unbounded groups the cut points are joined per group instead.
+    ``rows_per_bucket`` rows (``assign_ranges``; ``buckets`` of them, by default as
+    many as the size asks for), so a skewed value distribution still spreads
+    evenly.  A window partitioned by (group, range) does the work; a window over
+    the per-range totals gives each range its offset, joined back.
     """
     g = _cols(group_cols)
     o = F.col(order_col).cast("double")
-    nb = max(1, int(buckets))
-    if nb > 1:
-        cuts = cut_points(df, o, g, nb, rows_per_bucket)
-        if not g:
-            b = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-        elif small_groups:
-            key = F.struct(*[F.col(c) for c in g])
-            lookup = cuts.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("_cuts"))))).scalar()
-            b = df.withColumn("_cuts", F.try_element_at(lookup, key))
-        else:
-            b = same_groups(df, cuts, g)
-        b = count_below(b, o, "_cuts", nb - 1, "_b").drop("_cuts")
-    else:
-        b = df.withColumn("_b", F.lit(0))
+    nb = max(1, int(buckets)) if buckets is not None else ranges_for(df, rows_per_bucket)
+    b = assign_ranges(df, o, g, nb, rows_per_bucket, small_groups)
     if descending:
         b = b.withColumn("_b", F.lit(nb - 1) - F.col("_b"))
 
@@ -156,6 +187,13 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         extra.append(F.row_number().over(w).alias("_rn"))
     if lead_cols:
         extra.append(F.lead(F.struct(*lead_cols)).over(w).alias("_lead"))
+    # what comes after a row is what came before it the other way round: a frame that ends at the partition's end
+    # would be folded anew for every row
+    back = Window.partitionBy(*g, "_b").orderBy(F.col(order_col).asc() if descending else F.col(order_col).desc())
+    reach = {"upto": w.rowsBetween(Window.unboundedPreceding, 0), "after": back.rowsBetween(Window.unboundedPreceding, -1)}
+    fold = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    extremes = dict(extremes or {})
+    extra += [fold[how][0](c).over(reach[side]).alias(f"_{name}_in") for name, (c, how, side) in extremes.items()]
     b = b.select("*", *extra)
 
     aggs = [F.sum(c).alias(f"_{c}_bt") for c in sum_cols]
@@ -164,6 +202,8 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     if lead_cols:
         first = F.max_by if descending else F.min_by
         aggs.append(first(F.struct(*lead_cols), F.col(order_col)).alias("_first"))
+    aggs += [fold[how][0](c).alias(f"_{name}_bt") for name, (c, how, _) in extremes.items()]
+    aggs = aggs or [F.count(F.lit(1)).alias("_n_bt")]
     per = b.groupBy(*g, "_b").agg(*aggs)
     w_b = Window.partitionBy(*g).orderBy("_b")
     w_prev = w_b.rowsBetween(Window.unboundedPreceding, -1)
@@ -177,6 +217,9 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         sel.append(F.sum("_n_bt").over(w_all).alias(count))
     if lead_cols:
         sel.append(F.lead("_first").over(w_b).alias("_next_first"))
+    w_back = Window.partitionBy(*g).orderBy(F.col("_b").desc())
+    beyond = {"upto": w_prev, "after": w_back.rowsBetween(Window.unboundedPreceding, -1)}
+    sel += [fold[how][0](f"_{name}_bt").over(beyond[side]).alias(f"_{name}_off") for name, (_, how, side) in extremes.items()]
     offsets = per.select(*g, "_b", *sel)
 
     out = same_groups(b, F.broadcast(offsets) if small_groups else offsets, [*g, "_b"])
@@ -190,11 +233,12 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     if lead_cols:
         nxt = F.coalesce(F.col("_lead"), F.col("_next_first"))
         new += [nxt[c].alias(f"{c}_next") for c in lead_cols]
+    new += [fold[how][1](f"_{name}_in", f"_{name}_off").alias(name) for name, (_, how, _) in extremes.items()]
     return out.select(*[F.col(c) for c in df.columns], *new)  # one projection drops the helpers
 
 
 def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str | None = None,
-                 descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+                 descending: bool = False, buckets: int | None = None,
                  name: str = "_idx") -> DataFrame:
     """0-based position of each row in (group, order) — rows must have distinct
     order values within a group (pre-aggregate first)."""
@@ -203,7 +247,7 @@ def global_index(df: DataFrame, order_col: str, group_cols: Sequence[str] | str
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] | str | None = None,
-                    buckets: int = DEFAULT_BUCKETS, small_groups: bool = False) -> DataFrame:
+                    buckets: int | None = None, small_groups: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles, equal to SQL ``percentile`` to the
     last bit.  Null values are ignored; a null group is a group.  Output:
     ``group…, q, value``.
@@ -221,7 +265,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 
 def quantiles_of_counts(counts: DataFrame, value_col: str, count_col: str, probs: Sequence[float],
                         group_cols: Sequence[str] | str | None = None,
-                        buckets: int = DEFAULT_BUCKETS, small_groups: bool = False) -> DataFrame:
+                        buckets: int | None = None, small_groups: bool = False) -> DataFrame:
     """``exact_quantiles`` of a value count table (distinct non-null values per
     group).  Output: ``group…, q, value, below, total`` - ``below`` counts the
     rows whose value is at most the quantile, ``total`` the group's rows."""
