@@ -37,7 +37,8 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_convolution_equals_direct_form():
-    m = c.train(["der hund und die katze " * 9, "the dog and the cat " * 9], ["de", "en"], epochs=2)
+    drawn = [(w, y) for t, y in (("der hund und die katze " * 9, "de"), ("the dog and the cat " * 9, "en")) for w in c.draw(t, 1)]
+    m = c.train([w for w, _ in drawn], [y for _, y in drawn], epochs=2)
     text = "the katze und der dog " * 20
     w = c.fold(text)[None, :c.WINDOW]
     em = m.emb[w[0]]
@@ -61,13 +62,28 @@ def test_language_edges(spark):
     assert len(got) == len(rows())
     und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
     assert {300, 301, 302, 303} <= und and 306 not in und
-    kept = c.reject_unknown(docs)
+    kept = c.reject_unknown(docs, min_score=0.0)
     assert kept.columns == docs.columns and kept.count() == sum(any(map(str.isalpha, t or "")) for _, t, *_ in rows())
+    model = c.fit(docs, remainder("doc_id", 4) != 2)
+    sure = [(r["doc_id"], r["lang_pred"], r["score"]) for r in collected(c.predict(docs, model))]
+    name = max(("en", "de"), key=lambda x: sum(lang == x for _, lang, _ in sure))
+    middle = sorted(p for _, lang, p in sure if lang == name)
+    middle = (middle[len(middle) // 2 - 1] + middle[len(middle) // 2]) / 2 + 1e-9
+    want = sorted((i for i, lang, p in sure if lang == name and p >= middle), key=repr)
+    assert sorted((r["doc_id"] for r in collected(c.reject_unknown(docs, min_score=middle, languages=[name]))), key=repr) == want and 0 < len(want) < len(rows())
     assert c.identify(empty(spark)).count() == 0 and c.reject_unknown(empty(spark)).count() == 0
     nothing = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in collected(c.identify(nothing))} == {"und"}
 
 
+def test_sample_is_bounded_by_language(spark):
+    """Every language, however rare; whole texts; repeated rows count once."""
+    many = [(i, f"wort {i} und " * 200, "de", None, None) for i in range(90)] + [(500, "only one", "xx", None, None)] * 3
+    got = c.training_windows(spark.createDataFrame(many, "doc_id long, text string, lang string, source string, n_chars long"), F.lit(True), docs_per_class=20)
+    assert {r["lang"] for r in got} == {"de", "xx"}
+    assert sum(r["lang"] == "xx" for r in got) == 1 and 30 < sum(r["lang"] == "de" for r in got) <= 40
+
+
 # -- quality ------------------------------------------------------------------
 
 def auc(score, y):

@@ -106,7 +106,8 @@ def test_pipeline_by_stage(spark, reference):
     from test_decontaminate import words
     from test_secrets_pii import brute_secrets
     from test_simhash import brute_components, brute_fp
-    from vigil.llm.common import materialize
+    from vigil.llm import language_cnn
+    from vigil.llm.common import materialize, remainder
 
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
@@ -116,7 +117,11 @@ def test_pipeline_by_stage(spark, reference):
 
     one = materialize(stage["language"](spark, docs, SMALL))
     a = collected(one)
-    assert sorted(r["doc_id"] for r in a) == sorted(r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or "")))
+    model = language_cnn.fit(docs, remainder("doc_id", 4) != 2)
+    said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in collected(language_cnn.predict(docs, model))}
+    letters = {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert sorted(r["doc_id"] for r in a) == sorted(i for i, (lang, p) in said.items() if lang != "und" and p >= language_cnn.MIN_SCORE)
+    assert len(a) >= 0.99 * len(letters) and all(said[i][0] == "und" for i in said if i not in letters)
 
     two = materialize(stage["near_duplicates"](spark, one, SMALL))
     fp = {r["doc_id"]: brute_fp(r["text"]) for r in a}

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigil.session import checkpoint_dir
+from vigil.session import run_folder, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder name below the cluster's shared folder (``spark.checkpoint.dir``)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/vigil-{what}-{uuid.uuid4().hex}"
+    """A new name in the run's folder below the cluster's shared one (``spark.checkpoint.dir``)."""
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
@@ -28,11 +28,18 @@ def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     Unlike an RDD checkpoint the result carries file sizes for the optimizer
     and no partitioning, so a later join on a hot key gets exchanges that
     adaptive execution can split.  Lost executors only repeat their own tasks.
+    The run's folder is dropped when the driver ends.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, what)
+
+
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if its files hold at most ``most`` bytes, else as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
 
 
 def remainder(id_col: str | Column, n: int) -> Column:

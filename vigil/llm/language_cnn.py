@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil.llm.common import remainder
 
@@ -30,9 +30,8 @@ WINDOW = 256
 DOCS_PER_CLASS = 800
 WINDOWS_PER_DOC = 2
 EPOCHS = 6
-MAX_CLASSES = 1000  # the most frequent languages that a model learns
-TRAIN_CHARS = 4_000  # excerpt of a sampled text that reaches the driver; prediction has no such bound
 UNKNOWN = "und"
+MIN_SCORE = 0.35  # a text whose best language is less likely is in none that was learned
 _STEP = 1 << 18  # bytes convolved at once
 
 
@@ -83,22 +82,23 @@ def window_starts(n: int, length: int = WINDOW) -> np.ndarray:
     return s if (n % length) == 0 else np.append(s, n - length)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 0, window: int = WINDOW, epochs: int = EPOCHS,
-          windows_per_doc: int = WINDOWS_PER_DOC) -> ByteCnn | None:
-    """Fit the network; None without labelled text that has letters."""
-    rng = np.random.default_rng(seed)
-    rows, ys, classes = [], [], sorted(set(labels))
-    for t, y in zip(texts, labels):
-        b = fold(t)
-        if not len(b):
-            continue
-        for _ in range(windows_per_doc if len(b) > window else 1):
-            s = int(rng.integers(0, max(1, len(b) - window + 1)))
-            part = b[s:s + int(rng.integers(window // 8, window + 1))]  # shorter ones stand for short texts
-            rows.append(np.pad(part, (0, window - len(part)), constant_values=32))
-            ys.append(classes.index(y))
+def draw(text: str, seed: int, window: int = WINDOW, windows_per_doc: int = WINDOWS_PER_DOC) -> list[np.ndarray]:
+    """Windows to learn from, from anywhere in the text; shorter ones stand for short texts."""
+    rng, b, out = np.random.default_rng(seed), fold(text), []
+    for _ in range(windows_per_doc if len(b) > window else min(1, len(b))):
+        s = int(rng.integers(0, max(1, len(b) - window + 1)))
+        part = b[s:s + int(rng.integers(window // 8, window + 1))]
+        out.append(np.pad(part, (0, window - len(part)), constant_values=32))
+    return out
+
+
+def train(rows: list[np.ndarray], labels: list[str], seed: int = 0, window: int = WINDOW, epochs: int = EPOCHS) -> ByteCnn | None:
+    """Fit the network to windows; None without any."""
     if not rows:
         return None
+    rng, classes = np.random.default_rng(seed), sorted(set(labels))
+    number = {c: i for i, c in enumerate(classes)}
+    ys = [number[y] for y in labels]
     x, y = np.array(rows), np.array(ys)
     f, e, c = FILTERS * len(WIDTHS), EMBED, len(classes)
     mask = np.zeros((4 * e, f), np.float32)
@@ -144,26 +144,33 @@ def train(texts: list[str], labels: list[str], seed: int = 0, window: int = WIND
     return ByteCnn(classes, *p)
 
 
-def training_rows(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_CLASS) -> list:
-    """At most about ``docs_per_class`` rows (text, lang) of each language, by a hash of the id and text."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & train_on)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect()
-    if not counts:
-        return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_class / r["count"]))) for r in counts],
-                       F.lit(0.0))
-    h = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), F.length("text"))
-    rows = (known.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
-            .withColumn("__at", F.pmod(h, F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int") + 1)
-            .select(F.substring("text", F.col("__at"), F.lit(TRAIN_CHARS)).alias("text"), "lang", h.alias("h"))
-            .orderBy("h", "lang", "text").limit(2 * docs_per_class * len(counts)))
-    return rows.collect()
+def training_windows(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_CLASS, seed: int = 0) -> list:
+    """Rows (lang, window) from at most ``docs_per_class`` texts of every language, those with the least 64-bit hashes
+    of id and text; whole texts are drawn from, and only their windows reach the driver."""
+    h = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & train_on).select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # each task passes on as many of a language at most
+    least = (known.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= docs_per_class)
+             .groupBy(F.col("lang").alias("l_lang")).agg(F.max("h").alias("last")))
+
+    def run(batches):
+        for b in batches:
+            lang, h, windows = [], [], []
+            for name, text, key in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for w in draw(text, [key & 0xFFFFFFFF, (key >> 32) & 0xFFFFFFFF, seed]):
+                    lang.append(name), h.append(key), windows.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(windows, pa.binary())], names=["lang", "h", "window"])
+
+    chosen = known.join(least, (F.col("lang") == F.col("l_lang")) & (F.col("h") <= F.col("last"))).select("lang", "text", "h")
+    # repeated rows have equal windows
+    return chosen.mapInArrow(run, "lang string, h long, window binary").distinct().orderBy("h", "lang", "window").collect()
 
 
 def fit(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_CLASS, seed: int = 0) -> ByteCnn | None:
     """Train on a sample of ``docs(doc_id, text, lang)`` rows where ``train_on`` holds."""
-    rows = training_rows(docs, train_on, docs_per_class)
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], seed)
+    rows = training_windows(docs, train_on, docs_per_class, seed)
+    return train([np.frombuffer(bytes(r["window"]), np.uint8) for r in rows], [r["lang"] for r in rows], seed)
 
 
 def predict_texts(model: ByteCnn | None, texts: list[str | None], tables=None) -> tuple[list[str], np.ndarray]:
@@ -230,18 +237,21 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_class:
     return predict(docs, model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_class: int = DOCS_PER_CLASS) -> DataFrame:
-    """Rows of ``docs`` in some language: those predicted ``und`` go.  All columns
-    stay, whatever their names; the filter is evaluated where the row is."""
+def reject_unknown(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_class: int = DOCS_PER_CLASS,
+                   min_score: float = MIN_SCORE, languages: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` in a learned language, or in one of ``languages``: those go
+    whose text has no letter, whose best language has a probability below
+    ``min_score``, or is not wanted.  All columns stay, whatever their names; the
+    filter is evaluated where the row is.  Without a model only letterless texts go."""
     model = fit(docs, remainder("doc_id", folds) != held_out, docs_per_class)
 
     @F.pandas_udf("boolean")
     def known(texts):
         import pandas as pd
 
-        return pd.Series([x != UNKNOWN for x in predict_texts(model, texts.tolist(), model.tables() if model else None)[0]],
-                         dtype=bool)
+        lang, score = predict_texts(model, texts.tolist(), model.tables() if model else None)
+        return pd.Series([x != UNKNOWN and p >= min_score and (languages is None or x in languages) for x, p in zip(lang, score)], dtype=bool)
 
-    if model is None:  # nothing learned: only what has no letter is rejected
+    if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return docs.where(known("text"))

@@ -7,7 +7,7 @@ where the table has one.  The score is
     sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))
 
 so the pairwise interactions cost time linear in the features.  It is fitted in
-numpy by Adam on a bounded sample: at most about ``sample`` labelled rows, half
+numpy by Adam on a bounded sample: at most ``sample`` labelled ids, half
 of each class where there are enough, chosen by a hash of the id.  Every word of
 every text counts, in the sample and when scoring.
 """
@@ -173,24 +173,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, sample: int = SAMPLE, seed
         return None
     half = sample // 2
     want = {y: max(half, sample - count[1 - y]) for y in count}
-    h = F.pmod(F.xxhash64("l_id", F.lit(3)), F.lit(1 << 30))
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, want[1] / count[1]))).otherwise(F.lit(min(1.0, want[0] / count[0])))
-    chosen = known.where(h < share * (1 << 30))
-    rows = _inputs(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most about `sample` ids
-    schema = "y int, feat array<int>, val array<float>"
+    h = F.xxhash64("l_id", F.lit(3))
+    chosen = known.where("y = 0").orderBy(h, "l_id").limit(want[0]).unionByName(known.where("y = 1").orderBy(h, "l_id").limit(want[1]))
+    rows = _inputs(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most `sample` ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, feat array<int>, val array<float>"
 
     def extract(batches):
         for b in batches:
-            _, text, n_chars, y = (b.column(i).to_pylist() for i in range(4))
+            text, n_chars, y = (b.column(i).to_pylist() for i in range(1, 4))
             row, feat, val = features(text, n_chars)
             order = np.argsort(row, kind="stable")
             at = np.searchsorted(row[order], np.arange(1, len(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()),
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.int32()),
                                               pa.array([f.astype(np.int32) for f in np.split(feat[order], at)], pa.list_(pa.int32())),
                                               pa.array([v.astype(np.float32) for v in np.split(val[order], at)], pa.list_(pa.float32()))],
-                                             names=["y", "feat", "val"])
+                                             names=["doc_id", "y", "feat", "val"])
 
     got = rows.select("doc_id", "text", "n_chars", "y").mapInArrow(extract, schema)
+    got = got.groupBy("doc_id").agg(F.min(F.struct("y", "feat", "val")).alias("r")).select("r.*")  # one row for each id
     got = sorted(got.toArrow().to_pylist(), key=lambda r: (r["y"], r["feat"], r["val"]))
     if len({r["y"] for r in got}) < 2:
         return None
