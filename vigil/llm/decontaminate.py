@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigil.llm.common import ascii_lower, materialize
+from vigil.llm.common import ascii_lower, broadcast_if_small, materialize
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
-MAX_BROADCAST_WINDOWS = 300_000  # of about 200 bytes
+MAX_BROADCAST_WINDOWS = 4_000_000  # hashes of 8 bytes, about 100 MB as a hash table
 
 
 def _split(text: Column, pattern: str) -> Column:
@@ -37,16 +37,14 @@ def words(text: str) -> Column:
     return _split(ascii_lower(F.col(text).cast("string")), NO_WORD)
 
 
-def anchored_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(anchor, offset, window, items): the distinct windows of ``benchmark(item_id, text)``
-    with the ids (as strings) of the items that hold them.  Null texts have none."""
+def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(w_hash, window, items): the distinct windows of ``benchmark(item_id, text)`` with the ids (as strings) of the
+    items that hold them.  Null texts have none."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), words("text").alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     windows = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("window"))
-    longest = F.array_max(F.transform("window", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))
     return (windows.groupBy("window").agg(F.collect_set("item").alias("items"))
-            .withColumn("a", longest)
-            .select(F.col("a.x").alias("anchor"), (-F.col("a.i")).alias("offset"), "window", "items"))
+            .select(F.xxhash64(F.size("window"), _word_hashes(F.col("window"))).alias("w_hash"), "window", "items"))
 
 
 def _key() -> list[Column]:
@@ -59,15 +57,24 @@ def _word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _hits_by_hash(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``hits`` without a broadcast."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
+         max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """(k_id, k_text, k_len, spans, items) of documents with an occurring window:
+    spans are sorted (start, end) word ranges, end exclusive.
+
+    Every document window's hash is looked up among the benchmark's, which are
+    broadcast without their words (8 bytes each; past ``max_broadcast_windows`` of
+    them the same lookup is a shuffled join).  What is found is compared word by word."""
+    windows = materialize(benchmark_windows(benchmark, n), "windows")
     sizes = [r[0] for r in windows.select(F.size("window")).distinct().collect()]  # at most n
-    windows = windows.select(F.xxhash64(F.size("window"), _word_hashes(F.col("window"))).alias("w_hash"), "window", "items")
+    hashes = windows.select(F.col("w_hash").alias("known")).distinct()
+    known = F.broadcast(hashes) if hashes.count() <= max_broadcast_windows else hashes
     size = F.col("size")
     there = F.transform(F.sequence(F.lit(1), F.size("h") - size + 1), lambda i: F.xxhash64(size, F.slice("h", i, size)))
     at = (docs.select(*_key(), _word_hashes(words("text")).alias("h"))
           .select("k_id", "k_text", "k_len", "h", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.size("h") >= size)
           .select("k_id", "k_text", "k_len", F.posexplode(there).alias("start", "hash")))
+    at = at.join(known, F.col("hash") == F.col("known"), "left_semi")
     maybe = (at.join(windows, F.col("hash") == F.col("w_hash")).groupBy("k_id", "k_text", "k_len")
              .agg(F.collect_set(F.struct("start", "window", "items")).alias("maybe")))
     maybe = materialize(maybe.select(*[F.col(c).alias(f"m_{c}") for c in ("k_id", "k_text", "k_len")], "maybe"), "maybe-hits")
@@ -80,25 +87,6 @@ def _hits_by_hash(docs: DataFrame, windows: DataFrame) -> DataFrame:
                         F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda m: m["items"])))).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
-         max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """(k_id, k_text, k_len, spans, items) of documents with an occurring window:
-    spans are sorted (start, end) word ranges, end exclusive."""
-    anchors = materialize(anchored_windows(benchmark, n), "windows")
-    if anchors.count() > max_broadcast_windows:
-        return _hits_by_hash(docs, anchors)
-    anchors = F.broadcast(anchors)
-    at = docs.select(*_key(), words("text").alias("w")).select("k_id", "k_text", "k_len", "w", F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("offset")
-    found = (at.join(anchors, F.col("word") == F.col("anchor"))
-             .where((start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))))
-    return (found.groupBy("k_id", "k_text", "k_len")
-            .agg(F.collect_set(F.struct(start.alias("start"), (start + F.size("window")).alias("end"))).alias("spans"),
-                 F.collect_set("items").alias("items"))
-            .select("k_id", "k_text", "k_len", F.array_sort("spans").alias("spans"),
-                    F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")))
-
-
 def covered(spans: str) -> Column:
     """Words inside any of the sorted ranges."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -131,10 +119,6 @@ def digest(found: DataFrame) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-#: Rows with hits, above which the filter joins by a shuffle (a row is under 100 bytes without spans).
-MAX_BROADCAST_HITS = 500_000
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N) -> DataFrame:
     """``docs`` without contaminated documents, or (``what="spans"``) with the hit
     words cut from their texts; what stands between words stays.  All columns
@@ -142,15 +126,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     if what not in ("documents", "spans"):
         raise ValueError(f"what: {what!r}")
     found = materialize(hits(docs, benchmark, n), "hits")
-    few = found.count() <= MAX_BROADCAST_HITS
     f = found.select(*[F.col(c).alias(f"__{c}") for c in ("k_id", "k_text", "k_len")], F.col("spans").alias("__spans"))
     same = None
     for key, c in zip(_key(), ("k_id", "k_text", "k_len")):
         one = key.eqNullSafe(F.col(f"__{c}"))
         same = one if same is None else same & one
     if what == "documents":
-        f = f.drop("__spans")
-        return docs.join(F.broadcast(f) if few else f, same, "left_anti")
+        return docs.join(broadcast_if_small(f.drop("__spans")), same, "left_anti")
     t = F.col("text").cast("string")
     gaps, parts = F.split(t, ANY_CASE_WORD, -1), F.regexp_extract_all(t, F.lit(ANY_CASE_WORD), F.lit(0))
     kept = F.transform(parts, lambda w, i: F.when(F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(w))
