@@ -172,3 +172,17 @@ def test_added_spans(spark):
     got = collected(p.find(spark.createDataFrame(texts, "doc_id long, text string")))
     by = {r["doc_id"]: [a["kind"] for a in r["added"]] for r in got}
     assert by[0] == ["name", "number"] and all(by[100 + i] == [] for i in range(60))
+
+
+def test_prose_is_not_masked_and_url_credentials_are(spark):
+    clean = ["Primary key: customer_id, username: text and login: monday", "The key: patience. User: everyone who waits.",
+             "pass: through the gate; account: closed", "See https://example.com/a?b=c and mail bob@example.com: key: unlocked",
+             "auth: required, user: optional, host at example.org:8080"]
+    hot = [("postgres://bob:hunter2pw@db.example.com:5432/x", "postgres://[secret]:[secret]@[secret]"),
+           ("see redis://app:plainword@cache/0 now", "see redis://[secret]:[secret]@[secret] now"),
+           ("user: bob, auth: s3cr3tvalue", None)]
+    rows = [(i, t) for i, t in enumerate(clean + [t for t, _ in hot])]
+    got = {r["doc_id"]: r["text"] for r in collected(s.redact(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert [got[i] for i in range(len(clean))] == clean
+    for i, (t, want) in enumerate(hot, len(clean)):
+        assert got[i] == want if want else ("s3cr3tvalue" not in got[i] and "bob" not in got[i])

@@ -3,9 +3,9 @@
 Strong findings (assignments, access identifiers, long hex strings) are
 reported by themselves.  Weak parts are reported only with their complements:
 
-* a weak secret (a mixed-case token with digits, or a value assigned to a word
-  such as ``auth`` or ``key``) needs an identifier or an endpoint in its scope;
-* a weak identifier (``user=``, ``client_id:``, ...) needs a secret, weak or strong;
+* a weak secret (a mixed-case token with digits, a value assigned to a word such
+  as ``auth`` or ``key`` that is no plain word, or a URL's password) needs an identifier or an endpoint in its scope;
+* a weak identifier (``user=``, ``client_id:``, ..., or a URL's user) needs a secret, weak or strong;
 * an endpoint (URL with a scheme of services, ``host:port``) needs both.
 
 Scopes are intervals of ``scope`` code points around a part, from start to start.
@@ -20,11 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil.llm import spans as S
-from vigil.llm.common import materialize
+from vigil.llm.common import broadcast_if_small, materialize
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-URL = r"""(?<![A-Za-z0-9])(?:https?|s3|ftp|jdbc|postgres|postgresql|mysql|redis|amqp|mongodb)://[^\s"'<>]{3,}+"""
+# user:password@ of a URL are parts of their own; what follows them is the endpoint
+USERINFO = r"""[^\s/:@"'<>]++:[^\s/@"'<>]++@"""
+URL = (r"""(?<![A-Za-z0-9])(?:https?|s3|ftp|jdbc|postgres|postgresql|mysql|redis|amqp|mongodb)://(?!""" + USERINFO + r""")[^\s"'<>]{3,}+"""
+       r"""|(?<=@)(?<=://[^\s/:@"'<>]{1,500}:[^\s/@"'<>]{1,500}@)[A-Za-z0-9-][^\s"'<>]*+""")
 # A chain of labels is tried from its first one, or from behind the port of a match before: the rest ends alike, so long chains cost linear time
 HOST = (r"(?<![A-Za-z0-9])(?:(?<![A-Za-z0-9-]\.)(?<!-)|(?<=:[0-9]{2,5}[.-]{1,9}))"
         r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}(?![0-9])")
@@ -36,11 +39,20 @@ KINDS = [
     S.Kind("weak_value", r"""(?<![A-Za-z0-9])(?i:auth|key|pwd|pass|credential)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{6,}+""", r"[:=]"),
     S.Kind("weak_id", r"""(?<![A-Za-z0-9])(?i:user|username|login|account|client_?id|access_?key_?id|tenant_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@_.-]{3,}+""", r"[:=]"),
     S.Kind("endpoint", URL + "|" + HOST, r":"),
+    S.Kind("url_user", r"""(?<=://)[^\s/:@"'<>]++(?=:[^\s/@"'<>]++@)""", r"://"),
+    S.Kind("url_password", r"""(?<=:)(?<=://[^\s/:@"'<>]{1,500}:)[^\s/@"'<>]++(?=@)""", r"://"),
 ]
+WEAK_VALUE = r"""[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)$"""
+
 BASE = 3  # of the kinds above are the base
 SCOPE = 256
 TAIL = 200  # of a longer part, what follows is in reach of its last so many code points
-ROLES = {"secret": ("assign", "hex", "weak_token", "weak_value"), "id": ("access", "weak_id"), "endpoint": ("endpoint",)}
+ROLES = {"secret": ("assign", "hex", "weak_token", "weak_value", "url_password"), "id": ("access", "weak_id", "url_user"), "endpoint": ("endpoint",)}
+
+
+def _keylike(value: Column) -> Column:
+    """Not a word of prose: letters with digits or in both cases within the word, or signs that words lack."""
+    return (value.rlike("[A-Za-z]") & value.rlike("[0-9]")) | value.rlike("[a-z][A-Z]") | value.rlike("[+/=]") | value.rlike("^[0-9]{6,}$")
 
 
 def parts(scanned: DataFrame) -> DataFrame:
@@ -50,7 +62,7 @@ def parts(scanned: DataFrame) -> DataFrame:
     p = p.withColumn("number", F.col("kind")).withColumn("kind", kind)
     mixed = F.col("hit").rlike("[A-Z]") & F.col("hit").rlike("[a-z]") & F.col("hit").rlike("[0-9]")
     p = p.where(((F.col("kind") != "assign") | (F.length(F.regexp_extract("hit", ASSIGN_VALUE, 1)) >= 6))
-                & ((F.col("kind") != "weak_token") | mixed))
+                & ((F.col("kind") != "weak_token") | mixed) & ((F.col("kind") != "weak_value") | _keylike(F.regexp_extract("hit", WEAK_VALUE, 1))))
     role = F.coalesce(*[F.when(F.col("kind").isin(*ks), F.lit(r)) for r, ks in ROLES.items()])
     return p.select("rid", "number", "kind", "start", "end", role.alias("role"))
 
@@ -125,8 +137,6 @@ def digest(found: DataFrame) -> DataFrame:
                         S.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
-#: Rows with findings, above which redaction joins by a shuffle.
-MAX_BROADCAST_ROWS = 200_000
 MARK = "[secret]"
 
 
@@ -140,12 +150,11 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
     slim = docs.select("text", F.struct(*[k.alias(n) for k, n in zip(key, names)]).alias("doc_id"))
     found = find(slim, scope).select("doc_id.*", F.array_sort(F.concat("base", "added")).alias("__spans"))
     found = materialize(found.where(F.size("__spans") > 0).dropDuplicates(names), "secrets")
-    few = found.count() <= MAX_BROADCAST_ROWS
     same = None
     for k, n in zip(key, names):
         one = k.eqNullSafe(F.col(n))
         same = one if same is None else same & one
-    rows = docs.join(F.broadcast(found) if few else found, same, "left")
+    rows = docs.join(broadcast_if_small(found), same, "left")
     new = {"text": F.when(F.col("__spans").isNull(), F.col("text")).otherwise(S.cut(t, F.col("__spans"), mark))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
