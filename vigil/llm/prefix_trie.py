@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil.llm.common import materialize
 
-SHARD = 20_000  # turns of a shard's members, at least
+SHARD = 1_000  # turns of a shard's members, at least
 SHARDS = 4096  # so many shards' worth of turns lie above the crown's lowest nodes
 BLOCK = 4096  # turns whose hashes are summed in one window
 HELD = 200_000  # messages that a queue keeps in memory
