@@ -300,7 +300,7 @@ def count_pairs(docs: DataFrame, path: str, words: Words, shards: Shards, n_docs
         yield from held.flush()
 
     def finish(shard, keys, counts):
-        _store(path, f"pair-{shard}", keys, counts.astype(np.uint32))
+        _store(path, f"pair-{shard}", keys, counts.astype(np.uint64 if len(counts) and counts.max() >> 32 else np.uint32))
         total = _totals(shard, counts)
         yield pa.RecordBatch.from_arrays([*total.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                                           pa.nulls(1, pa.binary())], schema=both)
@@ -366,7 +366,8 @@ class Model:
     def _pair_file(self, s: int):
         if s not in self._pairs:
             n, raw = self.pair_sizes[s], _mapped(self.path, f"pair-{s}")
-            self._pairs[s] = raw[:8 * n].view(np.uint64), raw[8 * n:].view(np.uint32)
+            wide = np.uint64 if len(raw) == 16 * n else np.uint32  # a shard with a count beyond 32 bits has 64 for all
+            self._pairs[s] = raw[:8 * n].view(np.uint64), raw[8 * n:].view(wide)
         return self._pairs[s]
 
     def back(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
