@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil.llm import spans as S
 from vigil.llm.common import materialize
@@ -45,7 +45,8 @@ KINDS = [
     S.Kind("street", rf"(?<![0-9A-Za-z])[0-9]{{1,5}}\x20\p{{Lu}}\p{{L}}{{2,30}}\x20(?:{'|'.join(STREETS)})(?!\p{{L}})", rf"{'|'.join(STREETS)}"),
 ]
 BASE = 4
-LABELERS = ("check", "shape", "digits", "gazetteer", "cue", "denial", "edge")
+LABELERS = ("check", "shape", "digits", "gazetteer", "cue", "denial", "edge", "verify")
+SURE = math.log(50.0)  # log odds of a base finding's validation; the other labelers' reliabilities are estimated
 THRESHOLD = 0.8
 EM_ROUNDS, FIT_ROUNDS = 50, 300
 
@@ -57,8 +58,28 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.filter(each, lambda x: x["d"].isNotNull()), F.lit(0), lambda a, x: a + value(x)) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """Whether an account number (letters and digits, no blanks) passes the remainder check of IBANs."""
+    turned = F.split(F.concat(F.substring(account, 5, 64), F.substring(account, 1, 4)), "")
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).when(c.rlike("[A-Z]"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a)
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
+def clear_of_base(p: DataFrame) -> DataFrame:
+    """``p`` without weak candidates that overlap a base finding of their text: those are reported already.  One
+    sorted pass each way over a text's matches."""
+    base = F.col("number") < BASE
+    so_far = Window.partitionBy("rid").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = Window.partitionBy("rid").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    p = p.withColumns({"reached": F.max(F.when(base, F.col("end"))).over(so_far), "next": F.min(F.when(base, F.col("start"))).over(to_come)})
+    meets = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return p.where(base | ~meets).drop("reached", "next")
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
-    """Valid base findings and all weak candidates, with each labeler's vote (1, -1 or 0) and the size class."""
+    """Valid base findings and the weak candidates clear of them, with each labeler's vote (1, -1 or 0) and the size
+    class.  Per kind several labelers look at different things: the form, a checksum, word lists, the words before,
+    what stands next to the span."""
     p = S.positions(scanned).withColumn("number", F.col("kind"))
     p = p.withColumn("kind", F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("number") + 1))
     p = p.withColumn("digits", F.regexp_replace("hit", "[^0-9]", ""))
@@ -67,18 +88,26 @@ def candidates(scanned: DataFrame) -> DataFrame:
     p = p.where((kind != "ip") | hit.rlike(rf"^{part}(?:\.{part}){{3}}$"))
     p = p.where((kind != "card") | luhn(F.col("digits")))
     p = p.where((kind != "phone") | n.between(9, 15))
+    p = clear_of_base(p)
     before, after = F.lower("before"), F.lower("after")
     some = lambda words: rf"(?:^|[^\p{{L}}])(?:{'|'.join(w.replace('.', '[.]') for w in words)})(?:[^\p{{L}}]|$)"
     yes = lambda c: F.when(c, 1)
     phone, social, date = r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"^[0-9]{1,4}[.-][0-9]{1,2}[.-][0-9]{1,4}$"
     votes = {
         "check": yes(F.col("number") < BASE),
-        "shape": yes(hit.rlike(phone) | hit.rlike(social) | kind.isin("iban", "street", "name")).when(hit.rlike(date), -1),
+        "shape": yes(((kind == "number") & (hit.rlike(phone) | hit.rlike(social))) | kind.isin("iban", "street", "name")
+                     | ((kind == "email") & hit.rlike(r"\.[A-Za-z]{2,10}$")) | ((kind == "ip") & ~hit.rlike(r"(^|\.)0[0-9]"))
+                     | ((kind == "card") & hit.rlike("^[3-6]")) | ((kind == "phone") & hit.rlike(r"^\+[1-9][0-9]{0,2}[ (.-]")))
+                 .when((kind == "number") & hit.rlike(date), -1),
         "digits": F.when((kind == "number") & hit.rlike("^[0-9]+$"), -1).when((kind == "number") & ~n.between(7, 15), -1),
         "gazetteer": yes(hit.rlike(some(FIRST_NAMES + STREETS)) | F.col("after").rlike(some(STREETS))),
         "cue": yes(before.rlike(some(CUES))),
         "denial": F.when(before.rlike(some(DENIALS)), -1),
         "edge": F.when(F.right("before", F.lit(2)).rlike(r"[|$€£%#=/]\s?$") | after.rlike(r"^\s?[|%€]"), -1),
+        "verify": F.when(kind == "iban", F.when(mod97(F.regexp_replace("hit", "[^A-Z0-9]", "")), 1).otherwise(-1))
+                   .when((kind == "number") & hit.rlike(social), F.when(hit.rlike("^(?:000|666|9)|-00-|-0000$"), -1).otherwise(1))
+                   .when((kind == "number") & hit.rlike(phone), F.when(F.col("digits").rlike("^[2-9][0-9]{2}[2-9]|555"), 1).otherwise(-1))
+                   .when(kind == "number", -1),  # of no form that could be verified
     }
     size = F.least(F.floor(F.length("hit") / 8), F.lit(3)).cast("int")
     return p.select("rid", "number", "kind", "start", "end", *[F.coalesce(v, F.lit(0)).alias(f"v_{k}") for k, v in votes.items()], size.alias("size"))
@@ -118,7 +147,7 @@ def em(seen: list[tuple[tuple, int]], rounds: int = EM_ROUNDS) -> list[float]:
             odds = math.log(prior / (1 - prior))
             for j, v in enumerate(key[2:]):
                 if v:  # a labeler that doesn't vote says nothing
-                    odds += math.log(rate[j][1][v] / rate[j][0][v])
+                    odds += SURE if j == 0 else math.log(rate[j][1][v] / rate[j][0][v])
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
         moved, post = max(abs(a - b) for a, b in zip(new, post)), new
         if moved < 1e-9:
@@ -179,8 +208,6 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per = take.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("number", "start", "kind", "end"))).alias("all"))
     per = per.select(F.col("rid").alias("p_rid"), F.filter("all", lambda s: s["number"] < BASE).alias("base"),
                      F.filter("all", lambda s: s["number"] >= BASE).alias("added"))
-    clear = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    per = per.withColumn("added", clear)
     return (scanned.select("rid", "doc_id").join(per, F.col("rid") == F.col("p_rid"), "left")
             .select("rid", "doc_id", *[F.coalesce(c, F.array().cast(per.schema[c].dataType)).alias(c) for c in ("base", "added")]))
 
