@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
+from vigil.operators.ordered import scalar
 from vigil.sources.tables import read_table
 
 LOG_SPLIT_TS = "2024-01-16 00:00:00"
@@ -150,6 +151,37 @@ log AS (
 )"""
 
 
+def versions_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Registry of the scored rows: two versions, each with the mean score of the years before it as its threshold."""
+    s = scored(spark, d)
+    first, last = scalar(s, F.min("period") + 2), scalar(s, F.max("period") - 1)
+    mean = lambda y: rnd(F.avg(F.when(F.col("period") < y, F.col("p"))), 4)
+    one = s.agg(mean(first).alias("t1"), mean(last).alias("t2")).select(first.alias("y1"), last.alias("y2"), "t1", "t2")
+    rows = F.array(*[F.struct(F.col(f"y{i}").alias("valid_from"), F.col(f"t{i}").alias("risk_threshold")) for i in (1, 2)])
+    return one.select(F.explode(rows).alias("r")).select(F.concat(F.lit("v"), F.col("r.valid_from").cast("string")).alias("version"), "r.*").distinct()
+
+
+VERSIONS_SCORED_SQL = """
+versions AS (
+  SELECT 'v' || CAST(since AS VARCHAR) AS version, since AS valid_from, (SELECT round(avg(p), 4) FROM scored WHERE period < since) AS risk_threshold
+  FROM (SELECT min(period) + 2 AS since FROM scored UNION SELECT max(period) - 1 FROM scored)),
+held AS (SELECT *, lead(valid_from) OVER (ORDER BY valid_from) AS valid_to FROM versions)"""
+
+
+def versions_log(spark: SparkSession, d: str) -> DataFrame:
+    """Registry of the log: a version from its first row on, another from the first row of the current part on."""
+    lg = log(spark, d)
+    one = lg.agg(F.min("ts").alias("a"), F.min(F.when(~F.col("is_ref"), F.col("ts"))).alias("b"))
+    return (one.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("valid_from")).where("valid_from is not null")
+            .select(F.concat(F.lit("v"), F.date_format("valid_from", "yyyy.MM.dd")).alias("version"), "valid_from"))
+
+
+VERSIONS_LOG_SQL = """
+versions AS (
+  SELECT 'v' || strftime(valid_from, '%Y.%m.%d') AS version, valid_from
+  FROM (SELECT min(ts) AS valid_from FROM log UNION SELECT min(ts) FROM log WHERE NOT is_ref) WHERE valid_from IS NOT NULL)"""
+
+
 # --------------------------------------------------------------------------- api
 def api(spark: SparkSession, d: str) -> DataFrame:
     """Events as service requests: duration, endpoint name, host, error flag."""

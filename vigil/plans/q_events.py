@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.operators import events
+from vigil.functions.numeric import rnd
+from vigil.operators import curve, events, temporal
 from vigil.operators.ordered import scalar
 from vigil.plans import q_log, q_scored
-from vigil.plans.bindings import log
+from vigil.plans.bindings import LOG_SQL, SCORED_SQL, VERSIONS_LOG_SQL, log, scored, versions_log, with_ctes
 from vigil.plans.registry import ORACLES, query
+from vigil.sources import registry
 
-ENV = (q_log.MODEL_VERSION_DEFAULT, q_log.ENVIRONMENT_DEFAULT, q_log.SERVICE_NAME)
-COMMON_SQL = (f"'{ENV[0]}' AS model_version, (SELECT max(ts) FROM events) AS window_timestamp, "
-              f"'{ENV[1]}' AS environment, '{ENV[2]}' AS service_name")
+ENV = (q_log.ENVIRONMENT_DEFAULT, q_log.SERVICE_NAME)
+VERSION_SQL = f"(WITH {LOG_SQL.strip()},{VERSIONS_LOG_SQL.strip()} SELECT max_by(version, valid_from) FROM versions WHERE valid_from <= (SELECT max(ts) FROM log))"
+COMMON_SQL = f"{VERSION_SQL} AS model_version, (SELECT max(ts) FROM events) AS window_timestamp, '{ENV[0]}' AS environment, '{ENV[1]}' AS service_name"
 
 
 def _common(spark, d):
-    return events.common(ENV[0], scalar(log(spark, d), F.max("ts")), ENV[1], ENV[2])
+    """The columns of every event; the version is the one in force at the log's last row."""
+    last = log(spark, d).agg(F.max("ts").alias("at"))
+    version = registry.in_force(last, "at", versions_log(spark, d)).select("model_version").scalar()
+    return events.common(version, scalar(log(spark, d), F.max("ts")), *ENV)
 
 
 def _from(key: str) -> str:
@@ -30,19 +35,38 @@ def event_psi_feature(spark, d):
     return events.psi_events(q_log.psi_by_feature(spark, d), _common(spark, d))
 
 
-@query("event_performance", f"""SELECT {COMMON_SQL}, recall, precision, f1 AS f1_score, 0.0 AS auc, 0.0 AS brier_score, 0.0 AS risk_threshold,
-       0.0 AS overfitting_gap_f1, 'n/d' AS threshold_strategy, CAST(0 AS BIGINT) AS train_size, CAST(support AS BIGINT) AS test_size
-{_from("classification_metrics")}""")
-def event_performance(spark, d):
-    return events.performance_event(q_scored.classification_metrics(spark, d), _common(spark, d),
-                                    {"f1_score": "f1", "test_size": "support"})
+def _one(key: str, column: str, where: str = "true") -> str:
+    return f"(SELECT {column} {_from(key)} WHERE {where})"
+
 
+def _size(role: str) -> str:
+    return f"({with_ctes(SCORED_SQL, q_scored.SPLIT_SQL)} SELECT count(*) FROM split WHERE role = '{role}')"
 
-@query("event_threshold_strategy", f"""SELECT {COMMON_SQL}, strategy, strategy = 'cost' AS is_active, recall, f1 AS f1_score, threshold,
-       0.0 AS high_risk_estimated, 0.0 AS human_reviews
+
+@query("event_performance", f"""SELECT {COMMON_SQL}, recall, precision, f1 AS f1_score, {_one("roc_auc", "auc", "dataset = 'scored'")} AS auc,
+       {_one("brier_score", "brier")} AS brier_score, {_one("threshold_strategies", "threshold", "is_active")} AS risk_threshold,
+       {_one("overfit_gap", "overfit_gap_f1")} AS overfitting_gap_f1, {_one("threshold_strategies", "strategy", "is_active")} AS threshold_strategy,
+       {_size("train")} AS train_size, {_size("test")} AS test_size
+{_from("classification_metrics")}""")
+def event_performance(spark, d):
+    """One row joined from the metric tables: AUC, Brier score, the active strategy's threshold, the overfit gap, sizes."""
+    s = scored(spark, d)
+    sizes = temporal.temporal_split(s, "period").agg(F.count_if(F.col("role") == "train").alias("train_size"), F.count_if(F.col("role") == "test").alias("test_size"))
+    active = q_scored.threshold_strategies(spark, d).where("is_active").select(F.col("threshold").alias("risk_threshold"), F.col("strategy").alias("threshold_strategy"))
+    one = (q_scored.classification_metrics(spark, d).select("recall", "precision", F.col("f1").alias("f1_score"))
+           .crossJoin(curve.roc_auc(s, "y", "p").select(rnd("auc", 6).alias("auc"))).crossJoin(q_scored.brier_score(spark, d).withColumnRenamed("brier", "brier_score"))
+           .crossJoin(active).crossJoin(q_scored.overfit_gap(spark, d).select(F.col("overfit_gap_f1").alias("overfitting_gap_f1"))).crossJoin(sizes))
+    return events.performance_event(one, _common(spark, d))
+
+
+@query("event_threshold_strategy", f"""SELECT {COMMON_SQL}, strategy, is_active, recall, f1 AS f1_score, threshold,
+       CAST((SELECT count(*) FROM (SELECT o_totalprice / 500000.0 AS p FROM orders) WHERE p >= threshold) AS DOUBLE) AS high_risk_estimated,
+       CAST((SELECT count(*) FROM (SELECT o_totalprice / 500000.0 AS p FROM orders) WHERE abs(p - threshold) <= {curve.REVIEW_MARGIN}) AS DOUBLE) AS human_reviews
 {_from("threshold_strategies")}""")
 def event_threshold_strategy(spark, d):
-    return events.threshold_events(q_scored.threshold_strategies(spark, d), "cost", _common(spark, d))
+    rows = curve.threshold_report(scored(spark, d), "y", "p", "grp").withColumns({c: rnd(c, 4) for c in ("recall", "f1")})
+    active = F.when(F.col("is_active"), F.col("strategy"))
+    return events.threshold_events(rows, active, _common(spark, d)).withColumn("is_active", F.coalesce("is_active", F.lit(False)))
 
 
 @query("event_fairness_group", f"""SELECT {COMMON_SQL}, dimension AS group_column, value AS group_value, recall, precision, f1 AS f1_score,

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
 from vigil.operators import drift
-from vigil.plans.bindings import LOG_FEATURES, LOG_SQL, log, with_ctes
+from vigil.plans.bindings import LOG_FEATURES, LOG_SQL, VERSIONS_LOG_SQL, log, versions_log, with_ctes
 from vigil.plans.registry import query
-from vigil.sources import files
+from vigil.sources import files, registry
 
 # fixed values of the reference configuration (event defaults)
-MODEL_VERSION_DEFAULT = "unknown"
 ENVIRONMENT_DEFAULT = "dev"
 SERVICE_NAME = "vigil-monitor"
 TAIL_ROWS = 1000
@@ -270,17 +269,17 @@ def psi_distributions(spark, d):
 
 
 @query("event_snapshot", PSI + "," + RATE_SQL + "," + STATUS_SQL + "," + TOP_SQL + "," + JSON_SQL + "," +
-       SNAPSHOT_SQL + f"""
+       SNAPSHOT_SQL + "," + VERSIONS_LOG_SQL + f"""
 SELECT CAST(avg_psi AS DOUBLE) AS drift_score, CAST(n_drifted AS BIGINT) AS number_of_drifted_features,
        CAST(current_rate AS DOUBLE) AS risk_rate, CAST(missing_ratio AS DOUBLE) AS missing_ratio,
        coalesce(drift_status, 'unknown') AS drift_status, CAST(change_pct AS DOUBLE) AS high_risk_change_pct,
        coalesce(shift_alert, false) AS significant_shift_alert,
        coalesce(t1, '') AS top_drift_feature_1, coalesce(t2, '') AS top_drift_feature_2,
-       coalesce(t3, '') AS top_drift_feature_3, '{MODEL_VERSION_DEFAULT}' AS model_version,
+       coalesce(t3, '') AS top_drift_feature_3, (SELECT max_by(version, valid_from) FROM versions WHERE valid_from <= window_ts) AS model_version,
        window_ts AS window_timestamp, '{ENVIRONMENT_DEFAULT}' AS environment, '{SERVICE_NAME}' AS service_name
 FROM status, shift2, tops, miss, ncur""")
 def event_snapshot(spark, d):
-    s = _snapshot(spark, d)
+    s = registry.in_force(_snapshot(spark, d), "window_ts", versions_log(spark, d))
     num = lambda c, default=0.0: F.coalesce(F.col(c).cast("double"), F.lit(default))
     return s.select(
         num("avg_psi").alias("drift_score"),
@@ -290,7 +289,7 @@ def event_snapshot(spark, d):
         num("change_pct").alias("high_risk_change_pct"),
         F.coalesce("shift_alert", F.lit(False)).alias("significant_shift_alert"),
         *[F.coalesce(F.col(f"t{i}"), F.lit("")).alias(f"top_drift_feature_{i}") for i in (1, 2, 3)],
-        F.lit(MODEL_VERSION_DEFAULT).alias("model_version"), F.col("window_ts").alias("window_timestamp"),
+        "model_version", F.col("window_ts").alias("window_timestamp"),
         F.lit(ENVIRONMENT_DEFAULT).alias("environment"), F.lit(SERVICE_NAME).alias("service_name"))
 
 

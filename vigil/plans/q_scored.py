@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from vigil.functions import decision as dec
 from vigil.functions.numeric import rnd
 from vigil.operators import curve, metrics, temporal
-from vigil.plans.bindings import (SCORED_LABELS_SQL, SCORED_SQL, SCORED_TIES_SQL, scored, scored_labels,
-                                  scored_ties, with_ctes)
+from vigil.plans.bindings import (SCORED_LABELS_SQL, SCORED_SQL, SCORED_TIES_SQL, VERSIONS_SCORED_SQL, scored, scored_labels,
+                                  scored_ties, versions_scored, with_ctes)
 from vigil.plans.registry import query
+from vigil.sources import registry
 from vigil.plans.sqlkit import confusion_sql, curve_ctes, curve_metrics, dbl, prf_sql
 
 T = dec.DEFAULT_THRESHOLD
@@ -331,22 +332,26 @@ def overfit_gap(spark, d):
 MARGINS = {"1-URGENT": 0.03, "2-HIGH": 0.02}
 
 
-@query("score_decision", with_ctes(SCORED_SQL, f"""
-x AS (SELECT id, p, {PRED} AS prediction,
-             CASE trim(grp) WHEN '1-URGENT' THEN 0.03 WHEN '2-HIGH' THEN 0.02 ELSE 0.02 END AS m FROM scored)""")
-       + f"""
-SELECT id, round(p, 4) AS probability, prediction,
+@query("score_decision", with_ctes(SCORED_SQL, VERSIONS_SCORED_SQL, f"""
+r AS (SELECT s.*, coalesce(h.version, 'unknown') AS model_version, coalesce(h.risk_threshold, {TS}) AS t
+      FROM scored s LEFT JOIN held h ON s.period >= h.valid_from AND (h.valid_to IS NULL OR s.period < h.valid_to)),
+x AS (SELECT id, p, t, model_version, CAST(p >= t AS INTEGER) AS prediction,
+             CASE trim(grp) WHEN '1-URGENT' THEN 0.03 WHEN '2-HIGH' THEN 0.02 ELSE 0.02 END AS m FROM r)""")
+       + """
+SELECT id, round(p, 4) AS probability, prediction, model_version, t AS risk_threshold,
        CASE WHEN prediction = 1 THEN 'high risk' ELSE 'low risk' END AS risk_label,
-       CASE WHEN p < 0.3 THEN 'low' WHEN p < {TS} THEN 'medium' ELSE 'high' END AS segment,
-       coalesce(m > 0 AND p >= greatest(0.0, {TS} - m) AND p <= least(1.0, {TS} + m), false) AS review
+       CASE WHEN p < 0.3 THEN 'low' WHEN p < t THEN 'medium' ELSE 'high' END AS segment,
+       coalesce(m > 0 AND p >= greatest(0.0, t - m) AND p <= least(1.0, t + m), false) AS review
 FROM x""")
 def score_decision(spark, d):
-    s = scored(spark, d)
-    pred = dec.decision("p", T)
+    """Each row by the model version in force in its period."""
+    s = registry.in_force(scored(spark, d), "period", versions_scored(spark, d))
+    t = F.col("risk_threshold")
+    pred = dec.decision("p", t)
     m = dec.margin_for("grp", MARGINS)
-    return s.select("id", rnd("p", 4).alias("probability"), pred.alias("prediction"),
-                    dec.risk_label(pred).alias("risk_label"), dec.segment("p", T).alias("segment"),
-                    dec.review_band("p", T, m).alias("review"))
+    return s.select("id", rnd("p", 4).alias("probability"), pred.alias("prediction"), "model_version", "risk_threshold",
+                    dec.risk_label(pred).alias("risk_label"), dec.segment("p", t).alias("segment"),
+                    dec.review_band("p", t, m).alias("review"))
 
 
 @query("promotion_gate", with_ctes(SCORED_SQL, SPLIT_SQL, f"""

@@ -17,10 +17,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.sources.files import SourceError, scan_csv
+from vigil.sources.files import SourceError, open_if_there, scan_csv
 
 STATS_SCHEMA = "median_start int, median_age int"
-MODELS_SCHEMA = "version string, path string, promoted_at timestamp, f1 double, recall double"
+MODELS_SCHEMA = "version string, path string, promoted_at timestamp, f1 double, recall double, risk_threshold double, strategy string"
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:
@@ -55,26 +55,27 @@ def version_tag(now: _dt.datetime | None = None) -> str:
 
 
 def promote_model(model: PipelineModel, base: str, registry: str, f1: float, recall: float,
-                  version: str | None = None) -> str:
+                  version: str | None = None, risk_threshold: float | None = None, strategy: str | None = None) -> str:
     """Save the model under ``base/<version>`` (previous versions stay as
-    backups) and append a pointer row to the ``registry`` table."""
+    backups) and append a pointer row, with the threshold that the version decides
+    by, to the ``registry`` table (``registry.in_force`` joins it to rows)."""
     spark = SparkSession.getActiveSession()
     version = version or version_tag()
     path = f"{base.rstrip('/')}/{version}-{uuid.uuid4().hex[:8]}"  # two promotions of one day keep both models
     model.write().save(path)
-    row = spark.createDataFrame([(version, path, f1, recall)], "version string, path string, f1 double, recall double")
-    row.withColumn("promoted_at", F.current_timestamp()).select("version", "path", "promoted_at", "f1", "recall") \
+    row = spark.createDataFrame([(version, path, f1, recall, risk_threshold, strategy)],
+                                "version string, path string, f1 double, recall double, risk_threshold double, strategy string")
+    row.withColumn("promoted_at", F.current_timestamp()).select("version", "path", "promoted_at", "f1", "recall", "risk_threshold", "strategy") \
         .write.mode("append").parquet(registry)
     return version
 
 
 def current_model(spark: SparkSession, registry: str) -> tuple[PipelineModel | None, Mapping | None]:
     """Latest promoted model and its metrics row; nothing promoted -> (None, None)."""
-    try:
-        reg = spark.read.schema(MODELS_SCHEMA).parquet(registry)
-        last = reg.orderBy(F.col("promoted_at").desc(), F.col("version").desc()).limit(1).collect()
-    except Exception:  # noqa: BLE001
+    if open_if_there(spark, registry) is None:
         return None, None
+    reg = spark.read.schema(MODELS_SCHEMA).parquet(registry)
+    last = reg.orderBy(F.col("promoted_at").desc(), F.col("version").desc()).limit(1).collect()
     if not last:
         return None, None
     return PipelineModel.load(last[0]["path"]), last[0].asDict()
