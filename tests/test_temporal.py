@@ -99,3 +99,37 @@ def test_latest_valid_period(spark):
     assert [r["x"] for r in temporal.latest_period_rows(df, "p").collect()] == [2]
     none_valid = spark.createDataFrame([(1999, 1), (1998, 2)], "p int, x int")
     assert temporal.latest_period_rows(none_valid, "p").count() == 2
+
+
+def test_folds_without_copied_rows(spark):
+    rows = [(e, y, float(e + y)) for e in range(20) for y in range(2018, 2024) if (e * y) % 3] + [(3, 2020, 1.0), (None, 2021, 2.0), (4, None, 3.0)]
+    df = spark.createDataFrame(rows, "e int, y int, v double")
+    folds = temporal.expanding_folds(df, "y")
+    want = folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("e").alias("n_entities"), F.min("y").alias("min_period"),
+                                             F.max("y").alias("max_period"))
+    cols = ["fold", "role", "n_rows", "n_entities", "min_period", "max_period"]
+    assert sorted(map(tuple, temporal.fold_report(df, "y", "e").select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert sorted(map(tuple, temporal.fold_bounds(df, "y").collect())) == sorted(map(tuple, temporal.fold_integrity(folds, "y").collect()))
+    sums = {r["fold"]: (r["train_v"], r["val_v"]) for r in temporal.fold_sums(df, "y", {"v": F.col("v")}).collect()}
+    assert sums == {f: tuple(folds.where((F.col("fold") == f) & (F.col("role") == r)).agg(F.sum("v")).first()[0] for r in ("train", "validation")) for f in sums}
+    val = temporal.validation_rows(df, "y")
+    assert sorted(map(str, val.select("fold", "e", "y", "v").collect())) == sorted(map(str, folds.where("role = 'validation'").select("fold", "e", "y", "v").collect()))
+    words = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "p string, v int")
+    assert [r["val_period"] for r in temporal.fold_sums(words, "p", {"v": F.col("v")}).orderBy("fold").collect()] == ["b", "c"]
+
+
+def test_asof_time_line_over_ranges(spark):
+    """Many requests and cells in one key, over several ranges; null keys, null and equal times, text keys."""
+    hist = [("hot", t, float(t)) for t in range(0, 3000, 3)] + [("b", 5, 1.0), ("b", 9, None), (None, 1, 7.0), ("c", None, 4.0)]
+    req = [(i, "hot", i) for i in range(3000)] + [(9000, "b", 5), (9001, "b", 6), (9002, "b", None), (9003, None, 4), (9004, "zz", 4), (9005, "c", 9), (9001, "b", 6)]
+    h = spark.createDataFrame(hist, "k string, t int, v double").repartition(3)
+    r = spark.createDataFrame(req, "rid int, k string, t int").repartition(3)
+    got = sorted((x["rid"], x["prior_period"], x["prior_v"], x["is_new"]) for x in temporal.asof_prior(r, h, "k", "t", "t", ["t", "v"]).collect())
+
+    def brute(k, t):
+        cells = [(a, v) for key, a, v in hist if key == k and k is not None and a is not None and (t is None or a < t)]
+        a, v = max(cells, key=lambda c: c[0]) if cells else (None, 0.0)
+        return a, v if v is not None else 0.0, int(not cells)
+
+    assert [x for x in got if x[1] is not None] == sorted(x for x in ((i, *brute(k, t)) for i, k, t in req) if x[1] is not None)
+    assert len(got) == len(req)

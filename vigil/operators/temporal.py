@@ -5,20 +5,23 @@ Scale notes
 - ``lag_features`` uses one window spec for every column (one shuffle by key).
   A panel has one row per (key, period), so a window partition is bounded by
   the number of periods.
-- ``asof_prior`` never builds a request × history product: a history cell
-  knows its key's next period, so the equi-join on the key keeps one cell a
-  request; AQE splits a hot key on the request side.
-- fold tables hold one row per distinct period and are broadcast.
+- ``asof_prior`` merges requests and history into one time line in ranges, linear
+  in both whatever one key has of either.
+- folds are intervals of periods: what adds up comes from prefix sums over the
+  periods (``fold_sums``); only ``expanding_folds`` copies rows, for callers that
+  need the folds' rows themselves.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from vigil.operators.ordered import scalar
+from vigil.operators.ordered import global_index, running_sums, scalar
+from vigil.session import written
 
 
 def lag_features(df: DataFrame, key: str, order: str, cols: Sequence[str], fill: float = 0.0,
@@ -66,13 +69,12 @@ def last_row_per_key(df: DataFrame, key: str, order: str, cols: Sequence[str] |
 
 def history_cells(panel: DataFrame, key: str, period: str, cols: Sequence[str],
                   tiebreak: Sequence[str] | None = None) -> DataFrame:
-    """One row per (key, period) with ``_next``, the key's next period (null on its last)."""
+    """One row per (key, period): ``_key, _period, _m`` (a struct of ``cols``)."""
     keep = [c for c in cols if c != period]
     rank = _tiebreak(panel, tiebreak or keep)
-    cell = (panel.where(F.col(period).isNotNull())
+    return (panel.where(F.col(period).isNotNull() & F.col(key).isNotNull())
             .groupBy(F.col(key).alias("_key"), F.col(period).alias("_period"))
             .agg(F.max_by(F.struct(*[F.col(c) for c in keep]), F.struct(*rank) if rank else F.lit(1)).alias("_m")))
-    return cell.withColumn("_next", F.lead("_period").over(Window.partitionBy("_key").orderBy("_period")))
 
 
 def _as_double(c: Column, dtype) -> Column:
@@ -95,21 +97,43 @@ def asof_prior(requests: DataFrame, panel: DataFrame, key: str, req_period: str,
     Found -> ``is_new = 0``; no earlier row or unknown key -> zeros and
     ``is_new = 1``.  Requests keep their own columns, duplicates survive.
 
-    A history cell answers the requests after its period up to the key's next
-    one, so an equi-join on the key with that interval meets one cell at most
-    and carries no array, whatever the number of periods.
+    Requests and history cells are merged into one time line, cut into ranges of
+    (key, time) by Spark's range partitioning, so that one key's requests may
+    spread over any number of tasks.  Within a range the last cell is carried
+    along; what a range's first key brings with it is the last cell of the ranges
+    before, at most one row a range.  Work is linear in requests and cells, however
+    many of either one key has.
     """
-    hist = history_cells(panel, key, panel_period, cols, tiebreak)
-    rp = F.col(req_period)
-    within = (rp.isNull() & F.col("_next").isNull()) | ((F.col("_period") < rp) & (F.col("_next").isNull() | (F.col("_next") >= rp)))
-    j = requests.join(hist, (F.col(key) == F.col("_key")) & within, "left")
+    cells = history_cells(panel, key, panel_period, cols, tiebreak)
+    rp, kind = F.col(req_period), cells.schema["_period"].dataType
+    seen, ask = F.struct("_period", "_m"), F.struct(*[F.col(c) for c in requests.columns])
+    asked = requests.where(F.col(key).isNotNull())
+    none = cells.select(seen.alias("c")).schema["c"].dataType
+    wish = requests.select(ask.alias("r")).schema["r"].dataType
+    # at one time requests come before cells: the lookup is strict; without a time they come last
+    line = asked.select(F.col(key).alias("_key"), rp.isNull().alias("_late"), rp.cast(kind).alias("_t"), F.lit(0).alias("_is_cell"),
+                        ask.alias("_req"), F.lit(None).cast(none).alias("_cell")).unionByName(
+        cells.select("_key", F.lit(False).alias("_late"), F.col("_period").alias("_t"), F.lit(1).alias("_is_cell"),
+                     F.lit(None).cast(wish).alias("_req"), seen.alias("_cell")))
+    by = ["_key", "_late", "_t", "_is_cell"]
+    line = written(line.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "time-line")
+    so_far = Window.partitionBy("_key", "_range").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    opening = (line.groupBy("_key", "_range").agg(F.max_by("_cell", F.when(F.col("_is_cell") == 1, F.col("_t"))).alias("_last"))
+               .select(F.col("_key").alias("_o_key"), F.col("_range").alias("_o_range"), F.last("_last", ignorenulls=True).over(before).alias("_open"))
+               .where(F.col("_open").isNotNull()))  # of a range's first key only
+    found = (line.withColumn("_in", F.last("_cell", ignorenulls=True).over(so_far)).where(F.col("_is_cell") == 0)
+             .join(F.broadcast(opening), (F.col("_key") == F.col("_o_key")) & (F.col("_range") == F.col("_o_range")), "left")
+             .select("_req.*", F.coalesce("_in", "_open").alias("_cell")))
+    lost = requests.where(F.col(key).isNull()).withColumn("_cell", F.lit(None).cast(none))
+    j = found.unionByName(lost).withColumns({"_period": F.col("_cell._period"), "_m": F.col("_cell._m")})
     out = j.withColumns({
         f"{prefix}period": F.col("_period"),
         **{f"{prefix}{c}": F.coalesce(_as_double(F.col(f"_m.{c}"), panel.schema[c].dataType), F.lit(float(fill)))
            for c in cols if c != panel_period},
         new_col: F.col("_period").isNull().cast("int"),
     })
-    return out.drop("_key", "_period", "_next", "_m")
+    return out.drop("_cell", "_period", "_m")
 
 
 def max_period(df: DataFrame, period: str) -> DataFrame:
@@ -126,19 +150,65 @@ def temporal_split(df: DataFrame, period: str, role: str = "role") -> DataFrame:
 def period_index(df: DataFrame, period: str) -> DataFrame:
     """Distinct sorted periods with a 1-based position (one row per period)."""
     p = df.where(F.col(period).isNotNull()).select(period).distinct()
+    if isinstance(p.schema[period].dataType, NumericType):
+        return global_index(p, period, name="_pi").withColumn("_pi", (F.col("_pi") + 1).cast("int"))
     return p.withColumn("_pi", F.row_number().over(Window.orderBy(period)))
 
 
+def fold_bounds(df: DataFrame, period: str, min_periods: int = 2) -> DataFrame:
+    """``fold_integrity`` of the expanding folds from the distinct periods alone: fold i trains up to the i-th and
+    validates on the next, so no row is copied into a fold to learn this."""
+    return (fold_table(df, period).select(F.col("fold").cast("int").alias("fold"), F.col("train_max"), F.col("val_period").alias("val_min"))
+            .withColumn("no_leakage", F.col("train_max") < F.col("val_min")).where(F.col("fold") >= min_periods - 1))
+
+
+def fold_sums(df: DataFrame, period: str, sums: Mapping[str, Column]) -> DataFrame:
+    """``fold, train_max, val_period, train_<name>…, val_<name>…``: sums over the training and the validation rows of each
+    expanding fold, from one aggregate per period and prefix sums over the periods.  For whatever adds up: counts,
+    sums, sums of squares, confusion cells."""
+    per = df.where(F.col(period).isNotNull()).groupBy(period).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    idx = period_index(df, period).withColumnRenamed(period, "_p")
+    per = per.join(idx, F.col(period) == F.col("_p")).select(F.col(period).alias("train_max"), "_pi", *sums)
+    run = running_sums(per, "_pi", list(sums))
+    nxt = per.select((F.col("_pi") - 1).alias("_n"), F.col("train_max").alias("val_period"), *[F.col(n).alias(f"val_{n}") for n in sums])
+    return run.join(nxt, F.col("_pi") == F.col("_n")).select(F.col("_pi").cast("int").alias("fold"), "train_max", "val_period",
+                                                             *[F.col(f"{n}_cum").alias(f"train_{n}") for n in sums], *[f"val_{n}" for n in sums])
+
+
+def fold_report(df: DataFrame, period: str, entity: str) -> DataFrame:
+    """``fold, role, n_rows, n_entities, min_period, max_period`` of the expanding folds.  An entity is new to the
+    training rows once, in its first period, so distinct entities add up as well."""
+    seen = df.where(F.col(period).isNotNull()).groupBy(entity, period).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.col(period) == F.min(period).over(Window.partitionBy(entity))  # a row per period of the entity
+    known = F.col(entity).isNotNull()
+    seen = seen.withColumn("_new", (first & known).cast("long"))
+    s = fold_sums(seen, period, {"rows": F.col("_n"), "new": F.col("_new"), "here": known.cast("long")})
+    lowest = scalar(df, F.min(period))
+    roles = F.array(F.struct(F.lit("train").alias("role"), F.col("train_rows").alias("n_rows"), F.col("train_new").alias("n_entities"),
+                             lowest.alias("min_period"), F.col("train_max").alias("max_period")),
+                    F.struct(F.lit("validation").alias("role"), F.col("val_rows").alias("n_rows"), F.col("val_here").alias("n_entities"),
+                             F.col("val_period").alias("min_period"), F.col("val_period").alias("max_period")))
+    return s.select("fold", F.explode(roles).alias("_r")).select("fold", "_r.*")
+
+
+def validation_rows(df: DataFrame, period: str) -> DataFrame:
+    """``df`` with ``fold``, the only one that a row validates (rows of the first period validate none)."""
+    idx = period_index(df, period).withColumnRenamed(period, "_p")
+    return (df.join(idx, F.col(period) == F.col("_p")).where("_pi >= 2").withColumn("fold", (F.col("_pi") - 1).cast("int")).drop("_p", "_pi"))
+
+
 def expanding_folds(df: DataFrame, period: str, min_periods: int = 2) -> DataFrame:
     """Expanding-window folds as one long DataFrame with ``fold, role``.
 
     With periods p1 < … < pk, fold i (1..k−1) trains on p1..pi and validates
     on p(i+1).  Each row is emitted once per fold it belongs to: a row of
     period pj trains folds j..k−1 and validates fold j−1 — an equi-join on the
-    (broadcast) period index plus an explode, no theta join.
+    period index plus an explode, no theta join.  For counts and statistics of folds
+    use ``fold_sums``, for their bounds ``fold_bounds``, for scores on validation
+    rows ``validation_rows``: none of them copies rows.
     """
     idx = period_index(df, period)
-    j = df.join(F.broadcast(idx), period).withColumn("_k", scalar(idx, F.max("_pi")))
+    j = df.join(idx, period).withColumn("_k", scalar(idx, F.max("_pi")))
     folds = F.sequence(F.lit(1), F.greatest(F.col("_k") - 1, F.lit(1)))
     roles = F.transform(folds, lambda f: F.struct(
         f.alias("fold"),

@@ -78,17 +78,11 @@ long AS (SELECT CAST(f.fold AS INTEGER) AS fold, 'train' AS role, p.* FROM panel
          JOIN folds f ON pi = f.fold + 1)"""
 
 
-def _folds(spark, d):
-    return temporal.expanding_folds(panel(spark, d), "period")
-
-
 @query("expanding_folds", with_ctes(PANEL_SQL, FOLDS_CTES) + """
 SELECT fold, role, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities,
        min(period) AS min_period, max(period) AS max_period FROM long GROUP BY fold, role""")
 def expanding_folds(spark, d):
-    return (_folds(spark, d).groupBy("fold", "role")
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
-                 F.min("period").alias("min_period"), F.max("period").alias("max_period")))
+    return temporal.fold_report(panel(spark, d), "period", "entity_id")
 
 
 @query("fold_integrity", with_ctes(PANEL_SQL, FOLDS_CTES) + """
@@ -98,7 +92,7 @@ SELECT fold, max(period) FILTER (WHERE role = 'train') AS train_max,
          AS no_leakage
 FROM long GROUP BY fold""")
 def fold_integrity(spark, d):
-    return temporal.fold_integrity(_folds(spark, d), "period")
+    return temporal.fold_bounds(panel(spark, d), "period")
 
 
 @query("latest_period_rows", with_ctes(PANEL_SQL) + """

@@ -378,22 +378,14 @@ def cv_metrics(spark, d):
     """Per expanding-window fold: F1-best threshold on the validation period,
     then its confusion metrics and AUC."""
     s = scored(spark, d)
-    idx = temporal.period_index(s, "period")
-    val = (s.join(F.broadcast(idx), "period").where(F.col("_pi") >= 2)
-           .withColumn("fold", (F.col("_pi") - 1).cast("int")))
+    val = temporal.validation_rows(s, "period")
     c = curve.with_curve_metrics(curve.threshold_counts(val, "y", "p", "fold"))
     best = c.groupBy("fold").agg(F.max_by(F.struct("threshold", "tp", "fp", "fn", "tn"),
                                           F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
     best = best.select("fold", "b.*")
     auc = curve.roc_auc(val, "y", "p", "fold")
-    sizes = s.groupBy("period").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(idx), "period")
-    w = Window.orderBy("_pi").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumn("_cum", F.sum("_n").over(w))  # one row per period
-    train_size = sizes.select(F.col("_pi").cast("int").alias("fold"), F.col("_cum").alias("train_size"))
-    val_size = sizes.where(F.col("_pi") >= 2).select((F.col("_pi") - 1).cast("int").alias("fold"),
-                                                     F.col("period").alias("val_period"),
-                                                     F.col("_n").alias("val_size"))
-    return (best.join(auc, "fold").join(train_size, "fold").join(val_size, "fold")
+    sizes = temporal.fold_sums(s, "period", {"size": F.lit(1)}).select("fold", "val_period", "train_size", "val_size")
+    return (best.join(auc, "fold").join(sizes, "fold")
             .select("fold", "val_period", rnd("threshold", 4).alias("threshold"),
                     *metrics.prf(F.col("tp"), F.col("fp"), F.col("fn")),
                     rnd("auc", 4).alias("auc"), "train_size", "val_size"))
