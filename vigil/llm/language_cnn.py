@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vigil.llm.common import remainder
+from vigil.llm.common import broadcast_if_small, materialize, remainder
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
@@ -150,9 +150,11 @@ def training_windows(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_C
     h = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & train_on).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # each task passes on as many of a language at most
-    least = (known.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= docs_per_class)
-             .groupBy(F.col("lang").alias("l_lang")).agg(F.max("h").alias("last")))
+    sizes = materialize(known.groupBy(F.col("lang").alias("l_lang")).agg(F.count(F.lit(1)).alias("n")), "languages")
+    # hashes are uniform: a few more than wanted lie below this share of their range, whatever the language's size
+    share = F.lit(docs_per_class + 6 * docs_per_class ** 0.5 + 20) / F.col("n")
+    chosen = (known.join(broadcast_if_small(sizes), F.col("lang") == F.col("l_lang"))
+              .where((F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64 < share).select("lang", "text", "h"))
 
     def run(batches):
         for b in batches:
@@ -162,9 +164,10 @@ def training_windows(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_C
                     lang.append(name), h.append(key), windows.append(w.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(windows, pa.binary())], names=["lang", "h", "window"])
 
-    chosen = known.join(least, (F.col("lang") == F.col("l_lang")) & (F.col("h") <= F.col("last"))).select("lang", "text", "h")
     # repeated rows have equal windows
-    return chosen.mapInArrow(run, "lang string, h long, window binary").distinct().orderBy("h", "lang", "window").collect()
+    drawn = chosen.mapInArrow(run, "lang string, h long, window binary").distinct()
+    nth = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    return drawn.withColumn("nth", nth).where(F.col("nth") <= docs_per_class).orderBy("h", "lang", "window").collect()
 
 
 def fit(docs: DataFrame, train_on, docs_per_class: int = DOCS_PER_CLASS, seed: int = 0) -> ByteCnn | None:
