@@ -297,12 +297,14 @@ HISTORY = with_ctes(LOG_SQL, "curd AS (SELECT *, date_trunc('day', ts) AS day FR
                     psi_ctes("day", "curd"))
 
 
-@query("drift_history_trend", HISTORY + """,
+TREND_SQL = """,
 hs AS (SELECT day, round(coalesce(avg(psi), 0.0), 4) AS avg_psi FROM psi_tbl GROUP BY day),
 hr AS (SELECT day, count(*) AS n,
               round(coalesce(avg(CASE WHEN coalesce(CAST(prediction AS DOUBLE), 0.0) = 1.0 THEN 1.0 ELSE 0.0 END),
-                             0.0) * 100.0, 2) AS high_risk_rate FROM curd GROUP BY day)
-SELECT hr.day, hr.n, hr.high_risk_rate, hs.avg_psi FROM hr JOIN hs ON hs.day = hr.day""")
+                             0.0) * 100.0, 2) AS high_risk_rate FROM curd GROUP BY day)"""
+
+
+@query("drift_history_trend", HISTORY + TREND_SQL + " SELECT hr.day, hr.n, hr.high_risk_rate, hs.avg_psi FROM hr JOIN hs ON hs.day = hr.day")
 def drift_history_trend(spark, d):
     """One snapshot per day of the current period against the reference:
     the history table (day, rate, average PSI) computed in one grouped job."""

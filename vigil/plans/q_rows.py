@@ -4,13 +4,18 @@ row counts in the driver and by invariants in tests/."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
 from vigil.functions.numeric import rnd
-from vigil.operators import metrics, ml, split, training
+from vigil.operators import drift, metrics, ml, split, training
 from vigil.plans.bindings import LOG_FEATURES, SCORED_SQL, log, panel, scored, with_ctes
+from vigil.plans.q_log import HISTORY, TREND_SQL
 from vigil.plans.registry import query
+from vigil.session import run_folder
+from vigil.sources import appendlog
 from vigil.streaming import monitors
 
 T = dec.DEFAULT_THRESHOLD
@@ -107,16 +112,42 @@ def stream_latest(spark, d):
     return read()
 
 
-@query("stream_drift")
+LOG_SCHEMA = ("id bigint, model_version string, input_features struct<period:int,`group`:string>, "
+              "prediction_result struct<class:int,probability:double,label:string>")
+
+
+@query("prediction_log_append", with_ctes(SCORED_SQL) + f"""
+SELECT period, 'v' || CAST(period AS VARCHAR) AS model_version, count(*) AS n, CAST(sum(CAST(p >= {T!r} AS INTEGER)) AS BIGINT) AS positives,
+       round(sum(round(p, 4)), 2) AS probability
+FROM scored GROUP BY 1, 2""")
+def prediction_log_append(spark, d):
+    """The prediction log, appended one half after the other: the second after an attempt that left rows without a
+    commit, and once more as a retry that must add nothing; then compacted and read back."""
+    s = scored(spark, d)
+    pred = dec.decision("p", T)
+    records = s.select("id", F.concat(F.lit("v"), F.col("period").cast("string")).alias("model_version"),
+                       F.struct(F.col("period"), F.col("grp").alias("group")).alias("input_features"),
+                       F.struct(pred.alias("class"), rnd("p", 4).alias("probability"), dec.risk_label(pred).alias("label")).alias("prediction_result"))
+    path = f"{run_folder(spark)}/prediction-log-{uuid.uuid4().hex}"
+    half = F.col("id") % 2 == 0
+    appendlog.append(records.where(half), path, "even")
+    appendlog._write(records.where(~half), path, "odd")  # an attempt that died before its commit
+    appendlog.append(records.where(~half), path, "odd")
+    appendlog.append(records.where(~half), path, "odd")  # a retry
+    appendlog.compact(spark, path, LOG_SCHEMA)
+    r = F.col("prediction_result")
+    return (appendlog.read(spark, path, LOG_SCHEMA).groupBy(F.col("input_features.period").alias("period"), "model_version")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(r["class"].cast("long")).alias("positives"), rnd(F.sum(r["probability"]), 2).alias("probability")))
+
+
+@query("stream_drift", HISTORY + TREND_SQL + " SELECT hr.day AS bucket_start, hr.n, hr.high_risk_rate, hs.avg_psi FROM hr JOIN hs ON hs.day = hr.day")
 def stream_drift(spark, d):
-    """Drift snapshot per micro-batch of the current log against the reference
-    table; each batch appends one history row (the append-only history)."""
-    out = monitors._run_dir(spark, "drift_history")
+    """The drift trend per day of the current log, from bin counts that a stream keeps per window."""
     ref = log(spark, d).where(F.col("is_ref"))
     ev = monitors.event_stream(spark, d).where(F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp"))
     features = ev.withColumn("uid", F.col("user_id").cast("double")) \
         .withColumn("k", F.get_json_object("props", "$.k").cast("double")) \
         .withColumn("prediction", (F.col("event_type") == "error").cast("int"))
-    q = monitors.drift_monitor(features, ref, LOG_FEATURES, out, "prediction")
+    q, trend = monitors.windowed_drift(features, drift.psi_fit(ref, LOG_FEATURES))
     monitors.await_all(q)
-    return spark.read.parquet(out)
+    return trend()

@@ -5,8 +5,9 @@ the ``ts`` column cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ), and a
 10-minute watermark bounds the state.  Tumbling-window aggregates run in
 append mode (a window is emitted once the watermark passes it) or, by
 ``run_latest``, in update mode with each window's last state kept.  The
-drift monitor re-uses the batch snapshot inside ``foreachBatch`` and appends
-one history row per micro-batch — the throttle of the reference becomes a
+windowed drift monitor keeps bin counts per event-time window as its state; the
+per-batch one re-uses the batch snapshot inside ``foreachBatch`` and appends one
+history row per micro-batch — the throttle of the reference becomes a
 processing-time trigger.  Sinks are parquet folders under the shared
 checkpoint location (exactly-once file sink / idempotent batch writes).
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from vigil.functions.numeric import rnd
 from vigil.operators import drift
 from vigil.session import checkpoint_dir
 from vigil.sources.tables import as_instant
@@ -115,6 +117,37 @@ def latest_per_facet(events: DataFrame, facet: Column | None = None) -> DataFram
         F.col("l.ts").alias("latest_ts"))
 
 
+def drift_bins(current: DataFrame, model: drift.PsiReference, prediction: str = "prediction", interval: str = "1 day") -> DataFrame:
+    """The state of a windowed drift monitor: ``bucket_start, feature, bin, n, s`` - counts and sums per event-time window,
+    feature and bin of the fitted reference.  They add up, so rows may come in any order and any number of
+    micro-batches, late ones included; the state holds windows x features x bins, whatever the rows.  ``#positive`` is
+    the prediction as a feature of two bins."""
+    feats = model.features
+    wide = current.select("ts", *[drift.as_number(current, f).alias(f) for f in feats],
+                          F.coalesce(drift.as_number(current, prediction) == 1.0, F.lit(False)).cast("double").alias("#positive"))
+    long = wide.unpivot(["ts"], [*feats, "#positive"], "feature", "v")
+    b = drift.bin_index(F.col("v"), F.element_at(model.edges_col(), F.col("feature")), model.max_edges())
+    long = long.withColumn("bin", F.when(F.col("feature") == "#positive", F.col("v").cast("int")).otherwise(b))
+    return (long.groupBy(F.window("ts", interval).alias("w"), "feature", "bin").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("bucket_start"), "feature", "bin", "n", "s"))
+
+
+def drift_trend(bins: DataFrame, model: drift.PsiReference) -> DataFrame:
+    """``bucket_start, n, high_risk_rate, avg_psi`` per window from ``drift_bins``."""
+    p = drift.psi_of_bins(model, bins.where(F.col("feature") != "#positive"), "bucket_start")
+    s = drift.drift_summary(drift.psi_report(model, p, "bucket_start"), "bucket_start").select("bucket_start", "avg_psi")
+    hits = bins.where(F.col("feature") == "#positive").groupBy("bucket_start").agg(F.sum("n").alias("n"), F.sum("s").alias("hits"))
+    return hits.join(s, "bucket_start").select("bucket_start", "n", rnd(F.col("hits") / F.col("n") * 100.0, 2).alias("high_risk_rate"), "avg_psi")
+
+
+def windowed_drift(current: DataFrame, model: drift.PsiReference, prediction: str = "prediction", interval: str = "1 day",
+                   available_now: bool = True, processing_seconds: int | None = None) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Start the windowed drift monitor; the reader gives the trend from every window's last state."""
+    q, read = run_latest(drift_bins(current, model, prediction, interval), "drift_bins", ["bucket_start", "feature", "bin"],
+                         available_now, processing_seconds)
+    return q, lambda: drift_trend(read(), model)
+
+
 def await_all(q: StreamingQuery) -> None:
     """Wait until an ``availableNow`` query has read everything, however long it takes."""
     q.awaitTermination()
