@@ -65,3 +65,32 @@ def test_calibration_choice_shape(spark, small_dir):
     assert {r["candidate"] for r in c} == {"none", "sigmoid", "isotonic"} and sum(r["chosen"] for r in c) == 1
     tiny = ml.choose_calibration(ml.calibration_candidates(s, "y", "p", "id"), 10, 2).collect()
     assert [r["candidate"] for r in tiny if r["chosen"]] == ["none"]
+
+
+def test_document_has_every_section_and_reaches_the_sink(spark, small_dir):
+    from vigil.operators import curve, document
+    from vigil.plans.bindings import scored
+    d = scored(spark, small_dir)
+    doc = document.evaluation_document(d, "y", "p", "grp", 0.5, train=d)
+    rows = doc.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["section"], []).append(r)
+    assert {"confusion_matrix", "holdout", "roc_curve", "pr_curve", "calibration_curve", "score_distribution", "threshold_tradeoff", "fairness", "train"} == set(by)
+    assert len(by["threshold_tradeoff"]) == 150 and len(by["score_distribution"]) == 80 and len(by["fairness"]) == 4
+    assert next(r["value"] for r in by["train"] if r["name"] == "overfit_gap_f1") == 0.0
+    assert sum(r["value"] for r in by["confusion_matrix"]) == d.count()
+    path = tempfile.mkdtemp(prefix="vigil-doc-") + "/metrics"
+    why, cost = curve.REASONS["cost"]
+    artifacts.append_metrics(document.with_version(doc, "v1", {"strategy": "cost", "justification": why, "tradeoff": cost}), path)
+    artifacts.append_metrics(document.with_version(doc, "v2"), path)
+    back = spark.read.parquet(path)
+    assert {r["version"]: r["count"] for r in back.groupBy("version").count().collect()} == {"v1": len(rows) + 3, "v2": len(rows)}
+    assert back.where("version = 'v1' and name = 'strategy'").first()["text"] == "cost"
+
+
+def test_isotonic_candidates_see_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(ml, "ISOTONIC_MAX_ROWS", 300)
+    df = spark.range(3000).select("id", (F.rand(1) < 0.5).cast("int").alias("y"), F.rand(2).alias("p"))
+    assert 200 < ml._bounded(df, "id").count() < 400
+    assert {r["candidate"] for r in ml.calibration_candidates(df, "y", "p", "id").collect()} == {"none", "sigmoid", "isotonic"}

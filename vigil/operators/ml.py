@@ -100,10 +100,22 @@ def feature_importance(model: PipelineModel, numeric: Sequence[str], categorical
     return [(n, round(float(v), 4)) for n, v in pairs]
 
 
+ISOTONIC_MAX_ROWS = 200_000  # rows an isotonic fit may see: Spark merges its pooled blocks on the driver
+
+
+def _bounded(df: DataFrame, key: str) -> DataFrame:
+    """At most about ``ISOTONIC_MAX_ROWS`` rows, by a share of the range of the key's 64-bit hash."""
+    share = min(1.0, ISOTONIC_MAX_ROWS / max(df.count(), 1))
+    if share >= 1.0:
+        return df
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(SEED + 1))
+    return df.where((h.cast("double") + 2.0 ** 63) / 2.0 ** 64 < share)
+
+
 def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str, seed: int = SEED) -> DataFrame:
     """Brier score of no calibration, Platt (logistic on the logit) and
-    isotonic calibration, each fitted on a seeded 80 % and evaluated on the
-    held-out 20 %.  Output ``candidate, brier`` (one row per candidate)."""
+    isotonic calibration, each fitted on a seeded 80 % (isotonic on at most about
+    ``ISOTONIC_MAX_ROWS`` of it) and evaluated on the held-out 20 %.  Output ``candidate, brier`` (one row per candidate)."""
     d = hash_split(df.select(key, F.col(label).cast("double").alias("_y"),
                              F.col(score_col).cast("double").alias("_p")), key, 80, seed)
     eps = 1e-6
@@ -114,7 +126,7 @@ def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str,
     lr = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, probabilityCol="_pp",
                             rawPredictionCol="_rp", predictionCol="_pr").fit(va.transform(train))
     platt = lr.transform(va.transform(test)).withColumn("_q", vector_to_array("_pp")[1])
-    iso = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(train)
+    iso = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(_bounded(train, key))
     isot = iso.transform(test)
     b = lambda df_, col: df_.agg(F.avg((F.col(col) - F.col("_y")) ** 2).alias("brier"))
     return (b(test, "_p").select(F.lit("none").alias("candidate"), "brier")
@@ -122,9 +134,6 @@ def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str,
             .unionByName(b(isot, "_q").select(F.lit("isotonic").alias("candidate"), "brier")))
 
 
-ISOTONIC_MAX_ROWS = 200_000  # rows an isotonic fit may see: Spark merges its pooled blocks on the driver
-
-
 def apply_calibration(method: str, fitted_on: DataFrame, df: DataFrame, label: str, score_col: str, key: str) -> DataFrame:
     """``df`` with ``score_col`` calibrated by ``method`` (none, sigmoid or isotonic)
     fitted on held-out scores.  Isotonic takes at most about
@@ -140,9 +149,7 @@ def apply_calibration(method: str, fitted_on: DataFrame, df: DataFrame, label: s
                                predictionCol="_pr").fit(va.transform(base.withColumn("_logit", logit(F.col("_p")))))
         out = m.transform(va.transform(df.withColumn("_logit", logit(F.col(score_col)))))
         return out.withColumn(score_col, vector_to_array("_pp")[1]).drop("_logit", "_f", "_pp", "_rp", "_pr")
-    n = base.count()
-    part = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, ISOTONIC_MAX_ROWS / max(n, 1)) * (1 << 30))
-    m = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(base.where(part))
+    m = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(_bounded(base, "_k"))
     return m.transform(df.withColumn("_p", F.col(score_col))).withColumn(score_col, F.col("_q")).drop("_p", "_q")
 
 

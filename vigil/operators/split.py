@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from vigil.operators.ordered import running_sums, scalar
 
@@ -24,6 +25,15 @@ def hash_split(df: DataFrame, key: str, train_pct: int = 80, seed: int = SEED, r
     return df.withColumn(role, F.when(b < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
+def _holds_map(kind: DataType) -> bool:
+    """Maps have no hash of their own."""
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.8, seed: int = SEED,
                      role: str = "role") -> DataFrame:
     """Exactly floor(train_frac · n_class) rows of each class go to ``train``,
@@ -32,7 +42,8 @@ def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.
     without a label are a class.  Rows of one key stand by a hash of all their
     columns, so only equal rows may change places."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    whole = F.xxhash64(F.to_json(F.struct(*df.columns)), F.lit(seed))
+    plain = [F.col(c) if not _holds_map(df.schema[c].dataType) else F.to_json(F.struct(c)) for c in df.columns]
+    whole = F.xxhash64(*plain, F.lit(seed))
     order = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 32)) * F.lit(1 << 21)
              + F.pmod(whole, F.lit(1 << 21))).cast("double")
     d = df.withColumn("_o", order).withColumn("_min_n", scalar(counts, F.min("_n")))

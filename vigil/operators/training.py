@@ -13,8 +13,8 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import curve, features, metrics, ml, split, temporal
-from vigil.session import checkpoint_dir
+from vigil.operators import curve, document, features, metrics, ml, split, temporal
+from vigil.session import checkpoint_dir, written
 
 # fixed values of the reference configuration
 LEAKING_COLUMNS = ["INDE", "PEDRA", "DEFASAGEM", "NOTA_PORT", "NOTA_MAT", "NOTA_ING"]
@@ -23,7 +23,9 @@ LEAKING_COLUMNS = ["INDE", "PEDRA", "DEFASAGEM", "NOTA_PORT", "NOTA_MAT", "NOTA_
 def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREES,
                        max_depth: int = ml.MAX_DEPTH, strategy: str = "fairness_f1",
                        current_f1: float | None = None, threshold_source: str = "validation") -> tuple[DataFrame, object]:
-    """Returns (metrics long table ``metric, value``, fitted model).
+    """Returns (metrics long table ``metric, value``, fitted model); the table also holds the
+    evaluation document of the test rows (``document.evaluation_document``) under
+    ``section:place:name``.
 
     A quarter of the training keys is held out by hash: a forest fitted on the
     rest scores it, and on these scores the calibration (by Brier) and, with
@@ -107,8 +109,11 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
             rows += [(f"group:{r['value']}:{c}", r[c]) for c in ("recall", "precision", "f1", "support")]
     rows += [(f"importance:{n}", v) for n, v in ml.feature_importance(model, numeric, categorical)]
     out = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "metric string, value double")
+    # curves, distributions and trade-offs of the test rows: a few values a section and distinct score
+    doc = written(document.evaluation_document(test, "label", "p", grp, t, train=tr), "document")
     scored.unpersist()
-    return out, model
+    name = F.concat_ws(":", "section", F.col("at").cast("string"), "name")
+    return out.unionByName(doc.select(name.alias("metric"), "value")), model
 
 
 def cross_validate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREES,

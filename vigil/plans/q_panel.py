@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
@@ -12,6 +14,7 @@ from vigil.operators.metrics import group_weights as _group_weights
 from vigil.plans.bindings import PANEL_SQL, REQUESTS_SQL, panel, requests, with_ctes
 from vigil.plans.registry import query
 from vigil.plans.sqlkit import dbl
+from vigil.session import run_folder
 from vigil.sources import files
 from vigil.sources.tables import read_table
 
@@ -165,6 +168,25 @@ def scan_union_periods(spark, d):
                                    rnd(F.sum("amount"), 2).alias("amount"))
 
 
+@query("scan_panel_periods", """
+WITH s AS (SELECT 2020 + CAST(year(o_orderdate) AS INTEGER) % 10 AS period, CAST(o_custkey AS VARCHAR) AS ra, o_totalprice AS inde, o_orderpriority AS turma FROM orders)
+SELECT period AS ANO_REFERENCIA, count(*) AS n_rows, count(DISTINCT ra) AS n_keys, round(sum(inde), 2) AS inde,
+       CASE WHEN period % 2 = 0 THEN count(turma) ELSE 0 END AS n_turma FROM s GROUP BY period""")
+def scan_panel_periods(spark, d):
+    """The loader chain over one file per period, each with column names of its own (own year, case, blanks) and not all
+    with the same columns: found by pattern, tagged by name, canonical, unioned by name, under the contract."""
+    o = read_table(spark, d, "orders").withColumn("period", F.lit(2020) + F.year("o_orderdate") % 10)
+    base = f"{run_folder(spark)}/panel-{uuid.uuid4().hex}"
+    for p in sorted(r[0] for r in o.select("period").distinct().collect()):
+        rows = o.where(F.col("period") == p)
+        key, value = F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" ")), F.col("o_totalprice").cast("string")
+        own = [key.alias("ra"), value.alias(f"Inde {p}"), F.col("o_orderpriority").alias("Turma")] if p % 2 == 0 else [value.alias("INDE"), key.alias("Ra ")]
+        rows.select(*own).write.parquet(f"{base}/sheet-{p}.parquet")
+    panel_rows = files.scan_panel(spark, [f"{base}/sheet-*.parquet"], required=["RA", "INDE"], types={"INDE": "double"})
+    return panel_rows.groupBy("ANO_REFERENCIA").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("RA").alias("n_keys"),
+                                                    rnd(F.sum("INDE"), 2).alias("inde"), F.count("TURMA").alias("n_turma"))
+
+
 @query("derive_label", with_ctes(PANEL_SQL) + """
 SELECT entity_id, period, CAST(coalesce(bal < 0, false) AS INTEGER) AS label FROM panel""")
 def derive_label(spark, d):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from vigil.functions import decision as dec
 from vigil.functions.numeric import rnd
-from vigil.operators import curve, metrics, temporal
+from vigil.operators import curve, document, metrics, temporal
 from vigil.plans.bindings import (SCORED_LABELS_SQL, SCORED_SQL, SCORED_TIES_SQL, VERSIONS_SCORED_SQL, scored, scored_labels,
                                   scored_ties, versions_scored, with_ctes)
-from vigil.plans.registry import query
+from vigil.plans.registry import ORACLES, query
 from vigil.sources import registry
 from vigil.plans.sqlkit import confusion_sql, curve_ctes, curve_metrics, dbl, prf_sql
 
@@ -478,3 +478,32 @@ def importance_ranking(spark, d):
     imp = long.groupBy("feature").agg(rnd(F.abs(F.corr("v", "y")), 4).alias("importance"))
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature
     return (imp.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= 20))
+
+
+#: Section -> (query key, column of the place, columns), for the document's SQL.
+DOCUMENT_PARTS = {
+    "confusion_matrix": ("classification_metrics", None, ["tn", "fp", "fn", "tp"]),
+    "holdout": ("classification_metrics", None, ["recall", "precision", "f1", "support"]),
+    "roc_curve": ("roc_curve", "threshold", ["fpr", "tpr"]),
+    "pr_curve": ("pr_curve", "threshold", ["precision", "recall"]),
+    "calibration_curve": ("calibration_curve", "bin", ["mean_predicted", "fraction_positive", "n"]),
+    "score_distribution": ("score_histogram", "bin", ["bin_lo", "bin_hi", "positive", "negative"]),
+    "threshold_tradeoff": ("threshold_grid", "threshold", ["recall", "precision", "f1"]),
+}
+
+
+def _document_sql() -> str:
+    rows = [f"SELECT '{s}' AS section, CAST({at or 'NULL'} AS DOUBLE) AS at, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM ({ORACLES[key]})"
+            for s, (key, at, cols) in DOCUMENT_PARTS.items() for c in cols]
+    rows += [f"SELECT 'holdout', NULL, 'auc', auc FROM ({ORACLES['roc_auc']}) WHERE dataset = 'scored'",
+             f"SELECT 'holdout', NULL, 'brier', brier FROM ({ORACLES['brier_score']})"]
+    rows += [f"SELECT 'fairness', NULL, '{c}', max({c}) FROM ({ORACLES['fairness_gaps']})" for c in ("gap_fpr", "gap_fnr", "max_fpr", "max_fnr")]
+    return "\nUNION ALL ".join(rows)
+
+
+@query("evaluation_document", _document_sql())
+def evaluation_document(spark, d):
+    """The whole metrics document of the scored rows, as the metrics sink gets it; calibration means as reported (4 dp)."""
+    doc = document.evaluation_document(scored(spark, d), "y", "p", "grp", T)
+    four = F.col("section") == "calibration_curve"
+    return doc.withColumn("value", F.when(four, rnd("value", 4)).otherwise(F.col("value")))
