@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from vigil.llm.common import connected_components, materialize
 
 THRESHOLD = 0.9
-BLOCK = 2048  # vectors
+BLOCK_BYTES = 4 << 20  # of a block's vectors in double precision; what a task holds is a few times that
 SAMPLE = 4096  # vectors for the axes
 _SAFE = 1e-4  # allowance for single precision in the bound
 _PAIRS = 1 << 16  # candidate pairs verified at once
@@ -63,8 +63,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def blocks(vectors: DataFrame, axes: dict[int, np.ndarray], block: int = BLOCK) -> DataFrame:
-    """(block, dim, lo, hi, ids, vals): vectors in order of their first coordinate, ``block`` to a row."""
+def blocks(vectors: DataFrame, axes: dict[int, np.ndarray], block: int, kind: str = "<f8") -> DataFrame:
+    """(block, dim, lo, hi, ids, vals): vectors in order of their first coordinate, ``block`` to a row; components as ``kind``."""
     n = max(1, -(-vectors.count() // block))
 
     def first(batches):
@@ -101,7 +101,7 @@ def blocks(vectors: DataFrame, axes: dict[int, np.ndarray], block: int = BLOCK)
                 yield pa.RecordBatch.from_pydict({
                     "block": [(part << 20) | k], "dim": [d], "lo": [own[0][2]], "hi": [own[-1][2]],
                     "ids": [np.array([r[0] for r in own], "<i8").tobytes()],
-                    "vals": [np.array([r[3] for r in own], "<f8").tobytes()]}, schema=cut_schema)
+                    "vals": [np.array([r[3] for r in own], kind).tobytes()]}, schema=cut_schema)
                 k += 1
 
         for b in batches:
@@ -139,7 +139,8 @@ def block_pairs(made: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 class _Block:
     def __init__(self, ids: bytes, vals: bytes, dim: int, axes: dict[int, np.ndarray]):
         self.ids = np.frombuffer(ids, "<i8")
-        self.unit = unit(np.frombuffer(vals, "<f8").reshape(-1, dim))
+        kind = "<f4" if len(vals) == 4 * dim * len(self.ids) else "<f8"
+        self.unit = unit(np.frombuffer(vals, kind).reshape(-1, dim).astype(float))
         turned = (self.unit @ axes[dim] if dim in axes else self.unit)
         self.turned = turned.astype(np.float32)
         rest = np.sqrt(np.maximum(0, np.cumsum((turned ** 2)[:, ::-1], axis=1)[:, ::-1]))
@@ -228,7 +229,7 @@ def block_links(made: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray],
     return materialize(dealt.mapInArrow(run, "vec_id long, other long, n long"), "links")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings(vec_id, embedding, ...)``.
 
     Vectors that are null, empty, zero or hold null or non-finite components
@@ -242,7 +243,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(_valid("v") & F.col("vec_id").isNotNull())
     axes = principal_axes(good, sample)
-    made = blocks(good, axes, block)
+    # components travel as they were given: single precision is half as long and exact
+    kind = "<f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    made = blocks(good, axes, block or max(64, BLOCK_BYTES // (8 * max(axes, default=1))), kind)
     links = block_links(made, block_pairs(made, threshold), axes, threshold)
     degree = links.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("vec_id", "d_id")
     comp = connected_components(links.where("n = 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
