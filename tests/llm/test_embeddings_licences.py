@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from llm_edge import collected, documents, empty, rows
+from pyspark.sql import functions as F
 
 from vigil.llm import embedding_tiles as e
 from vigil.llm import license_scan as lic
@@ -181,3 +182,12 @@ def test_real_licence_texts(spark):
     for i, (licence, _) in got.items():
         if i.startswith("tag "):
             assert licence == (i[4:] if i != "tag Zlib" else None)
+
+
+def test_embeddings_with_repeated_and_null_ids_and_clashing_columns(spark):
+    """A repeated id's rows share their result; a null id links with nothing; other columns are not read."""
+    data = [(1, [1.0, 0.0]), (1, [0.999, 0.01]), (2, [0.0, 1.0]), (None, [0.0, 1.0]), (3, [0.01, 0.999]), (None, None), (4, [float("nan"), 1.0])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>").withColumns({c: F.lit("x") for c in ("block", "dim", "home", "n", "node", "v")})
+        got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in collected(e.near_duplicates(df))), key=str)
+        assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True), (None, 0, None, True), (None, 0, None, True)], key=str)

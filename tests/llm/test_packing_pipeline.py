@@ -158,3 +158,19 @@ def test_pipeline_on_edges(spark, tmp_path):
     out = collected(corpus_pipeline.run(spark, str(tmp_path)))
     ids = {r["doc_id"] for r in out}
     assert 0 in ids and 304 in ids and not ids & {300, 301, 302, 303, *range(100, 130)} and len(rows()) > len(ids)
+
+
+def test_pipeline_with_clashing_columns_and_nothing(spark, tmp_path):
+    """Extra columns named like the stages' own pass through every stage but the last; empty tables give no sequences."""
+    documents(spark).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this is there, not at all, in any of those")], "item_id long, text string").write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "a" / "documents.parquet"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "a"))
+        assert kept.columns == docs.columns
+    out = collected(corpus_pipeline.run(spark, str(tmp_path / "a")))
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in collected(kept)}
+    documents(spark, clash=False).limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert collected(corpus_pipeline.run(spark, str(tmp_path / "b"))) == []

@@ -79,7 +79,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
              .agg(F.collect_set(F.struct("start", "window", "items")).alias("maybe")))
     maybe = materialize(maybe.select(*[F.col(c).alias(f"m_{c}") for c in ("k_id", "k_text", "k_len")], "maybe"), "maybe-hits")
     same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("k_id", "k_text", "k_len")]
-    found = (docs.select(*_key(), words("text").alias("w")).join(maybe, same[0] & same[1] & same[2])
+    found = (docs.select(*_key(), words("text").alias("w")).join(broadcast_if_small(maybe), same[0] & same[1] & same[2])
              .select("k_id", "k_text", "k_len", F.filter("maybe", lambda m: F.slice("w", m["start"] + 1, F.size(m["window"])) == m["window"]).alias("hit"))
              .where(F.size("hit") > 0).dropDuplicates(["k_id", "k_text", "k_len"]))
     spans = F.transform("hit", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.size(m["window"])).alias("end")))
