@@ -92,3 +92,11 @@ def test_rounding_matches_sql_on_binary_ties(spark):
     df = spark.createDataFrame([(0.35105,), (2.23065,), (-1.40915,), (2.5,), (None,), (1e20,)], "x double")
     got = [r["r"] for r in df.select(rnd("x", 4).alias("r")).collect()]
     assert got == [0.351, 2.2306, -1.4091, 2.5, None, 1e20]
+
+
+def test_request_defaults(spark):
+    from vigil.operators import contract
+    df = spark.createDataFrame([(1, None, 1), (2, 0.5, None)], "id int, prior_a double, is_new int")
+    got = {r["id"]: (r["prior_a"], r["prior_b"], r["is_new"]) for r in contract.request_defaults(df, ["prior_a", "prior_b"]).collect()}
+    assert got == {1: (0.0, 0.0, 1), 2: (0.5, 0.0, 0)}
+    assert contract.request_defaults(df.drop("is_new")).first()["is_new"] == 0

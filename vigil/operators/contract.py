@@ -79,6 +79,16 @@ def validate_rows(df: DataFrame, rules: Sequence[tuple[str, Column]],
     return (tagged.where(F.size(col) == 0).drop(col), tagged.where(F.size(col) > 0))
 
 
+def request_defaults(df: DataFrame, priors: Sequence[str] = (), flag: str | None = "is_new") -> DataFrame:
+    """What a request may leave out: optional prior metrics are 0.0 and the new-entity flag is 0, whether the column is
+    absent or the value null.  Applied before the rules."""
+    have = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    new = {c: F.coalesce(have(c, "double"), F.lit(0.0)) for c in priors}
+    if flag is not None:
+        new[flag] = F.coalesce(have(flag, "int"), F.lit(0))
+    return df.withColumns(new)
+
+
 def request_rules(key="key", age="age", start="start_year", group="group", klass="klass",
                   institution="institution", phase="phase", ref_year="ref_year",
                   prior_index="prior_index") -> list[tuple[str, Column]]:

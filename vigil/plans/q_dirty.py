@@ -147,10 +147,11 @@ RULES_SQL = [
 r AS (SELECT id, regexp_replace(trim(CAST(raw_key AS VARCHAR)), '\\.0$', '') AS key,
              {sql_age('age_raw', sql_int_or_null('ref_year_raw'))} AS age, {sql_year('age_raw')} AS start_year,
              trim(raw_gender) AS grp, cat_raw AS klass, name AS institution, raw_code AS phase,
-             {sql_int_or_null('ref_year_raw')} AS ref_year, {sql_num('raw_num')} AS prior_index FROM dirty),
+             {sql_int_or_null('ref_year_raw')} AS ref_year, {sql_num('raw_num')} AS prior_index,
+             coalesce(CASE WHEN id % 2 = 0 THEN {sql_num('raw_num')} END, 0.0) AS prior_engagement FROM dirty),
 v AS (SELECT id, concat_ws(',', {', '.join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in RULES_SQL)})
-             AS reasons FROM r)""") + """
-SELECT id, reasons = '' AS valid, reasons FROM v""")
+             AS reasons, prior_engagement FROM r)""") + """
+SELECT id, reasons = '' AS valid, reasons, CAST(prior_engagement AS DOUBLE) AS prior_engagement, 0.0 AS prior_mood, 0 AS is_new FROM v""")
 def row_validation(spark, d):
     df = (dirty(spark, d).withColumn("ref_year", clean.int_or_null("ref_year_raw"))
           .withColumn("_num", clean.to_number("age_raw")))
@@ -159,7 +160,9 @@ def row_validation(spark, d):
                     clean.year_parse("age_raw").alias("start_year"), F.trim("raw_gender").alias("group"),
                     F.col("cat_raw").alias("klass"), F.col("name").alias("institution"),
                     F.col("raw_code").alias("phase"), "ref_year",
-                    clean.to_number("raw_num").alias("prior_index"))
+                    clean.to_number("raw_num").alias("prior_index"),
+                    F.when(F.col("id") % 2 == 0, clean.to_number("raw_num")).alias("prior_engagement"))
+    rec = contract.request_defaults(rec, ["prior_engagement", "prior_mood"])
     tagged = rec.withColumn("reasons", contract.reasons(contract.request_rules()))
     return tagged.select("id", (F.size("reasons") == 0).alias("valid"),
-                         F.array_join("reasons", ",").alias("reasons"))
+                         F.array_join("reasons", ",").alias("reasons"), "prior_engagement", "prior_mood", "is_new")
