@@ -64,3 +64,13 @@ def test_throttled_drift_monitor_starts_and_stops(spark, small_dir):
         assert spark.read.parquet(out).count() == 1   # first trigger fires at start; later ones every interval
     finally:
         q.stop()
+
+
+def test_history_fallbacks_say_why(spark, tmp_path, caplog):
+    good = spark.createDataFrame([("1", 2)], "RA string, v int")
+    with caplog.at_level("WARNING", logger="vigil.sources"):
+        assert artifacts.scan_history(spark, str(tmp_path / "none.csv"), "RA", lambda: good) is good
+        assert artifacts.scan_history(spark, None, "RA") is None
+        assert artifacts.scan_history(spark, None, "RA", lambda: 1 / 0) is None
+    said = [r.getMessage() for r in caplog.records]
+    assert "cannot be read" in said[0] and "cold start" in said[1] and "division" in said[2]

@@ -7,6 +7,7 @@ only when nothing is configured (local tests) a scratch folder is created.
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
 import uuid
@@ -79,10 +80,17 @@ def run_folder(spark: SparkSession) -> str:
     path = f"{checkpoint_dir(spark).rstrip('/')}/vigil-run-{_RUN}"
     if path not in _dropped_at_exit:
         _dropped_at_exit.add(path)
-        atexit.register(drop_run, spark, path)
+        atexit.register(_drop_at_exit, spark, path)
     return path
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        drop_run(spark, path)
+    except Exception as e:  # noqa: BLE001 - the JVM may have gone first; nothing can be done at exit
+        logging.getLogger("vigil").debug("run folder %s stays: %s", path, e)
+
+
 def drop_run(spark: SparkSession, path: str | None = None) -> None:
     """Delete the run's written tables; results that still read them are lost."""
     path = path or run_folder(spark)

@@ -10,6 +10,7 @@ history is the table itself.
 from __future__ import annotations
 
 import datetime as _dt
+import logging
 import uuid
 from typing import Mapping, Sequence
 
@@ -17,7 +18,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.sources.files import SourceError, open_if_there, scan_csv
+from vigil.sources.files import open_if_there, scan_csv
+
+log = logging.getLogger("vigil.sources")
 
 STATS_SCHEMA = "median_start int, median_age int"
 MODELS_SCHEMA = "version string, path string, promoted_at timestamp, f1 double, recall double, risk_threshold double, strategy string"
@@ -33,7 +36,8 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     then use their defaults, as the reference does with ``{}``)."""
     try:
         return spark.read.schema(STATS_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001
+    except Exception as e:  # noqa: BLE001
+        log.warning("no statistics at %s, defaults are used: %s", path, e)
         return spark.createDataFrame([], STATS_SCHEMA)
 
 
@@ -84,17 +88,23 @@ def current_model(spark: SparkSession, registry: str) -> tuple[PipelineModel | N
 def scan_history(spark: SparkSession, csv_path: str | None, key: str, loader=None) -> DataFrame | None:
     """History store: the configured CSV when it exists and has the key
     column; else the full loader; any failure -> None (empty store, every
-    lookup is a cold start)."""
+    lookup is a cold start).  Each step down is logged with its reason, so that a
+    store that cannot be read is not taken for one that is empty."""
+    if csv_path:
+        try:
+            df = scan_csv(spark, csv_path)
+            if key in df.columns:
+                return df
+            log.warning("history %s has no column %s, the loader is used", csv_path, key)
+        except Exception as e:  # noqa: BLE001
+            log.warning("history %s cannot be read, the loader is used: %s", csv_path, e)
+    if loader is None:
+        log.warning("no history: every lookup is a cold start")
+        return None
     try:
-        if csv_path:
-            try:
-                df = scan_csv(spark, csv_path)
-                if key in df.columns:
-                    return df
-            except (SourceError, Exception):  # noqa: BLE001
-                pass
-        return loader() if loader is not None else None
-    except Exception:  # noqa: BLE001
+        return loader()
+    except Exception as e:  # noqa: BLE001
+        log.warning("the history loader failed, every lookup is a cold start: %s", e)
         return None
 
 
