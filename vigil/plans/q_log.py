@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,9 @@ from vigil.functions.numeric import rnd
 from vigil.operators import drift
 from vigil.plans.bindings import LOG_FEATURES, LOG_SQL, VERSIONS_LOG_SQL, log, versions_log, with_ctes
 from vigil.plans.registry import query
+from vigil.session import run_folder
 from vigil.sources import files, registry
+from vigil.sources.tables import read_table
 
 # fixed values of the reference configuration (event defaults)
 ENVIRONMENT_DEFAULT = "dev"
@@ -315,3 +318,39 @@ def drift_history_trend(spark, d):
     r = cur.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     rate = drift.positive_rate(cur, "prediction", group_cols=["day"]).withColumnRenamed("rate", "high_risk_rate")
     return r.join(rate, "day").join(s, "day").select("day", "n", "high_risk_rate", "avg_psi")
+
+
+RECORD_SCHEMA = ("event_id bigint, ts timestamp_ntz, is_ref boolean, input_features struct<k:bigint,source:string,value:double,user_id:bigint>, "
+                 "prediction_result struct<class:int,probability:double>")
+
+
+@query("scan_jsonl_log", with_ctes(LOG_SQL, JSON_SQL) + """
+SELECT source, is_ref, count(*) AS n, count(k) AS n_k, round(sum(value), 4) AS value, CAST(sum(prediction) AS BIGINT) AS positives, max(ts) AS last_ts
+FROM js GROUP BY source, is_ref
+UNION ALL SELECT 'malformed', NULL, 2, 0, NULL, NULL, NULL""")
+def scan_jsonl_log(spark, d):
+    """The prediction log as JSON lines, two of them broken: scanned with a schema, flattened, counted by source.  A broken
+    line is a row of nulls, and does not fail its file."""
+    path = f"{run_folder(spark)}/log-{uuid.uuid4().hex}"
+    lines = _records(spark, d).select(F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
+    broken = spark.createDataFrame([('{"event_id": 12, "ts": "2024-',), ("not json",)], "value string")
+    lines.unionByName(broken).write.text(path)
+    flat = files.flatten_structs(files.scan_jsonl(spark, path, RECORD_SCHEMA), ["input_features", "prediction_result"], rename={"class": "prediction"})
+    lost = F.col("ts").isNull()
+    return (flat.groupBy(F.when(lost, "malformed").otherwise(F.col("source")).alias("source"), "is_ref")
+            .agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("n_k"), rnd(F.sum("value"), 4).alias("value"),
+                 F.sum(F.col("prediction").cast("long")).alias("positives"), F.max("ts").alias("last_ts")))
+
+
+@query("scan_csv_delimiters", """
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'semicolon' ELSE 'comma' END AS file, count(*) AS n, count(DISTINCT o_custkey) AS n_keys,
+       CAST(sum(year(o_orderdate)) AS BIGINT) AS periods FROM orders GROUP BY 1""")
+def scan_csv_delimiters(spark, d):
+    """Two history files, one with ``;`` and one with ``,``, by the same reader with its required column."""
+    o = read_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("RA"), F.year("o_orderdate").alias("ANO_REFERENCIA"))
+    base, out = f"{run_folder(spark)}/history-{uuid.uuid4().hex}", []
+    for i, (name, sep) in enumerate((("semicolon", ";"), ("comma", ","))):
+        o.where(F.col("o_orderkey") % 2 == i).drop("o_orderkey").write.option("header", "true").option("sep", sep).csv(f"{base}/{name}")
+        out.append(files.scan_csv(spark, f"{base}/{name}", required=["ANO_REFERENCIA"]).withColumn("file", F.lit(name)))
+    return files.union_all(out).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("RA").alias("n_keys"),
+                                                    F.sum(F.col("ANO_REFERENCIA").cast("long")).alias("periods"))
