@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.ordered import _cols, count_less, ranges_for, running_sums, safe_div
+from vigil.session import written
 
 # fixed values of the reference configuration
 DEFAULT_THRESHOLD = 0.5072
@@ -276,8 +277,8 @@ def min_cost_threshold(df: DataFrame, label: str, score: str, cost_fn: float = C
         "threshold", "cost", "fn", "fp")
 
 
-def _group_steps(df: DataFrame, label: str, score: str, group: str) -> tuple[DataFrame, DataFrame]:
-    """How the groups' error rates change, and where they begin.
+def _group_steps(known: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """How the groups' error rates change, and where they begin, from ``score_counts`` by group.
 
     One row per distinct score: over the groups with a row of that score, the
     highest FPR and lowest FNR at it (``up_fpr``, ``low_fnr``), and the lowest FPR
@@ -285,16 +286,14 @@ def _group_steps(df: DataFrame, label: str, score: str, group: str) -> tuple[Dat
     limits: the lowest FPR below all scores and the lowest FNR above them
     (``floor_fpr``, ``floor_fnr``; a group without negatives or positives has rate
     0), and the number of groups."""
-    own = running_sums(score_counts(df.where(F.col(group).isNotNull()), label, score, group), "threshold", ["pos", "neg"], group,
-                       descending=True, totals=True)
+    own = running_sums(known, "threshold", ["pos", "neg"], group, descending=True, totals=True)
     fpr = lambda fp: safe_div(fp, F.col("neg_tot")) * F.lit(100.0)
     fnr = lambda tp: safe_div(F.col("pos_tot") - tp, F.col("pos_tot")) * F.lit(100.0)
     steps = own.groupBy("threshold").agg(
         F.max(fpr(F.col("neg_cum"))).alias("up_fpr"), F.min(fnr(F.col("pos_cum"))).alias("low_fnr"),
         F.min(fpr(F.col("neg_cum") - F.col("neg"))).alias("above_fpr"), F.max(fnr(F.col("pos_cum") - F.col("pos"))).alias("above_fnr"))
     rate = lambda n: F.when(F.col(n) > 0, F.lit(100.0)).otherwise(F.lit(0.0))
-    limits = score_counts(df.where(F.col(group).isNotNull()), label, score, group).groupBy(group).agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n")).agg(
+    limits = known.groupBy(group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).agg(
         F.min(rate("n")).alias("floor_fpr"), F.min(rate("p")).alias("floor_fnr"), F.count(F.lit(1)).alias("n_groups"))
     return steps, limits
 
@@ -310,14 +309,18 @@ def fairness_curve(df: DataFrame, label: str, score: str, group: str | None,
     the (group, score) rows passed on the way down, and the lowest FPR a running
     minimum, on the way up, of the rates that groups change to; the FNR likewise.
     No score x group product is made, and no group's table reaches the driver."""
-    counts = score_counts(df, label, score)
+    if group is None:
+        counts = score_counts(df, label, score)
+    else:  # one scan: the overall counts are sums of the groups', the null group's included
+        every = written(score_counts(df, label, score, group), "score-counts")
+        counts = every.groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     if extra_thresholds:
         extra = df.sparkSession.createDataFrame([(float(t), 0, 0) for t in extra_thresholds], "threshold double, pos long, neg long")
         counts = counts.unionByName(extra).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.withColumn("is_score", (F.col("pos") + F.col("neg")) > 0)
     runs, ranges = {}, ranges_for(counts)  # the groups' steps add columns, not rows
     if group is not None:
-        steps, limits = _group_steps(df, label, score, group)
+        steps, limits = _group_steps(every.where(F.col(group).isNotNull()), group)
         counts = counts.join(steps, "threshold", "left")
         runs = {"run_up": ("up_fpr", "max", "upto"), "run_low": ("low_fnr", "min", "upto"),
                 "run_fpr": ("above_fpr", "min", "after"), "run_fnr": ("above_fnr", "max", "after")}
