@@ -64,7 +64,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
 
     Every document window's hash is looked up among the benchmark's, which are
     broadcast without their words (8 bytes each; past ``max_broadcast_windows`` of
-    them the same lookup is a shuffled join).  What is found is compared word by word."""
+    them the same lookup is a shuffled join).  What stands at the places found is
+    compared word by word."""
     windows = materialize(benchmark_windows(benchmark, n), "windows")
     sizes = [r[0] for r in windows.select(F.size("window")).distinct().collect()]  # at most n
     hashes = windows.select(F.col("w_hash").alias("known")).distinct()
@@ -73,18 +74,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
     there = F.transform(F.sequence(F.lit(1), F.size("h") - size + 1), lambda i: F.xxhash64(size, F.slice("h", i, size)))
     at = (docs.select(*_key(), _word_hashes(words("text")).alias("h"))
           .select("k_id", "k_text", "k_len", "h", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.size("h") >= size)
-          .select("k_id", "k_text", "k_len", F.posexplode(there).alias("start", "hash")))
+          .select("k_id", "k_text", "k_len", "size", F.posexplode(there).alias("start", "hash")))
     at = at.join(known, F.col("hash") == F.col("known"), "left_semi")
-    maybe = (at.join(windows, F.col("hash") == F.col("w_hash")).groupBy("k_id", "k_text", "k_len")
-             .agg(F.collect_set(F.struct("start", "window", "items")).alias("maybe")))
-    maybe = materialize(maybe.select(*[F.col(c).alias(f"m_{c}") for c in ("k_id", "k_text", "k_len")], "maybe"), "maybe-hits")
+    maybe = at.groupBy("k_id", "k_text", "k_len").agg(F.collect_set(F.struct("start", "size")).alias("maybe"))
+    maybe = materialize(maybe.select(*[F.col(c).alias(f"m_{c}") for c in ("k_id", "k_text", "k_len")], "maybe"), "maybe-hits")  # places only
     same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("k_id", "k_text", "k_len")]
-    found = (docs.select(*_key(), words("text").alias("w")).join(broadcast_if_small(maybe), same[0] & same[1] & same[2])
-             .select("k_id", "k_text", "k_len", F.filter("maybe", lambda m: F.slice("w", m["start"] + 1, F.size(m["window"])) == m["window"]).alias("hit"))
-             .where(F.size("hit") > 0).dropDuplicates(["k_id", "k_text", "k_len"]))
-    spans = F.transform("hit", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.size(m["window"])).alias("end")))
-    return found.select("k_id", "k_text", "k_len", F.array_sort(F.array_distinct(spans)).alias("spans"),
-                        F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda m: m["items"])))).alias("items"))
+    there = F.transform("maybe", lambda m: F.struct(m["start"].alias("start"), F.slice("w", m["start"] + 1, m["size"]).alias("words")))
+    places = (docs.select(*_key(), words("text").alias("w")).join(broadcast_if_small(maybe), same[0] & same[1] & same[2])
+              .select("k_id", "k_text", "k_len", F.explode(there).alias("t")).select("k_id", "k_text", "k_len", "t.start", "t.words"))
+    span = F.struct(F.col("start"), (F.col("start") + F.size("words")).alias("end"))
+    return (places.join(windows.select("window", "items"), F.col("words") == F.col("window")).groupBy("k_id", "k_text", "k_len")
+            .agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
 
 
 def covered(spans: str) -> Column:
