@@ -5,6 +5,15 @@ from vigil.functions import decision as dec
 from vigil.operators import contract, metrics
 
 
+def test_group_weights_leave_the_rows_where_they_are(spark):
+    """Few groups: a join dealt out by the group would leave the rows in as many tasks."""
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "ab"[i % 2]) for i in range(40)], "k int, g string")
+    got = metrics.group_weights(df, "g")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r["g"], round(r["weight"], 6)) for r in got.collect()} == {(None, 1.333333), ("a", 1.333333), ("b", 0.666667)}
+
+
 def test_fold_summary_and_nulls(spark):
     folds = spark.createDataFrame([(1, .80, .75, .77, .85), (2, .82, .78, .80, .87), (3, .78, .76, .77, None)],
                                   "fold int, recall double, precision double, f1 double, auc double")

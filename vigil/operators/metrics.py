@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
 from vigil.operators.ordered import _cols, safe_div, scalar, same_groups
+from vigil.session import written
 
 # fixed values of the reference configuration
 MIN_RECALL_GATE = 0.6
@@ -118,11 +119,12 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str, digits: int
 
 def group_weights(df: DataFrame, group: str, name: str = "weight") -> DataFrame:
     """Representation weight per row = mean group count / own group count.
-    Group counts come from a partial aggregate; the small count table joins back."""
+    Group counts come from a partial aggregate; the small count table is written, so that its size is known and it is
+    broadcast: a join dealt out by the group would leave the rows in as many tasks as there are groups."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     mean = counts.agg(F.avg("_gn").alias("_gm"))
     w = counts.crossJoin(F.broadcast(mean)).select(group, (F.col("_gm") / F.col("_gn")).alias(name))  # one row
-    return same_groups(df, w, [group], "left")  # a null group is a group
+    return same_groups(df, written(w, "group-weights"), [group], "left")  # a null group is a group
 
 
 # --------------------------------------------------------------------------- folds
