@@ -184,6 +184,22 @@ def test_real_licence_texts(spark):
             assert licence == (i[4:] if i != "tag Zlib" else None)
 
 
+def test_documents_inherit_from_licence_texts_of_their_source(spark):
+    """Documents have no file names: those that begin as a licence's text does are their source's licence files."""
+    prose = "Somebody wrote this.\n\nIt says nothing of rights."
+    late = "One.\n\nTwo.\n\nThree.\n\n" + MIT  # quotes a licence further on
+    docs = [(0, "a", MIT), (1, "a", prose), (2, "b", BSD3), (3, "b", prose), (4, "c", late), (5, "c", prose),
+            (6, "d", "# " + MIT.replace("\n", "\n# ")), (7, "d", prose), (8, None, prose), (9, "b", None),
+            (10, "a", "Released under CC BY 4.0.\nLicensed under CC BY 4.0.")]
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_dir"]) for r in
+           collected(lic.scan_documents(spark.createDataFrame(docs, "doc_id long, source string, text string")))}
+    assert got[0] == ("MIT", "file", None) and got[1] == ("MIT", "inherited", "a")
+    assert got[2] == ("BSD-3-Clause", "file", None) and got[3] == got[9] == ("BSD-3-Clause", "inherited", "b")
+    assert got[4][1] == "header" and got[5] == (None, None, None)  # by a line
+    assert got[6][1] != "file" and got[7] == got[8] == (None, None, None)
+    assert got[10][:2] == ("CC-BY-4.0", "header")
+
+
 def test_embeddings_with_repeated_and_null_ids_and_clashing_columns(spark):
     """A repeated id's rows share their result; a null id links with nothing; other columns are not read."""
     data = [(1, [1.0, 0.0]), (1, [0.999, 0.01]), (2, [0.0, 1.0]), (None, [0.0, 1.0]), (3, [0.01, 0.999]), (None, None), (4, [float("nan"), 1.0])]

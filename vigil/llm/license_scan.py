@@ -11,6 +11,9 @@ templates; a term of no template counts as rare), joined term by term, so that
 only shared terms meet.  A file takes the licence of its best statement; in a file
 named like a licence any match makes it its directory's.
 
+Files without names, as documents are, are known as licence files by how they
+begin (``by_text``): one of the first paragraphs is a paragraph of a licence's text.
+
 A file without a licence of its own takes that of the nearest directory above
 it that holds a licence file: its ancestor directories are joined to those
 directories, and the deepest one wins.
@@ -21,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigil.llm.common import ascii_lower, materialize
 
@@ -92,6 +95,8 @@ CUE = r"(?i:licen[sc]|copyright|spdx|public domain|released under)"
 BLOCK = r"(?m)(?:^[\x20\t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+(?:\n|\z))++"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying|notice)[^/]*$"
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
+HEAD = 3  # paragraphs by which a text is known as a licence's: title, copyright line, first paragraph
+COMMENT = r"\A\s*(?:#|//|/\*|\*|--|;|%|<!--)"
 PARAGRAPH = r"\n(?:[\x20\t\r]*\n)+"  # blank lines between them
 
 
@@ -118,8 +123,9 @@ def template_weights(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFram
     return spark.createDataFrame(rows, "term string, template int, licence string, least double, kind int, weight double, idf double"), math.log(1 + n) + 1
 
 
-def statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files: rid, id, path; statements: rid, start, whole, text) of ``files(id, path, text)``; whole: of a licence file."""
+def statements(files: DataFrame, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files: rid, id, path; statements: rid, start, whole, head, text) of ``files(id, path, text)``; whole: of a licence
+    file; head: with ``by_text``, a paragraph of a file with a cue word, unless it begins with a comment."""
     is_file = F.col("path").rlike(FILE_NAME)
     text = F.coalesce("text", F.lit(""))
     numbered = lambda found, kind: F.transform(found, lambda x, i: F.struct(i.cast("long").alias("i"), F.lit(kind).alias("kind"), x.alias("text")))
@@ -129,32 +135,40 @@ def statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<struct<i:bigint,kind:int,text:string>>")
     stated = F.when(text.rlike(CUE), F.concat(lines, blocks)).otherwise(none)
     parts = F.when(F.coalesce(is_file, F.lit(False)), numbered(F.split(text, PARAGRAPH, -1), 2)).otherwise(none)
-    scanned = materialize(files.select(F.monotonically_increasing_id().alias("rid"), "id", "path", F.concat(stated, parts).alias("stated"),
+    filled = F.filter(F.split(text, PARAGRAPH, -1), lambda x: x.rlike(r"\S"))
+    head = F.when(F.lit(by_text) & text.rlike(CUE) & ~text.rlike(COMMENT), numbered(filled, 3)).otherwise(none)
+    scanned = materialize(files.select(F.monotonically_increasing_id().alias("rid"), "id", "path", F.concat(stated, parts, head).alias("stated"),
                                        F.coalesce(is_file, F.lit(False)).alias("whole")), "statements")
-    # start tells a file's statements apart: lines, blocks and paragraphs in turn
+    # start tells a file's statements apart: lines, blocks, paragraphs and those of unnamed files in turn
     s = scanned.select("rid", "whole", F.explode("stated").alias("s"))
-    return scanned.select("rid", "id", "path"), s.select("rid", (F.col("s.i") * 3 + F.col("s.kind")).alias("start"), "whole", F.col("s.text").alias("text"))
+    return scanned.select("rid", "id", "path"), s.select("rid", (F.col("s.i") * 4 + F.col("s.kind")).alias("start"), "whole", (F.col("s.kind") == 3).alias("head"),
+                                                         F.col("s.text").alias("text"))
 
 
 def match(stated: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(rid, licence, score, whole): the licence of each file's best statement that reaches its template's threshold.
 
-    Paragraphs of licence texts only count in licence files.  Of licences with equal best
-    cosines the one with more of its templates in the file wins: the three clauses of
+    Paragraphs of licence texts only count in licence files; one of a text's first ``HEAD`` paragraphs makes it such a
+    file, where ``statements`` marks them.  Of licences with equal best cosines the one with more of its templates in the file wins: the three clauses of
     one begin with the two of another."""
     weights, rare = template_weights(stated.sparkSession, templates)
-    counted = (stated.select("rid", "start", "whole", F.explode(terms(F.col("text"))).alias("term"))
-               .groupBy("rid", "start", "whole", "term").agg(F.count(F.lit(1)).alias("tf")))
+    if "head" not in stated.columns:
+        stated = stated.withColumn("head", F.lit(False))
+    counted = (stated.select("rid", "start", "whole", "head", F.explode(terms(F.col("text"))).alias("term"))
+               .groupBy("rid", "start", "whole", "head", "term").agg(F.count(F.lit(1)).alias("tf")))
     idf = F.broadcast(weights.select(F.col("term").alias("i_term"), "idf").distinct())
     known = counted.join(idf, F.col("term") == F.col("i_term"), "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    known = materialize(known.select("rid", "start", "whole", "term", "x"), "licence-terms")
+    known = materialize(known.select("rid", "start", "whole", "head", "term", "x"), "licence-terms")
     norm = known.groupBy("rid", "start", "whole").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = (known.join(F.broadcast(weights.select(F.col("term").alias("w_term"), "template", "licence", "least", "kind", "weight")), F.col("term") == F.col("w_term"))
-           .groupBy("rid", "start", "whole", "template", "licence", "least", "kind").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
+           .groupBy("rid", "start", "whole", "head", "template", "licence", "least", "kind").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
     n = norm.select(*[F.col(c).alias(f"n_{c}") for c in ("rid", "start", "whole")], "norm")
     cosine = F.least(F.lit(1.0), F.round(F.col("dot") / F.col("norm"), 9))
     scored = dot.join(n, (F.col("rid") == F.col("n_rid")) & (F.col("start") == F.col("n_start")) & (F.col("whole") == F.col("n_whole")))
-    scored = scored.select("rid", "whole", "template", "licence", "least", "kind", cosine.alias("score")).where("score >= least and (kind < 2 or whole)")
+    scored = scored.select("rid", "start", "whole", "head", "template", "licence", "least", "kind", cosine.alias("score"))
+    scored = scored.where("score >= least and if(kind < 2, not head, whole or head)")  # the lines of marked paragraphs have been matched as lines
+    begun = F.max(F.col("head") & (F.col("start") < 4 * HEAD)).over(Window.partitionBy("rid"))  # a file's matches
+    scored = scored.withColumn("begun", begun).where("not head or begun").withColumn("whole", F.col("whole") | F.col("begun"))
     by = scored.groupBy("rid", "licence").agg(F.max("score").alias("score"), F.count_distinct("template").alias("n"), F.max("whole").alias("whole"))
     best = by.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "licence")).alias("b"), F.max("whole").alias("whole"))
     return best.select(F.col("rid").alias("m_rid"), F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "whole")
@@ -164,15 +178,16 @@ def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, templates=TEMPLATES, by_text: bool = False) -> DataFrame:
     """(id, path, licence, score, origin, from_dir) of every row of ``files(id, path, text)``.
 
     origin: ``file`` (a licence file), ``header`` (a line of the text),
     ``inherited`` (from_dir names the directory), or null without a licence.
     Null paths have no directory, null texts no statement; repeated rows stay
-    repeated; ties go to the higher cosine, then more matching templates, then the first licence by name.
+    repeated; with ``by_text`` a text that begins as a licence's is a licence file,
+    whatever its name; ties go to the higher cosine, then more matching templates, then the first licence by name.
     """
-    every, stated = statements(files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")))
+    every, stated = statements(files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")), by_text)
     found = materialize(match(stated, templates), "licences")
     own = every.join(found, F.col("rid") == F.col("m_rid"), "left").select("rid", "id", "path", "licence", "score", F.coalesce("whole", F.lit(False)).alias("whole"))
     own = materialize(own, "own-licences")
@@ -194,7 +209,7 @@ def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Documents as files: the path is source/doc_id."""
+    """Documents as files: the path is source/doc_id.  Such names never are a licence file's, so those are known by their texts."""
     path = F.concat_ws("/", F.col("source").cast("string"), F.col("doc_id").cast("string"))
-    found = scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    found = scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"), by_text=True)
     return found.withColumnRenamed("id", "doc_id")
