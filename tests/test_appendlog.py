@@ -55,6 +55,17 @@ def test_compaction_replaces_and_vacuum_deletes(spark, tmp_path):
     assert _ids(spark, path) == [0, 1, 2, 3, 10, 11, 12, 13, 50]
 
 
+def test_compaction_writes_files_by_the_bytes_of_the_runs(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for i in range(2):
+        log.append(spark.range(i, 4000, 2).selectExpr("id AS a", "sha2(CAST(id AS STRING), 256) AS b"), path, f"r{i}")
+    assert log.compact(spark, path, SCHEMA, file_bytes=32 << 10)
+    (run,) = log.runs(spark, path)
+    sizes = [os.path.getsize(f"{path}/{run.folder}/{f}") for f in os.listdir(f"{path}/{run.folder}") if f.endswith(".parquet")]
+    assert len(sizes) > 4 and max(sizes) < 2 * (32 << 10)
+    assert _ids(spark, path) == list(range(4000))
+
+
 def test_windowed_drift_equals_the_batch_trend(spark, tmp_path):
     """Rows of one window arrive in several micro-batches, late ones within the watermark included."""
     rows = [(f"2024-01-{1 + i % 3:02d} {i % 24:02d}:00:00", float(i % 13), int(i % 5 == 0)) for i in range(300)]

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+FILE_BYTES = 32 << 20  # of the files that a compaction leaves, as far as the replaced ones' bytes tell
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -80,12 +83,21 @@ def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def compact(spark: SparkSession, path: str, schema: StructType | str, files: int = 1) -> bool:
-    """Rewrite all committed runs as one of ``files`` files; False if there is at most one.  The replaced folders stay for
-    readers that have begun, until ``vacuum``."""
+def _bytes(spark: SparkSession, path: str, found: list[Run]) -> int:
+    """Bytes of the runs' files."""
+    fs, _ = _fs(spark, path)
+    return sum(fs.getContentSummary(_fs(spark, f"{path}/{r.folder}")[1]).getLength() for r in found if r.rows)
+
+
+def compact(spark: SparkSession, path: str, schema: StructType | str, files: int | None = None, file_bytes: int = FILE_BYTES) -> bool:
+    """Rewrite all committed runs as one of ``files`` files, by default as many as keep each at about ``file_bytes``, so
+    that a task's share does not grow with the log; False if there is at most one.  The replaced folders stay for readers
+    that have begun, until ``vacuum``."""
     old = runs(spark, path)
     if len(old) < 2:
         return False
+    if files is None:
+        files = max(1, -(-_bytes(spark, path, old) // file_bytes))
     name = f"compact-{uuid.uuid4().hex[:12]}"
     folder, rows = _write(read(spark, path, schema).repartition(files), path, name)
     return _commit(spark, path, Run(name, folder, rows, tuple(r.run for r in old)))
