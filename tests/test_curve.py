@@ -189,6 +189,25 @@ def test_number_of_ranges_follows_the_size(spark, tmp_path):
     assert ranges_for(t, rows_per_bucket=10) > 1024
 
 
+def test_many_ranges_are_made_by_the_counted_rows(spark):
+    """Where the bound of the size asks for many ranges, the plan holds no cut points and is cut from what came before."""
+    df = spark.createDataFrame([(i % 3 or None, float(i * 7 % 500), i % 5) for i in range(500)], "g int, v double, c long")
+    got = running_sums(df, "v", ["c"], "g", descending=True, totals=True, index="i", rows_per_bucket=100, buckets=1024)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and "LogicalRDD" not in plan
+    want = running_sums(df, "v", ["c"], "g", descending=True, totals=True, index="i", buckets=1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_fold_metrics_read_one_curve(spark, small_dir, monkeypatch):
+    from vigil.plans import q_scored
+
+    calls, counts = [], curve.threshold_counts
+    monkeypatch.setattr(curve, "threshold_counts", lambda *a, **k: calls.append(a) or counts(*a, **k))
+    q_scored.cv_metrics(spark, small_dir)
+    assert len(calls) == 1
+
+
 def _naive_rates(data, t):
     out = []
     for g in sorted({g for _, _, g in data if g is not None}):

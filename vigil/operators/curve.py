@@ -117,14 +117,15 @@ def roc_auc(df: DataFrame, label: str, score: str,
     over the running counts.
     """
     g = _cols(group_cols)
-    c = threshold_counts(df, label, score, g)
+    return threshold_counts(df, label, score, g).groupBy(*g).agg(auc_of_counts().alias("auc"))
+
+
+def auc_of_counts() -> Column:
+    """``roc_auc`` as an aggregate of ``threshold_counts`` rows, for a curve that is read for more than its AUC."""
     below = F.col("n_neg") - F.col("fp")
     term = F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2.0)
-    agg = c.groupBy(*g).agg(F.sum(term).alias("_s"), F.first("n_pos").alias("_p"),
-                            F.first("n_neg").alias("_n"))
-    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0),
-                 F.col("_s") / (F.col("_p").cast("double") * F.col("_n").cast("double")))
-    return agg.select(*g, auc.alias("auc"))
+    p, n = F.first("n_pos"), F.first("n_neg")
+    return F.when((p > 0) & (n > 0), F.sum(term) / (p.cast("double") * n.cast("double")))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = True) -> DataFrame:

@@ -26,6 +26,7 @@ from vigil.session import written
 DEFAULT_BUCKETS = 1024
 CUT_ACCURACY = 10_000  # percentile_approx accuracy for bucket cuts: ±n/10 000 rows per cut
 ROWS_PER_BUCKET = 1_000_000  # target rows per (group, range) window task
+RANGES_PER_BUCKET = 4  # where the rows are counted: smaller ranges, so that as many cores have one
 
 
 def _cols(cols: Iterable[str] | str | None) -> list[str]:
@@ -110,7 +111,7 @@ def assign_ranges(df: DataFrame, order: Column, g: list[str], nb: int, rows_per_
     if nb <= 1:
         return df.withColumn("_b", F.lit(0))
     if nb > DEFAULT_BUCKETS:
-        return written(df.repartitionByRange(nb, *[F.col(c) for c in g], order).withColumn("_b", F.spark_partition_id()), "ranges")
+        return range_partitions(df, order, g, nb)
     cuts = cut_points(df, order, g, nb, rows_per_bucket)
     if not g:
         b = df.withColumn("_cuts", cuts.select("_cuts").scalar())
@@ -123,6 +124,13 @@ def assign_ranges(df: DataFrame, order: Column, g: list[str], nb: int, rows_per_
     return count_below(b, order, "_cuts", nb - 1, "_b").drop("_cuts")
 
 
+def range_partitions(df: DataFrame, order: Column, g: list[str], nb: int) -> DataFrame:
+    """``df`` with ``_b``, the number of its range partition of (group, order); written, as a range must not move."""
+    if nb <= 1:
+        return df.withColumn("_b", F.lit(0))
+    return written(df.repartitionByRange(nb, *[F.col(c) for c in g], order).withColumn("_b", F.spark_partition_id()), "ranges")
+
+
 def cut_points(df: DataFrame, order: Column, group_cols: list[str], buckets: int,
                rows_per_bucket: int) -> DataFrame:
     """Per group: sorted cut points splitting the rows into
@@ -169,13 +177,20 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     Plan: each group's order values are cut into ranges of about
     ``rows_per_bucket`` rows (``assign_ranges``; ``buckets`` of them, by default as
     many as the size asks for), so a skewed value distribution still spreads
-    evenly.  A window partitioned by (group, range) does the work; a window over
+    evenly.  Where the bound of the size asks for many (``DEFAULT_BUCKETS``), the
+    table is written and its rows are counted: it is computed once, and the plan
+    neither holds a thousand cut points nor grows with what came before.  A window partitioned by (group, range) does the work; a window over
     the per-range totals gives each range its offset, joined back.
     """
     g = _cols(group_cols)
     o = F.col(order_col).cast("double")
     nb = max(1, int(buckets)) if buckets is not None else ranges_for(df, rows_per_bucket)
-    b = assign_ranges(df, o, g, nb, rows_per_bucket, small_groups)
+    if nb >= DEFAULT_BUCKETS:
+        df = written(df, "ordered")
+        nb = max(1, -(-df.count() * RANGES_PER_BUCKET // rows_per_bucket))
+        b = range_partitions(df, o, g, nb)
+    else:
+        b = assign_ranges(df, o, g, nb, rows_per_bucket, small_groups)
     if descending:
         b = b.withColumn("_b", F.lit(nb - 1) - F.col("_b"))
 
