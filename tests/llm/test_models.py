@@ -25,6 +25,22 @@ def test_remainder(spark):
 
 # -- language -----------------------------------------------------------------
 
+def test_language_windows_in_little_memory():
+    """A worker shares its executor's memory with another and with what the other stages keep."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    shapes = ((256, c.EMBED), (4 * c.EMBED, 24), (24,), (24, 3), (3,))
+    model = c.ByteCnn(["a", "b", "c"], *[r.normal(size=s).astype(np.float32) for s in shapes])
+    windows, tables = r.integers(0, 256, (2048, c.WINDOW)).astype(np.uint8), model.tables()
+    tracemalloc.start()
+    whole = model.window_probs(windows, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert np.allclose(whole, np.concatenate([model.window_probs(w[None], tables) for w in windows]), atol=1e-5)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     got = {r["doc_id"]: r for r in collected(c.identify(docs))}

@@ -19,6 +19,15 @@ def reference():
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [p.END]
 
 
+def test_pieces_take_few_texts_at_once(spark, monkeypatch):
+    docs = [(i, None if i % 7 == 0 else f"word {i} " * (i % 9)) for i in range(2500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    whole = collected(p.pieces(df))
+    monkeypatch.setattr(p, "BATCH", 1 << 20)
+    assert p.BATCH > 1000 and sorted(map(tuple, whole)) == sorted(map(tuple, collected(p.pieces(df))))
+    assert sorted({r["doc_id"] for r in whole}) == list(range(2500))
+
+
 def test_ids_equal_the_tokenizer(reference):
     rnd, ids = random.Random(0), p.Ids(*p.tokenizer_paths())
     parts = ["a", "B", "é", " ", "  ", "\n", "\n\n", "\t", "'s", "'ll", "1", "23", "!", "日本", "😀", "<|endoftext|>", "\r\n", "\x1c", "\x85", "́", "’",

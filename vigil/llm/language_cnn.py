@@ -32,7 +32,8 @@ WINDOWS_PER_DOC = 2
 EPOCHS = 6
 UNKNOWN = "und"
 MIN_SCORE = 0.35  # a text whose best language is less likely is in none that was learned
-_STEP = 1 << 18  # bytes convolved at once
+_STEP = 1 << 18  # bytes classified at once
+_PART = 1 << 15  # and of these convolved at once: their outputs are two times 3 MB
 
 
 @dataclass
@@ -62,9 +63,13 @@ class ByteCnn:
         for i in range(0, n, step):
             w = windows[i:i + step].astype(np.int32)
             pair = (w[:, :-1] << 8) | w[:, 1:]
-            conv = lo.take(pair[:, :length - 3], axis=0)
-            conv += hi.take(pair[:, 2:], axis=0)
-            pooled = np.maximum(conv.max(axis=1), 0)
+            pooled = np.empty((len(w), lo.shape[1]), np.result_type(lo, hi))
+            for j in range(0, len(w), max(1, _PART // length)):
+                k = slice(j, j + max(1, _PART // length))
+                conv = lo.take(pair[k, :length - 3], axis=0)
+                conv += hi.take(pair[k, 2:], axis=0)
+                pooled[k] = conv.max(axis=1)
+            pooled = np.maximum(pooled, 0)
             logit = pooled @ self.out + self.out_bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             probs[i:i + step] = p / p.sum(axis=1, keepdims=True)

@@ -35,7 +35,8 @@ from vigil.llm.common import materialize
 
 CAPACITY = 2048
 END = 0
-CACHE = 400_000  # words kept by each Python worker, under 100 MB
+CACHE = 200_000  # words kept by each Python worker, under 50 MB
+BATCH = 1000  # texts taken from Arrow at once
 SALT_ROWS = 2_000  # pieces for each salt; windows sort those of one length and salt
 ROUNDS = 40  # of multiplicative weights
 ETA = 4.0  # how fast a covered length loses weight
@@ -141,7 +142,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | N
 
     def run(batches):
         encode = Ids.of(paths)
-        for b in batches:
+        for b in (part.slice(at, BATCH) for part in batches for at in range(0, part.num_rows, BATCH)):
             row, piece, start, length, crc, held = array("l"), array("i"), array("l"), array("l"), array("L"), []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = memoryview(encode(t or "") + end)
