@@ -1,5 +1,6 @@
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.operators import metrics, ml, split, training
@@ -94,3 +95,32 @@ def test_isotonic_candidates_see_a_bounded_sample(spark, monkeypatch):
     df = spark.range(3000).select("id", (F.rand(1) < 0.5).cast("int").alias("y"), F.rand(2).alias("p"))
     assert 200 < ml._bounded(df, "id").count() < 400
     assert {r["candidate"] for r in ml.calibration_candidates(df, "y", "p", "id").collect()} == {"none", "sigmoid", "isotonic"}
+
+
+def _pooled(p, y):
+    """Isotonic fit of all points by pooling adjacent violators: (score, value) per point, ascending."""
+    at = sorted(set(p))
+    sums = [[sum(b for a, b in zip(p, y) if a == v), sum(a == v for a in p), 1] for v in at]
+    blocks = []
+    for s in sums:
+        blocks.append(s)
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    return at, [b[0] / b[1] for b in blocks for _ in range(b[2])]
+
+
+def test_isotonic_fits_take_every_row(spark, monkeypatch):
+    monkeypatch.setattr(ml, "ISOTONIC_MAX_ROWS", 100)  # a bound that a fit on a share of the rows would keep
+    monkeypatch.setattr(ml, "ISOTONIC_TASK_ROWS", 300, raising=False)
+    df = spark.range(1500).select("id", F.round(F.rand(2), 3).alias("p")).withColumn("y", (F.rand(1) < F.col("p")).cast("int")).cache()
+    df.count()
+    parts = {r: [(x["p"], x["y"]) for x in split.hash_split(df, "id", 80, ml.SEED).where(F.col("role") == r).collect()] for r in ("train", "test")}
+    at, value = _pooled(*zip(*parts["train"]))
+    want = sum((np.interp(p, at, value) - y) ** 2 for p, y in parts["test"]) / len(parts["test"])
+    got = {r["candidate"]: r["brier"] for r in ml.calibration_candidates(df, "y", "p", "id").collect()}
+    assert abs(got["isotonic"] - want) < 1e-9
+    at, value = _pooled(*zip(*[(r["p"], r["y"]) for r in df.collect()]))
+    fitted = dict(zip(at, value))
+    out = ml.apply_calibration("isotonic", df, df.select("id", "p", F.col("p").alias("was")), "y", "p", "id").collect()
+    assert len(out) == 1500 and all(abs(r["p"] - fitted[r["was"]]) < 1e-9 for r in out)

@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,11 +100,30 @@ def feature_importance(model: PipelineModel, numeric: Sequence[str], categorical
     return [(n, round(float(v), 4)) for n, v in pairs]
 
 
-ISOTONIC_MAX_ROWS = 200_000  # rows an isotonic fit may see: Spark merges its pooled blocks on the driver
+ISOTONIC_TASK_ROWS = 500_000  # distinct scores that one task of an isotonic fit sorts and pools
+
+
+def fit_isotonic(df: DataFrame, label: str, score_col: str) -> IsotonicRegressionModel:
+    """Isotonic regression over all rows, as its column ``_q``.
+
+    Rows of one score are one row of their mean and number, which is the same
+    fit; ranges of scores are pooled by as many tasks as there are rows for, and
+    the driver merges their pooled blocks.  Blocks of 0/1 labels have rising
+    fractions, of which n rows hold no more than about n^(2/3) in a range.  A
+    missing label still fails the fit."""
+    y = F.when(F.count(label) == F.count(F.lit(1)), F.avg(label))
+    pooled = df.groupBy(score_col).agg(y.alias(label), F.count(F.lit(1)).cast("double").alias("_n"))
+    tasks = -(-df.count() // ISOTONIC_TASK_ROWS)
+    return IsotonicRegression(featuresCol=score_col, labelCol=label, weightCol="_n", predictionCol="_q").fit(
+        pooled.repartition(tasks) if tasks > 1 else pooled)
+
+
+ISOTONIC_MAX_ROWS = 200_000  # of ``_bounded`` only: no fit is bounded
 
 
 def _bounded(df: DataFrame, key: str) -> DataFrame:
-    """At most about ``ISOTONIC_MAX_ROWS`` rows, by a share of the range of the key's 64-bit hash."""
+    """At most about ``ISOTONIC_MAX_ROWS`` rows, by a share of the range of the
+    key's 64-bit hash.  No query or fit uses it."""
     share = min(1.0, ISOTONIC_MAX_ROWS / max(df.count(), 1))
     if share >= 1.0:
         return df
@@ -114,8 +133,8 @@ def _bounded(df: DataFrame, key: str) -> DataFrame:
 
 def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str, seed: int = SEED) -> DataFrame:
     """Brier score of no calibration, Platt (logistic on the logit) and
-    isotonic calibration, each fitted on a seeded 80 % (isotonic on at most about
-    ``ISOTONIC_MAX_ROWS`` of it) and evaluated on the held-out 20 %.  Output ``candidate, brier`` (one row per candidate)."""
+    isotonic calibration, each fitted on a seeded 80 % and evaluated on the
+    held-out 20 %.  Output ``candidate, brier`` (one row per candidate)."""
     d = hash_split(df.select(key, F.col(label).cast("double").alias("_y"),
                              F.col(score_col).cast("double").alias("_p")), key, 80, seed)
     eps = 1e-6
@@ -126,8 +145,7 @@ def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str,
     lr = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, probabilityCol="_pp",
                             rawPredictionCol="_rp", predictionCol="_pr").fit(va.transform(train))
     platt = lr.transform(va.transform(test)).withColumn("_q", vector_to_array("_pp")[1])
-    iso = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(_bounded(train, key))
-    isot = iso.transform(test)
+    isot = fit_isotonic(train, "_y", "_p").transform(test)
     b = lambda df_, col: df_.agg(F.avg((F.col(col) - F.col("_y")) ** 2).alias("brier"))
     return (b(test, "_p").select(F.lit("none").alias("candidate"), "brier")
             .unionByName(b(platt, "_q").select(F.lit("sigmoid").alias("candidate"), "brier"))
@@ -136,20 +154,19 @@ def calibration_candidates(df: DataFrame, label: str, score_col: str, key: str,
 
 def apply_calibration(method: str, fitted_on: DataFrame, df: DataFrame, label: str, score_col: str, key: str) -> DataFrame:
     """``df`` with ``score_col`` calibrated by ``method`` (none, sigmoid or isotonic)
-    fitted on held-out scores.  Isotonic takes at most about
-    ``ISOTONIC_MAX_ROWS`` of them, chosen by a hash of the key."""
+    fitted on all held-out scores."""
     if method == "none":
         return df
     eps = 1e-6
     logit = lambda c: F.log(F.least(F.greatest(c, F.lit(eps)), F.lit(1 - eps)) / (1 - F.least(F.greatest(c, F.lit(eps)), F.lit(1 - eps))))
-    base = fitted_on.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"), F.col(score_col).cast("double").alias("_p"))
+    base = fitted_on.select(F.col(label).cast("double").alias("_y"), F.col(score_col).cast("double").alias("_p"))
     if method == "sigmoid":
         va = VectorAssembler(inputCols=["_logit"], outputCol="_f")
         m = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, probabilityCol="_pp", rawPredictionCol="_rp",
                                predictionCol="_pr").fit(va.transform(base.withColumn("_logit", logit(F.col("_p")))))
         out = m.transform(va.transform(df.withColumn("_logit", logit(F.col(score_col)))))
         return out.withColumn(score_col, vector_to_array("_pp")[1]).drop("_logit", "_f", "_pp", "_rp", "_pr")
-    m = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(_bounded(base, "_k"))
+    m = fit_isotonic(base, "_y", "_p")
     return m.transform(df.withColumn("_p", F.col(score_col))).withColumn(score_col, F.col("_q")).drop("_p", "_q")
 
 
