@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import rnd
+from vigil.operators import forest
 from vigil.operators.metrics import group_weights
 from vigil.operators.split import hash_split
 
@@ -73,14 +74,24 @@ def prepare_categorical(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
         weight: str | None = None, **kw) -> PipelineModel:
+    """The fitted pipeline.  A long table's forest grows over counted cells (``forest``), a short one's by Spark over rows."""
     data = prepare_categorical(df, categorical).withColumn(label, F.col(label).cast("double"))
-    return build_pipeline(numeric, categorical, label, weight, **kw).fit(data)
+    *stages, classifier = build_pipeline(numeric, categorical, label, weight, **kw).getStages()
+    prepared = Pipeline(stages=stages).fit(data)
+    ready = prepared.transform(data)
+    slots = [ready.schema[f"_ohe_{c}"].metadata["ml_attr"]["num_attrs"] for c in categorical]
+    trees = forest.fit(ready, classifier, "_num_scaled", [f"_idx_{c}" for c in categorical], slots) or classifier.fit(ready)
+    return PipelineModel([*prepared.stages, trees])
 
 
 def score(model: PipelineModel, df: DataFrame, categorical: Sequence[str], out: str = "p") -> DataFrame:
     """Positive-class probability as a plain double column."""
-    s = model.transform(prepare_categorical(df, categorical))
-    return s.withColumn(out, vector_to_array(F.col("_prob"))[1]).drop(
+    s = PipelineModel(model.stages[:-1]).transform(prepare_categorical(df, categorical))
+    p = forest.probability(model.stages[-1], vector_to_array("features"))
+    if p is None:
+        s = model.stages[-1].transform(s)
+        p = vector_to_array(F.col("_prob"))[1]
+    return s.withColumn(out, p).drop(
         *[c for c in s.columns if c.startswith(("_imp_", "_idx_", "_ohe_", "_num_"))],
         "features", "_prob", "_raw", "_pred")
 

@@ -3,7 +3,7 @@ temporal split -> training statistics -> feature pipeline -> weighted
 forest -> threshold strategy -> metrics -> promotion gate) on DataFrames.
 
 The driver holds only one-row results (threshold, gate verdict); scored
-tables are persisted once and reused by every metric.
+tables are written once and reused by every metric.
 """
 
 from __future__ import annotations
@@ -40,10 +40,11 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
                               out="label")
     p = temporal.lag_features(p, spec["key"], spec["period"], spec["lag_cols"])
     p = features.drop_present(p, list(spec.get("leak_cols", [])) + LEAKING_COLUMNS)
-    p = temporal.temporal_split(p, spec["period"])
-    train_raw = p.where(F.col("role") == "train")
     spark = panel.sparkSession
     checkpoint_dir(spark)
+    # lineage cuts: the statistics and the features read the lagged panel, every fit and metric the tables made of it
+    p = temporal.temporal_split(written(p, "panel"), spec["period"])
+    train_raw = p.where(F.col("role") == "train")
     # one-row result: materialise it so later plans do not recompute the medians
     stats = features.train_statistics(train_raw, spec["start"], spec["age"], spec["period"])
     stats = spark.createDataFrame([stats.first()], stats.schema)
@@ -52,16 +53,15 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
              "priors": priors, "flag": "is_new", "group": spec.get("group"), "code": spec.get("code"),
              "keep": [spec["key"], spec["period"], "role", "label", spec.get("group_raw", spec.get("group"))]}
     fspec["keep"] = [c for c in dict.fromkeys(fspec["keep"]) if c and c != spec.get("group")]
-    # lineage cut: the forest and every metric read the prepared table many times
-    prepared = features.process_features(p, fspec, stats=stats).checkpoint(eager=True)
+    prepared = written(features.process_features(p, fspec, stats=stats), "prepared")
     numeric = [spec["age"], "tenure", *priors, "is_new"]
     categorical = [c for c in [spec.get("code")] if c]
-    train = ml.balanced_weights(prepared.where(F.col("role") == "train"), "label", spec.get("group"))
+    train = written(ml.balanced_weights(prepared.where(F.col("role") == "train"), "label", spec.get("group")), "train")
     if threshold_source not in ("validation", "test"):
         raise ValueError(f"threshold_source: {threshold_source!r}")
     inner = split.hash_split(train, spec["key"], 75, role="_inner")
     first = ml.fit(inner.where(F.col("_inner") == "train"), numeric, categorical, "label", "weight", n_trees=n_trees, max_depth=max_depth)
-    raw_val = ml.score(first, inner.where(F.col("_inner") == "test"), categorical).checkpoint(eager=True)
+    raw_val = written(ml.score(first, inner.where(F.col("_inner") == "test"), categorical), "validation")
     size = raw_val.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
     method = "none"
     if size["k"] >= 2 and size["n"] >= ml.CALIBRATION_MIN_ROWS:
@@ -69,10 +69,10 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
         method = ml.choose_calibration(cands, int(size["n"]), int(size["k"])).where("chosen").first()["candidate"]
     calibrated = lambda df: ml.apply_calibration(method, raw_val, df, "label", "p", spec["key"])
     model = ml.fit(train, numeric, categorical, "label", "weight", n_trees=n_trees, max_depth=max_depth)
-    scored = calibrated(ml.score(model, prepared, categorical)).persist()
+    scored = written(calibrated(ml.score(model, prepared, categorical)), "scored")
     test = scored.where(F.col("role") == "test")
     tr = scored.where(F.col("role") == "train")
-    chosen_on = test if threshold_source == "test" or not size["n"] else calibrated(raw_val)
+    chosen_on = test if threshold_source == "test" or not size["n"] else written(calibrated(raw_val), "chosen-on")
     grp = spec.get("group")
     if strategy == "fairness_f1" and grp:
         pick = curve.fair_threshold(chosen_on, "label", "p", grp)
@@ -111,7 +111,6 @@ def train_and_evaluate(panel: DataFrame, spec: Mapping, n_trees: int = ml.N_TREE
     out = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "metric string, value double")
     # curves, distributions and trade-offs of the test rows: a few values a section and distinct score
     doc = written(document.evaluation_document(test, "label", "p", grp, t, train=tr), "document")
-    scored.unpersist()
     name = F.concat_ws(":", "section", F.col("at").cast("string"), "name")
     return out.unionByName(doc.select(name.alias("metric"), "value")), model
 
